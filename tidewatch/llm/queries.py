@@ -2,30 +2,73 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import substring_dedup
+from tidewatch.llm import exact_dedup, mixing, sharding, substring_dedup
 from tidewatch.llm.shared import table
 
 
+def op1_sharding(spark, sf_dir):
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op6_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, weights=(5, 2, 1), share=1.5, epochs=2).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_exact_dedup(spark, sf_dir):
+    return exact_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), window=20).drop("kept")
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op6_mixing": op6_mixing,
+    "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLES = {
+    "op6_mixing": """
+        WITH d AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents
+        ), s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS w FROM d GROUP BY source
+        ), f AS (
+            SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS goal, sum(w) OVER () AS ws,
+                coalesce(sum(2.0::DOUBLE * source_size) OVER o, 0) AS cb, coalesce(sum(w) OVER o, 0) AS wb
+            FROM s WINDOW o AS (ORDER BY 2.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), g AS (
+            SELECT *, w * ((goal - cb) / (ws - wb)) >= cap AS isfull FROM f
+        ), t AS (
+            SELECT source, source_size, CASE WHEN isfull THEN cap ELSE w * ((goal - sum(CASE WHEN isfull THEN cap ELSE 0 END) OVER ()) / (ws - sum(CASE WHEN isfull THEN w ELSE 0 END) OVER ())) END AS target FROM g
+        ), r AS (
+            SELECT d.*, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS budget,
+                CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_at
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, target,
+            CAST(CASE WHEN source_size > 0 THEN (budget // source_size) * size + greatest(0, least(size, budget % source_size - start_at)) ELSE 0 END AS BIGINT) AS taken
+        FROM r
+    """,
+    "op8_exact_dedup": """
+        WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+        g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+        SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)
+    """,
     "op9_substring_dedup": """
         WITH w AS (
             SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
         ), starts AS (
-            SELECT doc_id, unnest(range(1, greatest(len(words) - 18, 1))) AS at, words FROM w
+            SELECT doc_id, unnest(range(1, greatest(len(words) - 18, 1))) AS pos, words FROM w
         ), windows AS (
-            SELECT doc_id, at, md5(array_to_string(list_slice(words, at, at + 19), ' ')) AS h FROM starts
+            SELECT doc_id, pos, md5(array_to_string(list_slice(words, pos, pos + 19), ' ')) AS h FROM starts
         ), ranked AS (
-            SELECT doc_id, at, row_number() OVER (PARTITION BY h ORDER BY doc_id, at) AS k FROM windows
+            SELECT doc_id, pos, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) AS k FROM windows
         ), gone AS (
-            SELECT DISTINCT doc_id, unnest(range(at, at + 20)) AS place FROM ranked WHERE k > 1
+            SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS place FROM ranked WHERE k > 1
         ), lost AS (
             SELECT doc_id, list(place) AS places, count(*) AS n FROM gone GROUP BY doc_id
         ), placed AS (
