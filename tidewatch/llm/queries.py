@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import exact_dedup, mixing, sharding, substring_dedup
+from tidewatch.llm import decontamination, exact_dedup, mixing, sharding, substring_dedup, toxicity
 from tidewatch.llm.shared import table
 
 
@@ -10,11 +10,21 @@ def op1_sharding(spark, sf_dir):
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op3_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10).drop("text", "spans")
+
+
 def op6_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, weights=(5, 2, 1), share=1.5, epochs=2).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -25,12 +35,35 @@ def op9_substring_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_decontamination": op3_decontamination,
     "op6_mixing": op6_mixing,
+    "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLES = {
+    "op3_decontamination": """
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(lower_az, '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS words
+            FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM documents)
+        ), b AS (
+            SELECT item_id, regexp_extract_all(lower_az, '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS words
+            FROM (SELECT item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM benchmark)
+        ), bw AS (
+            SELECT DISTINCT item_id, least(len(words), 10) AS k, array_to_string(list_slice(words, pos, pos + 9), ' ') AS h
+            FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 8, 2))) AS pos FROM b WHERE len(words) > 0)
+        ), sizes AS (SELECT DISTINCT k FROM bw),
+        dw AS (
+            SELECT doc_id, pos, k, array_to_string(list_slice(words, pos, pos + k - 1), ' ') AS h
+            FROM (SELECT doc_id, words, k, unnest(range(1, greatest(len(words) - k + 2, 1))) AS pos FROM d, sizes)
+        ), m AS (SELECT dw.doc_id, dw.pos, dw.k, bw.item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.h = bw.h),
+        hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(pos, pos + k)) AS place FROM m) GROUP BY doc_id),
+        it AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+    """,
     "op6_mixing": """
         WITH d AS (
             SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents
