@@ -9,13 +9,12 @@ form the grammar:
 * the negation transducer writes NEGATED for an insult or threat within three words behind a negation;
 * the reported-speech transducer writes REPORTED for what follows a verb of saying in its clause.
 
-Counts of plain, targeted, negated, reported and threatening matches per clause, damped by a logarithm, are a document's features;
-weights and bias come from a logistic regression on labelled rows. A clause is scored, never a lone word.
+Sums of the weights of plain, targeted, negated, reported and threatening matches over all clauses, damped by a logarithm, are a
+document's features; their factors and a bias come from a logistic regression on labelled rows. A clause is scored, never a lone word.
 
 Seed words are English; all others are learned: whole words and word beginnings of 4 to 8 letters that are much more frequent in
-toxic than in other labelled documents. The cut is the lowest one at which the number of stems that lean the other way, which
-measures chance, is at most a twentieth of those found. Labelled rows are a bounded sample: SAMPLE rows of each class, in order of
-crc32(doc_id), held-out rows never among them.
+toxic than in other labelled documents, near copies among these counted once. Labelled rows are a bounded sample: SAMPLE rows of each
+class, in order of crc32(doc_id), held-out rows never among them.
 
 Null and empty texts have no match and get the score of a text without matches. Rows are scored one by one; an empty label table
 leaves the seed words with fixed weights.
@@ -23,8 +22,10 @@ leaves the seed words with fixed weights.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import Counter
+from zlib import crc32
 
 import ahocorasick
 import numpy as np
@@ -42,9 +43,11 @@ THREATS = ["i will kill", "i will hurt", "kill you", "hurt you", "burn your hous
 TARGETS = "you your yours yourself u he she they them him her his their these those this all".split()
 NEGATIONS = "not no never neither nor isn aren wasn weren don doesn nicht kein keine ne pas jamais no nunca".split()
 REPORTS = "said says say claimed claims reported reports wrote writes called calls told alleged quoted sagte dit dijo".split()
+PLACE = {"INSULT": 0, "NEGATED": 2, "REPORTED": 3, "THREAT": 4}
+SEED_WEIGHT = 4.0
 FEATURES = ("plain", "targeted", "negated", "reported", "threat")
 #: Weights where nothing can be learned.
-DEFAULT = (np.array([3.0, 4.0, 0.5, 1.0, 4.0]), -4.0)
+DEFAULT = (np.array([3.0, 3.0, 0.5, 1.0, 3.0]), -3.0)
 END = ord("\n")
 #: Bytes that end a clause become line ends, other ASCII bytes outside letters and digits spaces.
 CLAUSES = bytes(END if chr(b) in ".,;:!?\n\r" else b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
@@ -74,15 +77,14 @@ def composed(words: list[bytes], tags: list[str], machines: list[Transducer]) ->
 class Grammar:
     """The composed transducers over a lexicon of whole words and word beginnings."""
 
-    def __init__(self, words: list[str], stems: list[str], threats: list[str] = THREATS):
-        self.words, self.stems = {w.encode() for w in words}, {s.encode() for s in stems}
-        self.sizes = sorted({len(s) for s in self.stems})
-        self.spot = ahocorasick.Automaton()
-        for w in self.words | self.stems:
-            self.spot.add_word(w.decode("latin-1"), 1)
+    def __init__(self, weights: dict[str, float], threats: list[str] = THREATS):
+        self.weights = {s.encode(): w for s, w in weights.items()}
+        self.sizes = sorted({len(s) for s in self.weights})
         self.threats = {tuple(t.encode().split()) for t in threats}
-        for t in self.threats:
-            self.spot.add_word(b" ".join(t).decode("latin-1"), 1)
+        self.spot = ahocorasick.Automaton()
+        for s in [*(s.rstrip() for s in self.weights), *(b" ".join(t) for t in self.threats)]:
+            for before in " \n":
+                self.spot.add_word(before + s.decode("latin-1"), 1)
         self.spot.make_automaton()
         targets, negations, reports = ({w.encode() for w in group} for group in (TARGETS, NEGATIONS, REPORTS))
         marked = ("INSULT", "THREAT")
@@ -96,29 +98,35 @@ class Grammar:
             return on or word in reports, "REPORTED" if on and tag in marked else tag
 
         self.machines = [
-            Transducer(None, lambda s, word, tag: (s, "INSULT" if self.insult(word) else tag)),
+            Transducer(None, lambda s, word, tag: (s, "INSULT" if self.weight(word) else tag)),
             Transducer((), self.threaten),
             Transducer(None, lambda s, word, tag: (s, "TARGET" if tag == "" and word in targets else tag)),
             Transducer(0, negate),
             Transducer(False, report),
         ]
 
-    def insult(self, word: bytes) -> bool:
-        return word in self.words or any(word[:n] in self.stems for n in self.sizes if n <= len(word))
+    def weight(self, word: bytes) -> float:
+        """The largest weight of the word itself or of its beginnings; 0 if there is none."""
+        marked = word + b" "
+        return max((self.weights.get(marked[:n], 0.0) for n in self.sizes if n <= len(marked)), default=0.0)
 
     def threaten(self, last: tuple, word: bytes, tag: str):
         last = (*last[-3:], word)
         return last, "THREAT" if any(last[-k:] in self.threats for k in (2, 3, 4)) else tag
 
-    def clause(self, clause: bytes) -> tuple[int, ...]:
+    def clause(self, clause: bytes) -> np.ndarray:
+        """Weights of a clause's matches by what the grammar makes of them."""
         words = clause.split()
-        tags = Counter(composed(words, [""] * len(words), self.machines))
-        named = tags["TARGET"] > 0
-        return (0 if named else tags["INSULT"], tags["INSULT"] if named else 0, tags["NEGATED"], tags["REPORTED"], tags["THREAT"])
+        tags = composed(words, [""] * len(words), self.machines)
+        out, insult = np.zeros(len(FEATURES)), 1 if "TARGET" in tags else 0
+        for word, tag in zip(words, tags, strict=True):
+            if tag in PLACE:
+                out[insult if tag == "INSULT" else PLACE[tag]] += self.weight(word) or 1.0
+        return out
 
     def features(self, text: bytes) -> np.ndarray:
         """Damped sums over the clauses in which the automaton spots anything."""
-        normal = text.decode("utf-8", "replace").lower().encode().translate(CLAUSES)
+        normal = b"\n" + text.decode("utf-8", "replace").lower().encode().translate(CLAUSES)
         total, done = np.zeros(len(FEATURES)), -1
         for end, _ in self.spot.iter(normal.decode("latin-1")):
             if end > done:
@@ -129,11 +137,11 @@ class Grammar:
         return np.log1p(total)
 
 
-def grammar(name: str, *lexicon: list[str]) -> Grammar:
+def grammar(name: str, weights: dict[str, float]) -> Grammar:
     """Built once in each worker; the last one stays."""
     if name not in _machines:
         _machines.clear()
-        _machines[name] = Grammar(*lexicon)
+        _machines[name] = Grammar(weights)
     return _machines[name]
 
 
@@ -142,35 +150,50 @@ def beginnings(words: set[str]) -> set[str]:
     return {f"{w} " for w in words if len(w) > 2} | {w[:n] for w in words for n in range(4, min(8, len(w)) + 1)}
 
 
-def lexicon(toxic: list[set[str]], other: list[set[str]]) -> tuple[list[str], list[str]]:
-    """Whole words and beginnings that mark toxic documents: see the module's text."""
-    a, b = (Counter(s for words in rows for s in beginnings(words)) for rows in (toxic, other))
-    scale = len(toxic) / max(1, len(other))
-
-    def lean(x: Counter, y: Counter, k: float) -> dict[str, float]:
-        """Deviation of x over what y lets expect; only where x is eight times as frequent."""
-        return {s: (n - y[s] * k) / (n + y[s] * k) ** 0.5 for s, n in x.items() if n >= 4 and n > 8 * y[s] * k}
+def unlike(rows: list[set[str]]) -> list[set[str]]:
+    """rows without near copies of earlier ones, judged by eight minima of hashes, so that one copied text proves nothing."""
+    seen: dict[tuple[int, int], list[int]] = {}
+    kept = []
+    for words in rows:
+        hashes = np.array([crc32(w.encode()) for w in words] or [0], dtype=np.uint64)
+        marks = [(i, int((hashes * np.uint64(2 * i + 0x9E3779B1) % np.uint64(0xFFFFFFFB)).min())) for i in range(8)]
+        if max(Counter(k for m in marks for k in seen.get(m, ())).values(), default=0) < 4:
+            for m in marks:
+                seen.setdefault(m, []).append(len(kept))
+            kept.append(words)
+    return kept
 
-    for_it, against = lean(a, b, scale), lean(b, a, 1 / scale) if scale else {}
-    for cut in np.arange(2, 6, 0.25):
-        found = {s for s, z in for_it.items() if z >= cut}
-        if sum(z >= cut for z in against.values()) <= len(found) / 20:
-            break
-    else:
-        found = set()
-    # a beginning covers all that begins with it
-    stems = {s for s in found if not s.endswith(" ")}
-    stems = {s for s in stems if not any(s[:n] in stems for n in range(4, len(s)))}
-    return sorted({s[:-1] for s in found if s.endswith(" ")}), sorted(stems)
 
+def lexicon(toxic: list[set[str]], other: list[set[str]]) -> dict[str, float]:
+    """Weights of whole words (with a space behind) and beginnings that mark toxic documents.
 
-def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression with classes weighed alike, by Newton steps with a small ridge."""
+    One is taken if it is four times as frequent there and so lopsided that among all of them 0.05 would be by chance (Chernoff's
+    bound for a binomial); its weight is the logarithm of the ratio.
+    """
+    toxic, other = unlike(toxic), unlike(other)
+    a, b = (Counter(s for words in rows for s in beginnings(words)) for rows in (toxic, other))
+    if not toxic or not other:
+        return {}
+    p = len(toxic) / (len(toxic) + len(other))
+    tried = {s: n for s, n in a.items() if n + b[s] >= 4}
+    found = {}
+    for s, n in tried.items():
+        both = n + b[s]
+        q = n / both
+        ratio = (n + 0.5) / (len(toxic) + 1) / ((b[s] + 0.5) / (len(other) + 1))
+        bound = both * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0))
+        if ratio >= 4 and bound >= math.log(len(tried) / 0.05):
+            found[s] = math.log(ratio)
+    return found
+
+
+def fit(x: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, float]:
+    """Logistic regression by Newton steps with a small ridge; class 1 weighs its share of all labelled rows."""
     if not len(y) or y.min() == y.max():
         return DEFAULT
     z = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     for _ in range(30):
         p = 1 / (1 + np.exp(-z @ w))
         ridge = np.r_[np.full(x.shape[1], 1.0), 1e-3]
@@ -188,6 +211,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.crc32(F.col("doc_id").cast("string")), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(sample).unionByName(known.where("toxic = 0").orderBy(*order).limit(sample))
+    share = known.agg(F.avg("toxic")).first()[0] or 0.0
     of = {r.doc_id: r.toxic for r in chosen.collect()}
     ids = docs.sparkSession.createDataFrame([(i,) for i in of], "label_id long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"), "left_semi")
@@ -195,22 +219,21 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     sets: dict[int, list[set[str]]] = {0: [], 1: []}
     for r in rows.select("doc_id", words.alias("words")).toLocalIterator():
         sets[of[r.doc_id]].append(set(r.words))
-    whole, stems = lexicon(sets[1], sets[0]) if sets[1] and sets[0] else ([], [])
-    whole = sorted({*whole, *INSULTS})
+    weights = {f"{w} ": SEED_WEIGHT for w in INSULTS} | lexicon(sets[1], sets[0])
     name = uuid.uuid4().hex
 
     def features(batches):
-        g = grammar(name, whole, stems)
+        g = grammar(name, weights)
         for batch, texts in batches_by_bytes(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g.features(t).tolist() for t in texts], pa.list_(pa.float64()))], names=["doc_id", "x"])
 
     got = rows.mapInArrow(features, "doc_id long, x array<double>").collect()
-    weights, bias = fit(np.array([r.x for r in got]).reshape(-1, len(FEATURES)), np.array([of[r.doc_id] for r in got], dtype=float))
+    beta, bias = fit(np.array([r.x for r in got]).reshape(-1, len(FEATURES)), np.array([of[r.doc_id] for r in got], dtype=float), share)
 
     def scored(batches):
-        g = grammar(name, whole, stems)
+        g = grammar(name, weights)
         for batch, texts in batches_by_bytes(batches):
-            p = 1 / (1 + np.exp(-(np.array([g.features(t) for t in texts]) @ weights + bias)))
+            p = 1 / (1 + np.exp(-(np.array([g.features(t) for t in texts]) @ beta + bias)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
     held = docs.withColumn("held_out", fold(F.col("doc_id")) == 0)
