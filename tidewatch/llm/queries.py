@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontamination, exact_dedup, mixing, sharding, substring_dedup, toxicity
+from tidewatch.llm import decontamination, exact_dedup, mixing, near_join, sharding, substring_dedup, toxicity
 from tidewatch.llm.shared import table
 
 
@@ -33,6 +33,10 @@ def op9_substring_dedup(spark, sf_dir):
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), window=20).drop("kept")
 
 
+def op10_near_join(spark, sf_dir):
+    return near_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies", "n_links")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_decontamination": op3_decontamination,
@@ -40,6 +44,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_near_join": op10_near_join,
 }
 
 ORACLES = {
