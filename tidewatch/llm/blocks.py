@@ -22,12 +22,19 @@ SENT = "rng int, block int, n int, body binary"
 BACK = "block int, rng int, body binary"
 
 
-def blocked(df: DataFrame, text: str, *keys: str) -> tuple[DataFrame, int]:
-    """df with the column block, dealt by it; rows that agree in keys share a block. Also the number of blocks."""
-    least = partitions(df.sparkSession)
-    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    count = max(least, math.ceil(size / BLOCK_BYTES))
-    return df.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")).repartition(max(least, count), "block"), count
+def blocks_for(df: DataFrame, text: str = "text", each: int = BLOCK_BYTES) -> int:
+    """Blocks of about so many bytes of text, but at least as many as there are partitions."""
+    return max(partitions(df.sparkSession), math.ceil((df.agg(F.sum(F.octet_length(text))).first()[0] or 0) / each))
+
+
+def blocked(df: DataFrame, count: int, *keys) -> DataFrame:
+    """df with the column block, dealt by it; rows that agree in keys share a block."""
+    return df.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")).repartition(count, "block")
+
+
+def own_or_text(doc_id: str = "doc_id", text: str = "text") -> list:
+    """Keys that keep a doc_id's rows in one block, and spread rows without doc_id by their text."""
+    return [F.col(doc_id), F.when(F.col(doc_id).isNull(), F.col(text))]
 
 
 def cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -47,7 +54,8 @@ def pack(keys: np.ndarray, ranges: int, block: int, *more: np.ndarray) -> pa.Tab
 
 
 def unpack(sent: pa.Table, *kinds: type) -> tuple[list[int], list[int], list[np.ndarray]]:
-    """Blocks, their counts, and their keys and what goes with them, put together."""
+    """Blocks in order, their counts, and their keys and what goes with them, put together."""
+    sent = sent.sort_by("block")
     blocks, counts, bodies = (sent.column(c).to_pylist() for c in ("block", "n", "body"))
     parts: list[list[np.ndarray]] = [[] for _ in range(len(kinds) + 1)]
     for n, body in zip(counts, bodies, strict=True):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontamination, exact_dedup, mixing, near_join, sharding, substring_dedup, toxicity
+from tidewatch.llm import decontamination, exact_dedup, lm_scoring, mixing, near_join, sharding, substring_dedup, toxicity
 from tidewatch.llm.shared import table
 
 
@@ -15,6 +15,11 @@ def op3_decontamination(spark, sf_dir):
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10).drop("text", "spans")
 
 
+def op5_lm_scoring(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_scoring.score(table(spark, sf_dir, "documents"), good)
+
+
 def op6_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, weights=(5, 2, 1), share=1.5, epochs=2).select("doc_id", "size", "source_size", "target", "taken")
@@ -40,6 +45,7 @@ def op10_near_join(spark, sf_dir):
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_decontamination": op3_decontamination,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,

@@ -91,8 +91,9 @@ def dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     """
     if window < PERIOD + 1:
         raise ValueError(f"window must exceed {PERIOD} words")
-    placed, count = X.blocked(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "text", "doc_id")
-    ranges = count
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ranges = X.blocks_for(docs)
+    placed = X.blocked(docs, ranges, *X.own_or_text())
 
     def found(key: tuple, table: pa.Table) -> pa.Table:
         keys, times = np.unique(Block(table, window).anchors()[1], return_counts=True)
