@@ -52,7 +52,8 @@ class DigestIndex:
         columns = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"))
         thin = written(columns.withColumn("row", F.monotonically_increasing_id()), "digests")  # row is fixed once it is written
         least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))
-        groups = thin.groupBy("digest").agg(least.alias("first"), F.count("*").alias("group_size"))
+        # written, else the optimiser moves the anti-join below the aggregate and shuffles every copy of a text
+        groups = written(thin.groupBy("digest").agg(least.alias("first"), F.count("*").alias("group_size")), "digest-groups")
         known = self.entries().select("digest")
         new = groups.join(known.hint("merge"), "digest", "left_anti")
         fresh = written(new.select("digest", F.col("first.doc_id").alias("keep_id"), "group_size", F.col("first.row").alias("keep_row")), "new-digests")
