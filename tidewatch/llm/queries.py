@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontamination, exact_dedup, lm_scoring, mixing, near_join, sharding, substring_dedup, toxicity
+from tidewatch.llm import decontamination, exact_dedup, lm_scoring, mixing, near_join, quality, sharding, substring_dedup, toxicity, url_filter
 from tidewatch.llm.shared import table
 
 
@@ -10,11 +10,19 @@ def op1_sharding(spark, sf_dir):
     return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op2_quality(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10).drop("text", "spans")
 
 
+def op4_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 def op5_lm_scoring(spark, sf_dir):
     good = table(spark, sf_dir, "labels").where("quality = 1")
     return lm_scoring.score(table(spark, sf_dir, "documents"), good)
@@ -44,7 +52,9 @@ def op10_near_join(spark, sf_dir):
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
+    "op4_url_filter": op4_url_filter,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
