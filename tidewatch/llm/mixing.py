@@ -38,16 +38,17 @@ def budgets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     return s.withColumn("level", level).select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * F.col("level")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, keep_text: bool = False) -> DataFrame:
     """docs with size, source_size, target, taken (words) and start (words of its source before it), from one shuffle of the rows.
 
-    Columns of docs other than text are kept; on a clash of names those computed here win.
+    Columns of docs are kept, text only with keep_text; on a clash of names those computed here win.
     """
     made = ["size", "source_size", "target", "taken", "start", "slice", "order_key", "text_crc", "slice_start", "running"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.drop(*[c for c in docs.columns if c in made])
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    thin = own.withColumns({"size": F.regexp_count(text, F.lit(WORDS)).cast("long"), "text_crc": F.crc32(text), "order_key": key}).drop("text")
+    thin = own.withColumns({"size": F.regexp_count(text, F.lit(WORDS)).cast("long"), "text_crc": F.crc32(text), "order_key": key})
+    thin = thin if keep_text else thin.drop("text")
     thin = thin.withColumn("slice", F.substring("order_key", 1, SLICE_DIGITS))
 
     slices = thin.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
@@ -64,3 +65,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     rest = budget - whole * F.col("source_size") - F.col("start")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
     return rows.withColumn("taken", taken.cast("long")).drop("s", "k", "slice", "order_key", "text_crc", "slice_start", "running")
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2) -> DataFrame:
+    """The rows of the mix with the columns of docs: a document comes once for each epoch that takes any of its words.
+
+    Documents are not cut, so a source may exceed its target by less than its document at the cut. Documents without words cost
+    nothing and stay once.
+    """
+    taken = mix(docs, weights, share, epochs, keep_text=True)
+    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
+    return taken.withColumn("times", times).where("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)

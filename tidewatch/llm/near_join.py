@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import WordHash, batches_by_bytes, groups, mixed, partitions, shared_dir, written
+from tidewatch.llm.shared import Scratch, WordHash, batches_by_bytes, groups, mixed, partitions, shared_dir
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.995
 #: Sketch coordinates; largest bucket that is compared by brute force; number of splits; sets of a group verified by one task.
@@ -226,7 +226,7 @@ def sketched(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sids, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "text_hash", "sid", "sketch"])
 
 
-def candidates(nodes: DataFrame, similarity: float, recall: float) -> DataFrame:
+def candidates(nodes: DataFrame, scratch: Scratch, similarity: float, recall: float) -> DataFrame:
     """Edges (a, b) of stars over the sids of nodes (sid, sketch): steps 2 and 3."""
     runs = runs_needed(recall)
     least = similarity - SLACK * (similarity * (1 - similarity) / T) ** 0.5
@@ -248,12 +248,15 @@ def candidates(nodes: DataFrame, similarity: float, recall: float) -> DataFrame:
     stars = []
     state = nodes.select("sid", "sketch", F.array(*map(F.lit, first)).alias("paths"))
     for depth in range(1, DEPTH + 1):
-        placed = written(state.mapInArrow(split, "path long, sid binary"), f"paths-{depth}")
+        placed = scratch.write(state.mapInArrow(split, "path long, sid binary"), f"paths-{depth}")
         sizes = placed.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        sized = written(placed.join(sizes, "path"), f"sized-{depth}")
+        sized = scratch.write(placed.join(sizes, "path"), f"sized-{depth}")
+        scratch.drop(f"paths-{depth}")
         leaves = sized.where(F.col("size") <= LEAF).select("path", "sid").join(nodes.select("sid", "sketch"), "sid")
-        stars.append(written(by_group(leaves, ["path"], "a binary, b binary", lambda: lambda bucket: leaf_stars(bucket, least)).distinct(), f"stars-{depth}"))
+        stars.append(scratch.write(by_group(leaves, ["path"], "a binary, b binary", lambda: lambda bucket: leaf_stars(bucket, least)).distinct(), f"stars-{depth}"))
         large = sized.where(F.col("size") > LEAF).select("path", "sid")
+        if depth > 1:
+            scratch.drop(f"sized-{depth - 1}")
         if large.isEmpty():
             break
         if depth == DEPTH:
@@ -272,12 +275,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     n_links counts the other rows of docs that are linked to this one, copies included.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("text_hash"))
-    rows = written(docs.mapInArrow(sketched, "doc_id long, text_hash long, sid binary, sketch binary"), "sketches")
+    scratch = Scratch(docs.sparkSession, "near-join")
+    rows = scratch.write(docs.mapInArrow(sketched, "doc_id long, text_hash long, sid binary, sketch binary"), "sketches")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("head")
     nodes = rows.where("sid is not null").groupBy("sid").agg(head, F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
-    nodes = written(nodes, "nodes")
-    found = components(candidates(nodes, similarity, recall))
-    member = written(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "candidates")
+    nodes = scratch.write(nodes, "nodes")
+    found = components(candidates(nodes, scratch, similarity, recall))
+    member = scratch.write(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "candidates")
+    scratch.drop(*(f"{name}-{depth}" for name in ("sized", "stars") for depth in range(1, DEPTH + 1)))
 
     # the text of each candidate once, dealt by component or, if that is large, to every pair of blocks that has its block
     count = member.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
@@ -292,13 +297,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
         cache = WordHash()
         return lambda group: verify(group, similarity, cache)
 
-    links = written(by_group(dealt, ["root", "lo", "hi"], "sid binary, links long, root binary", verifier), "links")
+    links = scratch.write(by_group(dealt, ["root", "lo", "hi"], "sid binary, links long, root binary", verifier), "links")
     linked = components(links.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     degree = links.groupBy(F.col("sid").alias("n")).agg(F.sum("links").alias("links"))
     named = nodes.select("sid", "copies", "head").join(linked, F.col("sid") == F.col("node"), "left").join(degree, F.col("sid") == F.col("n"), "left")
-    named = written(named.select("sid", "copies", "head", F.coalesce("root", "sid").alias("class_sid"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    named = scratch.write(named.select("sid", "copies", "head", F.coalesce("root", "sid").alias("class_sid"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
     least = named.groupBy(F.col("class_sid").alias("c")).agg(F.min("head").alias("first"))
-    named = written(named.join(least, F.col("class_sid") == F.col("c")).select(F.col("sid").alias("s"), "class_sid", "copies", "links", "first"), "named")
+    named = scratch.write(named.join(least, F.col("class_sid") == F.col("c")).select(F.col("sid").alias("s"), "class_sid", "copies", "links", "first"), "named")
+    scratch.drop("nodes", "candidates", "links", "classes")
     alone = F.col("sid").isNull()
     return rows.select("doc_id", "text_hash", "sid").join(named, F.col("sid") == F.col("s"), "left").select(
         "doc_id", "text_hash", "sid", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), "class_sid",

@@ -39,6 +39,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder by name, so that those no later plan reads can be dropped."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.at = spark, shared_path(spark, name)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.at}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
+
+    def drop(self, *names: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for name in names:
+            at = path(f"{self.at}/{name}")
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

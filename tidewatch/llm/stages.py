@@ -2,4 +2,40 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from tidewatch.llm import decontamination, mixing, near_join, sharding, toxicity
+from tidewatch.llm.shared import table
+
+
+def toxicity_filter(spark, docs, sf_dir):
+    """Documents that the grammar finds toxic go."""
+    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 0").select(*docs.columns)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """Of each class of near-duplicates the document with the smallest doc_id stays."""
+    return near_join.one_of_each(docs)
+
+
+def benchmark_filter(spark, docs, sf_dir):
+    """Documents that hold ten consecutive words of a benchmark item, or a whole shorter item, go."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10).where("not contaminated").select(*docs.columns)
+
+
+def source_mix(spark, docs, sf_dir):
+    """Sources come as often as their targets ask for."""
+    return mixing.mixed_rows(docs)
+
+
+def shards(spark, docs, sf_dir):
+    """Every row gets a shard and a slot in it."""
+    return sharding.assign(docs, shards=40)
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("ngram_join", near_duplicates),
+    ("decontamination", benchmark_filter),
+    ("mixing", source_mix),
+    ("sharding", shards),
+]
