@@ -104,7 +104,10 @@ def label(category: str, raw: Column) -> Column:
 
 def labels(by_category: dict[str, Column], most: int = 8) -> Column:
     """Labels of arrays of raw values by category, in the order of categories, each once (case ignored), `most` at most."""
-    every = F.concat(*(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda r, k=k: label(k, r)) for k in CATEGORIES if (c := by_category.get(k)) is not None))
+    def of(category: str) -> Column:
+        return F.transform(F.coalesce(by_category[category], F.array().cast("array<string>")), lambda r: label(category, r))
+
+    every = F.concat(*(of(k) for k in CATEGORIES if k in by_category))
     every = F.filter(every, lambda v: v.isNotNull())
     keys = F.transform(every, F.lower)
     return F.slice(F.filter(every, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1), 1, most)

@@ -72,11 +72,20 @@ def broadcast_rows(items: DataFrame, users: DataFrame, existing: DataFrame) -> D
 
 
 def run_messages(runs: DataFrame) -> DataFrame:
-    """run_id, topic, n: one to six rows for each run, by its counters; a run with nothing to say says so."""
-    topics = ("inserted", "dropped", "deferred", "errors", "stale_feeds", "flags")
-    some = F.array_compact(F.array(*(F.when(F.coalesce(F.col(t), F.lit(0)) > 0, F.struct(F.lit(t).alias("topic"), F.col(t).cast("long").alias("n"))) for t in topics)))
-    none = F.array(F.struct(F.lit("nothing").alias("topic"), F.lit(0).cast("long").alias("n")))
-    return runs.select("run_id", F.inline(F.when(F.size(some) > 0, some).otherwise(none)))
+    """run_id, kind, title, dedupe_key: one to six rows for each run, by its counters (null counts as 0)."""
+    n = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    count = lambda c, noun: F.concat(n(c).cast("string"), F.lit(f" {noun}"), F.when(n(c) == 1, "").otherwise("s"))
+    row = lambda kind, title: F.struct(kind.alias("kind"), title.alias("title"))
+    made = [
+        row(F.when(F.col("scoped"), "feed_ingested").otherwise("feeds_ingested"), F.when(F.col("scoped"), "Feed updated").otherwise("All feeds ingested")),
+        F.when(F.col("summarised"), row(F.lit("summary_updated"), F.lit("Executive summary updated"))),
+        F.when(n("flagged_iocs") > 0, row(F.lit("suspect_iocs"), F.concat(count("flagged_iocs", "suspect indicator"), F.lit(" to review")))),
+        F.when(n("unclassified") > 0, row(F.lit("unclassified_reports"), F.concat(count("unclassified", "report"), F.lit(" stored unclassified")))),
+        F.when(n("errors") > 0, row(F.lit("ingest_errors"), F.concat(F.lit("Ingest finished with "), count("errors", "error")))),
+        F.when(n("stale_feeds") > 0, row(F.lit("stale_feeds"), F.concat(count("stale_feeds", "feed"), F.lit(" look stale")))),
+    ]
+    out = runs.select("run_id", F.inline(F.array_compact(F.array(*made))))
+    return out.withColumn("dedupe_key", F.concat_ws(":", "kind", F.col("run_id").cast("string")))
 
 
 def feed(reports: DataFrame, subscriptions: DataFrame, newest: int = 4000, each: int = 100) -> DataFrame:
