@@ -143,11 +143,9 @@ class Markdown:
                 self.lists = self.lists[:-1]
             else:
                 self.lists.append([name, 0])
-            self.out.append("\n" if len(self.lists) > 1 else "\n\n")
+            self.out.append("" if self.lists and close or len(self.lists) > 1 else "\n\n")
         elif name == "li":
-            if close:
-                self.out.append("\n")
-            else:
+            if not close:
                 top = self.lists[-1] if self.lists else ["ul", 0]
                 top[1] += 1
                 self.out.append("\n" + "  " * max(0, len(self.lists) - 1) + (f"{top[1]}. " if top[0] == "ol" else "- "))
@@ -187,7 +185,11 @@ class Markdown:
             if m[2]:
                 self.tag(bool(m[1]), m[2].lower(), m[3])
         self.text(unescape(html[at:]))
-        lines = [ln.rstrip() if self.code else re.sub(r"[ \t\u00a0]+", " ", ln).strip() for ln in "".join(self.out).split("\n")]
+        lines, fenced = [], False
+        for line in "".join(self.out).split("\n"):
+            fenced ^= line.strip() == "```"
+            item = re.match(r" *(?=- |[0-9]+\. )", line)
+            lines.append(line.rstrip() if fenced else (item[0] if item else "") + re.sub(r"[ \t\u00a0]+", " ", line).strip())
         return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
     def text(self, text: str) -> None:
