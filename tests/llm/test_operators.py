@@ -361,16 +361,47 @@ def test_url_models_by_brute_force():
     assert math.isclose(m.log_p(*url_filter.slots(b"ab")), want)
 
 
-def test_pipeline(spark, sf):
+def test_pipeline_against_brute_force(spark, sf):
+    """Every stage on what its predecessor kept, by other means."""
     docs = table(spark, sf, "documents")
+    bench = [(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()]
+    windows = {w for _, t in bench for w in decontamination.windows_of(decontamination.words_of((t or "").encode()), 10)}
     for name, stage in stages.STAGES:
-        before, columns = docs.count(), docs.columns
+        before, columns = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()], docs.columns
         out = stage(spark, docs, sf)
         docs = spark.createDataFrame(out.collect(), out.schema)
-        assert docs.count() > 0
+        after = Counter((r.doc_id, r.text) for r in docs.collect())
         if name != "sharding":
             assert docs.columns == columns
-        if name in ("toxicity", "ngram_join", "decontamination"):
-            assert docs.count() <= before
-    counts = [r["count"] for r in docs.groupBy("shard").count().collect()]
-    assert max(counts) - min(counts) <= 1
+        if name == "toxicity":
+            scored = {r.doc_id: r.predicted for r in toxicity.score(table(spark, sf, "documents"), table(spark, sf, "labels")).collect()}
+            assert set(after) == {(i, t) for i, t, *_ in before if not scored[i]}
+        elif name == "ngram_join":
+            _, links = brute_links(before)
+            root = list(range(len(before)))
+            for _ in range(20):
+                root = [min([root[i], *(root[j] for j in links[i])], key=lambda k: before[k][0]) for i in range(len(before))]
+            assert set(after) == {(before[r][0], before[r][1]) for r in root}
+        elif name == "decontamination":
+            def clean(text):
+                w = decontamination.words_of((text or "").encode())
+                return not any(tuple(w[i : i + k]) in windows for k in {len(x) for x in windows} for i in range(len(w) - k + 1))
+
+            assert set(after) == {(i, t) for i, t, *_ in before if clean(t)}
+        elif name == "mixing":
+            took = {r.doc_id: (r.size, r.taken) for r in mixing.mix(spark.createDataFrame(before, "doc_id long, text string, lang string, source string")).collect()}
+            assert after == Counter({(i, t): -(-took[i][1] // took[i][0]) if took[i][0] else 1 for i, t, *_ in before} ) - Counter()
+        else:
+            assert after == Counter((i, t) for i, t, *_ in before)
+            counts = [r["count"] for r in docs.groupBy("shard").count().collect()]
+            assert max(counts) - min(counts) <= 1 and len(counts) == 40
+
+
+def test_stages_take_odd_rows(spark, sf, docs, empty):
+    """Nulls, empty and repeated rows, and columns whose names clash, through every stage; and no rows at all."""
+    for name, stage in stages.STAGES:
+        out = stage(spark, docs, sf)
+        assert stage(spark, empty, sf).count() == 0
+        if name != "sharding":
+            assert out.dtypes == docs.dtypes
+            assert {r["size"] for r in out.collect()} == {"x"}

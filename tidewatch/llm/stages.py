@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tidewatch.llm import decontamination, mixing, near_join, sharding, toxicity
 from tidewatch.llm.shared import table
 
 
+def aside(docs: DataFrame) -> DataFrame:
+    """docs with every column but doc_id, text and source under another name, so that none clashes with what an operator makes."""
+    return docs.select(*(F.col(c) if c in ("doc_id", "text", "source") else F.col(c).alias(f"_own_{c}") for c in docs.columns))
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return rows.select(*(F.col(c) if c in ("doc_id", "text", "source") else F.col(f"_own_{c}").alias(c) for c in docs.columns))
+
+
 def toxicity_filter(spark, docs, sf_dir):
     """Documents that the grammar finds toxic go."""
-    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(aside(docs), table(spark, sf_dir, "labels"))
+    return restored(scored.where("predicted = 0"), docs)
 
 
 def near_duplicates(spark, docs, sf_dir):
@@ -19,12 +32,13 @@ def near_duplicates(spark, docs, sf_dir):
 
 def benchmark_filter(spark, docs, sf_dir):
     """Documents that hold ten consecutive words of a benchmark item, or a whole shorter item, go."""
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), window=10).where("not contaminated").select(*docs.columns)
+    found = decontamination.decontaminate(aside(docs), table(spark, sf_dir, "benchmark"), window=10)
+    return restored(found.where("not contaminated"), docs)
 
 
 def source_mix(spark, docs, sf_dir):
     """Sources come as often as their targets ask for."""
-    return mixing.mixed_rows(docs)
+    return restored(mixing.mixed_rows(aside(docs)), docs)
 
 
 def shards(spark, docs, sf_dir):
