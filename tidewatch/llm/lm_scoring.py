@@ -18,23 +18,44 @@ of the target are 0, and its model is uniform.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import blocks as X
-from tidewatch.llm.shared import WordHash, mixed, written
+from tidewatch.llm.shared import WordHash, mixed
 
 K = 2.0
 #: Bytes of text in a block; smaller than for other operators, as words and pairs are held at once.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
+#: Keys have 56 bits; among 10 ** 12 keys one in 100,000 meets another, which shifts its count by the other's.
+LOW = np.uint64(8)
+WORD, PAIR = ~np.uint64(0x1FF), np.uint64(0x100)
 START = np.uint64(0x5851F42D4C957F2D)
 RESULT = "doc_id long, n_words long, target_loss double, background_loss double, score double"
 
 
+def sent_body(keys: np.ndarray, *counts: np.ndarray) -> bytes:
+    """Sorted keys as differences in as few bytes as the largest needs, and the deflated counts."""
+    steps = np.diff(keys >> LOW, prepend=np.uint64(0))
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + zlib.compress(b"".join(c.astype(np.uint32).tobytes() for c in counts), 1)
+
+
+def sent_parts(body: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and the two counts of a body."""
+    width = body[0]
+    steps = np.zeros((n, 8), dtype=np.uint8)
+    steps[:, :width] = np.frombuffer(body, dtype=np.uint8, count=n * width, offset=1).reshape(n, width)
+    counts = np.frombuffer(zlib.decompress(body[1 + n * width :]), dtype=np.uint32)
+    return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64) << LOW, counts[:n], counts[n:]
+
+
 class Block:
-    """Distinct words and pairs of a block's documents with their counts; words have even keys, pairs odd ones."""
+    """Distinct words and pairs of a block's documents with their counts; one bit tells words from pairs."""
 
     def __init__(self, table: pa.Table, labels: pa.Table):
         cache = WordHash()
@@ -46,9 +67,9 @@ class Block:
         self.firsts = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
         before = np.concatenate([[START], words[:-1]]).astype(np.uint64) if self.n else words
         before[self.firsts] = START
-        pairs = mixed(before * np.uint64(0x9E3779B97F4A7C15) + words) | np.uint64(1)
-        marks = np.full(len(self.firsts), START & ~np.uint64(1), dtype=np.uint64)
-        self.keys, self.place = np.unique(np.concatenate([words & ~np.uint64(1), pairs, marks]), return_inverse=True)
+        pairs = mixed(before * np.uint64(0x9E3779B97F4A7C15) + words) & WORD | PAIR
+        marks = np.full(len(self.firsts), START & WORD, dtype=np.uint64)
+        self.keys, self.place = np.unique(np.concatenate([words & WORD, pairs, marks]), return_inverse=True)
         chosen = set(labels.column("target_id").to_pylist())
         good = np.array([i in chosen for i in self.ids], dtype=bool)
         by_word = np.repeat(good, self.sizes)
@@ -77,28 +98,43 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     def counted(key: tuple, table: pa.Table, labels: pa.Table) -> pa.Table:
         block = Block(table, labels)
         number = (table if table.num_rows else labels).column("block")[0].as_py()
-        return X.pack(block.keys, ranges, number, block.all, block.good)
+        at = X.cuts(block.keys, ranges)
+        rows = [(r, number, int(j - i), sent_body(block.keys[i:j], block.all[i:j], block.good[i:j])) for r, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
+        return pa.Table.from_pylist([dict(zip(("rng", "block", "n", "body"), row, strict=True)) for row in rows], pa.schema([("rng", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("body", pa.binary())]))
 
     def summed(key: tuple, sent: pa.Table) -> pa.Table:
-        blocks, counts, (keys, every, good) = X.unpack(sent, np.uint32, np.uint32)
+        blocks, counts, bodies = (sent.column(c).to_pylist() for c in ("block", "n", "body"))
+        keys, every, good = map(np.concatenate, zip(*(sent_parts(b, n) for b, n in zip(bodies, counts, strict=True)), strict=True))
+        del bodies
         distinct, place = np.unique(keys, return_inverse=True)
         sums = [np.bincount(place, weights=w, minlength=len(distinct)).astype(np.int64) for w in (every, good)]
-        word = (distinct & np.uint64(1)) == 0
-        word &= distinct != (START & ~np.uint64(1))
-        out = X.back(blocks, counts, key[0].as_py(), *(s[place] for s in sums))
-        n = len(out)
-        once = [[int(v)] + [0] * (n - 1) for v in (word.sum(), sums[0][word].sum(), sums[1][word].sum())]
-        for name, values in zip(("vocabulary", "words", "good_words"), once, strict=True):
-            out = out.append_column(name, pa.array(values, pa.int64()))
-        return out
-
+        word = ((distinct & PAIR) == 0) & (distinct != (START & WORD))
+        back, at = [], 0
+        for n in counts:
+            part = place[at : at + n]
+            at += n
+            back.append(zlib.compress(b"".join(s[part].tobytes() for s in sums), 1))
+        rest = [0] * (len(counts) - 1)
+        columns = {"block": pa.array(blocks, pa.int32()), "rng": pa.array([key[0].as_py()] * len(counts), pa.int32()), "body": pa.array(back, pa.binary())}
+        for name, v in (("vocabulary", word.sum()), ("words", sums[0][word].sum()), ("good_words", sums[1][word].sum())):
+            columns[name] = pa.array([int(v), *rest], pa.int64())
+        return pa.table(columns)
+
+    totals = ("vocabulary", "words", "good_words")
     sent = placed.cogroup(marks).applyInArrow(counted, X.SENT)
-    got = written(sent.groupBy("rng").applyInArrow(summed, X.BACK + ", vocabulary long, words long, good_words long"), "ngram-counts")
-    vocabulary, words, good_words = (v or 0 for v in got.agg(F.sum("vocabulary"), F.sum("words"), F.sum("good_words")).first())
+    got = sent.groupBy("rng").applyInArrow(summed, X.BACK + "".join(f", {c} long" for c in totals))
+    # three numbers, as a scalar subquery: so all is one plan, in which Spark shuffles the texts once and uses that again
+    whole = got.agg(F.struct(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in totals)).alias("t")).scalar()
+    got = got.select("block", "rng", "body").withColumn("t", whole).select("block", "rng", "body", *(F.col(f"t.{c}").alias(c) for c in totals))
 
     def scored(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
         block = Block(table, pa.table({"target_id": pa.array([], pa.int64())}))
-        every, good = X.answers(back, block.keys, ranges, np.int64, np.int64)
+        every, good = np.zeros(len(block.keys), dtype=np.int64), np.zeros(len(block.keys), dtype=np.int64)
+        at = X.cuts(block.keys, ranges)
+        for rng, body in zip(back.column("rng").to_pylist(), back.column("body").to_pylist(), strict=True):
+            part = np.frombuffer(zlib.decompress(body), dtype=np.int64)
+            every[at[rng] : at[rng + 1]], good[at[rng] : at[rng + 1]] = part[: len(part) // 2], part[len(part) // 2 :]
+        vocabulary, words, good_words = (back.column(c)[0].as_py() if len(back) else 0 for c in totals)
         full = block.sizes > 0
         losses = []
         for counts, total in ((good, good_words), (every, words)):
@@ -109,4 +145,4 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
         columns = [pa.array(block.ids, pa.int64()), pa.array(block.sizes), *(pa.array(v, mask=none) for v in (*losses, losses[1] - losses[0]))]
         return pa.Table.from_arrays(columns, names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
 
-    return placed.cogroup(got.select("block", "rng", "body").groupBy("block")).applyInArrow(scored, RESULT)
+    return placed.cogroup(got.groupBy("block")).applyInArrow(scored, RESULT)
