@@ -134,7 +134,7 @@ def s3(spark, sf):
     n = F.col("page_id").cast("string")
     page = F.concat(F.lit('<article class="news--articles--item x"><h3 class="news--articles--item--title"><a href="/n/'), n, F.lit('">Title <b>'), n, F.lit('</b></a></h3><p class="news--articles--item--description">About &amp; so on</p></article>'))
     p = run(spark, sf, "SELECT page_id FROM {pages}").select("page_id", page.alias("html"), F.lit("https://cert.example/list").alias("base"))
-    return feeds.read_listing(p, "cert.europa.eu").select("page_id", "url", F.regexp_replace("title", " +", " ").alias("title"))
+    return feeds.read_listing(p, "news_articles").select("page_id", "url", F.regexp_replace("title", " +", " ").alias("title"))
 
 
 @query("s5_feed_health", with_views("SELECT source_name, count(*) AS items, max(published_at) AS latest_item_at FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY published_at DESC NULLS LAST, id) AS n FROM reports) WHERE n <= 40 GROUP BY 1", "reports"))
@@ -358,3 +358,88 @@ def i7(spark, sf):
     new = names.where(rules.specific(F.col("name")) & rules.matchable(F.col("name")) & ~F.upper("name").startswith("UNID"))
     own = new.withColumns({"community_identifiers": F.array().cast("array<string>"), "internal_alternative_names": F.array().cast("array<string>")})
     return new.join(attribution.collisions(own, actors(spark, sf)).select(F.col("proposed").alias("name")), "name", "left_anti")
+
+
+@query("s2_clean_descriptions", "SELECT page_id, 'Hi & bye' AS plain FROM pages")
+def s2(spark, sf):
+    said = F.concat(F.lit("<p>Hi\n &amp;amp;</p> <b>"), F.lit("bye</b>"))
+    return run(spark, sf, "SELECT page_id FROM {pages}").select("page_id", text.clean(said).alias("plain"))
+
+
+@query("s7_scan_by_ids", with_views("SELECT id, title FROM reports WHERE id IN (SELECT doc_id FROM labels WHERE toxic = 1)", "reports"))
+def s7(spark, sf):
+    ids = run(spark, sf, "SELECT doc_id AS id FROM {labels} WHERE toxic = 1")
+    return view(spark, sf, "reports").join(ids, "id", "left_semi").select("id", "title")
+
+
+@query("s21_run_log", with_views("SELECT 'completed' AS status, '{\"reports\":' || CAST(count(*) AS VARCHAR) || ',\"undated\":' || CAST(count(*) FILTER (published_at IS NULL) AS VARCHAR) || '}' AS summary FROM reports", "reports"))
+def s21(spark, sf):
+    counts = F.struct(F.count("*").alias("reports"), F.count_if(F.col("published_at").isNull()).alias("undated"))
+    return view(spark, sf, "reports").agg(F.lit("completed").alias("status"), F.to_json(counts).alias("summary"))
+
+
+@query("o3_candidate_order", with_views("SELECT id, CAST(row_number() OVER (PARTITION BY source_name ORDER BY coalesce(published_at, DATE '1970-01-01') DESC, id) AS INT) AS place FROM reports", "reports"))
+def o3(spark, sf):
+    date = F.coalesce("published_at", F.expr("DATE '1970-01-01'"))
+    return views.top_per(view(spark, sf, "reports"), "source_name", 1 << 30, date.desc(), F.col("id")).select("id", "place")
+
+
+@query("o5_q11_section_limits", with_views("SELECT id, section FROM (SELECT id, section, row_number() OVER (PARTITION BY section ORDER BY published_at DESC NULLS LAST, id) AS n FROM (SELECT *, CASE WHEN kind IN ('research', 'other') THEN 'reports' WHEN kind = 'breach' THEN 'breaches' ELSE 'exploits' END AS section FROM reports WHERE contains(lower(source_name), 'src'))) WHERE n <= 50", "reports"))
+def o5(spark, sf):
+    hits = search.search("src:src", view(spark, sf, "reports"))
+    return views.top_per(hits, "section", 50, *views.newest()).select("id", "section")
+
+
+@query("o6_longest_alias_first", with_views("SELECT name, length(name) AS n, CAST(row_number() OVER (ORDER BY length(name) DESC, ord) AS INT) AS place FROM actors", "actors"))
+def o6(spark, sf):
+    from pyspark.sql import Window
+
+    order = Window.orderBy(F.length("name").desc(), "ord")
+    return actors(spark, sf).select("name", F.length("name").cast("long").alias("n"), F.row_number().over(order).alias("place"))
+
+
+@query("u2_set_difference", with_views("SELECT DISTINCT raw_hash FROM reports WHERE raw_hash NOT IN (SELECT raw_hash FROM hidden)", "reports", "hidden"))
+def u2(spark, sf):
+    return view(spark, sf, "reports").select("raw_hash").subtract(view(spark, sf, "hidden").select("raw_hash"))
+
+
+@query("u4_q9_complement", with_views("SELECT id FROM reports r WHERE NOT (EXISTS (SELECT 1 FROM report_labels l WHERE l.id = r.id AND contains(lower(l.name), 'zimbra')) OR coalesce(contains(lower(cve_id), '2024-10'), false))", "reports", "report_labels"))
+def u4(spark, sf):
+    tree = search.parse("NOT (label:zimbra OR cve:2024-10)")
+    docs = search.documents(view(spark, sf, "reports"), search.fields(tree), view(spark, sf, "report_labels"), spark.createDataFrame([], "id long, value string, ioc_type string"))
+    return docs.where(search.compiled(tree)).select("id")
+
+
+@query("q10_text_only_relevance", with_views(f"SELECT id FROM reports WHERE (contains(lower(title), 'the') OR coalesce(contains(lower(description), 'the'), false)) AND (kind = 'exploit' OR NOT {hit(TEXT, rules.OFF_TOPIC)} OR {hit(TEXT, rules.STRONG_INTEL)})", "reports"))
+def q10(spark, sf):
+    return search.search("the", view(spark, sf, "reports").withColumns({"cve_id": F.lit(None).cast("string"), "target": F.lit(None).cast("string")})).select("id")
+
+
+@query("a8_n7_pairs_as_json", with_views("SELECT '{\"a\":' || CAST(a AS VARCHAR) || ',\"b\":' || CAST(b AS VARCHAR) || ',\"weight\":' || CAST(w AS VARCHAR) || '}' AS pair FROM (SELECT x.item_id AS a, y.item_id AS b, count(*) AS w FROM links x JOIN links y ON x.ioc_id = y.ioc_id AND x.item_id < y.item_id WHERE x.item_id % 50 = 0 AND y.item_id % 50 = 0 GROUP BY 1, 2)", "links"))
+def a8(spark, sf):
+    from tidewatch.operators import network
+
+    pairs = network.pairs(view(spark, sf, "links").where("item_id % 50 = 0"), cap=10**6)
+    return pairs.select(F.to_json(F.struct("a", "b", "weight")).alias("pair"))
+
+
+@query("i6_source_domains", with_views("SELECT ioc_id FROM iocs WHERE ioc_type = 'domain' AND regexp_matches(value, '(^|\\.)evil\\.example$')", "iocs"))
+def i6(spark, sf):
+    own = spark.range(1).select(indicators.host(F.lit("https://www.evil.example/blog")).alias("value"), F.lit("domain").alias("ioc_type"))
+    iocs = view(spark, sf, "iocs").where("ioc_type = 'domain'")
+    return iocs.join(indicators.not_allowed(iocs, own).select("ioc_id"), "ioc_id", "left_anti").select("ioc_id")
+
+
+@query("i8_allowlist_from_flags", with_views("SELECT ioc_id FROM iocs WHERE value NOT IN (SELECT value FROM iocs WHERE ioc_type = 'ip' AND ioc_id % 16 = 0)", "iocs"))
+def i8(spark, sf):
+    iocs = view(spark, sf, "iocs")
+    accepted = iocs.where("ioc_type = 'ip' and ioc_id % 16 = 0").select("value", "ioc_type").distinct()
+    return indicators.not_allowed(iocs, accepted).select("ioc_id")
+
+
+@query("i5_manual_attribution", with_views("SELECT id, CASE WHEN id % 2 = 0 THEN 'FANCY BEAR' ELSE 'UNID BEAR' END AS label FROM reports", "reports"))
+def i5(spark, sf):
+    typed = F.when(F.col("id") % 2 == 0, "apt28").otherwise("Bear")
+    named = attribution.match(typed, groups(spark, sf))
+    label = rules.adversary_label(F.coalesce(named["cs"], typed), F.lit("russia"), F.lit(""), F.lit("Russia"))
+    return view(spark, sf, "reports").select("id", label.alias("label"))

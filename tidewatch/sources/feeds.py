@@ -25,9 +25,9 @@ def rss(spark: SparkSession, path: str, source: str, tag: str = "item") -> DataF
     return rows.where("title <> '' and url <> ''")
 
 
-#: Item, link and description patterns of listing pages, by host.
+#: Item, link and description patterns of listing pages, by reader.
 READERS = {
-    "cert.europa.eu": (
+    "news_articles": (
         r'(?is)<article[^>]*class="[^"]*news--articles--item[^"]*".*?</article>',
         r'(?is)<h3[^>]*class="news--articles--item--title"[^>]*>.*?<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>',
         r'(?is)<p[^>]*class="news--articles--item--description"[^>]*>(.*?)</p>',
