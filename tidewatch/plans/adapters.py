@@ -27,8 +27,8 @@ def pick(key: str, values, default: str = "NULL") -> str:
 
 REPORTS = f"""
     SELECT doc_id AS id,
-        {pick('doc_id', PHRASES)} || ' ' || substr(coalesce(text, ''), 1, 30) AS title,
-        CASE WHEN doc_id % 9 = 0 THEN NULL ELSE substr(text, 1, 240) END AS description,
+        {pick('doc_id', PHRASES)} || ' no ' || CAST(doc_id % 40 AS STRING) AS title,
+        CASE WHEN doc_id % 9 = 0 THEN NULL ELSE text END AS description,
         'https://' || {pick('doc_id', ('www.alpha.example', 'news.beta.example', 'Gamma.example', 'blog.delta.example'))} || '/p/' || CAST(doc_id AS STRING) AS url,
         source AS source_name, 'h' || CAST(doc_id % 900 AS STRING) AS raw_hash,
         {pick('doc_id', ('research', 'breach', 'exploit', 'other', 'research', 'research'))} AS kind,

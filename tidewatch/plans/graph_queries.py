@@ -12,14 +12,6 @@ from tidewatch.sources import sinks
 CAP = 25
 USABLE = f"fan AS (SELECT ioc_id, count(*) AS n FROM links GROUP BY 1 HAVING count(*) >= 2), few AS (SELECT l.* FROM links l JOIN fan f ON l.ioc_id = f.ioc_id AND f.n <= {CAP})"
 PAIRS = f"{USABLE}, pairs AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS weight FROM few x JOIN few y ON x.ioc_id = y.ioc_id AND x.item_id < y.item_id GROUP BY 1, 2)"
-#: A graph small enough for the recursive oracle: links of a few orders.
-SMALL = "SELECT item_id, ioc_id FROM links WHERE item_id % 40 = 0"
-
-
-def small(spark, sf):
-    return view(spark, sf, "links").where("item_id % 40 = 0")
-
-
 def behind(sql: str, *names: str) -> str:
     return with_views(sql, *names).replace(") ,", "),")
 
@@ -50,27 +42,22 @@ def a9(spark, sf):
     return view(spark, sf, "links").groupBy("ioc_id").agg(F.count_distinct("item_id").alias("reports")).where("reports > 1")
 
 
-EDGES = "e AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS weight FROM s x JOIN s y ON x.ioc_id = y.ioc_id AND x.item_id < y.item_id GROUP BY 1, 2)"
-REACH = "recursive_reach AS (SELECT a AS node, a AS label FROM e UNION SELECT b, b FROM e UNION SELECT e.b, r.label FROM recursive_reach r JOIN e ON e.a = r.node UNION SELECT e.a, r.label FROM recursive_reach r JOIN e ON e.b = r.node)"
-
-
-def recursive(select: str, step: str = "") -> str:
-    from tidewatch.plans.adapters import LINKS
-
-    return f"WITH RECURSIVE links AS ({LINKS}), s AS ({SMALL}), {EDGES}, both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), {step} {select}"
+#: Rounds of minima over neighbours that the oracle unrolls; the network of a catalogue of parts is a few steps wide.
+ROUNDS = 8
+LABELS = "both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), l0 AS (SELECT DISTINCT a AS node, a AS c FROM both_ways), " + ", ".join(f"l{k} AS (SELECT w.a AS node, least(min(m.c), min(n.c)) AS c FROM both_ways w JOIN l{k - 1} m ON m.node = w.a JOIN l{k - 1} n ON n.node = w.b GROUP BY 1)" for k in range(1, ROUNDS + 1))
 
 
-@query("g2_components", recursive("SELECT node, min(label) AS component FROM r GROUP BY 1", "r AS (SELECT DISTINCT a AS node, a AS label FROM both_ways UNION SELECT w.b, r.label FROM r JOIN both_ways w ON w.a = r.node)"))
+@query("g2_components", behind(f", {PAIRS}, {LABELS} SELECT node, c AS component FROM l{ROUNDS}", "links"))
 def g2(spark, sf):
-    return network.components(network.pairs(small(spark, sf), cap=10**6))
+    return network.components(network.pairs(view(spark, sf, "links"), CAP))
 
 
-@query("g2_network_slice", recursive("SELECT CAST(min(node) AS VARCHAR) AS any_node, size, size AS reports, 0 AS actors FROM (SELECT component, min(CAST(node AS VARCHAR)) AS node, count(*) AS size FROM (SELECT node, min(label) AS component FROM r GROUP BY 1) GROUP BY 1) GROUP BY component, size", "r AS (SELECT DISTINCT a AS node, a AS label FROM both_ways UNION SELECT w.b, r.label FROM r JOIN both_ways w ON w.a = r.node)"))
+@query("g2_network_slice", behind(f", {PAIRS.replace('GROUP BY 1, 2)', 'GROUP BY 1, 2 HAVING count(*) >= 2)')}, {LABELS} SELECT min(CAST(node AS VARCHAR)) AS component, count(*) AS size, count(*) AS reports, 0 AS actors FROM l{ROUNDS} GROUP BY c", "links"))
 def g2s(spark, sf):
-    edges = network.pairs(small(spark, sf), cap=10**6)
-    kinds = edges.select(F.col("a").alias("id")).withColumn("kind", F.lit("research")).distinct()
-    ties = spark.createDataFrame([], "actor string, item string")
-    return network.network_slice(edges, kinds, ties, 1).select(F.col("component").alias("any_node"), "size", "reports", F.col("actors").cast("int").alias("actors"))
+    edges = network.pairs(view(spark, sf, "links"), CAP)
+    kinds = view(spark, sf, "links").select(F.col("item_id").alias("id")).distinct().withColumn("kind", F.lit("research"))
+    none = spark.createDataFrame([], "actor string, item string")
+    return network.network_slice(edges, kinds, none, 2).select("component", "size", "reports", F.col("actors").cast("int").alias("actors"))
 
 
 @query("g3_neighbours", with_views("SELECT a, b FROM (SELECT item_id AS a, ioc_id AS b, row_number() OVER (PARTITION BY item_id ORDER BY ioc_id) AS n FROM links WHERE item_id IN (1, 2, 33)) WHERE n <= 3", "links"))
@@ -87,10 +74,10 @@ def g5(spark, sf):
     return network.two_hops(edges, seed, per_node=10**6, second=10**6).where("depth > 0").groupBy("depth").agg(F.count("*").alias("n"))
 
 
-@query("g8_reach", recursive("SELECT node, min(d) AS depth FROM r GROUP BY 1", "r AS (SELECT min(a) AS node, 0 AS d FROM both_ways UNION SELECT w.b, r.d + 1 FROM r JOIN both_ways w ON w.a = r.node WHERE r.d < 2)"))
+@query("g8_reach", behind(f", {PAIRS}, both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), r0 AS (SELECT min(a) AS node FROM both_ways), r1 AS (SELECT DISTINCT b AS node FROM both_ways WHERE a IN (SELECT node FROM r0)), r2 AS (SELECT DISTINCT b AS node FROM both_ways WHERE a IN (SELECT node FROM r1)) SELECT node, min(d) AS depth FROM (SELECT node, 0 AS d FROM r0 UNION ALL SELECT node, 1 FROM r1 UNION ALL SELECT node, 2 FROM r2) GROUP BY 1", "links"))
 def g8(spark, sf):
-    edges = network.pairs(small(spark, sf), cap=10**6)
-    return network.reach(edges, edges.agg(F.min("a").alias("node")), 2)
+    edges = network.pairs(view(spark, sf, "links"), CAP)
+    return network.reach(edges, edges.agg(F.min("a").alias("node")), 2, most=10**9)
 
 
 NAME = "coalesce(crowdstrike_adversary, adversary_label)"
@@ -102,16 +89,16 @@ def a15(spark, sf):
     return network.degrees(view(spark, sf, "reports"), view(spark, sf, "links"), view(spark, sf, "iocs"))
 
 
-@query("a16_actor_ties", with_views(f"SELECT actor, id AS item FROM (SELECT *, count(*) OVER (PARTITION BY actor) AS n FROM (SELECT id, trim({NAME}) AS actor FROM reports WHERE id % 20 = 0 AND upper(trim({NAME})) NOT IN {GENERIC} AND NOT upper(trim({NAME})) LIKE 'UNID%')) WHERE n >= 2", "reports"))
+@query("a16_actor_ties", with_views(f"SELECT actor, id AS item FROM (SELECT *, count(*) OVER (PARTITION BY actor) AS n FROM (SELECT id, trim({NAME}) AS actor FROM reports WHERE upper(trim({NAME})) NOT IN {GENERIC} AND NOT upper(trim({NAME})) LIKE 'UNID%')) WHERE n >= 2", "reports"))
 def a16(spark, sf):
     r = view(spark, sf, "reports")
-    return network.ties(r, r.where("id % 20 = 0").select("id"))
+    return network.ties(r, r.select("id"))
 
 
-@query("j11_shared_indicators", with_views("SELECT DISTINCT ioc_type, value FROM iocs WHERE ioc_id IN (SELECT ioc_id FROM links WHERE item_id = 1) AND ioc_id IN (SELECT ioc_id FROM links WHERE item_id <= 3000 AND item_id % 5 = 0)", "links", "iocs"))
+@query("j11_shared_indicators", with_views("SELECT DISTINCT ioc_type, value FROM iocs WHERE ioc_id IN (SELECT ioc_id FROM links WHERE item_id = 1) AND ioc_id IN (SELECT ioc_id FROM links WHERE item_id <> 1)", "links", "iocs"))
 def j11(spark, sf):
     links = view(spark, sf, "links")
-    merged = links.withColumn("item_id", F.when((F.col("item_id") % 5 == 0) & (F.col("item_id") <= 3000), -1).otherwise(F.col("item_id"))).distinct()
+    merged = links.withColumn("item_id", F.when(F.col("item_id") != 1, -1).otherwise(1)).distinct()  # the first report against all others
     return network.shared(merged, view(spark, sf, "iocs"), F.lit(1), F.lit(-1)).distinct()
 
 

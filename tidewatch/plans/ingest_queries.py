@@ -103,10 +103,10 @@ def s22(spark, sf):
     return indicators.not_allowed(view(spark, sf, "iocs"), allow).select("ioc_id")
 
 
-@query("s23_sanitise", "SELECT doc_id FROM documents WHERE regexp_matches(substr(text, 1, 40), '[^\\x20-\\x7E]')")
+@query("s23_sanitise", "SELECT doc_id FROM documents WHERE regexp_matches(text, '[^\\x09\\x0A\\x0D\\x20-\\x7E]')")
 def s23(spark, sf):
-    d = run(spark, sf, "SELECT doc_id, substr(text, 1, 40) AS head FROM {documents}")
-    return d.where(F.trim("head") != text.to_ascii(F.col("head"))).where(F.col("head").rlike(r"[^\x20-\x7E]")).select("doc_id")
+    d = run(spark, sf, "SELECT doc_id, text FROM {documents}")
+    return d.where(F.col("text").rlike(r"[^\x09\x0A\x0D\x20-\x7E]") & (F.col("text") != text.to_ascii(F.col("text")))).select("doc_id")
 
 
 @query("s24_marks", with_views("SELECT id, user_id FROM (SELECT id, 1 AS user_id FROM reports WHERE id % 3 = 0 UNION SELECT id, 1 FROM reports WHERE id % 5 = 0)", "reports"))
@@ -328,9 +328,9 @@ def x17(spark, sf):
     return view(spark, sf, "reports").select("country", rules.nexus_of_country(F.col("country")).alias("nexus")).distinct()
 
 
-@query("w6_capped_expansion", with_views("SELECT item_id, count(*) AS n FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY ioc_id) AS k FROM links WHERE item_id % 50 = 0) WHERE k <= 2 GROUP BY 1", "links"))
+@query("w6_capped_expansion", with_views("SELECT item_id, count(*) AS n FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY ioc_id) AS k FROM links) WHERE k <= 2 GROUP BY 1", "links"))
 def w6(spark, sf):
-    return views.top_per(view(spark, sf, "links").where("item_id % 50 = 0"), "item_id", 2, F.col("ioc_id")).groupBy("item_id").agg(F.count("*").alias("n"))
+    return views.top_per(view(spark, sf, "links"), "item_id", 2, F.col("ioc_id")).groupBy("item_id").agg(F.count("*").alias("n"))
 
 
 @query("g4_items_of_entity", with_views("SELECT id FROM reports WHERE (crowdstrike_adversary = 'LockBit' OR adversary_label = 'LockBit') AND raw_hash NOT IN (SELECT raw_hash FROM hidden) ORDER BY published_at DESC NULLS LAST, id LIMIT 40", "reports", "hidden"))
@@ -415,12 +415,11 @@ def q10(spark, sf):
     return search.search("the", view(spark, sf, "reports").withColumns({"cve_id": F.lit(None).cast("string"), "target": F.lit(None).cast("string")})).select("id")
 
 
-@query("a8_n7_pairs_as_json", with_views("SELECT '{\"a\":' || CAST(a AS VARCHAR) || ',\"b\":' || CAST(b AS VARCHAR) || ',\"weight\":' || CAST(w AS VARCHAR) || '}' AS pair FROM (SELECT x.item_id AS a, y.item_id AS b, count(*) AS w FROM links x JOIN links y ON x.ioc_id = y.ioc_id AND x.item_id < y.item_id WHERE x.item_id % 50 = 0 AND y.item_id % 50 = 0 GROUP BY 1, 2)", "links"))
+@query("a8_n7_pairs_as_json", with_views("SELECT '{\"a\":' || CAST(a AS VARCHAR) || ',\"b\":' || CAST(b AS VARCHAR) || ',\"weight\":' || CAST(w AS VARCHAR) || '}' AS pair FROM (SELECT x.item_id AS a, y.item_id AS b, count(*) AS w FROM links x JOIN links y ON x.ioc_id = y.ioc_id AND x.item_id < y.item_id WHERE x.ioc_id IN (SELECT ioc_id FROM links GROUP BY 1 HAVING count(*) BETWEEN 2 AND 25) GROUP BY 1, 2)", "links"))
 def a8(spark, sf):
     from tidewatch.operators import network
 
-    pairs = network.pairs(view(spark, sf, "links").where("item_id % 50 = 0"), cap=10**6)
-    return pairs.select(F.to_json(F.struct("a", "b", "weight")).alias("pair"))
+    return network.pairs(view(spark, sf, "links"), 25).select(F.to_json(F.struct("a", "b", "weight")).alias("pair"))
 
 
 @query("i6_source_domains", with_views("SELECT ioc_id FROM iocs WHERE ioc_type = 'domain' AND regexp_matches(value, '(^|\\.)evil\\.example$')", "iocs"))

@@ -334,12 +334,12 @@ def s4(spark, sf):
     return views.top_per(view(spark, sf, "reports"), "source_name", 40, *views.newest()).select("id", "place")
 
 
-@query("x1_u6_dedup", with_views("""SELECT id, h AS raw_hash FROM (SELECT id, h, row_number() OVER (PARTITION BY h ORDER BY id) AS n FROM (SELECT id, sha256(lower(trim(regexp_replace(substr(title, 1, 34), '\\s+', ' ', 'g'))) || '|' || CAST(id % 70 AS VARCHAR)) AS h FROM reports))
-    WHERE n = 1 AND h NOT IN (SELECT sha256(lower(trim(regexp_replace(substr(title, 1, 34), '\\s+', ' ', 'g'))) || '|' || CAST(id % 70 AS VARCHAR)) FROM reports WHERE id % 10 = 3)""", "reports"))
+@query("x1_u6_dedup", with_views("""SELECT id, h AS raw_hash FROM (SELECT id, h, row_number() OVER (PARTITION BY h ORDER BY id) AS n FROM (SELECT id, sha256(lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) || '|' || CAST(id % 70 AS VARCHAR)) AS h FROM reports))
+    WHERE n = 1 AND h NOT IN (SELECT sha256(lower(trim(regexp_replace(title, '\\s+', ' ', 'g'))) || '|' || CAST(id % 70 AS VARCHAR)) FROM reports WHERE id % 10 = 3)""", "reports"))
 def x1(spark, sf):
     from tidewatch.functions.text import item_hash
 
-    r = view(spark, sf, "reports").withColumns({"raw_hash": item_hash(F.substring("title", 1, 34), (F.col("id") % 70).cast("string")), "ord": F.col("id")})
+    r = view(spark, sf, "reports").withColumns({"raw_hash": item_hash(F.col("title"), (F.col("id") % 70).cast("string")), "ord": F.col("id")})
     known = r.where("id % 10 = 3").select("raw_hash")
     return sinks.dedup(r, known, known.limit(0)).select("id", "raw_hash")
 

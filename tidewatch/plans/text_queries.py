@@ -58,9 +58,9 @@ def x22(spark, sf):
     return run(spark, sf, "SELECT doc_id, text FROM {documents}").select("doc_id", F.regexp_count("text", F.lit(indicators.find_pattern("the"))).alias("n"))
 
 
-@query("x27_labels", with_views("SELECT id, 'Malware/' || array_to_string(list_transform(list_filter(regexp_split_to_array(substr(title, 1, 30), '[^a-zA-Z0-9]+'), lambda p: p <> ''), lambda p: upper(substr(p, 1, 1)) || substr(p, 2)), '') AS label FROM reports", "reports"))
+@query("x27_labels", with_views("SELECT id, 'Malware/' || substr(array_to_string(list_transform(list_filter(regexp_split_to_array(title, '[^a-zA-Z0-9]+'), lambda p: p <> ''), lambda p: upper(substr(p, 1, 1)) || substr(p, 2)), ''), 1, 48) AS label FROM reports", "reports"))
 def x27(spark, sf):
-    return view(spark, sf, "reports").select("id", text.label("malware", F.substring("title", 1, 30)).alias("label"))
+    return view(spark, sf, "reports").select("id", text.label("malware", F.col("title")).alias("label"))
 
 
 @query("x28_label_edit", with_views("SELECT id, array_to_string([source_name, kind], '|') AS names FROM reports", "reports"))
