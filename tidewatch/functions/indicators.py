@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.patterns import java
+from tidewatch.functions.patterns import java, let
 
 # File extensions that mark a filename.
 FILE_EXTENSIONS = (
@@ -110,24 +110,29 @@ def excluded(domain: Column, more: Column | None = None) -> Column:
 
 
 def domains(text: Column, ips: Column, more: Column | None = None) -> Column:
-    names = F.transform(found(text, rf"(?i)\b{DOMAIN}\b"), lambda d: F.regexp_replace(F.lower(d), "^2f", ""))
+    # the look ahead passes over words without a dot behind them, which the pattern itself would try at every length
+    names = F.transform(found(text, rf"(?i)\b(?=[a-z0-9-]{{1,63}}+\.){DOMAIN}\b"), lambda d: F.regexp_replace(F.lower(d), "^2f", ""))
     return F.filter(F.array_distinct(names), lambda d: ~F.array_contains(ips, d) & ~filename_or_code(d) & ~excluded(d, more))
 
 
 def indicators(text: Column, exclude_domains: Column | None = None, exclude_ips: Column | None = None) -> Column:
     """A struct of arrays ips, domains, files, cves and mitre, each in order of appearance."""
-    t = refang(F.coalesce(text, F.lit("")))
-    ips = F.filter(addresses(t), lambda v: ~non_routable(v))
-    if exclude_ips is not None:
-        ips = F.array_except(ips, exclude_ips)
     upper = lambda a: F.array_distinct(F.transform(a, F.upper))
-    return F.struct(
-        ips.alias("ips"),
-        domains(t, ips, exclude_domains).alias("domains"),
-        F.array_distinct(F.transform(found(t, rf"(?i)\b{HASH}\b"), F.lower)).alias("files"),
-        upper(found(t, rf"(?i)\b{CVE}\b")).alias("cves"),
-        upper(found(t, rf"\b{TECHNIQUE}\b")).alias("mitre"),
-    )
+
+    def routable(t: Column) -> Column:
+        ips = F.filter(addresses(t), lambda v: ~non_routable(v))
+        return ips if exclude_ips is None else F.array_except(ips, exclude_ips)
+
+    def every(t: Column, ips: Column) -> Column:
+        return F.struct(
+            ips.alias("ips"),
+            domains(t, ips, exclude_domains).alias("domains"),
+            F.array_distinct(F.transform(found(t, rf"(?i)\b{HASH}\b"), F.lower)).alias("files"),
+            upper(found(t, rf"(?i)\b{CVE}\b")).alias("cves"),
+            upper(found(t, rf"\b{TECHNIQUE}\b")).alias("mitre"),
+        )
+
+    return let(refang(F.coalesce(text, F.lit(""))), lambda t: let(routable(t), lambda ips: every(t, ips)))
 
 
 def valid(value: Column, kind: Column) -> Column:
@@ -164,11 +169,16 @@ def not_allowed(iocs: DataFrame, allow: DataFrame) -> DataFrame:
 
 def reconcile(claimed: Column, extracted: Column, text: Column) -> Column:
     """Claimed (kind, value) pairs that are valid and stand in the text, with the extracted ones; of equal pairs the later stays."""
-    plain = F.lower(refang(text))
-    kept = F.filter(claimed, lambda c: valid(c["value"], c["kind"]) & plain.contains(F.lower(F.trim(c["value"]))))
-    both = F.concat(F.transform(kept, lambda c: F.struct(c["kind"].alias("kind"), stored(c["value"], c["kind"]).alias("value"))), extracted)
-    keys = F.transform(both, lambda c: F.concat_ws("|", c["kind"], F.lower(c["value"])))
-    return F.filter(both, lambda c, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), F.concat_ws("|", c["kind"], F.lower(c["value"]))))
+    key = lambda c: F.concat_ws("|", c["kind"], F.lower(c["value"]))
+
+    def standing(plain: Column) -> Column:
+        kept = F.filter(claimed, lambda c: valid(c["value"], c["kind"]) & plain.contains(F.lower(F.trim(c["value"]))))
+        return F.concat(F.transform(kept, lambda c: F.struct(c["kind"].alias("kind"), stored(c["value"], c["kind"]).alias("value"))), extracted)
+
+    def last_of_each(both: Column) -> Column:
+        return let(F.transform(both, key), lambda keys: F.filter(both, lambda c, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), key(c))))
+
+    return let(let(F.lower(refang(text)), standing), last_of_each)
 
 
 #: Literal characters that a search finds in every obfuscated form.

@@ -9,15 +9,15 @@ from tidewatch.functions.patterns import has, java
 
 # Patterns of the classifier, case ignored.
 OFF_TOPIC = (
-    r"\block and code\b|\bs[0-9]{1,2}e[0-9]{1,2}\b|\ba week in security\b|\bthis week in\b|\bweekly (recap|roundup|digest)\b|\bpodcast\b|\bpwn2own\b|\bblack hat\b|\bdef con\b|"
-    r"\brsa conference\b|\bpreview:|\bwebinar\b|\buse cases (for|of)\b|\bjoins (the|forces)\b|\balliance to\b|\bplatform helps\b|\bhelps meet\b|\bhelps (organi[sz]ations|customers|you)\b|"
-    r"\bgeneral availability\b|\bmagic quadrant\b|\bgartner\b|\bforrester\b|\bnamed a leader\b|\bstrengthen(s|ing)? (cyber )?resilience\b|\bcustomer story\b|\bcase study\b|"
-    r"\bregister (now|today)\b|\bwhitepaper series\b|\bacquisition\b|\bacquires\b|\bmerger\b|\bfunding round\b|\braises \$|\bseries [a-e] funding\b|\bearnings\b|\blegal scrutiny\b|"
-    r"\bdon'?t get fooled\b|\bdon'?t trust\b"
+    r"\b(?:lock and code\b|s[0-9]{1,2}e[0-9]{1,2}\b|a week in security\b|this week in\b|weekly (recap|roundup|digest)\b|podcast\b|pwn2own\b|black hat\b|def con\b|"
+    r"rsa conference\b|preview:|webinar\b|use cases (for|of)\b|joins (the|forces)\b|alliance to\b|platform helps\b|helps meet\b|helps (organi[sz]ations|customers|you)\b|"
+    r"general availability\b|magic quadrant\b|gartner\b|forrester\b|named a leader\b|strengthen(s|ing)? (cyber )?resilience\b|customer story\b|case study\b|"
+    r"register (now|today)\b|whitepaper series\b|acquisition\b|acquires\b|merger\b|funding round\b|raises \$|series [a-e] funding\b|earnings\b|legal scrutiny\b|"
+    r"don'?t get fooled\b|don'?t trust\b)"
 )
 STRONG_INTEL = (
-    r"\bmalware\b|\bransomware\b|\bexploit(ed|ation|s)?\b|\bvulnerabilit|\bcve-[0-9]|\bzero.?day\b|\bbackdoor\b|\bc2\b|\bcommand.and.control\b|\bbotnet\b|\bphishing\b|\bthreat actor\b|"
-    r"\bapt[0-9]|\bespionage\b|\bstealer\b|\btrojan\b|\brootkit\b|\bspyware\b|\bimplant\b|\bexfiltrat|\bdata (leak|breach)\b|\bthreat landscape\b"
+    r"\b(?:malware\b|ransomware\b|exploit(ed|ation|s)?\b|vulnerabilit|cve-[0-9]|zero.?day\b|backdoor\b|c2\b|command.and.control\b|botnet\b|phishing\b|threat actor\b|"
+    r"apt[0-9]|espionage\b|stealer\b|trojan\b|rootkit\b|spyware\b|implant\b|exfiltrat|data (leak|breach)\b|threat landscape\b)"
 )
 MARKETING = (
     r"\b(webinar|introducing|announc|acquir|acquisition|partner(ship)?|pricing|gartner|magic quadrant|now available|product update|forrester|sponsor|join us|register (now|today)|"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewatch.functions.patterns import squeezed
+from tidewatch.functions.patterns import let, squeezed
 
 # Named entities and punctuation with their ASCII forms.
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "hellip": "...", "mdash": "--", "ndash": "-", "ldquo": '"', "rdquo": '"', "lsquo": "'", "rsquo": "'", "laquo": '"', "raquo": '"', "bull": "-", "middot": "-", "copy": "(c)", "reg": "(R)", "trade": "(TM)", "deg": " deg", "euro": "EUR", "pound": "GBP", "cent": "c", "times": "x"}
@@ -102,22 +102,24 @@ def label(category: str, raw: Column) -> Column:
     return F.when(value != "", F.concat(F.lit(CATEGORIES[category] + "/"), value))
 
 
+def _first_spellings(names: Column) -> Column:
+    """Each name once, case ignored."""
+    return let(F.transform(names, F.lower), lambda keys: F.filter(names, lambda n, i: F.array_position(keys, F.lower(n)) == i + 1))
+
+
 def labels(by_category: dict[str, Column], most: int = 8) -> Column:
     """Labels of arrays of raw values by category, in the order of categories, each once (case ignored), `most` at most."""
     def of(category: str) -> Column:
         return F.transform(F.coalesce(by_category[category], F.array().cast("array<string>")), lambda r: label(category, r))
 
     every = F.concat(*(of(k) for k in CATEGORIES if k in by_category))
-    every = F.filter(every, lambda v: v.isNotNull())
-    keys = F.transform(every, F.lower)
-    return F.slice(F.filter(every, lambda v, i: F.array_position(keys, F.lower(v)) == i + 1), 1, most)
+    return F.slice(let(F.filter(every, lambda v: v.isNotNull()), _first_spellings), 1, most)
 
 
 def label_edit(csv: Column) -> Column:
     """Names typed with commas: trimmed, squeezed, the first spelling of each."""
     names = F.filter(F.transform(F.split(csv, ","), squeezed), lambda n: n != "")
-    keys = F.transform(names, F.lower)
-    return F.filter(names, lambda n, i: F.array_position(keys, F.lower(n)) == i + 1)
+    return let(names, _first_spellings)
 
 
 def jitter(text: Column) -> Column:

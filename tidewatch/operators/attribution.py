@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import rules
-from tidewatch.functions.patterns import has
+from tidewatch.functions.patterns import has, let
 
 NONE = "Non Attributed"
 #: Catalogues are operator-kept lists; beyond this many aliases matching goes by join instead of by a literal array.
@@ -46,8 +46,7 @@ def named_in(text: Column, alias: Column) -> Column:
 
 def match(text: Column, groups: Column) -> Column:
     """The first group whose alias stands in text, null if none; no rows are multiplied."""
-    t = F.lower(text)
-    return F.get(F.filter(groups, lambda g: named_in(t, g["alias"])), F.lit(0))
+    return let(F.lower(text), lambda t: F.get(F.filter(groups, lambda g: named_in(t, g["alias"])), F.lit(0)))
 
 
 def match_report(title: Column, description: Column, groups: Column, body: Column | None = None) -> Column:
