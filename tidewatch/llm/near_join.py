@@ -69,8 +69,8 @@ def sketch(shingle: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def meeting_chance(similarity: float, splits: int) -> float:
-    """That two sets of this similarity share a bucket after so many splits; children that both reach are Poisson with mean 1."""
+def meeting_chance(splits: int) -> float:
+    """That two sets at the threshold share a bucket after so many splits; children that both reach are Poisson with mean 1."""
     p = 1.0
     for _ in range(splits):
         p = 1 - np.exp(-p)
@@ -78,7 +78,7 @@ def meeting_chance(similarity: float, splits: int) -> float:
 
 
 def runs_needed(recall: float, splits: int = 4) -> int:
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - meeting_chance(SIMILARITY, splits))))
+    return int(np.ceil(np.log(1 - recall) / np.log(1 - meeting_chance(splits))))
 
 
 def children(paths: np.ndarray, sketches: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:

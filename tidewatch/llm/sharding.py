@@ -73,9 +73,8 @@ def assign(docs: DataFrame, shards: int = 40, vnodes: int = 64, key: str = "doc_
     ring = Ring(shards, vnodes)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")) if "text" in docs.columns else F.lit("")
     at = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, RING_DIGITS), 16, 10).cast("long")
-    # the arc of a position: places at or after it, found by bisection in the ordered places
+    # the arc of a position is the number of places before it: those before its cell of a uniform grid, which is known, and in its cell
     places = F.array(*map(F.lit, ring.places))
-    # array_insert-free bisection: a uniform grid first, then the few places of its cell
     cells = len(ring.places)
     width = (1 << (4 * RING_DIGITS)) // cells + 1
     first = F.array(*(F.lit(bisect.bisect_left(ring.places, c * width)) for c in range(cells + 1)))
