@@ -58,7 +58,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def network_slice(edges: DataFrame, kinds: DataFrame, ties: DataFrame, threshold: int) -> DataFrame:
-    """component, size, reports, actors and place at a weight threshold.
+    """component, size, reports and actors at a weight threshold, largest first, then by name.
 
     edges (a, b, weight) between reports; ties (actor, item) hold only where the report has an edge left and join components.
     Components whose reports are all advisories (kind exploit) go. kinds: id, kind.
@@ -70,7 +70,7 @@ def network_slice(edges: DataFrame, kinds: DataFrame, ties: DataFrame, threshold
     found = components(all_edges).join(kinds.select(F.col("id").cast("string").alias("node"), "kind"), "node", "left")
     actor = F.col("node").startswith("adv:")
     g = found.groupBy("component").agg(F.count("*").alias("size"), F.count_if(~actor).alias("reports"), F.count_if(actor).alias("actors"), F.bool_or(~actor & F.coalesce(F.col("kind") != "exploit", F.lit(True))).alias("real"))
-    return g.where("real").drop("real").withColumn("place", F.row_number().over(Window.orderBy(F.col("size").desc(), "component")))
+    return g.where("real").drop("real").orderBy(F.col("size").desc(), "component")
 
 
 def shared(links: DataFrame, iocs: DataFrame, a, b, most: int = 200) -> DataFrame:
