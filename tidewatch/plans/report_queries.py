@@ -205,7 +205,7 @@ def x34(spark, sf):
     return view(spark, sf, "reports").select("id", rules.model_tier(F.col("title"), attribution.match(F.col("title"), groups(spark, sf)).isNotNull()).alias("tier"))
 
 
-@query("a2_country_cards", with_views("SELECT label, total, row_number() OVER (ORDER BY CASE WHEN label = 'Non Attributed' THEN 1 ELSE 0 END, total DESC, label) AS place FROM (SELECT coalesce(country, 'Non Attributed') AS label, count(*) AS total FROM reports WHERE motivation = 'nation_state' GROUP BY 1)", "reports"))
+@query("a2_country_cards", with_views("SELECT label, total, CAST(row_number() OVER (ORDER BY CASE WHEN label = 'Non Attributed' THEN 1 ELSE 0 END, total DESC, label) AS INT) AS place FROM (SELECT coalesce(country, 'Non Attributed') AS label, count(*) AS total FROM reports WHERE motivation = 'nation_state' GROUP BY 1)", "reports"))
 def a2(spark, sf):
     return attribution.cards(view(spark, sf, "reports").where("motivation = 'nation_state'"), "country")
 
@@ -244,7 +244,7 @@ def f8(spark, sf):
 
 
 @query("a4_lanes", matched(", " + EVENTS + """, ln AS (SELECT actor, count(*) AS n, arg_min(category, id) AS category FROM ev WHERE category IS NOT NULL GROUP BY actor),
-    o AS (SELECT *, row_number() OVER (ORDER BY list_position(['nation_state', 'ecrime', 'hacktivism', 'breach', 'exploit'], category), CASE WHEN regexp_matches(actor, '(?i)^unid\\b') THEN 1 ELSE 0 END, n DESC, actor) AS place, NOT regexp_matches(actor, '(?i)^unid\\b') AND category NOT IN ('exploit', 'breach') AS nm FROM ln)
+    o AS (SELECT *, CAST(row_number() OVER (ORDER BY list_position(['nation_state', 'ecrime', 'hacktivism', 'breach', 'exploit'], category), CASE WHEN regexp_matches(actor, '(?i)^unid\\b') THEN 1 ELSE 0 END, n DESC, actor) AS INT) AS place, NOT regexp_matches(actor, '(?i)^unid\\b') AND category NOT IN ('exploit', 'breach') AS nm FROM ln)
     SELECT actor, n, category, place, CAST(CASE WHEN nm THEN (sum(CASE WHEN nm THEN 1 ELSE 0 END) OVER (ORDER BY place) - 1) % 12 END AS INT) AS hue FROM o""").replace(") , e AS", "), e AS"))
 def a4(spark, sf):
     return attribution.lanes(timeline(spark, sf))
