@@ -150,12 +150,12 @@ def beginnings(words: set[str]) -> set[str]:
     return {f"{w} " for w in words if len(w) > 2} | {w[:n] for w in words for n in range(4, min(8, len(w)) + 1)}
 
 
-def unlike(rows: list[set[str]]) -> list[set[str]]:
-    """rows without near copies of earlier ones, judged by eight minima of hashes, so that one copied text proves nothing."""
+def unlike(rows: list[str]) -> list[str]:
+    """rows (words with spaces between) without near copies of earlier ones, judged by eight minima of hashes, so that one copied text proves nothing."""
     seen: dict[tuple[int, int], list[int]] = {}
     kept = []
     for words in rows:
-        hashes = np.array([crc32(w.encode()) for w in words] or [0], dtype=np.uint64)
+        hashes = np.array([crc32(w.encode()) for w in words.split()] or [0], dtype=np.uint64)
         marks = [(i, int((hashes * np.uint64(2 * i + 0x9E3779B1) % np.uint64(0xFFFFFFFB)).min())) for i in range(8)]
         if max(Counter(k for m in marks for k in seen.get(m, ())).values(), default=0) < 4:
             for m in marks:
@@ -164,25 +164,31 @@ def unlike(rows: list[set[str]]) -> list[set[str]]:
     return kept
 
 
-def lexicon(toxic: list[set[str]], other: list[set[str]]) -> dict[str, float]:
+def lexicon(toxic: list[str], other: list[str]) -> dict[str, float]:
     """Weights of whole words (with a space behind) and beginnings that mark toxic documents.
 
     One is taken if it is four times as frequent there and so lopsided that among all of them 0.05 would be by chance (Chernoff's
-    bound for a binomial); its weight is the logarithm of the ratio.
+    bound for a binomial); its weight is the logarithm of the ratio. Documents come as their words with spaces between. A first
+    pass counts all in hashed slots, so that the second holds only those that enough toxic documents have.
     """
     toxic, other = unlike(toxic), unlike(other)
-    a, b = (Counter(s for words in rows for s in beginnings(words)) for rows in (toxic, other))
     if not toxic or not other:
         return {}
+    slots = np.zeros(1 << 22, dtype=np.int32)
+    for rows in (toxic, other):
+        for words in rows:
+            slots[np.unique(np.array([crc32(s.encode()) for s in beginnings(set(words.split()))] or [0], dtype=np.int64) % len(slots))] += 1
     p = len(toxic) / (len(toxic) + len(other))
-    tried = {s: n for s, n in a.items() if n + b[s] >= 4}
+    needed = math.log(max(1, int((slots >= 4).sum())) / 0.05)
+    least = needed / -math.log(p)
+    a, b = (Counter(s for words in rows for s in beginnings(set(words.split())) if slots[crc32(s.encode()) % len(slots)] >= least) for rows in (toxic, other))
     found = {}
-    for s, n in tried.items():
+    for s, n in a.items():
         both = n + b[s]
         q = n / both
         ratio = (n + 0.5) / (len(toxic) + 1) / ((b[s] + 0.5) / (len(other) + 1))
         bound = both * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0))
-        if ratio >= 4 and bound >= math.log(len(tried) / 0.05):
+        if ratio >= 4 and bound >= needed:
             found[s] = math.log(ratio)
     return found
 
@@ -216,9 +222,9 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     ids = docs.sparkSession.createDataFrame([(i,) for i in of], "label_id long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"), "left_semi")
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}]+"), 0))
-    sets: dict[int, list[set[str]]] = {0: [], 1: []}
-    for r in rows.select("doc_id", words.alias("words")).toLocalIterator():
-        sets[of[r.doc_id]].append(set(r.words))
+    sets: dict[int, list[str]] = {0: [], 1: []}
+    for r in rows.select("doc_id", F.array_join(words, " ").alias("words")).toLocalIterator():
+        sets[of[r.doc_id]].append(r.words)
     weights = {f"{w} ": SEED_WEIGHT for w in INSULTS} | lexicon(sets[1], sets[0])
     name = uuid.uuid4().hex
 
