@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.llm import decontamination, exact_dedup, lm_scoring, mixing, near_join, quality, sharding, stages, substring_dedup, toxicity, url_filter
-from tidewatch.llm.shared import WordHash, table
+from tidewatch.llm.shared import Scratch, WordHash, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, block string, score string, slot string"
 WORDS = [f"w{i}" for i in range(300)]
@@ -155,6 +155,38 @@ def test_near_join(docs, empty, monkeypatch):
     assert near_join.classes(empty).count() == 0
 
 
+def test_recall_of_lone_pairs_in_large_buckets(spark, monkeypatch):
+    """Pairs at the threshold that nothing else connects, with every bucket split to the last."""
+    monkeypatch.setattr(near_join, "LEAF", 1)
+    n, r = 2000, np.random.default_rng(5)
+    one = r.integers(0, 1 << 32, (n, near_join.T), dtype=np.uint32)
+    two = np.where(r.random(one.shape) < 0.8, one, r.integers(0, 1 << 32, one.shape, dtype=np.uint32))
+    rows = [(bytearray(f"{i}{side}".encode()), bytearray(s.tobytes())) for side, of in (("a", one), ("b", two)) for i, s in enumerate(of)]
+    nodes = spark.createDataFrame(rows, "sid binary, sketch binary").repartition(4).cache()
+    edges = near_join.candidates(nodes, Scratch(spark, "recall"), 0.8, 0.995).collect()
+    met = {bytes(e.a)[:-1] for e in edges if bytes(e.a)[:-1] == bytes(e.b)[:-1]}
+    assert len(met) >= (0.995 - 3 * (0.005 * 0.995 / n) ** 0.5) * n
+
+
+def test_runs_reach_the_recall():
+    """The stated chance against one counted with the code's own paths."""
+    r, n = np.random.default_rng(6), 4000
+    runs = near_join.runs_needed(0.995)
+    assert near_join.recall_of(runs, 0.8, near_join.DEPTH) >= 0.995 > near_join.recall_of(runs - 1, 0.8, near_join.DEPTH)
+    one = r.integers(0, 1 << 32, (n, near_join.T), dtype=np.uint32)
+    two = np.where(r.random(one.shape) < 0.8, one, r.integers(0, 1 << 32, one.shape, dtype=np.uint32))
+    for few in (6, runs):
+        (row, a), (_, b) = near_join.first_children(one, few), near_join.first_children(two, few)
+        assert len(row) == few * n  # no run is idle
+        row, paths = row[a == b], a[a == b]
+        for _ in range(near_join.DEPTH - 1):
+            both = [set(zip(row[k].tolist(), p.tolist(), strict=True)) for k, p in (near_join.children(paths, s[row], 0.8) for s in (one, two))]
+            kept = sorted(both[0] & both[1])
+            row, paths = np.array([k for k, _ in kept]), np.array([p for _, p in kept], dtype=np.uint64)
+        want = near_join.recall_of(few, 0.8, near_join.DEPTH)
+        assert abs(len(set(row.tolist())) / n - want) < 4 * (want * (1 - want) / n) ** 0.5
+
+
 def test_one_of_each(docs):
     rows = make()
     sets, links = brute_links(rows)

@@ -5,14 +5,16 @@ without such words uses its runs of other characters). Two texts are linked if t
 `similarity`. Texts with equal sets are copies: they form one node with a number of rows, and everything below works on nodes.
 
 1. Each set is sketched by T minima of hashes.
-2. Chosen paths: in each of R runs, the node set is split recursively. A bucket picks each sketch coordinate with probability
+2. Chosen paths: in each of R runs, the node set is split recursively, first by one coordinate: run r takes coordinate r mod T, so no
+   run is idle and no coordinate is taken twice before all are. Each further bucket picks each sketch coordinate with probability
    1 / (similarity * T), decided by a hash of its path, and sends a set to a child for each coordinate picked and its value there.
    Two sets over the threshold are expected to meet in at least one child each time, dissimilar ones seldom; so buckets shrink by the
    dissimilarity of their members, also where very many texts share a passage. Buckets of one set end; buckets up to LEAF sets are
    compared by brute force on their sketches. A bucket that is still larger after DEPTH splits holds sets that share all coordinates of
    its path: all its sets become candidates of one another, none is dropped.
-3. Runs are repeated until the target recall: R is the least number for which 1 - (1 - p) ** R reaches it, p being the chance
-   that a pair at the threshold meets in one run (a branching process).
+3. Runs are repeated until the target recall: R is the least number for which a pair at the threshold that stays in large buckets
+   through all DEPTH splits meets so often, counted over all ways in which its T coordinates may agree (runs share coordinates, so
+   they are not independent).
 4. Candidates are handed on as stars, never as pairs, and joined to candidate components (label propagation, checkpointed). Every
    component is then verified exactly, all its sets against each other, so a pair that no run brought together is found as well if it
    is connected through others. Components over GROUP sets are dealt into blocks of sets and verified by pairs of blocks, so that no
@@ -26,6 +28,7 @@ class_id is their own doc_id). Repeated rows are copies. A null doc_id may be in
 from __future__ import annotations
 
 import hashlib
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -69,16 +72,40 @@ def sketch(shingle: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def meeting_chance(splits: int) -> float:
-    """That two sets at the threshold share a bucket after so many splits; children that both reach are Poisson with mean 1."""
+def meeting_chance(agree: int, splits: int, similarity: float) -> float:
+    """That two sets that agree in so many coordinates share a bucket after so many splits by hashed picks."""
     p = 1.0
     for _ in range(splits):
-        p = 1 - np.exp(-p)
-    return float(p)
+        p = 1 - (1 - p / (similarity * T)) ** agree
+    return p
 
 
-def runs_needed(recall: float, splits: int = 4) -> int:
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - meeting_chance(splits))))
+def recall_of(runs: int, similarity: float, splits: int) -> float:
+    """That a pair at the threshold shares a bucket of some run after all splits and agrees enough for leaf_stars."""
+    times, more = divmod(runs, T)  # the first `more` coordinates begin one run more than the others
+    found = 0.0
+    for i in range(more + 1):
+        for j in range(T - more + 1):
+            chance = comb(more, i) * comb(T - more, j) * similarity ** (i + j) * (1 - similarity) ** (T - i - j)
+            if i + j >= least_agreement(similarity) * T:
+                found += chance * (1 - (1 - meeting_chance(i + j, splits - 1, similarity)) ** (times * (i + j) + i))
+    return found
+
+
+def least_agreement(similarity: float) -> float:
+    """The share of coordinates in which candidates agree."""
+    return similarity - SLACK * (similarity * (1 - similarity) / T) ** 0.5
+
+
+def runs_needed(recall: float, similarity: float = SIMILARITY, splits: int = DEPTH) -> int:
+    return next(runs for runs in range(1, 64 * T) if recall_of(runs, similarity, splits) >= recall)
+
+
+def first_children(sketches: np.ndarray, runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child path) of the first split: run r takes coordinate r mod T."""
+    run = np.arange(runs)
+    path = mixed(mixed(run.astype(np.uint64) + np.uint64(1))[None, :] * np.uint64(0x9E3779B97F4A7C15) + sketches[:, run % T].astype(np.uint64))
+    return np.repeat(np.arange(len(sketches)), runs), path.ravel()
 
 
 def children(paths: np.ndarray, sketches: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -228,9 +255,15 @@ def sketched(batches):
 
 def candidates(nodes: DataFrame, scratch: Scratch, similarity: float, recall: float) -> DataFrame:
     """Edges (a, b) of stars over the sids of nodes (sid, sketch): steps 2 and 3."""
-    runs = runs_needed(recall)
-    least = similarity - SLACK * (similarity * (1 - similarity) / T) ** 0.5
-    first = mixed(np.arange(1, runs + 1, dtype=np.uint64)).view(np.int64).tolist()
+    runs = runs_needed(recall, similarity, DEPTH)
+    least = least_agreement(similarity)
+
+    def begin(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                row, child = first_children(np.frombuffer(b"".join(part.column("sketch").to_pylist()), dtype=np.uint32).reshape(-1, T), runs)
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), part.column("sid").take(pa.array(row))], names=["path", "sid"])
 
     def split(batches):
         """Children of each set's paths; the sketch comes once for all of them."""
@@ -246,9 +279,9 @@ def candidates(nodes: DataFrame, scratch: Scratch, similarity: float, recall: fl
                     yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), part.column("sid").take(pa.array(owner[i : i + 2048][row]))], names=["path", "sid"])
 
     stars = []
-    state = nodes.select("sid", "sketch", F.array(*map(F.lit, first)).alias("paths"))
+    state = nodes.select("sid", "sketch")
     for depth in range(1, DEPTH + 1):
-        placed = scratch.write(state.mapInArrow(split, "path long, sid binary"), f"paths-{depth}")
+        placed = scratch.write(state.mapInArrow(split if depth > 1 else begin, "path long, sid binary"), f"paths-{depth}")
         sizes = placed.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         sized = scratch.write(placed.join(sizes, "path"), f"sized-{depth}")
         scratch.drop(f"paths-{depth}")
