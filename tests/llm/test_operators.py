@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, exact_dedup, lm_scoring, mixing, near_join, quality, sharding, stages, substring_dedup, toxicity, url_filter
+from tidewatch.llm import decontamination, exact_dedup, lm_scoring, mixing, near_join, quality, queries, sharding, stages, substring_dedup, toxicity, url_filter
 from tidewatch.llm.shared import Scratch, WordHash, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, block string, score string, slot string"
@@ -233,6 +233,26 @@ def test_decontamination_in_parts(spark, docs, monkeypatch):
     assert {(r.doc_id, r.n_hit, r.items_sha256) for r in decontamination.decontaminate(docs, bench).collect()} == one
 
 
+@pytest.mark.parametrize("part_bytes", [decontamination.PART_BYTES, 200])
+def test_decontamination_by_items_without_id(spark, monkeypatch, part_bytes):
+    """By brute force, and as the query's SQL has it: null is one item in the count and none in the digest."""
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(decontamination, "PART_BYTES", part_bytes)
+    one, two, three = (" ".join(f"{c}{i}" for i in range(12)) for c in "abc")
+    items = [(None, one), (None, two), (7, two), (10, three), (None, None)]
+    rows = [(1, f"x {one} y"), (2, f"{one} z {two}"), (3, three), (4, "nothing"), (5, f"{one} {three} {two}"), (6, None)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    sha = lambda ids: hashlib.sha256(ids.encode()).hexdigest()
+    want = {(1, 14, 12, 1, sha(""), True), (2, 25, 24, 2, sha("7"), True), (3, 12, 12, 1, sha("10"), True), (4, 1, 0, 0, sha(""), False), (5, 36, 36, 3, sha("10,7"), True), (6, 0, 0, 0, sha(""), False)}
+    got = decontamination.decontaminate(docs, bench).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(rows)
+    with duckdb.connect() as db:
+        for name, columns, values in (("documents", "doc_id BIGINT, text VARCHAR", rows), ("benchmark", "item_id BIGINT, text VARCHAR", items)):
+            db.execute(f"CREATE TABLE {name} ({columns})")
+            db.executemany(f"INSERT INTO {name} VALUES (?, ?)", values)
+        assert set(db.execute(queries.ORACLES["op3_decontamination"]).fetchall()) == want
+
+
 def test_spans_point_into_the_original():
     text = "Ab, \u00c9t\u00e9 cd-EF  gh".encode()
     words = decontamination.words_of(text)

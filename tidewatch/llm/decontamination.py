@@ -8,7 +8,8 @@ distinct window with a space at both ends and is run once over a document's word
 
 Benchmarks are split into parts of at most PART_BYTES of windows, each small enough for a worker, and the documents are scanned once
 per part; usually there is one. Null and empty texts have no words and no hits; an item with no words never occurs; repeated item
-texts all count; rows of documents are judged one by one, so repeated rows and empty tables need no care.
+texts all count; a null item_id is an item like any other, whose windows hit: all rows with it count as one item in n_items and add
+nothing to items_sha256, the digest of the sorted ids that are not null; rows of documents are judged one by one, so repeated rows and empty tables need no care.
 """
 
 from __future__ import annotations
@@ -37,27 +38,32 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
+def in_order(items: set[str | None]) -> list[str | None]:
+    """Null comes last."""
+    return sorted(items, key=lambda item: (item is None, item or ""))
+
+
 def windows_of(words: list[bytes], window: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))} if words else set()
 
 
-def automaton(name: str, items: list[tuple[str, bytes]], window: int) -> ahocorasick.Automaton:
+def automaton(name: str, items: list[tuple[str | None, bytes]], window: int) -> ahocorasick.Automaton:
     """Built once in each worker; the last one stays."""
     if name not in _automata:
-        by_window: dict[tuple[bytes, ...], set[str]] = {}
+        by_window: dict[tuple[bytes, ...], set[str | None]] = {}
         for item, text in items:
             for w in windows_of(words_of(text), window):
                 by_window.setdefault(w, set()).add(item)
         built = ahocorasick.Automaton()
         for w, of in by_window.items():
-            built.add_word((b" " + b" ".join(w) + b" ").decode("latin-1"), (len(w), tuple(sorted(of))))
+            built.add_word((b" " + b" ".join(w) + b" ").decode("latin-1"), (len(w), tuple(in_order(of))))
         built.make_automaton()
         _automata.clear()
         _automata[name] = built
     return _automata[name]
 
 
-def hits(built: ahocorasick.Automaton, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+def hits(built: ahocorasick.Automaton, words: list[bytes]) -> tuple[np.ndarray, set[str | None]]:
     """Which words are hit, and the items that occur."""
     on, items = np.zeros(len(words), dtype=bool), set()
     if not words or not len(built):
@@ -87,12 +93,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     """docs with n_words, n_hit, n_items, items_sha256, contaminated and spans (byte ranges of hit words). No shuffle."""
     names = T.StructType.fromDDL(MADE).names
     docs = docs.drop(*names, "_on", "_items")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.col("item").isNotNull())
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size * window / PART_BYTES))
-    items = items.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)))
+    items = items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
 
-    def scan(part: list[tuple[str, bytes]], name: str, before: bool):
+    def scan(part: list[tuple[str | None, bytes]], name: str, before: bool):
         def run(batches):
             built = automaton(name, part, window)
             for batch, texts in batches_by_bytes(batches):
@@ -104,7 +110,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
                     if old is not None and len(words):
                         now |= np.unpackbits(np.frombuffer(old, dtype=np.uint8), count=len(words)).astype(bool)
                     on.append(np.packbits(now).tobytes() if now.any() else None)
-                    found.append(sorted({*of, *(had or [])}))
+                    found.append(in_order({*of, *(had or [])}))
                 kept = batch.drop_columns(["_on", "_items"]) if before else batch
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(on, pa.binary()), pa.array(found, pa.list_(pa.string()))], names=[*kept.schema.names, "_on", "_items"])
 
@@ -119,7 +125,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
                 n.append(words)
                 hit.append(int(on.sum()))
                 count.append(len(of))
-                digest.append(hashlib.sha256(",".join(of).encode()).hexdigest())
+                digest.append(hashlib.sha256(",".join(item for item in of if item is not None).encode()).hexdigest())
                 where.append(spans(text, on))
             kept = batch.drop_columns(["_on", "_items"])
             arrays = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(count, pa.int64()), pa.array(digest), pa.array([h > 0 for h in hit]), pa.array(where, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
