@@ -366,6 +366,14 @@ def test_grammar_tells_clauses_apart():
     assert set(f("you there. Idiot")) == {"plain"}  # another clause
 
 
+@pytest.mark.parametrize("text", ["I  will   kill them", "i will\tkill them", 'i will "kill" them', "i - will - hurt them", "now: burn \t your  house", "\n  watch\t\tyour (back)", "  kill   you"])
+def test_threats_in_irregular_space(text):
+    g = toxicity.Grammar({"idiot ": 4.0})
+    whole = text.lower().encode().translate(toxicity.CLAUSES).split(b"\n")
+    want = np.log1p(sum(g.clause(c) for c in whole))
+    assert want[toxicity.FEATURES.index("threat")] > 0 and (g.features(text.encode()) == want).all()
+
+
 def test_url_filter(spark, sf):
     cases = {
         None: ("", "", None), "no scheme": ("", "", None), "http://": ("", "", None), "HTTP://A.Example.COM/en/x?q#f": ("a.example.com", "/en/x", "example.com/en/"),

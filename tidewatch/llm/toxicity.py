@@ -23,6 +23,7 @@ leaves the seed words with fixed weights.
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections import Counter
 from zlib import crc32
@@ -51,6 +52,8 @@ DEFAULT = (np.array([3.0, 3.0, 0.5, 1.0, 3.0]), -3.0)
 END = ord("\n")
 #: Bytes that end a clause become line ends, other ASCII bytes outside letters and digits spaces.
 CLAUSES = bytes(END if chr(b) in ".,;:!?\n\r" else b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
+#: One space stands between a clause's words, as the automaton's threats have it.
+SPACES = re.compile(rb"  +")
 _machines: dict[str, "Grammar"] = {}
 
 
@@ -126,7 +129,7 @@ class Grammar:
 
     def features(self, text: bytes) -> np.ndarray:
         """Damped sums over the clauses in which the automaton spots anything."""
-        normal = b"\n" + text.decode("utf-8", "replace").lower().encode().translate(CLAUSES)
+        normal = b"\n" + SPACES.sub(b" ", text.decode("utf-8", "replace").lower().encode().translate(CLAUSES))
         total, done = np.zeros(len(FEATURES)), -1
         for end, _ in self.spot.iter(normal.decode("latin-1")):
             if end > done:
