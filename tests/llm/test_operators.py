@@ -393,6 +393,16 @@ def test_url_filter(spark, sf):
     assert url_filter.judge(pages).count() == pages.count()
 
 
+def test_url_models_read_query_and_fragment(spark):
+    """Undecided URLs of one host and path, told apart by what decided ones have behind them."""
+    learnt = [f"https://{host}/es/{'abcd'[i % 4]}{mark}" for i in range(80) for host, mark in (("a.com", "?story=news#text"), ("a.net", "?banner=casino#buy"))]
+    asked = ["https://a.org/x?story=news", "https://a.org/x?banner=casino", "https://a.org/x#text", "https://a.org/x#buy"]
+    df = spark.createDataFrame([(u,) for u in learnt + asked], "url string")
+    out = {r.url: r for r in url_filter.judge(df).collect()}
+    good, bad, better, worse = (out[u].score for u in asked)
+    assert good > bad and better > worse and all(out[u].rule is None for u in asked)
+
+
 def test_url_models_by_brute_force():
     counts = Counter()
     texts = [b"abcab", b"abd"]

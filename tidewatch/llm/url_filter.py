@@ -4,8 +4,8 @@ Rules are (host, path) pairs: a rule fits its host and all its subdomains where
 (host and path together) wins. URLs that a rule decides are the accepted and rejected examples of two character models; all others
 are judged by the models.
 
-Models: smoothed variable-order Markov models of order ORDER over the URL's bytes behind "://" (A-Z lower-cased, digits all 0, cut
-from ? and # on). p of order k interpolates the counts of the last k bytes with order k - 1 (Witten-Bell: the weight of the lower
+Models: smoothed variable-order Markov models of order ORDER over the URL's bytes behind "://" (A-Z lower-cased, digits all 0),
+query and fragment included. p of order k interpolates the counts of the last k bytes with order k - 1 (Witten-Bell: the weight of the lower
 order is the number of different bytes seen behind the context), down to a uniform one. Counts live in SLOTS hashed slots for each order
 and class, a fixed size; contexts that collide share their counts, which only smooths more. All URLs that rules decide are counted, in
 one pass with partial counts for each task.
@@ -56,7 +56,7 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def cleaned(url: str | None) -> bytes:
-    rest = (url or "").partition("://")[2].split("?")[0].split("#")[0].encode()
+    rest = (url or "").partition("://")[2].encode()
     return rest.translate(bytes(48 if 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else b for b in range(256)))
 
 
