@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,9 +17,12 @@ WHITE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), a new temporary one."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a local master gets a new temporary one, and a cluster raises."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tidewatch-")
         spark.conf.set("spark.checkpoint.dir", at)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -32,34 +35,95 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Tables that this session has written and that plans may still read.
+_held: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    _held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Drops what written() has kept, from the since-th table on, when nothing will read it any more."""
+    delete(spark, *_held[since:])
+    del _held[since:]
+
+
+def held() -> int:
+    """The number of tables that written() keeps."""
+    return len(_held)
+
+
 class Scratch:
     """Tables in the shared folder by name, so that those no later plan reads can be dropped."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.at = spark, shared_path(spark, name)
+        _held.append(self.at)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.at}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
 
     def drop(self, *names: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        for name in names:
-            at = path(f"{self.at}/{name}")
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(self.spark, *(f"{self.at}/{name}" for name in names))
+
+
+def column(name: str) -> "F.Column":
+    """The column of that very name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, *drop: str) -> "F.Column":
+    """All columns of df but those named, as one struct: whatever they are called, they cannot clash with columns beside it."""
+    away = {name.lower() for name in drop}
+    rest = [column(c).alias(c) for c in df.columns if c.lower() not in away]
+    return F.struct(*rest) if rest else F.struct(F.lit(None).cast("string").alias("none"))
+
+
+def unpacked(df: DataFrame, own: str, of: DataFrame, *drop: str) -> list:
+    """The columns that packed() put into own."""
+    away = {name.lower() for name in drop}
+    return [F.col(own).getField(c).alias(c) for c in of.columns if c.lower() not in away]
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def prefix_sums(df: DataFrame, order: list, name: str, **sums: str) -> DataFrame:
+    """df with `place` (from 0) in the order given, and for each new=old of sums the sum of column old over all rows before.
+
+    Rows are range-partitioned and written, so that partitions stay as they are; each starts at the sums of those before it. No task
+    holds more than a partition, but for the one that adds up one row per partition.
+    """
+    parts = partitions(df.sparkSession)
+    placed = written(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), name)
+    of = {"place": F.count("*")} | {new: F.sum(old) for new, old in sums.items()}
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("part").agg(*(f.alias(f"total_{new}") for new, f in of.items()))
+    totals = totals.select("part", *(F.coalesce(F.sum(f"total_{new}").over(earlier), F.lit(0)).alias(f"from_{new}") for new in of))
+    within = Window.partitionBy("part").orderBy(*order)
+    before = {"place": F.row_number().over(within) - 1} | {new: F.coalesce(F.sum(old).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for new, old in sums.items()}
+    rows = placed.select("*", *(f.alias(f"in_{new}") for new, f in before.items())).join(F.broadcast(totals), "part")
+    return rows.select(*df.columns, *((F.col(f"from_{new}") + F.col(f"in_{new}")).alias(new) for new in of))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
