@@ -5,12 +5,15 @@ clockwise. A shard's load is bounded by its exact share of the rows (n / shards,
 are at most one apart; rows that overflow a full shard continue clockwise to the next shard with room. All rows of an arc have
 the same way round the ring, hence the counts of the arcs (shards * vnodes, a fixed number) decide everything: the filling is planned
 over them, arc by arc in rounds (in round r each arc offers its remaining rows to the r-th shard on its way), and gives runs of ranks
-within an arc to shards. A row's rank within its arc is a row number within one of 16 salts of the arc, plus the salts before it.
+within an arc to shards. A row's rank within its arc is a row number within one of SALTS salts of the arc, plus the salts before it;
+what stands before each salt is a running sum in Spark, so only the counts of arcs come to the driver.
 
 With one more shard, an arc's rows move only where its way meets the new shard or where bounds shift; tests measure that.
 
-A null key hashes like an empty text; rows with equal keys are spread by their text's crc32 and take different slots. An empty table
-gives no rows. Columns of the input stay; on a clash of names those computed here win.
+A null key hashes like an empty text; rows with equal keys are spread over the salts by a hash of their text and take different slots
+in the order of that hash. Rows that agree in key and text are interchangeable: they share a salt. Null texts count as empty, long
+ones are hashed whole. An empty table gives no rows. All columns of the input stay, whatever they are called, but for columns called
+shard and slot, which give way to those made here.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
+from tidewatch.llm.shared import column, packed, unpacked, written
+
+SALTS = 1024
 #: The ring has this many positions: the first 60 bits of an md5.
 RING_DIGITS = 15
 
@@ -71,34 +76,29 @@ def literal(df: DataFrame, rows: list, schema: str) -> DataFrame:
 def assign(docs: DataFrame, shards: int = 40, vnodes: int = 64, key: str = "doc_id") -> DataFrame:
     """docs with the columns shard and slot (gapless from 0 within its shard)."""
     ring = Ring(shards, vnodes)
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")) if "text" in docs.columns else F.lit("")
-    at = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit(""))), 1, RING_DIGITS), 16, 10).cast("long")
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) if "text" in docs.columns else F.lit(0).cast("long")
+    at = F.conv(F.substring(F.md5(F.coalesce(column(key).cast("string"), F.lit(""))), 1, RING_DIGITS), 16, 10).cast("long")
+    keyed = docs.select(packed(docs, "shard", "slot").alias("own"), column(key).alias("key"), at.alias("ring_at"), text.alias("text_at"))
     # the arc of a position is the number of places before it: those before its cell of a uniform grid, which is known, and in its cell
     places = F.array(*map(F.lit, ring.places))
     cells = len(ring.places)
     width = (1 << (4 * RING_DIGITS)) // cells + 1
     first = F.array(*(F.lit(bisect.bisect_left(ring.places, c * width)) for c in range(cells + 1)))
-    cell = F.floor(at / F.lit(width)).cast("int")
+    cell = F.floor(F.col("ring_at") / F.lit(width)).cast("int")
     low, high = F.element_at(first, cell + 1), F.element_at(first, cell + 2)
     inside = F.size(F.filter(F.slice(places, low + 1, high - low), lambda p: p < F.col("ring_at")))
-    keyed = docs.drop("shard", "slot", "ring_at", "arc", "salt").withColumn("ring_at", at)
-    arc = F.pmod(low + inside, F.lit(cells)).cast("int")
-    keyed = keyed.withColumns({"arc": arc, "salt": (F.crc32(text) % SALTS).cast("int")})
-
-    bins = keyed.groupBy("arc", "salt").count().collect()  # shards * vnodes * SALTS rows at most
-    counts: dict[int, int] = {}
-    starts = []
-    for b in sorted(bins):
-        starts.append((b["arc"], b["salt"], counts.get(b["arc"], 0)))
-        counts[b["arc"]] = counts.get(b["arc"], 0) + b["count"]
-    offsets = literal(docs, [{"a": a, "s": s, "before": n} for a, s, n in starts], "a int, s int, before long")
+    keyed = keyed.withColumns({"arc": F.pmod(low + inside, F.lit(cells)).cast("int"), "salt": F.pmod(F.xxhash64("ring_at", "text_at"), F.lit(SALTS)).cast("int")})
+
+    bins = written(keyed.groupBy("arc", "salt").agg(F.count("*").alias("n")), "arcs")  # shards * vnodes * SALTS rows at most
+    counts = {r.arc: r.n for r in bins.groupBy("arc").agg(F.sum("n").alias("n")).collect()}  # shards * vnodes rows at most
+    before = Window.partitionBy("arc").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = bins.select("arc", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     runs = literal(docs, [{"run_arc": a, "lo": i, "hi": j, "shard": s, "base": b} for a, i, j, s, b in fill(ring, counts)], "run_arc int, lo long, hi long, shard int, base long")
 
-    order = Window.partitionBy("arc", "salt").orderBy("ring_at", F.col(key).asc_nulls_last(), F.crc32(text))
-    ranked = keyed.withColumn("rank", F.row_number().over(order) - 1)
-    ranked = ranked.join(F.broadcast(offsets), (F.col("arc") == F.col("a")) & (F.col("salt") == F.col("s"))).withColumn("rank", F.col("rank") + F.col("before"))
+    order = Window.partitionBy("arc", "salt").orderBy("ring_at", F.col("key").asc_nulls_last(), "text_at")
+    ranked = keyed.withColumn("rank", F.row_number().over(order) - 1).join(offsets, ["arc", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
     out = ranked.join(F.broadcast(runs), (F.col("arc") == F.col("run_arc")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return out.withColumn("slot", F.col("base") + F.col("rank") - F.col("lo")).drop("ring_at", "arc", "salt", "rank", "a", "s", "before", "run_arc", "lo", "hi", "base")
+    return out.select(*unpacked(out, "own", docs, "shard", "slot"), "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"))
 
 
 def shard_rows(docs: DataFrame, shards: int = 40) -> DataFrame:
