@@ -4,6 +4,10 @@ Documents are dealt into blocks of about 16 MB of text. A block sends each of it
 binary value per range of keys; who works on a range sees a key at most once per block, so that no key is hot, however often it
 occurs; and answers go back to the block in the order in which it sent its keys, without the keys. Blocks and ranges grow in number,
 not in size, with the input.
+
+A block packs only ranges that it has keys in, and finds these by its own keys: it never goes over all ranges. So it sends at most as
+many values as it has keys, and both work and rows grow with the keys, not with blocks times ranges; while keys are many times the
+ranges, a value holds many of them.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.shared import partitions
@@ -27,30 +31,40 @@ def blocks_for(df: DataFrame, text: str = "text", each: int = BLOCK_BYTES) -> in
     return max(partitions(df.sparkSession), math.ceil((df.agg(F.sum(F.octet_length(text))).first()[0] or 0) / each))
 
 
-def blocked(df: DataFrame, count: int, *keys) -> DataFrame:
+def blocked(df: DataFrame, count: int, *keys: Column | str) -> DataFrame:
     """df with the column block, dealt by it; rows that agree in keys share a block."""
     return df.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")).repartition(count, "block")
 
 
-def own_or_text(doc_id: str = "doc_id", text: str = "text") -> list:
-    """Keys that keep a doc_id's rows in one block, and spread rows without doc_id by their text."""
-    return [F.col(doc_id), F.when(F.col(doc_id).isNull(), F.col(text))]
+def width_of(ranges: int) -> int:
+    """The keys of a range; the last one may have fewer."""
+    return (1 << 64) // ranges + 1
+
+
+def ranges_in(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ranges that sorted keys fall into, and where each begins and ends among the keys."""
+    of = (keys // np.uint64(width_of(ranges))).astype(np.int64) if ranges > 1 else np.zeros(len(keys), dtype=np.int64)
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    return of[starts], starts, np.append(starts[1:], len(keys))[: len(starts)]
 
 
-def cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
-    """Where each range begins and ends in sorted keys."""
-    step = (1 << 64) // ranges + 1
-    edges = np.array([i * step for i in range(1, ranges)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
+def part_of(keys: np.ndarray, rng: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of the ranges rng begins and ends among sorted keys."""
+    step = width_of(ranges)
+    low = np.searchsorted(keys, np.array([r * step for r in rng.tolist()], dtype=np.uint64))
+    high = np.array([len(keys) if (r + 1) * step >= 1 << 64 else np.searchsorted(keys, np.uint64((r + 1) * step)) for r in rng.tolist()], dtype=np.int64)
+    return low, high
 
 
 def pack(keys: np.ndarray, ranges: int, block: int, *more: np.ndarray) -> pa.Table:
     """Rows of SENT: of each range its keys and, behind them, what goes with them."""
-    at = cuts(keys, ranges)
-    out = [(r, block, int(b - a), b"".join([keys[a:b].tobytes(), *(m[a:b].tobytes() for m in more)])) for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
-    names = ("rng", "block", "n", "body")
-    columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-    return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=names)
+    out = [(r, block, b - a, b"".join([keys[a:b].tobytes(), *(m[a:b].tobytes() for m in more)])) for r, a, b in zip(*(x.tolist() for x in ranges_in(keys, ranges)), strict=True)]
+    return sent_table(out)
+
+
+def sent_table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+    return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=("rng", "block", "n", "body"))
 
 
 def unpack(sent: pa.Table, *kinds: type) -> tuple[list[int], list[int], list[np.ndarray]]:
@@ -77,10 +91,9 @@ def back(blocks: list[int], counts: list[int], rng: int, *answers: np.ndarray) -
 
 def answers(got: pa.Table, keys: np.ndarray, ranges: int, *kinds: type) -> list[np.ndarray]:
     """What came back for sorted keys, in their order."""
-    at = cuts(keys, ranges)
     out = [np.zeros(len(keys), dtype=k) for k in kinds]
-    for rng, body in zip(got.column("rng").to_pylist(), got.column("body").to_pylist(), strict=True):
-        a, b = at[rng], at[rng + 1]
+    low, high = part_of(keys, got.column("rng").to_numpy(), ranges)
+    for a, b, body in zip(low.tolist(), high.tolist(), got.column("body").to_pylist(), strict=True):
         offset = 0
         for o, kind in zip(out, kinds, strict=True):
             if kind is bool:

@@ -9,8 +9,13 @@ modulo 13: only those 4 of 13 starts are hashed and exchanged. A window is a can
 the corpus; candidates are extended to the whole window, whose 96-bit hash decides. Anchors only narrow the search: a collision among
 them costs work, not correctness.
 
-Nulls and empty texts have no words. A null doc_id comes after all others; rows that share a doc_id are ordered by their text, so
-the later of two repeated rows loses its windows. Texts under `window` words keep everything.
+Documents are ordered by doc_id, a null one after all others; rows that share a doc_id, or have none, by a 63-bit hash of their text
+(not by place or partition, so the result is the same however the rows are dealt). Of rows that agree in both one comes first and the
+others lose all their windows. They share a block; rows that differ in id or text do not.
+
+Null and empty texts have no words; texts under `window` words keep everything; long texts are held whole in their block. An empty
+table gives no rows. Only doc_id and text are read, so names of other columns cannot clash; doc_id is read as a long, so a text that is
+no number raises.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,17 +34,25 @@ from tidewatch.llm.shared import WordHash, mixed
 #: A perfect difference cover: every residue modulo PERIOD is a difference of two members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 BASE = 0x9E3779B97F4A7C15
+#: Bytes of text in a block.
+BLOCK_BYTES = 8 << 20
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-LAST = np.iinfo(np.int64).max
+
+
+def order_of(doc_id: int | None, text: bytes) -> tuple[int, int]:
+    """The document's place in the order: its id, then a number that is larger for every null id and otherwise the text's hash."""
+    return (np.iinfo(np.int64).max if doc_id is None else doc_id), xxhash.xxh3_64_intdigest(text) >> 1 | (doc_id is None) << 63
 
 
 class Block:
     """The documents of one block in order, their words as hashes, and hashes of windows over them."""
 
     def __init__(self, table: pa.Table, window: int):
-        ids, texts = table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] or b""))
-        self.ids, self.texts = [ids[i] for i in order], [texts[i] or b"" for i in order]
+        ids, texts = table.column("doc_id").to_pylist(), [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
+        ranks = [order_of(i, t) for i, t in zip(ids, texts, strict=True)]
+        order = sorted(range(len(ids)), key=ranks.__getitem__)
+        self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
+        self.rank = np.array([ranks[i][0] for i in order], dtype=np.int64), np.array([ranks[i][1] for i in order], dtype=np.uint64)
         hashes, cache = [], WordHash()
         for text in self.texts:
             hashes.append(cache.of(text.split()))
@@ -46,14 +60,13 @@ class Block:
         self.ends = np.cumsum(self.sizes)
         self.words = mixed(np.concatenate(hashes)) if hashes else np.zeros(0, dtype=np.uint64)
         self.window, self.anchor = window, window - PERIOD + 1
-        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.doc = doc
-        self.place = np.arange(len(self.words)) - (self.ends - self.sizes)[doc]
-        self.left = self.sizes[doc] - self.place
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.place = (np.arange(len(self.words)) - (self.ends - self.sizes)[self.doc]).astype(np.int32)
+        self.left = self.sizes.astype(np.int32)[self.doc] - self.place
 
     def sums(self, words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         n = len(words)
-        up, down = (np.multiply.accumulate(np.array([1] + [b] * n, dtype=np.uint64)) for b in (BASE, pow(BASE, -1, 1 << 64)))
+        up, down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, b, dtype=np.uint64)])) for b in (BASE, pow(BASE, -1, 1 << 64)))
         before = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * up[:n], dtype=np.uint64)])
         return mixed((before[starts + size] - before[starts]) * down[starts])
 
@@ -92,8 +105,8 @@ def dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     if window < PERIOD + 1:
         raise ValueError(f"window must exceed {PERIOD} words")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranges = X.blocks_for(docs)
-    placed = X.blocked(docs, ranges, *X.own_or_text())
+    ranges = X.blocks_for(docs, each=BLOCK_BYTES)
+    placed = X.blocked(docs, ranges, "doc_id", "text")
 
     def found(key: tuple, table: pa.Table) -> pa.Table:
         keys, times = np.unique(Block(table, window).anchors()[1], return_counts=True)
@@ -114,12 +127,11 @@ def dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     def extended(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
         block, starts = candidates(table, got)
         keys, check, first, _ = block.windows(starts)
-        ids = np.array([LAST if i is None else i for i in block.ids], dtype=np.int64)
-        return X.pack(keys, ranges, key[0].as_py(), check, ids[block.doc[first]] if len(first) else np.zeros(0, dtype=np.int64))
+        return X.pack(keys, ranges, key[0].as_py(), check, *(r[block.doc[first]] for r in block.rank))
 
     def owned(key: tuple, sent: pa.Table) -> pa.Table:
-        blocks, counts, (keys, check, ids) = X.unpack(sent, np.uint32, np.int64)
-        order = np.lexsort((ids, check, keys))
+        blocks, counts, (keys, check, ids, ties) = X.unpack(sent, np.uint32, np.int64, np.uint64)
+        order = np.lexsort((ties, ids, check, keys))
         k, c = keys[order], check[order]
         first = np.ones(len(k), dtype=bool)
         first[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
