@@ -12,8 +12,12 @@ A document starts from a mark before its first word. Its score is the mean over
 Counts are exchanged in blocks (see blocks.py): a block of documents sends each distinct word and pair once with its counts in the
 block, and gets the sums over the corpus back in the same order. No model is ever in one place, whatever the size of the corpus.
 
-Null and empty texts have no words: losses and score are null. Repeated rows count each time. Without any target document all counts
-of the target are 0, and its model is uniform.
+Blocks are dealt by doc_id and one of SALTS salts of the text, so that one id with very many rows fills no block; the target's ids go
+to all their salts. Rows without an id are dealt by their text and are never of the target.
+
+Null and empty texts have no words: losses and score are null. Long texts are held whole in their block. Repeated rows count each
+time. Without any target document all counts of the target are 0, and its model is uniform. An empty table gives no rows. Only doc_id
+and text are read, so names of other columns cannot clash; doc_id is read as a long, so a text that is no number raises.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from tidewatch.llm import blocks as X
 from tidewatch.llm.shared import WordHash, mixed
 
 K = 2.0
+SALTS = 16
 #: Bytes of text in a block; smaller than for other operators, as words and pairs are held at once.
 BLOCK_BYTES = 6 << 20
 #: Keys have 56 bits; among 10 ** 12 keys one in 100,000 meets another, which shifts its count by the other's.
@@ -91,16 +96,17 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_words, target_loss, background_loss and score for each row of docs; target has the doc_id of target documents."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranges = X.blocks_for(docs, each=BLOCK_BYTES)
-    placed = X.blocked(docs, ranges, *X.own_or_text()).groupBy("block")
+    salt = F.pmod(F.xxhash64("text"), F.lit(SALTS))
+    placed = X.blocked(docs, ranges, "doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(salt)).groupBy("block")
     chosen = target.select(F.col("doc_id").cast("long").alias("target_id")).where("target_id is not null").distinct()
-    marks = X.blocked(chosen, ranges, "target_id").groupBy("block")
+    salted = chosen.select("target_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    marks = X.blocked(salted, ranges, "target_id", "salt").select("target_id", "block").groupBy("block")
 
     def counted(key: tuple, table: pa.Table, labels: pa.Table) -> pa.Table:
         block = Block(table, labels)
         number = (table if table.num_rows else labels).column("block")[0].as_py()
-        at = X.cuts(block.keys, ranges)
-        rows = [(r, number, int(j - i), sent_body(block.keys[i:j], block.all[i:j], block.good[i:j])) for r, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
-        return pa.Table.from_pylist([dict(zip(("rng", "block", "n", "body"), row, strict=True)) for row in rows], pa.schema([("rng", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("body", pa.binary())]))
+        at = zip(*(x.tolist() for x in X.ranges_in(block.keys, ranges)), strict=True)
+        return X.sent_table([(r, number, j - i, sent_body(block.keys[i:j], block.all[i:j], block.good[i:j])) for r, i, j in at])
 
     def summed(key: tuple, sent: pa.Table) -> pa.Table:
         blocks, counts, bodies = (sent.column(c).to_pylist() for c in ("block", "n", "body"))
@@ -130,10 +136,10 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     def scored(key: tuple, table: pa.Table, back: pa.Table) -> pa.Table:
         block = Block(table, pa.table({"target_id": pa.array([], pa.int64())}))
         every, good = np.zeros(len(block.keys), dtype=np.int64), np.zeros(len(block.keys), dtype=np.int64)
-        at = X.cuts(block.keys, ranges)
-        for rng, body in zip(back.column("rng").to_pylist(), back.column("body").to_pylist(), strict=True):
+        low, high = X.part_of(block.keys, back.column("rng").to_numpy(), ranges)
+        for i, j, body in zip(low.tolist(), high.tolist(), back.column("body").to_pylist(), strict=True):
             part = np.frombuffer(zlib.decompress(body), dtype=np.int64)
-            every[at[rng] : at[rng + 1]], good[at[rng] : at[rng + 1]] = part[: len(part) // 2], part[len(part) // 2 :]
+            every[i:j], good[i:j] = part[: len(part) // 2], part[len(part) // 2 :]
         vocabulary, words, good_words = (back.column(c)[0].as_py() if len(back) else 0 for c in totals)
         full = block.sizes > 0
         losses = []
