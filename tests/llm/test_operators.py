@@ -8,11 +8,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontamination, exact_dedup, lm_scoring, mixing, near_join, quality, queries, sharding, stages, substring_dedup, toxicity, url_filter
-from tidewatch.llm.shared import Scratch, WordHash, table
+from tidewatch.llm import blocks, decontamination, exact_dedup, lm_scoring, mixing, near_join, quality, queries, sharding, stages, substring_dedup, toxicity, url_filter
+from tidewatch.llm.shared import Scratch, WordHash, prefix_sums, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, block string, score string, slot string"
 WORDS = [f"w{i}" for i in range(300)]
@@ -475,3 +477,154 @@ def test_stages_take_odd_rows(spark, sf, docs, empty):
         if name != "sharding":
             assert out.dtypes == docs.dtypes
             assert {r["size"] for r in out.collect()} == {"x"}
+
+
+CLASHING = ["a", "s", "k", "lo", "hi", "rank", "base", "before", "arc", "salt", "own", "key", "run_arc", "ring_at", "place", "part", "times", "time", "running", "slice", "start", "target", "taken", "size", "_text_hash", "gone_id", "gone_hash", "_own_x", "sid", "root", "x", "load", "digest", "row", "held_out", "predicted", "_on", "_items", "n_hit", "spans", "a.b c`d"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Forty documents with columns of every name that operators use inside."""
+    rows = [(i, f"w{i % 7} " * (i + 1), f"s{i % 3}", *["kept"] * len(CLASHING)) for i in range(40)]
+    return spark.createDataFrame(rows, ["doc_id", "text", "source", *CLASHING])
+
+
+def test_names_that_clash(spark, sf, clashing):
+    """No operator crashes on them, and stages give every column back as it was."""
+    assigned = sharding.assign(clashing, 7)
+    assert assigned.columns == [*clashing.columns, "shard", "slot"]
+    rows = assigned.collect()
+    assert sorted(Counter(r.shard for r in rows).values()) == [5, 5, 6, 6, 6, 6, 6] and all(r[3:-2] == ("kept",) * len(CLASHING) for r in rows)
+    assert mixing.mix(clashing).count() == 40
+    for out in (mixing.mixed_rows(clashing), near_join.one_of_each(clashing)):
+        assert out.columns == clashing.columns and all(r[3:] == ("kept",) * len(CLASHING) for r in out.collect())
+    for name, stage in stages.STAGES:
+        out = stage(spark, clashing, sf)
+        assert out.columns[: len(clashing.columns)] == clashing.columns, name
+        assert all(r[3 : 3 + len(CLASHING)] == ("kept",) * len(CLASHING) for r in out.collect()), name
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "w1 " * 10)], "item_id long, text string")
+    outs = (quality.score(clashing, labels), toxicity.score(clashing, labels), decontamination.decontaminate(clashing, bench), lm_scoring.score(clashing, labels), exact_dedup.dedup(clashing), substring_dedup.dedup(clashing), near_join.classes(clashing), url_filter.judge(clashing.withColumnRenamed("text", "url")))
+    assert [out.count() for out in outs] == [40] * len(outs)
+
+
+def test_sharding_by_brute_force(spark):
+    """Shard and slot of every row, from the ring and the stated order alone."""
+    shards, vnodes, rows = 5, 4, [(i if i % 6 else None, f"t{i % 50}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = df.select("doc_id", "text", F.xxhash64("text").alias("t"), F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long").alias("at"))
+    keyed = hashed.withColumn("salt", F.pmod(F.xxhash64("at", "t"), F.lit(sharding.SALTS))).collect()
+    ring = sharding.Ring(shards, vnodes)
+    by_arc = defaultdict(list)
+    for r in sorted(keyed, key=lambda r: (r.salt, r.at, r.doc_id is None, r.doc_id or 0, r.t)):
+        by_arc[sum(p < r.at for p in ring.places) % len(ring.places)].append((r.doc_id, r.text))
+    room, used, want = [80] * shards, [0] * shards, Counter()
+    rest = {arc: list(of) for arc, of in by_arc.items()}
+    for turn in range(shards):
+        for arc in sorted(rest):
+            shard = ring.way(arc)[turn]
+            while rest[arc] and used[shard] < room[shard]:
+                want[(*rest[arc].pop(0), shard, used[shard])] += 1
+                used[shard] += 1
+    got = Counter((r.doc_id, r.text, r.shard, r.slot) for r in sharding.assign(df.repartition(3), shards, vnodes).collect())
+    assert got == want
+
+
+def test_one_more_shard_moves_few(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    before, after = ({r.doc_id: r.shard for r in sharding.assign(rows, n).collect()} for n in (20, 21))
+    assert sum(before[i] != after[i] for i in before) < 3 * len(before) / 21
+
+
+def test_digest_index_keeps_its_buckets(spark, tmp_path):
+    """Opened under another number of shuffle partitions, every digest is still found."""
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    path = str(tmp_path / "index")
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        assert exact_dedup.DigestIndex(spark, path).dedup(rows, load="first").where("kept").count() == 50
+        spark.conf.set("spark.sql.shuffle.partitions", 3)
+        again = exact_dedup.DigestIndex(spark, path)
+        assert again.buckets == 8 and again.dedup(rows, load="second").where("kept").count() == 0 and again.entries().count() == 50
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+    with pytest.raises(ValueError, match="8 buckets"):
+        exact_dedup.DigestIndex(spark, path, 3)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
+
+
+@pytest.mark.parametrize("load", [None, "monday"])
+def test_a_load_can_be_repeated(spark, tmp_path, load):
+    """The same load twice keeps the same rows, also where its first half alone reached the index."""
+    rows = [(i, f"text {i % 30}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
+    once, twice = (sorted(index.dedup(d, load=load).collect()) for d in (docs, docs.repartition(5)))
+    assert once == twice and sum(r.kept for r in once) == 30
+    more = spark.createDataFrame([(100, "text 1"), (101, "new")], "doc_id long, text string")
+    assert {(r.doc_id, r.keep_id, r.kept) for r in index.dedup(more).collect()} == {(100, 1, False), (101, 101, True)}
+    half = exact_dedup.DigestIndex(spark, str(tmp_path / "half"), 4)
+    digests = docs.where("doc_id < 9").select(F.unhex(F.sha2("text", 256)).alias("digest"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit("tuesday").alias("load"))
+    half.append(digests)
+    assert sum(r.kept for r in half.dedup(docs, load="tuesday").collect()) == 30
+
+
+def test_substring_dedup_orders_rows_without_id(spark):
+    """The same rows keep a shared passage however they are dealt, and the largest id is no null."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(None, f"{c} {passage}") for c in "abcdefgh"] + [(2**63 - 1, f"last {passage}")]
+    had, found = spark.conf.get("spark.sql.shuffle.partitions"), set()
+    try:
+        for n in (1, 3, 5, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()
+            found.add(tuple(sorted((str(r.doc_id), r.n_removed, r.kept) for r in out)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+    assert len(found) == 1
+    (only,) = found
+    assert [r for r in only if r[1] == 0] == [(str(2**63 - 1), 0, f"last {passage}")]
+
+
+def test_ranges_go_by_the_keys():
+    """Packing follows the keys, however many ranges there are, and answers come back in their order."""
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 1000, dtype=np.uint64))
+    for ranges in (1, 3, 700, 1 << 30):
+        sent = blocks.pack(keys, ranges, 4, (keys % np.uint64(251)).astype(np.uint8))
+        assert sent.num_rows <= min(ranges, len(keys))
+        replies = []
+        for row in sent.group_by("rng").aggregate([]).column("rng").to_pylist():
+            own = sent.filter(pc.equal(sent.column("rng"), row))
+            at, counts, (k, more) = blocks.unpack(own, np.uint8)
+            assert (more == (k % np.uint64(251)).astype(np.uint8)).all()
+            replies.append(blocks.back(at, counts, row, k % np.uint64(2) == 0, k))
+        even, same = blocks.answers(pa.concat_tables(replies), keys, ranges, bool, np.uint64)
+        assert (same == keys).all() and (even == (keys % np.uint64(2) == 0)).all()
+
+
+def test_prefix_sums(spark):
+    r = random.Random(4)
+    rows = [(r.choice("abcdef") * r.randrange(1, 4), i, r.randrange(9)) for i in range(200)] + [(None, 200, 5)]
+    df = spark.createDataFrame(rows, "name string, i long, n long")
+    got = {x.i: (x.place, x.before) for x in prefix_sums(df, [F.col("name").asc_nulls_last(), F.col("i")], "sums", before="n").collect()}
+    total = 0
+    for place, (_, i, n) in enumerate(sorted(rows, key=lambda x: (x[0] is None, x[0] or "", x[1]))):
+        assert got[i] == (place, total)
+        total += n
+
+
+def test_mixing_many_sources(spark):
+    """Targets of 500 sources by pouring, and rows without an id are spread over the slices."""
+    r = random.Random(8)
+    rows = [(None if i % 3 else i, " ".join("w" for _ in range(r.randrange(1, 30))) + f" t{i}", f"s{r.randrange(500)}") for i in range(1500)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("source", "target", "source_size").distinct().collect()
+    total = Counter()
+    for _, t, s in rows:
+        total[s] += len(t.split())
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(total))}
+    low, high = 0.0, 2.0 * max(total.values())
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * total[s], weight[s] * level) for s in total) < 1.5 * sum(total.values()) else (low, level)
+    assert len(out) == len(total) and all(math.isclose(x.target, min(2 * total[x.source], weight[x.source] * low), rel_tol=1e-6) for x in out)
