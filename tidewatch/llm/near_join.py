@@ -17,12 +17,19 @@ without such words uses its runs of other characters). Two texts are linked if t
    they are not independent).
 4. Candidates are handed on as stars, never as pairs, and joined to candidate components (label propagation, checkpointed). Every
    component is then verified exactly, all its sets against each other, so a pair that no run brought together is found as well if it
-   is connected through others. Components over GROUP sets are dealt into blocks of sets and verified by pairs of blocks, so that no
-   task holds more than two blocks; intersections are counted by matrix products, and pairs are counted, not emitted.
+   is connected through others. Components over SMALL sets are dealt into blocks (at least eight from 8 * SMALL sets on, and none over
+   GROUP sets or WIDE shingles) and verified by pairs of blocks, so that no task holds more than two blocks; intersections are counted
+   by matrix products, and pairs are counted, not emitted. A text goes to as many tasks as its component has blocks.
 5. Verified links give each node its number of links and, by another label propagation, its class.
 
+Who only wants classes (one_of_each) need not count links: in a component of several blocks every set is compared with one
+representative first, in one pass over the texts, and only those sets that it does not link are compared with all others. So ten
+million near copies of one text cost ten million comparisons, and a class that hangs together through others only is found as well.
+
 Rows: a null or empty text has no shingles, no links and a class of its own row's set (all such rows share one node but no link:
 class_id is their own doc_id). Repeated rows are copies. A null doc_id may be in a class and is its class_id only if all are null.
+Long texts are held whole. An empty table gives no rows. Only doc_id and text are read, so names of other columns cannot clash; doc_id
+is read as a long, so a text that is no number raises.
 """
 
 from __future__ import annotations
@@ -35,11 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import Scratch, WordHash, batches_by_bytes, groups, mixed, partitions, shared_dir
+from tidewatch.llm.shared import Scratch, WordHash, batches_by_bytes, groups, mixed, packed, partitions, shared_dir, unpacked, written
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.995
-#: Sketch coordinates; largest bucket that is compared by brute force; number of splits; sets of a group verified by one task.
-T, LEAF, DEPTH, GROUP = 64, 128, 5, 1024
+#: Sketch coordinates; largest bucket that is compared by brute force; number of splits.
+T, LEAF, DEPTH = 64, 128, 5
+#: Components up to so many sets are one block; no block has more sets than GROUP or, on average, more shingles than WIDE.
+SMALL, GROUP, WIDE = 256, 2048, 1 << 21
 #: Sketches of pairs over the threshold agree at least so much, but for one pair in 100,000 (four deviations).
 SLACK = 4.2
 #: Words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after A-Z became lower case.
@@ -160,7 +169,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     while True:
         twice = edges.groupBy("a").count().where("count > 1").select("a")
-        inner = edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a")
+        # centres that have a centre themselves: distinct ones meet, so the star with very many members counts once
+        inner = edges.select("b").distinct().join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select(F.col("b").alias("a"))
         if twice.unionByName(inner).isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
@@ -224,6 +234,24 @@ def verify(group: pa.Table, similarity: float, cache: WordHash) -> pa.Table:
     return pa.table({"sid": pa.array([sids[k] for k in on], pa.binary()), "links": pa.array(links[on]), "root": pa.array([sids[k] for k in root[on]], pa.binary())})
 
 
+def linked_by(group: pa.Table, similarity: float, cache: WordHash) -> pa.Table | None:
+    """Edges (sid, root) from rows marked `x` to all other rows of the group that they link; links are not counted."""
+    sids, x = group.column("sid").to_pylist(), np.array(group.column("x").to_pylist(), dtype=bool)
+    sets = [shingles(t or b"", cache) for t in group.column("text").cast(pa.binary()).to_pylist()]
+    first, second = np.flatnonzero(x), np.flatnonzero(~x)
+    if not len(first) or not len(second):
+        return None
+    i, j = exact_links([sets[k] for k in first], [sets[k] for k in second], similarity)
+    pairs = [(sids[a], sids[b]) for a, b in zip(first[i].tolist(), second[j].tolist(), strict=True) if sids[a] != sids[b]]
+    if not pairs:
+        return None
+    # a star for each row: its least partner; rows of x that share partners hang together through these
+    names = sorted({s for p in pairs for s in p})
+    place = {s: k for k, s in enumerate(names)}
+    root = roots(len(names), np.array([place[a] for a, _ in pairs]), np.array([place[b] for _, b in pairs]))
+    return pa.table({"sid": pa.array(names, pa.binary()), "links": pa.array([0] * len(names), pa.int64()), "root": pa.array([names[r] for r in root.tolist()], pa.binary())})
+
+
 def by_group(df: DataFrame, keys: list[str], schema: str, make) -> DataFrame:
     """make() gives the work on the rows of each value of keys; one group is in memory at a time."""
 
@@ -245,12 +273,14 @@ def text_hash(column: str = "text") -> "F.Column":
 def sketched(batches):
     cache = WordHash()
     for batch, texts in batches_by_bytes(batches):
-        sids, sketches = [], []
+        sids, sketches, sizes = [], [], []
         for text in texts:
             s = shingles(text, cache)
             sids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             sketches.append(sketch(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sids, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "text_hash", "sid", "sketch"])
+            sizes.append(len(s))
+        arrays = [batch.column("doc_id"), batch.column("text_hash"), pa.array(sids, pa.binary()), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "sid", "sketch", "size"])
 
 
 def candidates(nodes: DataFrame, scratch: Scratch, similarity: float, recall: float) -> DataFrame:
@@ -302,42 +332,87 @@ def candidates(nodes: DataFrame, scratch: Scratch, similarity: float, recall: fl
     return edges
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def dealt(texts: DataFrame) -> DataFrame:
+    """Rows (root, lo, hi, own, sid, copies, text) for all pairs of blocks of each component, pairs of a block with itself included."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    each = texts.select("root", "own", "sid", "copies", "text", other)
+    return each.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "sid", "copies", "text")
+
+
+def links_of(member: DataFrame, texts_of, scratch: Scratch, similarity: float, count: bool) -> DataFrame:
+    """(sid, links, root): edges that connect each class, and with `count` each set's links.
+
+    member has node, root, blocks and own for each set of a component; texts_of(member) adds sid, copies and text.
+    """
+    out = "sid binary, links long, root binary"
+
+    def work(function):
+        def make():
+            cache = WordHash()
+            return lambda group: function(group, similarity, cache)
+
+        return make
+
+    if count:
+        return scratch.write(by_group(dealt(texts_of(member)), ["root", "lo", "hi"], out, work(verify)), "links")
+    texts = texts_of(member)
+    alone = texts.where("blocks = 1").select("root", F.lit(0).alias("lo"), "sid", "copies", "text", F.lit(False).alias("x"), "own")
+    is_lead = F.col("sid") == F.col("root")
+    to = F.explode(F.when(is_lead, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))).alias("lo")
+    large = texts.where("blocks > 1").select("root", to, "sid", "copies", "text", is_lead.alias("x"), "own")
+
+    def near_lead(group: pa.Table, similarity: float, cache: WordHash) -> pa.Table | None:
+        if any(group.column("x").to_pylist()):
+            return linked_by(group, similarity, cache)
+        return verify(group.append_column("hi", group.column("lo")), similarity, cache)
+
+    first = scratch.write(by_group(alone.unionByName(large), ["root", "lo"], out, work(near_lead)), "near-lead")
+    rest = member.where("blocks > 1 and node <> root").join(first.select(F.col("sid").alias("node")).distinct(), "node", "left_anti")
+    rest = scratch.write(rest.select("node", "root"), "rest")
+    per_root = rest.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("rest_blocks"))
+    again = member.join(per_root, "root").join(rest.select("node", F.lit(True).alias("is_rest")), "node", "left")
+    texts = texts_of(again.withColumn("own_rest", F.when(F.col("is_rest"), F.pmod(F.xxhash64("node"), F.col("rest_blocks")).cast("int"))))
+    every = texts.select("root", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("lo"), F.col("own").alias("hi"), "sid", "text", F.lit(False).alias("x"))
+    asked = texts.where("is_rest").select("root", F.col("own_rest").alias("lo"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("hi"), "sid", "text", F.lit(True).alias("x"))
+    if rest.isEmpty():
+        return first
+    return first.unionByName(scratch.write(by_group(every.unionByName(asked), ["root", "lo", "hi"], out, work(linked_by)), "links"))
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, count: bool = True) -> DataFrame:
     """For each row doc_id, text_hash, sid (digest of the shingle set), class_id (least doc_id of the class), class_sid, n_copies, n_links.
 
-    n_links counts the other rows of docs that are linked to this one, copies included.
+    n_links counts the other rows of docs that are linked to this one, copies included; without `count` it counts copies alone.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("text_hash"))
     scratch = Scratch(docs.sparkSession, "near-join")
-    rows = scratch.write(docs.mapInArrow(sketched, "doc_id long, text_hash long, sid binary, sketch binary"), "sketches")
+    rows = scratch.write(docs.mapInArrow(sketched, "doc_id long, text_hash long, sid binary, sketch binary, size long"), "sketches")
     head = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("head")
-    nodes = rows.where("sid is not null").groupBy("sid").agg(head, F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    nodes = rows.where("sid is not null").groupBy("sid").agg(head, F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.max("size").alias("size"))
     nodes = scratch.write(nodes, "nodes")
     found = components(candidates(nodes, scratch, similarity, recall))
-    member = scratch.write(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "candidates")
+    member = scratch.write(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "members")
     scratch.drop(*(f"{name}-{depth}" for name in ("sized", "stars") for depth in range(1, DEPTH + 1)))
 
-    # the text of each candidate once, dealt by component or, if that is large, to every pair of blocks that has its block
-    count = member.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
-    member = member.join(count, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = member.join(nodes.select("sid", "copies", F.col("head.doc_id").alias("w"), F.col("head.text_hash").alias("h")), F.col("node") == F.col("sid"))
-    texts = docs.join(wanted, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("w")))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = texts.select("root", "own", "sid", "copies", "text", other)
-    dealt = dealt.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "sid", "copies", "text")
+    sized = member.join(nodes.select(F.col("sid").alias("node"), "size"), "node")
+    n = F.count("*")
+    by_count = F.when(n <= SMALL, 1).otherwise(F.greatest(F.least(F.ceil(n / SMALL), F.lit(8)), F.ceil(n / GROUP)))
+    blocks = sized.groupBy("root").agg(F.greatest(by_count, F.ceil(F.sum("size") / WIDE)).cast("int").alias("blocks"))
+    member = scratch.write(member.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "candidates")
 
-    def verifier():
-        cache = WordHash()
-        return lambda group: verify(group, similarity, cache)
+    def texts_of(member: DataFrame) -> DataFrame:
+        """The text of each candidate once, from the first of its rows."""
+        wanted = member.join(nodes.select("sid", "copies", F.col("head.doc_id").alias("w"), F.col("head.text_hash").alias("h")), F.col("node") == F.col("sid"))
+        return docs.join(wanted, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("w")))
 
-    links = scratch.write(by_group(dealt, ["root", "lo", "hi"], "sid binary, links long, root binary", verifier), "links")
+    links = links_of(member, texts_of, scratch, similarity, count)
     linked = components(links.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     degree = links.groupBy(F.col("sid").alias("n")).agg(F.sum("links").alias("links"))
     named = nodes.select("sid", "copies", "head").join(linked, F.col("sid") == F.col("node"), "left").join(degree, F.col("sid") == F.col("n"), "left")
     named = scratch.write(named.select("sid", "copies", "head", F.coalesce("root", "sid").alias("class_sid"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
     least = named.groupBy(F.col("class_sid").alias("c")).agg(F.min("head").alias("first"))
     named = scratch.write(named.join(least, F.col("class_sid") == F.col("c")).select(F.col("sid").alias("s"), "class_sid", "copies", "links", "first"), "named")
-    scratch.drop("nodes", "candidates", "links", "classes")
+    scratch.drop("nodes", "members", "candidates", "near-lead", "rest", "links", "classes")
     alone = F.col("sid").isNull()
     return rows.select("doc_id", "text_hash", "sid").join(named, F.col("sid") == F.col("s"), "left").select(
         "doc_id", "text_hash", "sid", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), "class_sid",
@@ -348,9 +423,20 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """The rows of docs without all but the first of each class; rows that repeat both doc_id and text become one."""
-    found = classes(docs, similarity, recall)
-    gone = found.where(~F.col("is_first")).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    hashed = docs.withColumn("_text_hash", text_hash())
-    stay = hashed.join(gone, (F.col("_text_hash") == F.col("gone_hash")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
-    return stay.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    """The rows of docs without all but the first of each class; rows that repeat both doc_id and text become one.
+
+    All columns stay, whatever they are called. Of rows that repeat, the one with the least JSON stays.
+    """
+    found = written(classes(docs, similarity, recall, count=False).select("doc_id", "text_hash", "is_first"), "near-join-rows")
+    own = docs.select(packed(docs).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"))
+
+    def keys(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
+
+    on = (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    stay = own.join(keys(found.where("not is_first").distinct()), on, "left_anti")
+    repeated = keys(found.where("is_first").groupBy("doc_id", "text_hash").count().where("count > 1"))
+    if not repeated.isEmpty():
+        one = stay.join(repeated, on, "left_semi").groupBy("doc_id", "text_hash").agg(F.min_by("own", F.to_json("own")).alias("own"))
+        stay = stay.join(repeated, on, "left_anti").select("own").unionByName(one.select("own"))
+    return stay.select(*unpacked(stay, "own", docs))
