@@ -152,8 +152,11 @@ def test_near_join(docs, empty, monkeypatch):
     got = Counter((r.doc_id, r.class_id, r.n_links) for r in near_join.classes(docs).collect())
     assert got == want and max(k[2] for k in want) >= 10
     monkeypatch.setattr(near_join, "LEAF", 2)  # buckets are split to the last, and components verified by pairs of blocks
+    monkeypatch.setattr(near_join, "SMALL", 2)
     monkeypatch.setattr(near_join, "GROUP", 3)
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in near_join.classes(docs).collect()) == want
+    got = Counter((r.doc_id, r.class_id) for r in near_join.classes(docs, count=False).collect())
+    assert got == Counter((r, c) for (r, c, _), n in want.items() for _ in range(n))
     assert near_join.classes(empty).count() == 0
 
 
@@ -198,6 +201,31 @@ def test_one_of_each(docs):
     assert 60 in ids and not {61, 65, 69, 70, 71} & set(ids) and ids[76] == 1 and ids[72] == ids[73] == 1 and ids[75] == 1
 
 
+def chain(n: int, words: int = 40) -> list[tuple[int, str]]:
+    """Texts of which each links the next one only, so that a class hangs together through all of them."""
+    return [(i, " ".join(f"v{k}" for k in range(i * 4, i * 4 + words))) for i in range(n)]
+
+
+def test_classes_through_others(spark, monkeypatch):
+    """Beside a representative that links few, the rest is compared with all; classes are those of brute force."""
+    rows = chain(30) + [(100 + i, text + " tail") for i, (_, text) in enumerate(chain(6, 80)[:3])] + [(200, "alone " * 9)]
+    _, links = brute_links(rows)
+    root = list(range(len(rows)))
+    for _ in rows:
+        root = [min([root[i], *(root[j] for j in links[i])]) for i in range(len(rows))]
+    monkeypatch.setattr(near_join, "SMALL", 4)
+    monkeypatch.setattr(near_join, "GROUP", 5)
+    # every set a candidate of every other, as in a bucket that no split divides
+    everything = lambda nodes, *a: nodes.crossJoin(nodes.agg(F.min("sid").alias("b"))).select(F.col("sid").alias("a"), "b")
+    monkeypatch.setattr(near_join, "candidates", everything)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {rows[i][0]: rows[root[i]][0] for i in range(len(rows))}
+    assert max(len([1 for r in root if r == k]) for k in set(root)) >= 20
+    for count in (False, True):
+        assert {r.doc_id: r.class_id for r in near_join.classes(df, count=count).collect()} == want
+    assert {r.doc_id: r.n_links for r in near_join.classes(df).collect()} == {rows[i][0]: len(links[i]) for i in range(len(rows))}
+
+
 def test_components_of_a_path(spark):
     n = 40
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (101, 100)], "a long, b long")
