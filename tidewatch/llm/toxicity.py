@@ -1,10 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A document is split into clauses at [.,;:!?] and line ends. Five small transducers, applied one after the other to a clause's words,
-form the grammar:
+A document is split into clauses at [.,;:!?] and line ends. Five small weighted transducers are composed into one, which reads a
+clause's words once; its states are tuples of theirs:
 
-* the insult and threat transducers read a word's letters and write INSULT or THREAT where it is in the lexicon or begins with one
-  of its stems;
+* the insult transducer reads a word's letters and writes INSULT with the weight of the word, or of the stem it begins with, in the
+  lexicon; the threat transducer writes THREAT at the last word of a threat, with weight 1 where there is none yet;
 * the target transducer writes TARGET for words of address, and a clause that has one makes its insults and threats targeted;
 * the negation transducer writes NEGATED for an insult or threat within three words behind a negation;
 * the reported-speech transducer writes REPORTED for what follows a verb of saying in its clause.
@@ -13,11 +13,14 @@ Sums of the weights of plain, targeted, negated, reported and threatening matche
 document's features; their factors and a bias come from a logistic regression on labelled rows. A clause is scored, never a lone word.
 
 Seed words are English; all others are learned: whole words and word beginnings of 4 to 8 letters that are much more frequent in
-toxic than in other labelled documents, near copies among these counted once. Labelled rows are a bounded sample: SAMPLE rows of each
-class, in order of crc32(doc_id), held-out rows never among them.
-
-Null and empty texts have no match and get the score of a text without matches. Rows are scored one by one; an empty label table
-leaves the seed words with fixed weights.
+toxic than in other labelled documents, near copies among these counted once. Labelled rows are a bounded sample: SAMPLE ids of each
+class, in order of crc32(doc_id), with one text each, held-out ones never among them. Their words are counted by Spark; the driver gets eight numbers for
+each text and the words that were taken.
+
+Null and empty texts have no match and get the score of a text without matches. Rows are scored one by one, repeated ones alike; long
+texts are read to the end. An empty label table leaves the seed words with fixed weights; an empty table of documents gives no rows.
+Other columns stay as they are; on a clash of names those made here win. doc_id is read as a long where labels are looked up, so a text
+that is no number raises.
 """
 
 from __future__ import annotations
@@ -26,7 +29,6 @@ import math
 import re
 import uuid
 from collections import Counter
-from zlib import crc32
 
 import ahocorasick
 import numpy as np
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import batches_by_bytes, fold, wider
+from tidewatch.llm.shared import batches_by_bytes, fold, wider, written
 
 #: Labelled rows of each class that are learned from.
 SAMPLE = 2000
@@ -58,27 +60,32 @@ _machines: dict[str, "Grammar"] = {}
 
 
 class Transducer:
-    """States, a start, and step(state, word, tag) -> (state, tag)."""
+    """A start state and step(state, word, tag, weight) -> (state, tag, weight)."""
 
     def __init__(self, start, step):
         self.start, self.step = start, step
 
-    def run(self, words: list[bytes], tags: list[str]) -> list[str]:
-        state, out = self.start, []
-        for word, tag in zip(words, tags, strict=True):
-            state, tag = self.step(state, word, tag)
-            out.append(tag)
-        return out
+    def then(self, other: "Transducer") -> "Transducer":
+        """The composition: other reads what this one writes; states are pairs."""
 
+        def step(state, word, tag, weight):
+            first, tag, weight = self.step(state[0], word, tag, weight)
+            second, tag, weight = other.step(state[1], word, tag, weight)
+            return (first, second), tag, weight
 
-def composed(words: list[bytes], tags: list[str], machines: list[Transducer]) -> list[str]:
-    for machine in machines:
-        tags = machine.run(words, tags)
-    return tags
+        return Transducer((self.start, other.start), step)
+
+    def run(self, words: list[bytes]) -> list[tuple[str, float]]:
+        """The tag and weight that are written for each word."""
+        state, out = self.start, []
+        for word in words:
+            state, tag, weight = self.step(state, word, "", 0.0)
+            out.append((tag, weight))
+        return out
 
 
 class Grammar:
-    """The composed transducers over a lexicon of whole words and word beginnings."""
+    """The composed transducer over a lexicon of whole words and word beginnings."""
 
     def __init__(self, weights: dict[str, float], threats: list[str] = THREATS):
         self.weights = {s.encode(): w for s, w in weights.items()}
@@ -92,39 +99,39 @@ class Grammar:
         targets, negations, reports = ({w.encode() for w in group} for group in (TARGETS, NEGATIONS, REPORTS))
         marked = ("INSULT", "THREAT")
 
-        def negate(left, word, tag):
+        def negate(left, word, tag, weight):
             if word in negations:
-                return 3, tag
-            return max(left - 1, 0), "NEGATED" if left and tag in marked else tag
+                return 3, tag, weight
+            return max(left - 1, 0), "NEGATED" if left and tag in marked else tag, weight
 
-        def report(on, word, tag):
-            return on or word in reports, "REPORTED" if on and tag in marked else tag
+        def report(on, word, tag, weight):
+            return on or word in reports, "REPORTED" if on and tag in marked else tag, weight
 
-        self.machines = [
-            Transducer(None, lambda s, word, tag: (s, "INSULT" if self.weight(word) else tag)),
-            Transducer((), self.threaten),
-            Transducer(None, lambda s, word, tag: (s, "TARGET" if tag == "" and word in targets else tag)),
-            Transducer(0, negate),
-            Transducer(False, report),
-        ]
+        insults = Transducer(None, self.insult)
+        threats = Transducer((), self.threaten)
+        address = Transducer(None, lambda s, word, tag, weight: (s, "TARGET" if tag == "" and word in targets else tag, weight))
+        self.machine = insults.then(threats).then(address).then(Transducer(0, negate)).then(Transducer(False, report))
 
     def weight(self, word: bytes) -> float:
         """The largest weight of the word itself or of its beginnings; 0 if there is none."""
         marked = word + b" "
         return max((self.weights.get(marked[:n], 0.0) for n in self.sizes if n <= len(marked)), default=0.0)
 
-    def threaten(self, last: tuple, word: bytes, tag: str):
+    def insult(self, state, word: bytes, tag: str, weight: float):
+        found = self.weight(word)
+        return state, "INSULT" if found else tag, found or weight
+
+    def threaten(self, last: tuple, word: bytes, tag: str, weight: float):
         last = (*last[-3:], word)
-        return last, "THREAT" if any(last[-k:] in self.threats for k in (2, 3, 4)) else tag
+        return (last, "THREAT", weight or 1.0) if any(last[-k:] in self.threats for k in (2, 3, 4)) else (last, tag, weight)
 
     def clause(self, clause: bytes) -> np.ndarray:
         """Weights of a clause's matches by what the grammar makes of them."""
-        words = clause.split()
-        tags = composed(words, [""] * len(words), self.machines)
-        out, insult = np.zeros(len(FEATURES)), 1 if "TARGET" in tags else 0
-        for word, tag in zip(words, tags, strict=True):
+        written = self.machine.run(clause.split())
+        out, insult = np.zeros(len(FEATURES)), 1 if any(tag == "TARGET" for tag, _ in written) else 0
+        for tag, weight in written:
             if tag in PLACE:
-                out[insult if tag == "INSULT" else PLACE[tag]] += self.weight(word) or 1.0
+                out[insult if tag == "INSULT" else PLACE[tag]] += weight
         return out
 
     def features(self, text: bytes) -> np.ndarray:
@@ -148,52 +155,53 @@ def grammar(name: str, weights: dict[str, float]) -> Grammar:
     return _machines[name]
 
 
-def beginnings(words: set[str]) -> set[str]:
-    """Marked whole words, and beginnings of 4 to 8 letters."""
-    return {f"{w} " for w in words if len(w) > 2} | {w[:n] for w in words for n in range(4, min(8, len(w)) + 1)}
+#: Near copies are told by so many minima of hashes, of which half agree.
+MINIMA = 8
+
+
+def minima(words) -> "F.Column":
+    """Minima of MINIMA hashes over an array of words."""
+    return F.array(*(F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w, F.lit(i)))), F.lit(0).cast("long")) for i in range(MINIMA)))  # noqa: B023
 
 
-def unlike(rows: list[str]) -> list[str]:
-    """rows (words with spaces between) without near copies of earlier ones, judged by eight minima of hashes, so that one copied text proves nothing."""
+def unlike(rows: list[tuple[int, list[int]]]) -> list[int]:
+    """The ids of rows (id, minima) that are no near copies of earlier ones, so that one copied text proves nothing."""
     seen: dict[tuple[int, int], list[int]] = {}
     kept = []
-    for words in rows:
-        hashes = np.array([crc32(w.encode()) for w in words.split()] or [0], dtype=np.uint64)
-        marks = [(i, int((hashes * np.uint64(2 * i + 0x9E3779B1) % np.uint64(0xFFFFFFFB)).min())) for i in range(8)]
-        if max(Counter(k for m in marks for k in seen.get(m, ())).values(), default=0) < 4:
-            for m in marks:
-                seen.setdefault(m, []).append(len(kept))
-            kept.append(words)
+    for doc_id, marks in rows:
+        if max(Counter(k for m in enumerate(marks) for k in seen.get(m, ())).values(), default=0) < MINIMA // 2:
+            for m in enumerate(marks):
+                seen.setdefault(m, []).append(doc_id)
+            kept.append(doc_id)
     return kept
 
 
-def lexicon(toxic: list[str], other: list[str]) -> dict[str, float]:
-    """Weights of whole words (with a space behind) and beginnings that mark toxic documents.
+def beginnings(words) -> "F.Column":
+    """Marked whole words, and beginnings of 4 to 8 letters, of an array of words, each once."""
+    of = lambda w: F.array(F.when(F.length(w) > 2, F.concat(w, F.lit(" "))), *(F.when(F.length(w) >= n, F.substring(w, 1, n)) for n in range(4, 9)))
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(words, of))))
+
+
+def lexicon(words: DataFrame) -> dict[str, float]:
+    """Weights of whole words (with a space behind) and beginnings that mark toxic documents, from (doc_id, toxic, words).
 
     One is taken if it is four times as frequent there and so lopsided that among all of them 0.05 would be by chance (Chernoff's
-    bound for a binomial); its weight is the logarithm of the ratio. Documents come as their words with spaces between. A first
-    pass counts all in hashed slots, so that the second holds only those that enough toxic documents have.
+    bound for a binomial); its weight is the logarithm of the ratio. Counted by Spark over the documents that are no near copies.
     """
-    toxic, other = unlike(toxic), unlike(other)
+    marks = words.select("doc_id", "toxic", minima(F.col("words")).alias("marks")).orderBy("doc_id").collect()  # two samples of eight numbers
+    toxic, other = (unlike([(r.doc_id, r.marks) for r in marks if r.toxic == kind]) for kind in (1, 0))
     if not toxic or not other:
         return {}
-    slots = np.zeros(1 << 22, dtype=np.int32)
-    for rows in (toxic, other):
-        for words in rows:
-            slots[np.unique(np.array([crc32(s.encode()) for s in beginnings(set(words.split()))] or [0], dtype=np.int64) % len(slots))] += 1
+    ids = words.sparkSession.createDataFrame([(i,) for i in toxic + other], "kept_id long")
+    kept = words.join(F.broadcast(ids), F.col("doc_id") == F.col("kept_id")).select("toxic", F.explode(beginnings(F.col("words"))).alias("stem"))
+    counts = written(kept.groupBy("stem").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")), "stems")
     p = len(toxic) / (len(toxic) + len(other))
-    needed = math.log(max(1, int((slots >= 4).sum())) / 0.05)
-    least = needed / -math.log(p)
-    a, b = (Counter(s for words in rows for s in beginnings(set(words.split())) if slots[crc32(s.encode()) % len(slots)] >= least) for rows in (toxic, other))
-    found = {}
-    for s, n in a.items():
-        both = n + b[s]
-        q = n / both
-        ratio = (n + 0.5) / (len(toxic) + 1) / ((b[s] + 0.5) / (len(other) + 1))
-        bound = both * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0))
-        if ratio >= 4 and bound >= needed:
-            found[s] = math.log(ratio)
-    return found
+    needed = math.log(max(1, counts.where("a + b >= 4").count()) / 0.05)
+    q = F.col("a") / (F.col("a") + F.col("b"))
+    ratio = (F.col("a") + 0.5) / (len(toxic) + 1) / ((F.col("b") + 0.5) / (len(other) + 1))
+    bound = (F.col("a") + F.col("b")) * (q * F.ln(q / p) + F.when(q < 1, (1 - q) * F.ln((1 - q) / (1 - p))).otherwise(0.0))
+    found = counts.where("a > 0").select("stem", ratio.alias("ratio"), bound.alias("bound")).where((F.col("ratio") >= 4) & (F.col("bound") >= needed))
+    return {r.stem: math.log(r.ratio) for r in found.collect()}
 
 
 def fit(x: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, float]:
@@ -221,23 +229,19 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     order = [F.crc32(F.col("doc_id").cast("string")), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(sample).unionByName(known.where("toxic = 0").orderBy(*order).limit(sample))
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    of = {r.doc_id: r.toxic for r in chosen.collect()}
-    ids = docs.sparkSession.createDataFrame([(i,) for i in of], "label_id long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"), "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = written(rows.join(F.broadcast(chosen.withColumnRenamed("doc_id", "label_id")), F.col("doc_id") == F.col("label_id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-sample")  # one text for each id
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}]+"), 0))
-    sets: dict[int, list[str]] = {0: [], 1: []}
-    for r in rows.select("doc_id", F.array_join(words, " ").alias("words")).toLocalIterator():
-        sets[of[r.doc_id]].append(r.words)
-    weights = {f"{w} ": SEED_WEIGHT for w in INSULTS} | lexicon(sets[1], sets[0])
+    weights = {f"{w} ": SEED_WEIGHT for w in INSULTS} | lexicon(rows.select("doc_id", "toxic", words.alias("words")))
     name = uuid.uuid4().hex
 
     def features(batches):
         g = grammar(name, weights)
         for batch, texts in batches_by_bytes(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g.features(t).tolist() for t in texts], pa.list_(pa.float64()))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([g.features(t).tolist() for t in texts], pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    got = rows.mapInArrow(features, "doc_id long, x array<double>").collect()
-    beta, bias = fit(np.array([r.x for r in got]).reshape(-1, len(FEATURES)), np.array([of[r.doc_id] for r in got], dtype=float), share)
+    got = rows.select("toxic", "text").mapInArrow(features, "toxic int, x array<double>").collect()  # two samples of five numbers
+    beta, bias = fit(np.array([r.x for r in got]).reshape(-1, len(FEATURES)), np.array([r.toxic for r in got], dtype=float), share)
 
     def scored(batches):
         g = grammar(name, weights)
