@@ -5,17 +5,19 @@ Rules are (host, path) pairs: a rule fits its host and all its subdomains where
 are judged by the models.
 
 Models: smoothed variable-order Markov models of order ORDER over the URL's bytes behind "://" (A-Z lower-cased, digits all 0),
-query and fragment included. p of order k interpolates the counts of the last k bytes with order k - 1 (Witten-Bell: the weight of the lower
-order is the number of different bytes seen behind the context), down to a uniform one. Counts live in SLOTS hashed slots for each order
-and class, a fixed size; contexts that collide share their counts, which only smooths more. All URLs that rules decide are counted, in
-one pass with partial counts for each task.
+query and fragment included. p of order k interpolates the counts of the last k bytes with order k - 1 (Witten-Bell: the weight of the
+lower order is the number of different bytes seen behind the context), down to a uniform one. Contexts of up to two bytes are told apart
+exactly, those of three and four by one of SLOTS hashed slots for each order, which is about as many as URLs have; each byte behind a
+slot has its own exact count. All URLs that rules decide are counted, by Spark; a model holds what occurs, sorted, and is bounded by
+the slots and the bytes that URLs use.
 
 Score: (log p_accepted - log p_rejected) / bytes. The threshold is calibrated on the decided URLs: of those whose crc32(url) mod 5 is
 0, all of them, which the calibrating models do not count, it is the score with the best balanced accuracy on a fixed grid; the
 final models count all.
 
-A null URL, one without "://" or one with nothing behind it has empty host and path, no rule and score 0. Where either class is
-missing, the threshold is 0 and every score is 0, so that all such URLs are allowed. Repeated rows are judged alike.
+A null URL, one without "://" or one with nothing behind it has empty host and path, no rule and score 0, and is allowed. Where either
+class is missing, every score is 0 and all URLs without a rule are allowed. Repeated rows are judged alike (and count each time), long
+URLs are read to the end, an empty table gives no rows. Other columns stay as they are; on a clash of names those made here win.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.shared import mixed, wider
 
-ORDER, SLOTS = 4, 1 << 15
+ORDER, SLOTS = 4, 1 << 20
 #: Verdict, host and path of each rule.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,79 +62,93 @@ def cleaned(url: str | None) -> bytes:
     return rest.translate(bytes(48 if 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else b for b in range(256)))
 
 
-def slots(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte and order 0..ORDER: the slot of its context, and of the context with the byte."""
-    padded = np.frombuffer(b"\x00" * ORDER + text, dtype=np.uint8).astype(np.uint64)
-    n = len(text)
-    contexts, pairs = np.zeros((ORDER + 1, n), dtype=np.int64), np.zeros((ORDER + 1, n), dtype=np.int64)
-    state = np.full(n, 1, dtype=np.uint64)
+def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each order 0..ORDER and byte of all texts one number for order, context and byte (context: without its last eight bits); and each text's size."""
+    padded = np.frombuffer(b"".join(b"\x00" * ORDER + t for t in texts), dtype=np.uint8).astype(np.uint64)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    at = np.arange(int(sizes.sum())) + np.repeat(np.arange(1, len(texts) + 1) * ORDER, sizes)
+    out = np.empty((ORDER + 1, len(at)), dtype=np.uint64)
+    context = np.zeros(len(at), dtype=np.uint64)
     for k in range(ORDER + 1):
         if k:
-            state = mixed(state * np.uint64(257) + padded[ORDER - k : ORDER - k + n])
-        contexts[k] = state % np.uint64(SLOTS)
-        pairs[k] = mixed(state * np.uint64(263) + padded[ORDER:] + np.uint64(1)) % np.uint64(SLOTS)
-    return contexts, pairs
+            context = context << np.uint64(8) | padded[at - k]
+        slot = context if k < 3 else mixed(context + np.uint64(k)) % np.uint64(SLOTS)
+        out[k] = (np.uint64(k * SLOTS) + slot) << np.uint64(8) | padded[at]
+    return out, sizes
 
 
-class Model:
-    """Counts of contexts, of contexts with a byte, and of different bytes behind contexts, for one class of URLs."""
+def found(values: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The counts of values among sorted keys; 0 for those that are not there."""
+    if not len(keys):
+        return np.zeros(values.shape)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return np.where(keys[at] == values, counts[at], 0).astype(np.float64)
 
-    def __init__(self, pairs: np.ndarray, contexts: np.ndarray, kinds: np.ndarray):
-        self.pairs, self.contexts, self.kinds = pairs, contexts, kinds
 
-    def log_p(self, contexts: np.ndarray, pairs: np.ndarray) -> float:
-        p = np.full(contexts.shape[1], 1 / 256)
+class Model:
+    """Counts of contexts with a byte, of contexts, and of different bytes behind contexts, for one class of URLs."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        """From keys, which may repeat, and their counts."""
+        self.pairs, place = np.unique(np.asarray(keys, dtype=np.uint64), return_inverse=True)
+        self.n = np.bincount(place, weights=counts, minlength=len(self.pairs))
+        self.contexts, place, self.kinds = np.unique(self.pairs >> np.uint64(8), return_inverse=True, return_counts=True)
+        self.sums = np.bincount(place, weights=self.n, minlength=len(self.contexts))
+
+    def log_p(self, keys: np.ndarray) -> np.ndarray:
+        """The logarithm of each byte's probability."""
+        p = np.full(keys.shape[1], 1 / 256)
         for k in range(ORDER + 1):
-            kinds = self.kinds[k, contexts[k]]
-            p = np.where(kinds > 0, (self.pairs[k, pairs[k]] + kinds * p) / np.maximum(self.contexts[k, contexts[k]] + kinds, 1), p)
-        return float(np.log(np.minimum(p, 1.0)).sum())
+            contexts = keys[k] >> np.uint64(8)
+            kinds, sums = found(contexts, self.contexts, self.kinds), found(contexts, self.contexts, self.sums)
+            p = np.where(kinds > 0, (found(keys[k], self.pairs, self.n) + kinds * p) / np.maximum(sums + kinds, 1), p)
+        return np.log(p)
 
 
-def counted(pages: DataFrame) -> dict[tuple[int, int], Model]:
-    """Models by (class, fold) from decided pages: at most 2 * 2 * (ORDER + 1) * SLOTS pairs of slots, whatever the input."""
+def counted(decided: DataFrame) -> dict[tuple[str, str], Model]:
+    """Models by verdict for "rest" (URLs that do not calibrate) and "all", from url, decided and fold."""
 
     def count(batches):
-        """Sums of this task by slot pair."""
-        seen = np.zeros((2, 2, ORDER + 1, SLOTS), dtype=np.int64), np.zeros((2, 2, ORDER + 1, SLOTS), dtype=np.int64)
-        owner = np.full((2, 2, ORDER + 1, SLOTS), -1, dtype=np.int64)
+        """Sums of this task."""
+        held: dict[tuple[str, bool], list] = {}
         for batch in batches:
-            for url, kind, fold in zip(*(batch.column(c).to_pylist() for c in ("url", "decided", "fold")), strict=True):
-                contexts, pairs = slots(cleaned(url))
-                c, f = int(kind == "allow"), int(fold == 0)
-                for k in range(ORDER + 1):
-                    np.add.at(seen[0][c, f, k], pairs[k], 1)
-                    np.add.at(seen[1][c, f, k], contexts[k], 1)
-                    owner[c, f, k, pairs[k]] = contexts[k]
-        for what, table in enumerate(seen):
-            at = np.flatnonzero(table)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), what, dtype=np.int32)), pa.array(at), pa.array(table.flat[at]), pa.array(owner.flat[at] if what == 0 else at * 0)], names=["what", "slot", "n", "context"])
-
-    sums = pages.mapInArrow(count, "what int, slot long, n long, context long").groupBy("what", "slot").agg(F.sum("n").alias("n"), F.max("context").alias("context"))
-    got = sums.toPandas()
-    shape = (2, 2, ORDER + 1, SLOTS)
-    pairs, contexts, kinds = (np.zeros(shape) for _ in range(3))
-    one = got[got.what == 0]
-    pairs.flat[one.slot.to_numpy()] = one.n.to_numpy()
-    np.add.at(kinds.reshape(-1), one.slot.to_numpy() // SLOTS * SLOTS + one.context.to_numpy(), 1)
-    two = got[got.what == 1]
-    contexts.flat[two.slot.to_numpy()] = two.n.to_numpy()
+            kinds, apart = np.array(batch.column("decided").to_pylist()), np.array(batch.column("fold").to_pylist()) == 0
+            texts = [cleaned(u) for u in batch.column("url").to_pylist()]
+            for kind in ("allow", "block"):
+                for out in (False, True):
+                    some = [texts[i] for i in np.flatnonzero((kinds == kind) & (apart == out))]
+                    if some:
+                        keys, n = np.unique(keys_of(some)[0], return_counts=True)
+                        parts = held.setdefault((kind, out), [])
+                        parts.append((keys, n))
+                        if len(parts) > 64:
+                            parts[:] = [summed(parts)]
+        for (kind, out), parts in held.items():
+            keys, n = summed(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys)), pa.array([out] * len(keys)), pa.array(keys.view(np.int64)), pa.array(n)], names=["kind", "apart", "key", "n"])
+
+    sums = decided.mapInArrow(count, "kind string, apart boolean, key long, n long").groupBy("kind", "apart", "key").agg(F.sum("n").alias("n"))
+    got = sums.toPandas()  # twice a model's size at most, for each class
     models = {}
-    for c in range(2):
-        for fold in range(2):
-            models[c, fold] = Model(pairs[c, fold], contexts[c, fold], kinds[c, fold])
-        models[c, 2] = Model(*(x[c].sum(axis=0) if x is not kinds else x[c].max(axis=0) for x in (pairs, contexts, kinds)))
+    for kind in ("allow", "block"):
+        own = got[got.kind == kind]
+        for name, rows in (("rest", own[~own.apart.astype(bool)]), ("all", own)):
+            models[kind, name] = Model(rows.key.to_numpy(dtype=np.int64).view(np.uint64), rows.n.to_numpy(dtype=np.float64))
     return models
 
 
-def scores(urls: list[str | None], good: Model, bad: Model) -> np.ndarray:
-    out = np.zeros(len(urls))
-    for i, url in enumerate(urls):
-        text = cleaned(url)
-        if text:
-            at = slots(text)
-            out[i] = (good.log_p(*at) - bad.log_p(*at)) / len(text)
-    return out
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(place, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
+
+
+def scores(urls: list[str | None], good: Model, bad: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Each URL's score, and whether there is anything to score."""
+    keys, sizes = keys_of([cleaned(u) for u in urls])
+    full, out = sizes > 0, np.zeros(len(urls))
+    if full.any():
+        out[full] = np.add.reduceat(good.log_p(keys) - bad.log_p(keys), (np.cumsum(sizes) - sizes)[full]) / sizes[full]
+    return out, full
 
 
 #: Scores are calibrated on a grid of this step, within these bounds.
@@ -154,11 +170,12 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     p = ruled(pages.drop("score", "verdict"), rules)
     decided = p.where("decided is not null").select("url", "decided", (F.crc32("url") % 5).alias("fold"))
     models = counted(decided)
-    both = bool(models[0, 2].contexts.any() and models[1, 2].contexts.any())
+    both = bool(len(models["allow", "all"].pairs) and len(models["block", "all"].pairs))
+    shipped = pages.sparkSession.sparkContext.broadcast(models)
 
     def graded(batches):
         for batch in batches:
-            s = scores(batch.column("url").to_pylist(), models[1, 0], models[0, 0])
+            s, _ = scores(batch.column("url").to_pylist(), shipped.value["allow", "rest"], shipped.value["block", "rest"])
             place = np.floor(np.clip(s, -BOUND, BOUND) / STEP).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("decided"), pa.array(place)], names=["decided", "place"])
 
@@ -166,13 +183,12 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     if both:
         grid = decided.where("fold = 0").select("url", "decided").mapInArrow(graded, "decided string, place int").groupBy("decided", "place").count().collect()
         cut = balanced_cut({(r["decided"], r["place"]): r["count"] for r in grid})
-    good, bad = models[1, 2], models[0, 2]
 
     def scored(batches):
         for batch in batches:
-            s = scores(batch.column("url").to_pylist(), good, bad) if both else np.zeros(batch.num_rows)
-            decided = batch.column("decided").to_pylist()
-            verdict = [d or ("allow" if v >= cut or v == 0 else "block") for d, v in zip(decided, s.tolist(), strict=True)]
+            urls, decided = batch.column("url").to_pylist(), batch.column("decided").to_pylist()
+            s, full = scores(urls, shipped.value["allow", "all"], shipped.value["block", "all"]) if both else (np.zeros(len(urls)), np.zeros(len(urls), dtype=bool))
+            verdict = [d or ("allow" if v >= cut or not f else "block") for d, v, f in zip(decided, s.tolist(), full.tolist(), strict=True)]
             kept = batch.drop_columns(["decided"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(s), pa.array(verdict, pa.string())], names=[*kept.schema.names, "score", "verdict"])
 
