@@ -1,4 +1,10 @@
-"""Stages of the pipeline: each takes (spark, docs, sf_dir); all but the last return the columns of documents."""
+"""Stages of the pipeline: each takes (spark, docs, sf_dir); all but the last return the columns of documents.
+
+Every stage takes odd rows as its operator does: null and empty texts are neither toxic nor contaminated and have no near-duplicates;
+rows that repeat doc_id and text become one in ngram_join and are otherwise kept; ties go to the smallest doc_id; long texts are read
+to the end; an empty table stays empty; columns beside doc_id, text and source are carried along, whatever they are called (but a
+column called shard or slot gives way to the last stage's own).
+"""
 
 from __future__ import annotations
 
@@ -6,17 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm import decontamination, mixing, near_join, sharding, toxicity
-from tidewatch.llm.shared import table
+from tidewatch.llm.shared import column, packed, table
 
 
 def aside(docs: DataFrame) -> DataFrame:
-    """docs with every column but doc_id, text and source under another name, so that none clashes with what an operator makes."""
-    return docs.select(*(F.col(c) if c in ("doc_id", "text", "source") else F.col(c).alias(f"_own_{c}") for c in docs.columns))
+    """doc_id, text and, as one struct, all other columns of docs, so that none clashes with what an operator makes."""
+    return docs.select(packed(docs, "doc_id", "text").alias("own"), "doc_id", "text")
 
 
 def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of docs again."""
-    return rows.select(*(F.col(c) if c in ("doc_id", "text", "source") else F.col(f"_own_{c}").alias(c) for c in docs.columns))
+    return rows.select(*(column(c) if c.lower() in ("doc_id", "text") else F.col("own").getField(c).alias(c) for c in docs.columns))
 
 
 def toxicity_filter(spark, docs, sf_dir):
@@ -38,7 +44,7 @@ def benchmark_filter(spark, docs, sf_dir):
 
 def source_mix(spark, docs, sf_dir):
     """Sources come as often as their targets ask for."""
-    return restored(mixing.mixed_rows(aside(docs)), docs)
+    return mixing.mixed_rows(docs)
 
 
 def shards(spark, docs, sf_dir):
