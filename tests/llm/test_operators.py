@@ -259,11 +259,40 @@ def test_decontamination(spark, docs, empty):
 def test_decontamination_in_parts(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(k, " ".join(make()[k][1].split()[:30])) for k in (4, 8, 9, 12, 60)], "item_id long, text string")
     one = {(r.doc_id, r.n_hit, r.items_sha256) for r in decontamination.decontaminate(docs, bench).collect()}
-    monkeypatch.setattr(decontamination, "PART_BYTES", 900)
-    assert {(r.doc_id, r.n_hit, r.items_sha256) for r in decontamination.decontaminate(docs, bench).collect()} == one
-
-
-@pytest.mark.parametrize("part_bytes", [decontamination.PART_BYTES, 200])
+    for part, sent, chunk in ((100, 1 << 30, 2000), (100, 300, 0), (1 << 20, 200, 5000)):
+        monkeypatch.setattr(decontamination, "PART_BYTES", part)
+        monkeypatch.setattr(decontamination, "SENT_BYTES", sent)
+        monkeypatch.setattr(decontamination, "CHUNK", chunk)
+        assert {(r.doc_id, r.n_hit, r.items_sha256) for r in decontamination.decontaminate(docs, bench).collect()} == one
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 7, 10])
+def test_anchors_find_every_window(window):
+    """Against all windows of all items, over texts of few different words, where matches are many and overlap."""
+    r = random.Random(window)
+    for _ in range(60):
+        items = [(str(k), " ".join(r.choice("ab") for _ in range(r.randrange(0, 25))).encode()) for k in range(3)]
+        words = [r.choice("ab").encode() for _ in range(r.randrange(0, 60))]
+        on, found = np.zeros(len(words), dtype=bool), set()
+        decontamination.Part(items, window).hits(words, on, found)
+        want, of = np.zeros(len(words), dtype=bool), set()
+        for name, text in items:
+            for w in decontamination.windows_of(decontamination.words_of(text), window):
+                for i in range(len(words) - len(w) + 1):
+                    if tuple(words[i : i + len(w)]) == w:
+                        want[i : i + len(w)] = True
+                        of.add(name)
+        assert (on == want).all() and found == of
+
+
+def test_hits_at_the_end_of_a_long_text(spark):
+    passage = " ".join(f"q{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, "word " * 300_000 + passage)], "doc_id long, text string")
+    (r,) = decontamination.decontaminate(docs, spark.createDataFrame([(5, passage)], "item_id long, text string")).collect()
+    assert (r.n_words, r.n_hit, r.n_items, [s.asDict() for s in r.spans]) == (300_012, 12, 1, [{"start": 1_500_000, "end": 1_500_000 + len(passage)}])
+
+
+@pytest.mark.parametrize("part_bytes", [decontamination.PART_BYTES, 20])
 def test_decontamination_by_items_without_id(spark, monkeypatch, part_bytes):
     """By brute force, and as the query's SQL has it: null is one item in the count and none in the digest."""
     duckdb = pytest.importorskip("duckdb")
@@ -386,6 +415,86 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, lab).count() == 0
 
 
+def tags_by_hand(words, weights, threats):
+    """What the grammar should make of a clause, word by word, without machines."""
+    stem = lambda w: max([v for s, v in weights.items() if (w + " ").startswith(s)], default=0.0)
+    out = dict.fromkeys(toxicity.FEATURES, 0.0)
+    matched = []
+    for i, w in enumerate(words):
+        ends = any(words[max(0, i + 1 - k) : i + 1] == t.split() for t in threats for k in (len(t.split()),))
+        matched.append(("threat", stem(w) or 1.0) if ends else ("insult", stem(w)) if stem(w) else None)
+    target = any(m is None and w in toxicity.TARGETS for m, w in zip(matched, words, strict=True))
+    for i, m in enumerate(matched):
+        if m:
+            reported = any(w in toxicity.REPORTS for w in words[: i + 1])
+            # a negation counts for three words behind it, and none does for itself
+            negated = words[i] not in toxicity.NEGATIONS and any(w in toxicity.NEGATIONS for w in words[max(0, i - 3) : i])
+            kind = "reported" if reported and not negated else "negated" if negated else m[0] if m[0] == "threat" else "targeted" if target else "plain"
+            out[kind] += m[1]
+    return np.array([out[f] for f in toxicity.FEATURES])
+
+
+def test_grammar_by_brute_force():
+    """Random clauses of words that matter to it."""
+    r, weights = random.Random(5), {"idiot ": 4.0, "trash": 2.5, "trashy": 3.0, "scum ": 1.5}
+    g = toxicity.Grammar(weights)
+    pool = "idiot trash trashy trashiest scum you he not never said i will kill hurt find regret watch your back house burn day".split()
+    for _ in range(3000):
+        words = [r.choice(pool) for _ in range(r.randrange(1, 12))]
+        assert np.allclose(g.clause(" ".join(words).encode()), tags_by_hand(words, weights, toxicity.THREATS)), words
+
+
+def test_features_add_up_over_clauses():
+    r, weights = random.Random(6), {"idiot ": 4.0, "trash": 2.5}
+    g = toxicity.Grammar(weights)
+    pool = "idiot trashy you not said kill hurt calm day".split()
+    for _ in range(300):
+        clauses = [" ".join(r.choice(pool) for _ in range(r.randrange(1, 8))) for _ in range(r.randrange(1, 6))]
+        want = np.log1p(sum(tags_by_hand(c.split(), weights, toxicity.THREATS) for c in clauses))
+        assert np.allclose(g.features("; ".join(clauses).upper().encode()), want)
+    assert (g.features(("calm day " * 200_000 + "you idiot").encode()) == np.log1p([0, 4.0, 0, 0, 0])).all()
+
+
+def test_lexicon_by_brute_force(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(300):
+        words = ["".join(r.choice("abcdef") for _ in range(r.randrange(3, 9))) for _ in range(25)]
+        toxic = int(i % 3 == 0)
+        if toxic and r.random() < 0.8:
+            words.append("grumbo" + r.choice(["", "ling", "lot"]))
+        rows.append((i, toxic, sorted(set(words))))
+    rows += [(1000 + i, 1, rows[0][2]) for i in range(50)]  # copies prove nothing
+    got = toxicity.lexicon(spark.createDataFrame(rows, "doc_id long, toxic int, words array<string>"))
+    rows = rows[:300]
+    stems = [({f"{w} " for w in ws if len(w) > 2} | {w[:n] for w in ws for n in range(4, min(8, len(w)) + 1)}, t) for _, t, ws in rows]
+    bad, good = (Counter(s for of, t in stems if t == k for s in of) for k in (1, 0))
+    n, m = 100, 200
+    p, needed = n / (n + m), math.log(sum(bad[s] + good[s] >= 4 for s in bad | good) / 0.05)
+    want = {}
+    for s, a in bad.items():
+        b, q = good[s], a / (a + good[s])
+        ratio = (a + 0.5) / (n + 1) / ((b + 0.5) / (m + 1))
+        if ratio >= 4 and (a + b) * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0)) >= needed:
+            want[s] = math.log(ratio)
+    assert set(got) == set(want) and {"grum", "grumbo"} <= set(got) and all(math.isclose(got[s], want[s]) for s in got)
+
+
+def test_regression_finds_the_weights():
+    r = np.random.default_rng(2)
+    x = r.random((4000, 5)) * 3
+    y = (r.random(4000) < 1 / (1 + np.exp(-(x @ np.array([2.0, 3.0, 0.0, 1.0, 2.0]) - 8)))).astype(float)
+    beta, bias = toxicity.fit(x, y, y.mean())
+    assert np.abs(beta - [2, 3, 0, 1, 2]).max() < 0.4 and abs(bias + 8) < 1
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    out = toxicity.score(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")).where("held_out").join(table(spark, sf, "labels"), "doc_id").collect()
+    bad, good = ([r.predicted for r in out if r.toxic == k] for k in (1, 0))
+    assert sum(bad) >= 0.9 * len(bad) and sum(good) <= 0.02 * len(good)
+
+
 def test_grammar_tells_clauses_apart():
     g = toxicity.Grammar({"idiot ": 4.0, "trash": 4.0})
     names = dict(zip(toxicity.FEATURES, range(5), strict=True))
@@ -433,32 +542,65 @@ def test_url_models_read_query_and_fragment(spark):
     assert good > bad and better > worse and all(out[u].rule is None for u in asked)
 
 
-def test_url_models_by_brute_force():
-    counts = Counter()
-    texts = [b"abcab", b"abd"]
-    pairs, contexts, kinds = (np.zeros((url_filter.ORDER + 1, url_filter.SLOTS)) for _ in range(3))
-    for t in texts:
-        c, p = url_filter.slots(t)
-        for k in range(url_filter.ORDER + 1):
-            np.add.at(pairs[k], p[k], 1)
-            np.add.at(contexts[k], c[k], 1)
-            for a, b in {*zip(c[k].tolist(), p[k].tolist(), strict=True)}:
-                if (k, a, b) not in counts:
-                    kinds[k, a] += 1
-                counts[k, a, b] += 1
-    m = url_filter.Model(pairs, contexts, kinds)
-    want = 0.0
-    for i in range(2):
+def witten_bell(texts: list[bytes], of: bytes) -> float:
+    """log p of a URL under the counts of texts, from their substrings."""
+    order = url_filter.ORDER
+    padded = [b"\0" * order + t for t in texts]
+    total = 0.0
+    for i in range(len(of)):
         p = 1 / 256
-        for k in range(url_filter.ORDER + 1):
-            padded = [b"\0" * url_filter.ORDER + t for t in texts]
-            at = url_filter.ORDER
-            ctx = (b"\0" * url_filter.ORDER + b"ab")[at + i - k : at + i]
-            seen = [x[j : j + 1] for x in padded for j in range(at, len(x)) if x[j - k : j] == ctx]
+        for k in range(order + 1):
+            ctx = (b"\0" * order + of)[order + i - k : order + i]
+            seen = [x[j : j + 1] for x in padded for j in range(order, len(x)) if x[j - k : j] == ctx]
             if seen:
-                p = (seen.count(b"ab"[i : i + 1]) + len(set(seen)) * p) / (len(seen) + len(set(seen)))
-        want += math.log(p)
-    assert math.isclose(m.log_p(*url_filter.slots(b"ab")), want)
+                p = (seen.count(of[i : i + 1]) + len(set(seen)) * p) / (len(seen) + len(set(seen)))
+        total += math.log(p)
+    return total
+
+
+def test_url_models_by_brute_force():
+    texts = [b"abcab", b"abd", b"abcab"]
+    keys, n = np.unique(url_filter.keys_of(texts)[0], return_counts=True)
+    m = url_filter.Model(keys, n)
+    for of in (b"ab", b"abcabd", b"zz", b"a"):
+        assert math.isclose(m.log_p(url_filter.keys_of([of])[0]).sum(), witten_bell(texts, of))
+
+
+def test_url_models_count_all_and_the_rest(spark):
+    """What Spark counts over partitions and folds, against models of the texts themselves; scores of a batch against single ones."""
+    r = random.Random(3)
+    urls = [(f"https://h.{'com' if k % 2 else 'net'}/{'abc'[r.randrange(3)]}{r.randrange(30)}", "allow" if k % 2 else "block", k % 5) for k in range(120)] + [("none", "allow", 1)]
+    models = url_filter.counted(spark.createDataFrame(urls, "url string, decided string, fold int").repartition(5))
+    asked = ["https://h.com/a1", "https://x.org/", "https://h.net/c22?q#f", "nothing", None]
+    for kind in ("allow", "block"):
+        for name, folds in (("rest", {1, 2, 3, 4}), ("all", {0, 1, 2, 3, 4})):
+            texts = [url_filter.cleaned(u) for u, d, f in urls if d == kind and f in folds]
+            for u in asked[:3]:
+                assert math.isclose(models[kind, name].log_p(url_filter.keys_of([url_filter.cleaned(u)])[0]).sum(), witten_bell(texts, url_filter.cleaned(u)))
+    got, full = url_filter.scores(asked, models["allow", "all"], models["block", "all"])
+    assert full.tolist() == [True, True, True, False, False] and (got[3:] == 0).all()
+    for u, s in zip(asked[:3], got, strict=False):
+        texts = [[url_filter.cleaned(x) for x, d, _ in urls if d == kind] for kind in ("allow", "block")]
+        assert math.isclose(s, (witten_bell(texts[0], url_filter.cleaned(u)) - witten_bell(texts[1], url_filter.cleaned(u))) / len(url_filter.cleaned(u)))
+
+
+def test_balanced_cut_by_brute_force():
+    r = random.Random(7)
+    for _ in range(20):
+        rows = [(kind, int(r.gauss(20 if kind == "allow" else -20, 40))) for kind in ("allow", "block") for _ in range(r.randrange(1, 60))]
+        cut = url_filter.balanced_cut(Counter(rows))
+        value = lambda c: sum(k * url_filter.STEP >= c for t, k in rows if t == "allow") / sum(t == "allow" for t, _ in rows) + sum(k * url_filter.STEP < c for t, k in rows if t == "block") / sum(t == "block" for t, _ in rows)  # noqa: E731, B023
+        best = max(value(k * url_filter.STEP) for k in range(-4096, 4097))
+        assert math.isclose(value(cut), best)
+    assert url_filter.balanced_cut({("allow", 3): 5}) == 0.0
+
+
+def test_url_filter_of_repeated_and_long_urls(spark):
+    rows = [("https://a.com/x",), ("https://b.net/fr/x",), ("https://c.org/" + "y" * 50_000,), ("https://c.org/x",), ("https://c.org/x",), (None,)] + [("https://b.net/es/1",)] * 3
+    out = url_filter.judge(spark.createDataFrame(rows, "url string").repartition(3)).collect()
+    assert len(out) == len(rows)
+    assert len({(r.score, r.verdict) for r in out if r.url == "https://c.org/x"}) == 1
+    assert all(math.isfinite(r.score) for r in out) and {r.verdict for r in out if r.url is None} == {"allow"}
 
 
 def test_pipeline_against_brute_force(spark, sf):
