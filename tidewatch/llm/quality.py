@@ -1,17 +1,20 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network with temperature.
 
-1. Tokens are runs of letters and digits, and runs of other signs; they fall into BUCKETS hashed buckets. Each bucket has a random
-   sparse index vector of DIM signs. A bucket's context vector is the sum of the index vectors of all tokens within two places of its
-   tokens, over all documents: each task counts neighbours and sends one row per bucket, which Spark adds up. So the model has a
-   fixed size, whatever the corpus.
-2. Context vectors are centred and scaled to length 1. A document's features are the mean and deviation of its tokens' vectors, the
-   mean product of neighbouring tokens' vectors (which tells repetition), and the logarithm of its length. They are written once.
+1. Tokens are runs of letters and digits, and runs of other signs. Each has a random sparse index vector of DIM places with SIGNS
+   signs, drawn by its hash. A token's context vector is the sum of the index vectors of all tokens within REACH places of it, over all
+   documents. Sums are kept in TABLES tables of BUCKETS rows, into which tokens fall by different bits of their hash; a token's vector
+   is the mean of its rows, so tokens that share a row in one table still have vectors of their own, while what tasks send has a fixed
+   size, whatever the vocabulary: each task adds up its documents and sends one row per bucket, which Spark adds up.
+2. Rows are centred and scaled to length 1. A document's features are the mean and deviation of its tokens' vectors, the mean product
+   of neighbouring tokens' vectors (which tells repetition), and the logarithm of its length. They are written once.
 3. A network with one hidden layer of HIDDEN units (numpy, Adam, fixed seed) learns quality = 1 from labelled rows that are not held
    out: a bounded sample of SAMPLE rows in order of crc32(doc_id). A fifth of these only sets the stopping point and the temperature
    by which logits are divided, so that probabilities are calibrated.
 
-Null and empty texts have features 0 and get the network's answer to these. Without labels of both classes the score is the share of
-quality 1, or 0.5 where there are no labels at all. Rows are scored one by one, repeated ones alike.
+Null and empty texts have features 0 and get the network's answer to these; long ones are read to the end. Without labels of both
+classes the score is the share of quality 1, or 0.5 where there are no labels at all. Rows are scored one by one, repeated ones alike;
+an empty table gives no rows. Only doc_id and text are read, so names of other columns cannot clash; doc_id is read as a long, so a
+text that is no number raises.
 """
 
 from __future__ import annotations
@@ -25,79 +28,93 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.shared import WordHash, batches_by_bytes, fold, mixed, wider, written
 
-BUCKETS, DIM, SIGNS, REACH, HIDDEN = 4096, 32, 4, 2, 32
+BUCKETS, TABLES, DIM, SIGNS, REACH, HIDDEN = 8192, 2, 32, 4, 2, 32
 #: Labelled rows that the network learns from at most.
 SAMPLE = 20_000
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
 SIZE = 3 * DIM + 1
 
 
-def index_vectors() -> np.ndarray:
-    """SIGNS entries of +1 or -1 in each row, by hash."""
-    out = np.zeros((BUCKETS, DIM), dtype=np.float32)
+def tokens_of(texts: list[bytes], cache: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, and each text's number of tokens."""
+    tokens = [TOKEN.findall(t) for t in texts]
+    sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+    return mixed(np.concatenate([cache.of(t) for t in tokens])), sizes
+
+
+def rows_of(hashes: np.ndarray, table: int, buckets: int) -> np.ndarray:
+    """The tokens' rows in a table."""
+    return (mixed(hashes + np.uint64(table + 1)) % np.uint64(buckets)).astype(np.int64)
+
+
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    """Each token's index vector: SIGNS entries of +1 or -1 by bits of its hash."""
+    out = np.zeros((len(hashes), DIM), dtype=np.int8)
+    flat, at = out.reshape(-1), np.arange(len(hashes)) * DIM
     for k in range(SIGNS):
-        h = mixed(np.arange(BUCKETS, dtype=np.uint64) * np.uint64(SIGNS) + np.uint64(k + 1))
-        np.add.at(out, (np.arange(BUCKETS), (h % np.uint64(DIM)).astype(np.int64)), np.where(h >> np.uint64(63), 1, -1))
+        place = at + (hashes >> np.uint64(8 * k) & np.uint64(DIM - 1)).astype(np.int64)
+        flat[place] += np.where(hashes >> np.uint64(8 * k + 7) & np.uint64(1), 1, -1).astype(np.int8)
     return out
 
 
-def buckets_of(texts: list[bytes], cache: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all tokens, and each text's number of tokens."""
-    tokens = [TOKEN.findall(t) for t in texts]
-    sizes = np.array([len(t) for t in tokens], dtype=np.int64)
-    return (np.concatenate([cache.of(t) for t in tokens]) % np.uint64(BUCKETS)).astype(np.int64), sizes
+def around(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each token the sum of the index vectors of its document's tokens within REACH places, itself left out."""
+    at = np.arange(len(hashes)) + np.repeat(np.arange(1, len(sizes) + 1) * REACH, sizes)  # REACH empty rows between documents
+    index = np.zeros((len(hashes) + (len(sizes) + 1) * REACH, DIM), dtype=np.int8)
+    index[at] = index_vectors(hashes)
+    total = np.zeros_like(index)
+    for step in range(1, REACH + 1):
+        total[step:] += index[:-step]
+        total[:-step] += index[step:]
+    return total[at]
 
 
-def context_vectors(docs: DataFrame) -> np.ndarray:
-    """Centred context vectors of length 1; one row per bucket and task is shuffled."""
+def context_vectors(docs: DataFrame, buckets: int) -> np.ndarray:
+    """TABLES tables of centred context vectors of length 1; one row per bucket and task is shuffled."""
 
     def neighbours(batches):
-        cache, seen = WordHash(), np.zeros(BUCKETS * BUCKETS, dtype=np.int32)
-        held, count = [], 0
-
-        def add():
-            nonlocal seen
-            if held:
-                seen += np.bincount(np.concatenate(held), minlength=BUCKETS * BUCKETS).astype(np.int32)
-
+        cache, seen = WordHash(), np.zeros((TABLES, buckets, DIM), dtype=np.int64)
         for _, texts in batches_by_bytes(batches):
-            b, sizes = buckets_of(texts, cache)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            for step in range(1, REACH + 1):
-                same = doc[step:] == doc[:-step]
-                held.append(b[:-step][same] * BUCKETS + b[step:][same])
-                count += len(held[-1])
-            if count > 4_000_000:
-                add()
-                held, count = [], 0
-        add()
-        pairs = seen.reshape(BUCKETS, BUCKETS)
-        index = index_vectors()
-        out = np.empty((BUCKETS, DIM), dtype=np.float64)
-        for a in range(0, BUCKETS, 512):
-            out[a : a + 512] = pairs[a : a + 512].astype(np.float32) @ index + pairs[:, a : a + 512].T.astype(np.float32) @ index
-        on = np.flatnonzero(out.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), *(pa.array(out[on, d]) for d in range(DIM))], names=["bucket", *(f"v{d}" for d in range(DIM))])
+            hashes, sizes = tokens_of(texts, cache)
+            if len(hashes):
+                total = around(hashes, sizes)
+                for t in range(TABLES):
+                    row = rows_of(hashes, t, buckets)
+                    order = np.argsort(row, kind="stable")
+                    own, starts = np.unique(row[order], return_index=True)
+                    seen[t, own] += np.add.reduceat(total[order], starts, axis=0, dtype=np.int64)
+        flat = seen.reshape(TABLES * buckets, DIM)
+        on = np.flatnonzero(flat.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), *(pa.array(flat[on, d]) for d in range(DIM))], names=["bucket", *(f"v{d}" for d in range(DIM))])
 
     columns = [f"v{d}" for d in range(DIM)]
-    rows = docs.select("text").mapInArrow(neighbours, "bucket int, " + ", ".join(f"{c} double" for c in columns))
-    got = rows.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()  # BUCKETS rows at most
-    out = np.zeros((BUCKETS, DIM))
-    out[got.bucket.to_numpy()] = got[columns].to_numpy()
-    size = np.linalg.norm(out, axis=1, keepdims=True)
-    out = np.divide(out, size, out=out, where=size > 0)
-    out -= out[size[:, 0] > 0].mean(axis=0) if (size > 0).any() else 0
+    rows = docs.select("text").mapInArrow(neighbours, "bucket int, " + ", ".join(f"{c} long" for c in columns))
+    got = rows.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()  # TABLES * BUCKETS rows at most
+    out = np.zeros((TABLES * buckets, DIM))
+    out[got.bucket.to_numpy(dtype=np.int64)] = got[columns].to_numpy(dtype=np.float64)
+    return np.stack([centred(t) for t in out.reshape(TABLES, buckets, DIM)]).astype(np.float32)
+
+
+def centred(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1, less their mean, of length 1 again; rows of zeros stay."""
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    out = np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
+    if (size > 0).any():
+        out = np.where(size > 0, out - out[size[:, 0] > 0].mean(axis=0), 0)
     size = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, size, out=out, where=size > 0).astype(np.float32)
+    return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
 
 
-def pooled(b: np.ndarray, sizes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Features of documents from the buckets of their tokens."""
+def pooled(hashes: np.ndarray, sizes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Features of documents from their tokens."""
     out = np.zeros((len(sizes), SIZE), dtype=np.float32)
     full = np.flatnonzero(sizes > 0)
     if not len(full):
         return out
-    v = vectors[b]
+    v = vectors[0][rows_of(hashes, 0, vectors.shape[1])]
+    for t in range(1, TABLES):
+        v += vectors[t][rows_of(hashes, t, vectors.shape[1])]
+    v /= TABLES
     starts, n = (np.cumsum(sizes) - sizes)[full], sizes[full][:, None].astype(np.float32)
     mean = np.add.reduceat(v, starts) / n
     square = np.add.reduceat(v * v, starts) / n
@@ -154,15 +171,15 @@ class Network:
         return 1 / (1 + np.exp(-self.logits(x) / self.temperature))
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.3, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of docs; texts are read twice and never shuffled."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    vectors = context_vectors(docs)
+    vectors = context_vectors(docs, buckets)
 
     def features(batches):
         cache = WordHash()
         for batch, texts in batches_by_bytes(batches):
-            x = pooled(*buckets_of(texts, cache), vectors).astype(np.float16)
+            x = pooled(*tokens_of(texts, cache), vectors).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([row.tobytes() for row in x], pa.binary())], names=["doc_id", "x"])
 
     got = written(docs.mapInArrow(features, "doc_id long, x binary"), "quality-features")
