@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import blocks, decontamination, exact_dedup, lm_scoring, mixing, near_join, quality, queries, sharding, stages, substring_dedup, toxicity, url_filter
+from tidewatch.llm import blocks, decontamination, exact_dedup, lm_scoring, mixing, near_join, quality, queries, sharding, shared, stages, substring_dedup, toxicity, url_filter
 from tidewatch.llm.shared import Scratch, WordHash, prefix_sums, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, block string, score string, slot string"
@@ -861,3 +861,12 @@ def test_mixing_many_sources(spark):
         level = (low + high) / 2
         low, high = (level, high) if sum(min(2 * total[s], weight[s] * level) for s in total) < 1.5 * sum(total.values()) else (low, level)
     assert len(out) == len(total) and all(math.isclose(x.target, min(2 * total[x.source], weight[x.source] * low), rel_tol=1e-6) for x in out)
+
+
+def test_written_tables_are_released(spark):
+    since = shared.held()
+    kept = shared.written(spark.range(5), "kept")
+    for k in range(3):
+        last = shared.written(spark.range(k), "passing")
+    shared.release(spark, since + 1, keep=1)
+    assert shared.held() == since + 2 and kept.count() == 5 and last.count() == 2

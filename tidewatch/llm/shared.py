@@ -58,10 +58,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Drops what written() has kept, from the since-th table on, when nothing will read it any more."""
-    delete(spark, *_held[since:])
-    del _held[since:]
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Drops what written() has kept, from the since-th table on but for the last `keep`, when nothing will read it any more."""
+    end = len(_held) - keep
+    delete(spark, *_held[since:end])
+    del _held[since:end]
 
 
 def held() -> int:
