@@ -46,7 +46,7 @@ def paragraphs(html: Column) -> Column:
     """The article's paragraphs, one a line, without furniture."""
     t = without(without(content(html), "script", "style", "noscript"), "header", "nav", "footer", "aside", "form")
     t = F.regexp_replace(F.regexp_replace(t, r"(?i)<br\s*/?>(?=\s*\S)", "\n"), r"(?i)</(p|div|section|article|h[1-6]|li|ul|ol|blockquote|tr|figcaption)>", "\n\n")
-    lines = F.transform(F.split(F.regexp_replace(to_ascii(F.regexp_replace(t, "<[^>]+>", " "), keep_newlines=True), r"[ \t]+", " "), "\n"), F.trim)
+    lines = F.transform(F.split(F.regexp_replace(to_ascii(F.regexp_replace(t, "<[^>]+>", " "), keep_newlines=True), r"[ \t]+", " "), "\n"), lambda v: F.trim(v))
     return F.array_join(F.filter(lines, lambda v: v != ""), "\n")
 
 
@@ -86,11 +86,11 @@ def is_pdf(url: Column, content_type: Column, head: Column) -> Column:
     return F.coalesce(F.lower(path).endswith(".pdf") | F.lower(content_type).startswith("application/pdf") | (F.substring(head, 1, 5) == F.lit(b"%PDF-")), F.lit(False))
 
 
-def listing(html: Column, item: str, link: str, text: str) -> Column:
-    """Items of a listing page: array of struct(href, title, description) by three patterns, for items that have a link."""
+def listing(html: Column, item: str, link: str, text: str, time: str) -> Column:
+    """Items of a listing page: array of struct(href, title, description, time) by patterns, for items that have a link and a title."""
     blocks = F.regexp_extract_all(html, F.lit(item), F.lit(0))
     plain = lambda c: to_ascii(F.regexp_replace(c, "<[^>]*>", " "))
-    rows = F.transform(blocks, lambda b: F.struct(F.regexp_extract(b, link, 1).alias("href"), plain(F.regexp_extract(b, link, 2)).alias("title"), plain(F.regexp_extract(b, text, 1)).alias("description")))
+    rows = F.transform(blocks, lambda b: F.struct(F.trim(F.regexp_extract(b, link, 1)).alias("href"), plain(F.regexp_extract(b, link, 2)).alias("title"), plain(F.regexp_extract(b, text, 1)).alias("description"), plain(F.regexp_extract(b, time, 1)).alias("time")))
     return F.filter(rows, lambda r: (r["href"] != "") & (r["title"] != ""))
 
 

@@ -135,6 +135,13 @@ def indicators(text: Column, exclude_domains: Column | None = None, exclude_ips:
     return let(refang(F.coalesce(text, F.lit(""))), lambda t: let(routable(t), lambda ips: every(t, ips)))
 
 
+def stored_else_found(kept: Column, seen: Column) -> Column:
+    """Of two structs as indicators() gives: what is stored for a report where it has any address, domain, file or CVE, else what its text
+    has; techniques apart, as they are stored by another way."""
+    any_ = F.size(F.concat(*(kept[k] for k in ("ips", "domains", "files", "cves")))) > 0
+    return F.struct(*(F.when(any_, kept[k]).otherwise(seen[k]).alias(k) for k in ("ips", "domains", "files", "cves")), F.when(F.size(kept["mitre"]) > 0, kept["mitre"]).otherwise(seen["mitre"]).alias("mitre"))
+
+
 def valid(value: Column, kind: Column) -> Column:
     """Whether a value is a whole indicator of its kind; no value of an unknown kind is."""
     v = F.trim(value)
@@ -167,18 +174,42 @@ def not_allowed(iocs: DataFrame, allow: DataFrame) -> DataFrame:
     return iocs.join(gone, ["value", "ioc_type"], "left_anti")
 
 
-def reconcile(claimed: Column, extracted: Column, text: Column) -> Column:
-    """Claimed (kind, value) pairs that are valid and stand in the text, with the extracted ones; of equal pairs the later stays."""
+def extracted(text: Column, exclude_domains: Column | None = None, exclude_ips: Column | None = None) -> Column:
+    """All indicators of a text as an array of struct(kind, value); targets of markdown links are left out, as page furniture has most of them."""
+    kinds = {"ip": "ips", "domain": "domains", "file_hash": "files", "cve": "cves", "mitre": "mitre"}
+    plain = F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
+
+    def of(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    def pairs(i: Column) -> Column:
+        return F.flatten(F.array(*(of(kind, i[field]) for kind, field in kinds.items())))
+
+    return let(indicators(plain, exclude_domains, exclude_ips), pairs)
+
+
+def reconcile(claimed: Column, text: Column, exclude_domains: Column | None = None, exclude_ips: Column | None = None, extract: bool = True) -> Column:
+    """A model's claims (array of struct kind, value) that hold, with what the text itself gives; of equal ones the later stays.
+
+    A claim holds if it is valid once it is refanged, neither non-routable nor excluded, and stands in the text; without a text nothing
+    can be looked up, and valid claims hold.
+    """
     key = lambda c: F.concat_ws("|", c["kind"], F.lower(c["value"]))
 
-    def standing(plain: Column) -> Column:
-        kept = F.filter(claimed, lambda c: valid(c["value"], c["kind"]) & plain.contains(F.lower(F.trim(c["value"]))))
-        return F.concat(F.transform(kept, lambda c: F.struct(c["kind"].alias("kind"), stored(c["value"], c["kind"]).alias("value"))), extracted)
+    def holding(plain: Column) -> Column:
+        clean = F.transform(claimed, lambda c: F.struct(c["kind"].alias("kind"), stored(refang(c["value"]), c["kind"]).alias("value")))
+        ips = exclude_ips if exclude_ips is not None else F.array().cast("array<string>")
+        barred = lambda c: ((c["kind"] == "ip") & (non_routable(c["value"]) | non_routable_v6(c["value"]) | F.array_contains(ips, c["value"]))) | ((c["kind"] == "domain") & (excluded(c["value"], exclude_domains) | filename_or_code(c["value"])))
+        return F.filter(clean, lambda c: valid(c["value"], c["kind"]) & ~barred(c) & (plain.isNull() | plain.contains(F.lower(c["value"]))))
 
     def last_of_each(both: Column) -> Column:
         return let(F.transform(both, key), lambda keys: F.filter(both, lambda c, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), key(c))))
 
-    return let(let(F.lower(refang(text)), standing), last_of_each)
+    kept = let(F.lower(refang(text)), holding)
+    if not extract:
+        return let(kept, last_of_each)
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    return let(F.concat(kept, F.when(text.isNull(), none).otherwise(extracted(text, exclude_domains, exclude_ips))), last_of_each)
 
 
 #: Literal characters that a search finds in every obfuscated form.

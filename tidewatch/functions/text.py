@@ -90,6 +90,30 @@ def feed_date(text: Column) -> Column:
     return F.coalesce(F.when(iso, F.try_to_timestamp(raw)), *(F.try_to_timestamp(F.when(~iso, raw), F.lit(f)) for f in forms))
 
 
+MONTHS = "january february march april may june july august september october november december".split()
+LISTED = r"(?i)^(?:\w+,\s*)?([A-Za-z]+)\s+(\d{1,2}),\s*(\d{4})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(AM|PM)?\s*([A-Z]{3,4})?\z"
+
+
+def listing_date(text: Column) -> Column:
+    """A timestamp from `Weekday, Month d, yyyy h:mm:ss AM ZONE`; weekday, seconds, AM or PM and zone may be missing.
+
+    A zone that is not known is read as UTC; a date that cannot be read is null. Days beyond a month's end run on into the next.
+    """
+    def read(t: Column) -> Column:
+        part = lambda n: F.regexp_extract(t, LISTED, n)
+        number = lambda n: F.coalesce(F.nullif(part(n), F.lit("")).cast("int"), F.lit(0))
+        month, half, zone = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(part(1))).cast("int"), F.upper(part(7)), F.upper(part(8))
+        hour = F.when((half == "PM") & (number(4) < 12), number(4) + 12).when((half == "AM") & (number(4) == 12), 0).otherwise(number(4))
+        ahead = F.lit(0)
+        for name, hours in ZONES.items():
+            ahead = F.when(zone == name, hours).otherwise(ahead)
+        ok = t.rlike(LISTED) & (month > 0) & (hour <= 23) & (number(5) <= 59) & (number(6) <= 59) & number(2).between(1, 31) & (number(3) > 0)
+        first = F.make_date(F.when(ok, number(3)), F.when(ok, month), F.lit(1)).cast("timestamp")
+        return first + F.make_dt_interval(number(2) - 1, hour - ahead, number(5), number(6))
+
+    return let(to_ascii(text), read)
+
+
 def label_value(raw: Column) -> Column:
     """Parts of letters and digits, each with a capital first, put together; 48 characters."""
     parts = F.filter(F.split(F.coalesce(raw, F.lit("")), "[^a-zA-Z0-9]+"), lambda p: p != "")
@@ -129,6 +153,43 @@ def jitter(text: Column) -> Column:
     return (F.pmod(h, F.lit(1000)) / 999 - 0.5) * 0.24
 
 
+def match_ranges(text: Column, pattern: str) -> Column:
+    """array of struct(start, end): where pattern matches, in order, in characters from 0; empty for an empty pattern."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    if not pattern:
+        return none
+    def ranges(runs: Column) -> Column:
+        # each run is the text between two matches; a mark that no text holds divides them
+        return F.aggregate(
+            runs, F.struct(F.lit(0).alias("at"), none.alias("found")),
+            lambda s, run: F.struct(
+                (s["at"] + F.length(run["before"]) + F.length(run["hit"])).alias("at"),
+                F.when(run["hit"] == "", s["found"]).otherwise(F.concat(s["found"], F.array(F.struct((s["at"] + F.length(run["before"])).alias("start"), (s["at"] + F.length(run["before"]) + F.length(run["hit"])).alias("end"))))).alias("found"),
+            ),
+            lambda s: s["found"],
+        )
+
+    return ranges(_runs(text, pattern))
+
+
+def _runs(text: Column, pattern: str) -> Column:
+    """array of struct(before, hit): the text in front of each match and the match; the last hit is empty."""
+    hits, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    return let(hits, lambda h: F.transform(between, lambda b, i: F.struct(b.alias("before"), F.coalesce(F.get(h, i), F.lit("")).alias("hit"))))
+
+
+def segments(text: Column, pattern: str) -> Column:
+    """array of struct(text, hit): text cut at the matches of pattern, empty runs left out."""
+    whole = F.array(F.struct(F.coalesce(text, F.lit("")).alias("text"), F.lit(False).alias("hit")))
+    parts = whole if not pattern else F.flatten(F.transform(_runs(F.coalesce(text, F.lit("")), pattern), lambda r: F.array(F.struct(r["before"].alias("text"), F.lit(False).alias("hit")), F.struct(r["hit"].alias("text"), F.lit(True).alias("hit")))))
+    return F.filter(parts, lambda p: p["text"] != "")
+
+
+def step_hit(active: Column, total: Column, delta: Column) -> Column:
+    """The next hit's number, around both ends; 0 without hits."""
+    return F.when(total > 0, F.pmod(active + delta, total)).otherwise(0)
+
+
 def citations(text: Column) -> Column:
     """Numbers in square brackets, each once, in order."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[([0-9]+)\]"), 1), lambda n: n.cast("int")))

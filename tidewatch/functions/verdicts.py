@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.functions.patterns import let
 from tidewatch.functions.text import labels, to_ascii
 
+# What answers may say, and the spellings of their keys.
 KINDS = ("research", "breach", "exploit", "other")
-MOTIVES = ("nation_state", "ecrime", "hacktivism")
+NEXUSES = ("china", "russia", "north_korea", "iran", "rest_of_world", "other")
+ITEM_TYPES = ("actor_activity", "breach", "vuln", "report", "breaking")
+CONFIDENCES = ("confirmed", "suspected", "poc")
+LABEL_KEYS = {"ai": ("ai", "aiText", "ai_text"), "malware": ("malware",), "adversary": ("adversary", "adversaries", "actor", "actors"), "target": ("target", "targets", "targetedSystems", "targeted_systems"), "vector": ("vector", "vectors")}
+INDICATOR_KEYS = {"ips": ("ipv4", "ips", "ip"), "ipv6": ("ipv6",), "domains": ("domains", "domain"), "files": ("fileHashes", "file_hashes", "hashes", "files"), "cves": ("cves", "cve")}
 
 
 def first_object(answer: Column) -> Column:
-    """The first balanced {...}, braces in strings not counted: one pass over the signs that matter."""
-    signs = F.regexp_extract_all(answer, F.lit(r'"(?:[^"\\]|\\.)*"|[{}]|[^{}"]+|"'), F.lit(0))
+    """The first balanced {...}, braces in strings not counted: one pass over the signs that matter; null if there is none."""
+    rest = F.when(F.instr(answer, "{") > 0, F.substring(answer, F.instr(answer, "{"), F.length(answer)))
+    signs = F.regexp_extract_all(rest, F.lit(r'"(?:[^"\\]|\\.)*(?:"|\z)|[{}]|[^{}"]+'), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("text"), F.lit(False).alias("done"))
 
     def step(s: Column, sign: Column) -> Column:
@@ -29,19 +36,55 @@ def techniques(answer: Column) -> Column:
     rows = F.from_json(F.regexp_extract(answer, r"(?s)\[.*\]", 0), "array<struct<code:string,name:string>>")
     rows = F.transform(F.coalesce(rows, F.array().cast("array<struct<code:string,name:string>>")), lambda r: F.struct(F.upper(F.trim(r["code"])).alias("code"), to_ascii(r["name"]).alias("name")))
     rows = F.filter(rows, lambda r: F.coalesce(r["code"].rlike(r"^T[0-9]{4}(\.[0-9]{3})?\z"), F.lit(False)))
-    codes = F.transform(rows, lambda r: r["code"])
-    once = F.filter(rows, lambda r, i: F.array_position(codes, r["code"]) == i + 1)
-    return F.transform(once, lambda r: F.struct(r["code"].alias("code"), F.when(r["name"] == "", r["code"]).otherwise(r["name"]).alias("name")))
+
+    def once(rows: Column) -> Column:
+        codes = F.transform(rows, lambda r: r["code"])
+        return F.filter(rows, lambda r, i: F.array_position(codes, r["code"]) == i + 1)
+
+    return F.transform(let(rows, once), lambda r: F.struct(r["code"].alias("code"), F.when(r["name"] == "", r["code"]).otherwise(r["name"]).alias("name")))
+
+
+def _listed(body: Column, path: str) -> Column:
+    """The strings of an array at a path, null if the path is missing; anything else there gives an empty array."""
+    said = F.get_json_object(body, path)
+    rows = F.from_json(F.when(said.startswith("["), said), "array<string>")
+    return F.when(said.isNotNull(), F.filter(F.coalesce(rows, F.array().cast("array<string>")), lambda v: F.trim(v) != ""))
 
 
 def triage(answer: Column) -> Column:
-    """struct(kind, motivation, country, adversary, labels) of a model's answer; what is not allowed becomes null."""
-    body = first_object(answer)
-    said = lambda *paths: F.coalesce(*(F.nullif(F.trim(F.get_json_object(body, f"$.{p}")), F.lit("")) for p in paths))
-    listed = lambda *paths: F.coalesce(*(F.from_json(F.get_json_object(body, f"$.labels.{p}"), "array<string>") for p in paths), *(F.when(F.get_json_object(body, f"$.labels.{p}").isNotNull(), F.array(F.get_json_object(body, f"$.labels.{p}"))) for p in paths))
-    kind, motive = F.lower(said("dashboardKind", "dashboard_kind", "kind")), F.lower(said("motivation"))
-    names = {"ai": listed("ai", "aiText", "ai_text"), "malware": listed("malware"), "adversary": listed("adversary", "adversaries", "actor", "actors"), "target": listed("target", "targets", "targetedSystems", "targeted_systems"), "vector": listed("vector", "vectors")}
-    return F.struct(F.when(kind.isin(*KINDS), kind).alias("kind"), F.when(motive.isin(*MOTIVES), motive).alias("motivation"), said("country").alias("country"), said("adversary", "actor", "crowdstrikeAdversary").alias("adversary"), labels(names).alias("labels"))
+    """What a model says of a report, from the outermost {...}; null if that is no JSON. What is not allowed falls back.
+
+    struct(relevant, fetch_status, nexus, item_type, kind, confidence, adversary, labels, indicators, techniques, summary, reason)
+    """
+    body = F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit(""))
+
+    def read(body: Column) -> Column:
+        said = lambda key: F.get_json_object(body, f"$.{key}")
+        among = lambda key, allowed, other: F.when(said(key).isin(*allowed), said(key)).otherwise(F.lit(other).cast("string"))
+        empty = F.array().cast("array<string>")
+
+        def of_label(key: str) -> Column:
+            one = F.get_json_object(body, f"$.labels.{key}")
+            return F.when(one.startswith("["), F.coalesce(F.from_json(one, "array<string>"), empty)).when(one.isNotNull(), F.array(one)).otherwise(empty)
+
+        names = {category: F.concat(*map(of_label, keys)) for category, keys in LABEL_KEYS.items()}
+        found = [F.coalesce(*(_listed(body, f"$.indicators.{k}") for k in keys), empty).alias(name) for name, keys in INDICATOR_KEYS.items()]
+        return F.struct(
+            F.coalesce(~said("relevant").isin("", "false", "0"), F.lit(False)).alias("relevant"),
+            among("fetchStatus", ("full", "feed_only"), "failed").alias("fetch_status"),
+            among("nexus", NEXUSES, None).alias("nexus"),
+            among("itemType", ITEM_TYPES, "report").alias("item_type"),
+            among("dashboardKind", KINDS, "other").alias("kind"),
+            among("confidence", CONFIDENCES, "suspected").alias("confidence"),
+            F.nullif(said("crowdstrikeAdversary"), F.lit("")).alias("adversary"),
+            labels(names).alias("labels"),
+            F.struct(*found).alias("indicators"),
+            F.transform(F.coalesce(_listed(body, "$.mitreTechniques"), empty), F.upper).alias("techniques"),
+            F.trim(F.coalesce(said("summary"), F.lit(""))).alias("summary"),
+            F.nullif(F.trim(said("reason")), F.lit("")).alias("reason"),
+        )
+
+    return let(F.when(F.try_parse_json(body).isNotNull(), body), lambda b: F.when(b.isNotNull(), read(b)))
 
 
 def longest_body(bodies: Column, least: int = 600) -> Column:
@@ -55,12 +98,21 @@ def cited(text: Column, ids: Column) -> Column:
     return F.filter(ids, lambda i: text.contains(F.concat(F.lit("["), i.cast("string"), F.lit("]"))))
 
 
-def flags(answer: Column, batch: Column, guarded: Column, most: int = 40) -> Column:
-    """array of struct(value, reason): flagged values that are in the batch and not guarded, each once, reasons cut at 300."""
-    rows = F.from_json(F.regexp_extract(answer, r"(?s)\[.*\]", 0), "array<struct<value:string,reason:string>>")
-    rows = F.coalesce(rows, F.array().cast("array<struct<value:string,reason:string>>"))
-    lower = F.transform(batch, F.lower)
-    ok = F.filter(rows, lambda r: F.array_contains(lower, F.lower(F.trim(r["value"]))) & ~F.exists(guarded, lambda g: (F.lower(F.trim(r["value"])) == g) | F.lower(F.trim(r["value"])).endswith(F.concat(F.lit("."), g))))
-    keys = F.transform(ok, lambda r: F.lower(F.trim(r["value"])))
-    once = F.filter(ok, lambda r, i: F.array_position(keys, F.lower(F.trim(r["value"]))) == i + 1)
-    return F.slice(F.transform(once, lambda r: F.struct(F.trim(r["value"]).alias("value"), F.substring(F.coalesce(F.nullif(F.trim(r["reason"]), F.lit("")), F.lit("No reason given")), 1, 300).alias("reason"))), 1, most)
+def flags(answer: Column, batch: Column, guarded: Column) -> Column:
+    """array of struct(value, category, reason): values flagged in the first {...} that are in the batch, as it spells them, and neither
+    guarded nor under a guarded name, each once; categories are cut at 40 characters, reasons at 300, and both have defaults."""
+    read = F.from_json(first_object(answer), "flagged array<struct<value:string,category:string,reason:string>>")["flagged"]
+    rows = F.coalesce(read, F.array().cast("array<struct<value:string,category:string,reason:string>>"))
+    key = lambda r: F.lower(F.trim(r["value"]))
+
+    def once(ok: Column) -> Column:
+        keys = F.transform(ok, key)
+        return F.filter(ok, lambda r, i: F.array_position(keys, key(r)) == i + 1)
+
+    def standing(lower: Column) -> Column:
+        ok = F.filter(rows, lambda r: F.array_contains(lower, F.coalesce(key(r), F.lit(""))) & ~F.exists(guarded, lambda g: (key(r) == g) | key(r).endswith(F.concat(F.lit("."), g))))
+        spelt = lambda r: F.element_at(batch, F.array_position(lower, key(r)).cast("int"))
+        some = lambda c, most, other: F.coalesce(F.substring(F.nullif(F.trim(c), F.lit("")), 1, most), F.lit(other))
+        return F.transform(let(ok, once), lambda r: F.struct(spelt(r).alias("value"), some(r["category"], 40, "unclassified").alias("category"), some(r["reason"], 300, "Flagged without a stated reason.").alias("reason")))
+
+    return let(F.transform(batch, F.lower), standing)

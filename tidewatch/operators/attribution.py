@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import rules
+from tidewatch.functions.text import to_ascii
 from tidewatch.functions.patterns import has, let
 
 NONE = "Non Attributed"
@@ -60,11 +61,17 @@ def match_report(title: Column, description: Column, groups: Column, body: Colum
 def match_join(reports: DataFrame, groups: DataFrame, id: str, text: Column) -> DataFrame:
     """id with alias, nexus, cs and motivation of the best match, for catalogues of any size.
 
-    Aliases meet texts by their first word, an equi-join, and are then checked as a whole.
+    Aliases meet texts by their longest word (which is seldom a common one), an equi-join of ids and words without the texts; texts come
+    to the reports that have such a word, and aliases are then checked as a whole. An alias without letters or digits matches nothing.
     """
-    word = lambda c: F.regexp_extract(c, "[a-z0-9]+", 0)
-    words = reports.select(F.col(id), F.lower(text).alias("t")).withColumn("w", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("[a-z0-9]+"), F.lit(0)))))
-    hits = words.join(groups.withColumn("first", word(F.col("alias"))), F.col("w") == F.col("first")).where(named_in(F.col("t"), F.col("alias")))
+    tokens = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0)))
+    longest = F.array_max(F.transform(tokens(F.col("alias")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    lower = reports.select(F.col(id).alias("_id"), F.lower(text).alias("t"))
+    words = lower.select("_id", F.explode(tokens(F.col("t"))).alias("w"))
+    keyed = groups.withColumn("key", longest).where("key is not null")
+    # only words that some alias has are shuffled further, and of each report once
+    met = words.join(keyed, F.col("w") == F.col("key")).drop("w", "key")
+    hits = lower.join(met.withColumnRenamed("_id", id), F.col("_id") == F.col(id)).where(named_in(F.col("t"), F.col("alias")))
     best = F.min_by(F.struct("alias", "nexus", "cs", "motivation"), F.struct(-F.length("alias"), "ord", "alias")).alias("g")
     return hits.groupBy(id).agg(best).select(id, "g.*")
 
@@ -139,6 +146,53 @@ def visible(toggles: dict[str, bool]) -> Column:
     return F.coalesce(lane, F.lit(True))
 
 
+def provisional(met: DataFrame, actors: DataFrame) -> DataFrame:
+    """Rows of the catalogue for actors first met in reports (name, nexus, ord): names in ASCII that are specific, matchable and not UNID, and
+    that no known actor or alias has, each once. A country means a state behind it; aliases are for people to decide."""
+    name = F.trim(to_ascii(F.col("name")))
+    m = met.withColumn("name", name).where(rules.specific(F.col("name")) & rules.matchable(F.col("name")) & ~F.col("name").rlike(r"(?i)^unid(?![0-9A-Za-z_])"))
+    first = m.groupBy(F.lower("name").alias("k")).agg(F.min_by(F.struct("name", "nexus"), "ord").alias("f"))
+    none = F.array().cast("array<string>")
+    known = actors.select(F.explode(F.concat(F.array("name"), F.coalesce("community_identifiers", none), F.coalesce("internal_alternative_names", none))).alias("raw")).select(F.lower(F.trim("raw")).alias("k")).distinct()
+    country = None
+    for at, nexus in rules.NEXUS_OF.items():
+        country = F.when(F.col("nexus") == nexus, at) if country is None else country.when(F.col("nexus") == nexus, at)
+    new = first.join(known, "k", "left_anti").select("f.name", "f.nexus").withColumn("country", country)
+    return new.select("name", F.coalesce("nexus", F.lit("other")).alias("nexus"), "country", F.when(F.col("country").isNotNull(), F.array(F.lit("nation_state"))).alias("motivation"), none.alias("community_identifiers"), none.alias("internal_alternative_names"), F.lit("provisional").alias("status"))
+
+
+def edited(reports: DataFrame, edits: DataFrame, actors: DataFrame) -> DataFrame:
+    """reports after attribution by hand (edits: id, typed).
+
+    A name or alias of the catalogue gives the actor with its country and first motivation, a family (alone or behind UNID) its own, and
+    the report becomes research unless it is an exploit; what is empty takes the attribution away and leaves the rest; what is neither
+    changes nothing. The column recognised tells.
+    """
+    none = F.array().cast("array<string>")
+    every = F.concat(F.array("name"), F.coalesce("community_identifiers", none), F.coalesce("internal_alternative_names", none))
+    at = F.col("country") if "country" in actors.columns else F.lit(None).cast("string")
+    names = actors.select("ord", "name", at.alias("country"), F.get("motivation", F.lit(0)).alias("motivation"), F.explode(every).alias("raw"))
+    known = names.groupBy(F.lower(F.trim("raw")).alias("k")).agg(F.min_by(F.struct("name", "country", "motivation"), "ord").alias("a")).where("k <> ''")
+    e = edits.select(F.col("id").alias("_id"), F.trim(F.coalesce("typed", F.lit(""))).alias("typed")).join(known, F.lower("typed") == F.col("k"), "left").drop("k")
+    family = F.upper(F.regexp_extract("typed", r"(?i)^(?:unid\s+)?([a-z]+)\z", 1))
+    e = e.withColumn("family", F.when(F.col("a").isNull() & family.isin(*rules.FAMILIES), family))
+    by_family = lambda of: F.coalesce(*(F.when(F.col("family") == k, F.lit(v).cast("string")) for k, v in of.items()))
+    motives = {k: {"SPIDER": "ecrime", "JACKAL": "hacktivism"}.get(k, "nation_state") for k in rules.FAMILIES}
+    j = reports.join(e, F.col("id") == F.col("_id"), "left")
+    asked, actor, clear = F.col("_id").isNotNull(), F.col("a").isNotNull(), F.col("typed") == ""
+    named = asked & (actor | F.col("family").isNotNull())
+    pick = lambda new, old: F.when(named, new).otherwise(F.col(old))
+    gone = asked & clear
+    return j.withColumns({
+        "kind": F.when(named & (F.col("kind") != "exploit"), "research").otherwise(F.col("kind")),
+        "adversary_label": F.when(gone, None).otherwise(pick(F.coalesce("a.name", F.upper("typed")), "adversary_label")),
+        "crowdstrike_adversary": F.when(gone, None).otherwise(pick(F.col("a.name"), "crowdstrike_adversary")),
+        "country": pick(F.when(actor, F.col("a.country")).otherwise(by_family(rules.FAMILIES)), "country"),
+        "motivation": pick(F.when(actor, F.col("a.motivation")).otherwise(by_family(motives)), "motivation"),
+        "recognised": F.when(asked, named | clear),
+    }).drop("_id", "typed", "a", "family")
+
+
 def collisions(proposed: DataFrame, existing: DataFrame) -> DataFrame:
     """Pairs of actors that share a name or alias, and on which: an equi-join of exploded names."""
 

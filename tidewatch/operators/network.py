@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import rules
+from tidewatch.session import checkpoint_dir
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through spark.checkpoint.dir; where that is unset (tests), through a temporary folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewatch-"))
+    """Cuts the lineage through spark.checkpoint.dir."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -107,6 +104,42 @@ def neighbours(edges: DataFrame, seeds: DataFrame, per_node: int = 40, total: in
     return out.orderBy("a", "b").limit(total) if total else out
 
 
+TYPES = ("item", "ioc", "cve", "ttp", "adversary")
+
+
+def expand(node: str, reports: DataFrame, links: DataFrame, iocs: DataFrame, hidden: DataFrame, types=TYPES, subtypes=None, most: int = 40) -> DataFrame:
+    """a, b: the edges from one node (type:key) to its neighbours of the chosen types, `most` at most; no types means all.
+
+    A report leads to its indicators (of the subtypes, where any are given), CVEs, techniques and its actor, if specific; everything
+    else leads to the reports that name it, hidden ones left out. A CVE is reached by link and by the report's own field.
+    """
+    types = set(types) or set(TYPES)
+    kind, _, key = node.partition(":")
+    to = lambda c: c.select(F.lit(node).alias("a"), "b").distinct()
+    if kind == "item":
+        own = reports.where(F.col("id").cast("string") == key)
+        linked = links.where(F.col("item_id").cast("string") == key).join(iocs, "ioc_id").orderBy("ioc_id").limit(most)
+        group = F.when(F.col("ioc_type") == "cve", "cve").when(F.col("ioc_type") == "mitre", "ttp").otherwise("ioc")
+        wanted = group.isin(*types) & ((group != "ioc") | (F.lit(True) if not subtypes else F.col("ioc_type").isin(*subtypes)))
+        found = linked.where(wanted).select(node_id(F.col("ioc_type"), F.col("value")).alias("b"))
+        if "cve" in types:
+            found = found.unionByName(own.where("cve_id <> ''").select(node_id(F.lit("cve"), F.col("cve_id")).alias("b")))
+        if "adversary" in types:
+            name = F.coalesce("crowdstrike_adversary", "adversary_label")
+            found = found.unionByName(own.where(rules.specific(name) & ~F.upper(name).startswith("UNID ")).select(node_id(F.lit("adversary"), name).alias("b")))
+        return to(found)
+    if "item" not in types:
+        return to(reports.limit(0).select(F.lit("").alias("b")))
+    if kind == "adv":
+        ids = reports.where((F.col("crowdstrike_adversary") == key) | (F.col("adversary_label") == key)).select("id")
+    else:
+        ids = iocs.where(F.col("value") == key).join(links, "ioc_id").select(F.col("item_id").alias("id"))
+        if kind == "cve":
+            ids = ids.unionByName(reports.where(F.col("cve_id") == key).select("id"))
+    shown = reports.join(ids.distinct(), "id", "left_semi").join(hidden.select("raw_hash"), "raw_hash", "left_anti")
+    return to(shown.orderBy(F.col("published_at").desc_nulls_last(), "id").limit(most).select(node_id(F.lit("item"), F.col("id").cast("string")).alias("b")))
+
+
 def two_hops(edges: DataFrame, seed: DataFrame, per_node: int = 40, second: int = 60) -> DataFrame:
     """node, depth around a seed: all first neighbours up to per_node each, then at most `second` new ones."""
     first = neighbours(edges, seed, per_node).select(F.col("b").alias("node")).distinct().join(seed.select("node"), "node", "left_anti")

@@ -59,15 +59,55 @@ def subject(reports) -> "F.Column":
     return F.when(reports == 1, F.lit("1 new report matching your subscriptions")).otherwise(F.concat(reports.cast("string"), F.lit(" new reports matching your subscriptions")))
 
 
-def dispatch(queued: DataFrame, most: int = 2000) -> DataFrame:
-    """The oldest unsent entries, as one array per user; `most` is the size of a run, later runs send the rest."""
-    oldest = queued.where("sent_at is null").orderBy("created_at", "id").limit(most)
-    return oldest.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("created_at", "id", "kind", "reason"))).alias("entries"))
+def pending(queued: DataFrame, most: int = 2000) -> DataFrame:
+    """The oldest unsent entries; `most` is the size of a run, later runs send the rest."""
+    return queued.where("sent_at is null").orderBy("created_at", "id").limit(most)
+
+
+# Headings and notes of a digest.
+HEADINGS = {"label": "Label", "adversary": "Adversary", "country": "Country"}
+NOTES = {"ingest": "", "labels": " (relabelled)", "attribution": " (re-attributed)"}
+
+
+def digests(entries: DataFrame, app_url: str) -> DataFrame:
+    """user_id, subject, text for each user, from entries (user_id, ord, reason_kind, reason_value, trigger, title, url, source_name,
+    published_at, item_url): under a heading for each reason its reports in order, then the footer."""
+    mapped = lambda c, of: F.coalesce(*(F.when(F.col(c) == k, v) for k, v in of.items()))
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    about = F.concat_ws(", ", some("source_name"), F.col("published_at").cast("date").cast("string"))
+    line = F.concat(F.lit("  - "), "title", mapped("trigger", NOTES), F.when(about != "", F.concat(F.lit(" ["), about, F.lit("]"))).otherwise(""))
+    link = F.coalesce("item_url", some("url"))
+    block = F.concat(line, F.when(link.isNotNull(), F.concat(F.lit("\n    "), link)).otherwise(""))
+    lines = entries.groupBy("user_id", "reason_kind", F.lower("reason_value").alias("k")).agg(F.sort_array(F.collect_list(F.struct("ord", block.alias("line")))).alias("lines"))
+    g = digest_groups(entries).withColumn("k", F.lower("value")).join(lines.withColumnRenamed("reason_kind", "kind"), ["user_id", "kind", "k"])
+    heading = F.concat(mapped("kind", HEADINGS), F.lit(": "), "value", F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
+    part = F.concat_ws("\n", heading, F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit(""))
+    by_user = g.groupBy("user_id").agg(F.max("reports").alias("reports"), F.sort_array(F.collect_list(F.struct("place", part.alias("part")))).alias("parts"))
+    body = F.concat_ws("\n", subject(F.col("reports")), F.lit(""), F.array_join(F.transform("parts", lambda p: p["part"]), "\n"), F.lit(f"Manage these subscriptions at {app_url}/settings"))
+    return by_user.select("user_id", subject(F.col("reports")).alias("subject"), body.alias("text"))
+
+
+def marked(queued: DataFrame, sent: DataFrame, at) -> DataFrame:
+    """queued with sent_at, and a note, for the entries of sent (id, note); others stay for the next run."""
+    j = queued.join(sent.select("id", F.col("note").alias("_note"), F.lit(True).alias("_sent")), "id", "left")
+    return j.withColumns({"sent_at": F.when(F.col("_sent"), at).otherwise(F.col("sent_at")), "last_error": F.when(F.col("_sent"), F.col("_note")).otherwise(F.col("last_error"))}).drop("_sent", "_note")
+
+
+#: Users that a broadcast goes to at most: the accounts of one deployment.
+MOST_USERS = 100_000
 
 
 def broadcast_rows(items: DataFrame, users: DataFrame, existing: DataFrame) -> DataFrame:
-    """user_id, dedupe_key, id: every item for every user, less what exists; both lists are short by nature."""
-    every = users.select("user_id").distinct().join(items.select("id").distinct(), how="cross").withColumn("dedupe_key", F.concat(F.lit("poc:"), F.col("id").cast("string")))
+    """user_id, dedupe_key, id: every item for every user, less what exists.
+
+    The result has a row for each user and item, as it must. Users are the accounts of a deployment: their number is checked, and they
+    travel as one array beside each item, so that no two tables are joined.
+    """
+    ids = users.select("user_id").distinct()
+    if ids.limit(MOST_USERS + 1).count() > MOST_USERS:
+        raise ValueError(f"over {MOST_USERS} users: give each a subscription instead")
+    everyone = ids.agg(F.collect_list("user_id").alias("u")).scalar()
+    every = items.select("id").distinct().select("id", F.explode(everyone).alias("user_id")).withColumn("dedupe_key", F.concat(F.lit("poc:"), F.col("id").cast("string")))
     return every.join(existing.select("user_id", "dedupe_key"), ["user_id", "dedupe_key"], "left_anti")
 
 

@@ -121,16 +121,67 @@ def keep_rate(kept: Column, dropped: Column) -> Column:
     return F.when(n > 0, F.struct(up(share * 100).alias("percent"), up(share * 140).alias("hue"), (F.floor(F.least(F.lit(1.0), n / 5.0) * 100 + 0.5) / 100.0).alias("alpha")))
 
 
+def sources_found(sources: DataFrame, name: str = "", category: str | None = None, active: bool | None = None) -> DataFrame:
+    """Sources whose name holds a text (case ignored), of a category and active or not, where these are asked for."""
+    out = sources.where(F.lower("name").contains(name.strip().lower()))
+    out = out if category is None else out.where(F.col("category") == category)
+    return out if active is None else out.where(F.col("active") == active)
+
+
+def actors_found(actors: DataFrame, name: str = "", motivation: str | None = None, alias: str = "") -> DataFrame:
+    """Actors by a part of their name, their first motivation, and a part of any alias."""
+    none = F.array().cast("array<string>")
+    out = actors.where(F.lower("name").contains(name.strip().lower()))
+    out = out if motivation is None else out.where(F.get("motivation", F.lit(0)) == motivation)
+    every = F.concat(F.coalesce("community_identifiers", none), F.coalesce("internal_alternative_names", none))
+    return out if not alias.strip() else out.where(F.exists(every, lambda a: F.lower(a).contains(alias.strip().lower())))
+
+
+def technique_names(asked: DataFrame, named: DataFrame) -> DataFrame:
+    """asked (with code) with the technique's name, or its parent's where a sub-technique has none of its own; named: code, name."""
+    known = named.select(F.upper("code").alias("known"), "name")
+    own = asked.join(known.withColumnRenamed("name", "_own"), F.upper("code") == F.col("known"), "left").drop("known")
+    parent = F.regexp_extract(F.upper("code"), r"^[^.]+", 0)
+    return own.join(known, parent == F.col("known"), "left").withColumn("name", F.coalesce("_own", "name")).drop("known", "_own")
+
+
+def section_totals(rows: DataFrame, key: str) -> DataFrame:
+    """The sum of a section's cards; rows without a section are in none."""
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("total"))
+
+
+def latest(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """The newest row of each key, undated ones last, ties by id."""
+    best = F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(F.col(at).isNotNull(), at, -F.col("id"))).alias("r")
+    return rows.groupBy(key).agg(best).select(key, "r.*")
+
+
+def unclassified(rows: DataFrame, most: int = 500) -> DataFrame:
+    """The newest reports that no model has read."""
+    return rows.where("classified_by = 'rules'").orderBy(F.col("created_at").desc(), "id").limit(most)
+
+
+def dropped_list(dropped: DataFrame, now: Column, source: str | None = None, days: int = 30, most: int = 500) -> DataFrame:
+    """The newest drops of the last days; a source is chosen before the cut, so that its drops are not lost behind others."""
+    rows = dropped.where(F.col("created_at") >= now - F.make_dt_interval(F.lit(days)))
+    rows = rows if source is None else rows.where(F.col("source_name") == source)
+    return rows.orderBy(F.col("created_at").desc(), "raw_hash").limit(most)
+
+
+def open_flags(flags: DataFrame, most: int = 500) -> DataFrame:
+    return flags.where("resolved_at is null").orderBy(F.col("reports").desc(), "id").limit(most)
+
+
 def tally(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("source_name").agg(F.count_if(F.col("kept")).alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
 
 
 def advanced(sources: DataFrame, items: DataFrame) -> DataFrame:
-    """sources with last_item_at moved on to noon of their newest item's day, never back."""
+    """sources with last_item_at at noon of their newest item's day, unless it is at the end of that day or later already."""
     latest = items.groupBy(F.col("source_name").alias("s")).agg(F.max("published_at").alias("latest"))
     noon = F.col("latest").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(12))
-    end = F.col("latest").cast("timestamp") + F.make_dt_interval(F.lit(1))
-    moved = F.when(F.col("latest").isNotNull() & (F.col("last_item_at").isNull() | (F.col("last_item_at") < end - F.make_dt_interval(F.lit(1)))), noon).otherwise(F.col("last_item_at"))
+    end = F.col("latest").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(23), F.lit(59), F.lit(59))
+    moved = F.when(F.col("latest").isNotNull() & (F.col("last_item_at").isNull() | (F.col("last_item_at") < end)), noon).otherwise(F.col("last_item_at"))
     return sources.join(latest, F.col("name") == F.col("s"), "left").withColumn("last_item_at", moved).drop("s", "latest")
 
 

@@ -159,13 +159,48 @@ def s16(spark, sf):
     return sinks.replace_sets(links, links.where("item_id % 5 = 0").select("item_id", F.lit(-1).cast("long").alias("ioc_id")), "item_id")
 
 
-@query("s18_unlink_orphans", with_views("SELECT ioc_id FROM iocs WHERE ioc_id NOT IN (SELECT ioc_id FROM links) OR ioc_id IN (SELECT ioc_id FROM links WHERE item_id % 50 <> 0)", "links", "iocs"))
+@query("s18_unlink_orphans", with_views("SELECT 'ioc' AS what, NULL::BIGINT AS item_id, ioc_id FROM iocs WHERE ioc_id NOT IN (SELECT ioc_id FROM links) OR ioc_id IN (SELECT ioc_id FROM links WHERE item_id % 50 <> 0) UNION ALL SELECT 'link', item_id, ioc_id FROM links WHERE item_id % 50 <> 0", "links", "iocs"))
 def s18(spark, sf):
     links = view(spark, sf, "links")
-    return sinks.unlink(links, view(spark, sf, "iocs"), links.where("item_id % 50 = 0"))[1].select("ioc_id")
+    left, kept = sinks.unlink(links, view(spark, sf, "iocs"), links.where("item_id % 50 = 0"))
+    return left.select(F.lit("link").alias("what"), "item_id", "ioc_id").unionByName(kept.select(F.lit("ioc").alias("what"), F.lit(None).cast("long").alias("item_id"), "ioc_id"))
 
 
 @query("s14_insert_absent", with_views("SELECT item_id, min(ioc_id) AS ioc_id FROM links WHERE item_id % 4 <> 0 GROUP BY 1", "links"))
 def s14(spark, sf):
     links = view(spark, sf, "links")
     return sinks.insert_absent(links.where("item_id % 4 = 0"), links, "item_id", order="ioc_id")
+
+
+def _expanded(node_sql: str, *rows: str) -> str:
+    return with_views(f"SELECT DISTINCT {node_sql} AS a, b FROM (" + " UNION ALL ".join(rows) + ")", "reports", "links", "iocs", "hidden")
+
+
+LINKED = "SELECT CASE ioc_type WHEN 'cve' THEN 'cve:' || upper(value) WHEN 'mitre' THEN 'ttp:' || value ELSE 'ioc:' || value END AS b, ioc_type FROM (SELECT * FROM links JOIN iocs USING (ioc_id) WHERE item_id = {0} ORDER BY ioc_id LIMIT 40)"
+OPEN = "SELECT 'item:' || CAST(id AS VARCHAR) AS b FROM (SELECT id FROM reports WHERE {0} AND raw_hash NOT IN (SELECT raw_hash FROM hidden) ORDER BY published_at DESC NULLS LAST, id LIMIT 40)"
+
+
+@query("g6_expand_item", _expanded("'item:34'", f"SELECT b FROM ({LINKED.format(34)}) WHERE ioc_type IN ('cve', 'domain')", "SELECT 'cve:' || cve_id FROM reports WHERE id = 34 AND cve_id IS NOT NULL"))
+def g6_item(spark, sf):
+    """A report's CVEs, and of its indicators the domains alone."""
+    v = lambda n: view(spark, sf, n)
+    return network.expand("item:34", v("reports"), v("links"), v("iocs"), v("hidden"), ("cve", "ioc"), ["domain"])
+
+
+@query("g6_expand_report", _expanded("'item:22'", f"SELECT b FROM ({LINKED.format(22)})", "SELECT 'cve:' || cve_id FROM reports WHERE id = 22 AND cve_id IS NOT NULL", "SELECT 'adv:' || coalesce(crowdstrike_adversary, adversary_label) FROM reports WHERE id = 22 AND upper(coalesce(crowdstrike_adversary, adversary_label)) NOT IN ('SPIDER', 'KITTEN') AND coalesce(crowdstrike_adversary, adversary_label) NOT LIKE 'UNID%'"))
+def g6_report(spark, sf):
+    """All neighbours of a report: no types and no subtypes ask for everything."""
+    v = lambda n: view(spark, sf, n)
+    return network.expand("item:22", v("reports"), v("links"), v("iocs"), v("hidden"), (), [])
+
+
+@query("g6_expand_actor", _expanded("'adv:FANCY BEAR'", OPEN.format("(crowdstrike_adversary = 'FANCY BEAR' OR adversary_label = 'FANCY BEAR')")))
+def g6_actor(spark, sf):
+    v = lambda n: view(spark, sf, n)
+    return network.expand("adv:FANCY BEAR", v("reports"), v("links"), v("iocs"), v("hidden"), ("item",))
+
+
+@query("g6_expand_cve", _expanded("'cve:CVE-2024-1018'", OPEN.format("(cve_id = 'CVE-2024-1018' OR id IN (SELECT item_id FROM links JOIN iocs USING (ioc_id) WHERE value = 'CVE-2024-1018'))")))
+def g6_cve(spark, sf):
+    v = lambda n: view(spark, sf, n)
+    return network.expand("cve:CVE-2024-1018", v("reports"), v("links"), v("iocs"), v("hidden"))

@@ -10,9 +10,35 @@ from tidewatch.operators import attribution, notify, search, views
 from tidewatch.plans import ingest
 from tidewatch.plans.adapters import AS_OF, actors, run, view, with_views
 from tidewatch.plans.registry import query
-from tidewatch.plans.report_queries import MARKET, TEXT, groups, hit, matched
+from tidewatch.plans.text_queries import ascii_sql
+from tidewatch.plans.report_queries import MARKET, REASONS, TEXT, groups, hit, matched, notifiable
 from tidewatch.sources import feeds, sinks
 
+#: A few words of each turn without signs that JSON or SQL would read otherwise.
+SAID = "replace(replace(replace(replace(replace(coalesce(substr(text, 1, 30), ''), chr(10), ' '), chr(34), ''), chr(92), ''), chr(123), ''), chr(125), '')"
+
+
+def squeezed_sql(c: str) -> str:
+    return f"trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g'))"
+
+
+def turns(spark, sf):
+    return run(spark, sf, f"SELECT conv_id, turn, role, text, {SAID} AS w FROM {{conversations}}")
+
+
+def spoken(sql: str) -> str:
+    """Oracle SQL over the turns."""
+    return f"WITH turns AS (SELECT conv_id, turn, role, text, {SAID} AS w FROM conversations) {sql}"
+
+
+def among(key, *values):
+    """The value at key modulo their number."""
+    out = F.lit(None).cast("string")
+    for i, v in enumerate(values):
+        out = F.when(key % len(values) == i, v).otherwise(out)
+    return out
+
+
 UNSURE = f"b.id IS NULL AND category = 'news' AND NOT {hit(TEXT, rules.ROUTING_CVE)} AND NOT {hit(TEXT, rules.BREACH)} AND NOT {hit(TEXT, rules.LARGE_SCALE)} AND NOT {hit(TEXT, rules.HACKTIVISM)}"
 QUIET = f"coalesce(b.nexus = 'other' AND b.motive <> 'hacktivism' AND NOT {hit(TEXT, rules.LARGE_SCALE)} AND NOT {hit(TEXT, rules.RESEARCH)} AND NOT {hit(TEXT, rules.INCIDENT)}, false)"
 
@@ -22,9 +48,10 @@ def candidates(spark, sf):
 
 
 def answers(c):
-    """Outside verdicts on every third candidate; every sixth says drop."""
+    """Outside verdicts on every third candidate; every sixth says drop, the others name an alias, a stranger, a bare family or nobody."""
     said = c.where("id % 3 = 0")
-    return said.select("raw_hash", (F.col("id") % 6 == 0).alias("drop"), F.when(F.col("id") % 12 == 0, "screened out: dull").alias("reason"), F.lit("report").alias("item_type"), F.lit(None).cast("string").alias("adversary"))
+    adversary = F.when(F.col("id") % 4 == 1, "apt28").when(F.col("id") % 4 == 3, "Quiet Crew 9").when(F.col("id") % 5 == 0, "Kitten")
+    return said.select("raw_hash", (F.col("id") % 6 == 0).alias("drop"), F.when(F.col("id") % 12 == 0, "screened out: dull").alias("reason"), F.lit("report").alias("item_type"), adversary.alias("adversary"), F.when(F.col("id") % 7 == 0, "iran").alias("nexus"))
 
 
 @query("p1_hybrid_rules_first", matched(f"""SELECT id, via, CASE WHEN via = 'llm' THEN CASE WHEN id % 6 = 0 THEN 'drop' ELSE 'keep' END WHEN m OR quiet THEN 'drop' ELSE 'keep' END AS outcome,
@@ -32,7 +59,7 @@ def answers(c):
     FROM (SELECT r.id, {MARKET} AS m, {QUIET} AS quiet, CASE WHEN NOT {MARKET} AND NOT {QUIET} AND {UNSURE} AND r.id % 3 = 0 THEN 'llm' ELSE 'rules' END AS via FROM reports r LEFT JOIN best b ON r.id = b.id)"""))
 def p1(spark, sf):
     c = candidates(spark, sf)
-    return ingest.enriched(c, groups(spark, sf), answers(c)).select("id", "via", "outcome", "reason")
+    return ingest.enriched(c, groups(spark, sf), answers(c)).select("id", F.col("classified_by").alias("via"), "outcome", "reason")
 
 
 @query("p1_hybrid_llm_first", matched(f"""SELECT id, via, CASE WHEN via = 'llm' THEN CASE WHEN id % 6 = 0 THEN 'drop' ELSE 'keep' END WHEN m OR quiet THEN 'drop' ELSE 'keep' END AS outcome,
@@ -40,12 +67,20 @@ def p1(spark, sf):
     FROM (SELECT r.id, {MARKET} AS m, {QUIET} AS quiet, CASE WHEN NOT {MARKET} AND r.id % 3 = 0 THEN 'llm' ELSE 'rules' END AS via FROM reports r LEFT JOIN best b ON r.id = b.id)"""))
 def p1l(spark, sf):
     c = candidates(spark, sf)
-    return ingest.enriched(c, groups(spark, sf), answers(c), llm_first=True).select("id", "via", "outcome", "reason")
+    return ingest.enriched(c, groups(spark, sf), answers(c), llm_first=True).select("id", F.col("classified_by").alias("via"), "outcome", "reason")
+
+
+@query("p2_canonical_actor", matched(f"""SELECT id, classified_by, CASE WHEN classified_by = 'rules' THEN cs WHEN id % 4 = 1 THEN 'FANCY BEAR' WHEN id % 4 = 3 THEN 'Quiet Crew 9' ELSE cs END AS cs,
+    CASE WHEN classified_by = 'rules' THEN nexus WHEN id % 4 = 1 THEN CASE WHEN id % 7 = 0 THEN 'iran' ELSE 'russia' END WHEN id % 4 = 3 THEN CASE WHEN id % 7 = 0 THEN 'iran' END ELSE nexus END AS nexus
+    FROM (SELECT r.id, b.cs, b.nexus, CASE WHEN NOT {MARKET} AND r.id % 3 = 0 THEN 'llm' ELSE 'rules' END AS classified_by FROM reports r LEFT JOIN best b ON r.id = b.id)"""))
+def p2(spark, sf):
+    c = candidates(spark, sf)
+    return ingest.enriched(c, groups(spark, sf), answers(c), llm_first=True).select("id", "classified_by", "g.cs", "g.nexus")
 
 
-@query("p3_drop_audit", matched(f"SELECT 'r' || CAST(r.id AS VARCHAR) AS raw_hash, CASE WHEN {MARKET} THEN 'marketing / product' ELSE 'low-signal crew mention' END AS reason FROM reports r LEFT JOIN best b ON r.id = b.id WHERE {MARKET} OR {QUIET}"))
+@query("p3_drop_audit", matched(f"SELECT 'r' || CAST(r.id AS VARCHAR) AS raw_hash, CASE WHEN {MARKET} THEN 'marketing / product' ELSE 'low-signal crew mention' END AS reason, 'rules' AS classified_by FROM reports r LEFT JOIN best b ON r.id = b.id WHERE {MARKET} OR {QUIET}"))
 def p3(spark, sf):
-    return ingest.enriched(candidates(spark, sf), groups(spark, sf)).where("outcome = 'drop'").select("raw_hash", "reason")
+    return ingest.drop_audit(ingest.enriched(candidates(spark, sf), groups(spark, sf))).select("raw_hash", "reason", "classified_by")
 
 
 ITEM_TYPE = f"CASE WHEN {hit(TEXT, rules.ROUTING_CVE)} THEN 'vuln' WHEN b.id IS NOT NULL THEN 'actor_activity' WHEN {hit(TEXT, rules.BREACH)} THEN 'breach' WHEN category = 'news' AND {hit(TEXT, rules.LARGE_SCALE)} THEN 'breaking' ELSE 'report' END"
@@ -64,10 +99,25 @@ def i2(spark, sf):
     return ingest.promoted(r, r.where("id % 2 = 1").select("id", F.lit("cve-2026-1000").alias("value"))).select("id", "kind")
 
 
-@query("i3_reclassify")
+POC_TOLD = hit("title || ' ' || coalesce(description, '')", ingest.POC_AGAIN)
+
+
+@query("i3_reclassify", with_views(f"""SELECT id,
+    CASE WHEN up THEN 'exploit' WHEN research THEN 'research' ELSE kind END AS kind, CASE WHEN up THEN 'CVE-2026-1000' ELSE cve_id END AS cve_id,
+    CASE WHEN research AND bare THEN coalesce(a.motive, motivation) ELSE motivation END AS motivation, CASE WHEN research AND bare THEN a.name ELSE crowdstrike_adversary END AS crowdstrike_adversary,
+    CASE WHEN research AND bare THEN a.name ELSE adversary_label END AS adversary_label,
+    CASE WHEN up AND {POC_TOLD} THEN 'poc' WHEN up THEN 'confirmed' WHEN kind = 'exploit' AND exploit_status <> 'poc' AND {hit("coalesce(target, '') || ' ' || coalesce(description, '')", ingest.POC_AGAIN)} THEN 'poc' ELSE exploit_status END AS exploit_status
+    FROM (SELECT *, kind IN ('other', 'breach') AND NOT up AND (NOT bare OR actor IS NOT NULL) AS research FROM (SELECT *, kind = 'other' AND bare AND {hit('title', rules.ADVISORY)} AND id % 2 = 1 AS up FROM (SELECT *,
+        coalesce(motivation, '') = '' AND coalesce(crowdstrike_adversary, '') = '' AND (coalesce(adversary_label, '') = '' OR regexp_matches(adversary_label, '(?i)^unid\\b')) AS bare,
+        CASE WHEN regexp_matches(lower(title), '\\bvolt typhoon\\b') THEN 'VANGUARD PANDA' WHEN regexp_matches(lower(title), '\\blockbit\\b') THEN 'BITWISE SPIDER' WHEN regexp_matches(lower(title), '\\bfancy bear\\b') THEN 'FANCY BEAR'
+             WHEN regexp_matches(lower(title), '\\bkillnet\\b') THEN 'KillNet' WHEN regexp_matches(lower(title), '\\bdark halo\\b') THEN 'COZY BEAR' END AS actor FROM rows))) r
+    LEFT JOIN actors a ON a.name = r.actor""", "reports", "actors").replace(") SELECT id,", "), rows AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN motivation END AS motivation, CASE WHEN id % 3 = 0 THEN crowdstrike_adversary END AS crowdstrike_adversary, CASE WHEN id % 3 <> 1 THEN adversary_label END AS adversary_label, CASE WHEN kind = 'exploit' AND id % 4 = 0 THEN 'PoC for ' || title ELSE target END AS target) FROM reports) SELECT id,"))
 def i3(spark, sf):
+    third = lambda c, test: F.when(test, F.col(c)).alias(c)
     r = view(spark, sf, "reports")
-    return ingest.reclassified(r, groups(spark, sf), r.where("id % 2 = 1").select("id", F.lit("cve-2026-1000").alias("value"))).select("id", "kind", "motivation", "crowdstrike_adversary")
+    r = r.withColumns({"motivation": third("motivation", F.col("id") % 3 == 0), "crowdstrike_adversary": third("crowdstrike_adversary", F.col("id") % 3 == 0), "adversary_label": third("adversary_label", F.col("id") % 3 != 1), "target": F.when((F.col("kind") == "exploit") & (F.col("id") % 4 == 0), F.concat(F.lit("PoC for "), "title")).otherwise(F.col("target"))})
+    found = ingest.reclassified(r, groups(spark, sf), r.where("id % 2 = 1").select("id", F.lit("cve-2026-1000").alias("value")))
+    return found.select("id", "kind", "cve_id", "motivation", "crowdstrike_adversary", "adversary_label", "exploit_status")
 
 
 @query("i4_rescan_one_actor", with_views(f"SELECT id FROM reports WHERE crowdstrike_adversary IS NULL AND regexp_matches(lower({TEXT}), '(^|[^a-z0-9])(lockbit|lockbit affiliate|bitwise spider)($|[^a-z0-9])')", "reports"))
@@ -83,18 +133,20 @@ def ingest_run(spark, sf):
     return ingest.run(c, none, none, groups(spark, sf))["tally"]
 
 
-@query("s17_find_or_create", with_views("SELECT count(*) AS names, count(DISTINCT lower(name)) AS distinct_names FROM (SELECT name FROM report_labels WHERE id = 0 UNION SELECT min(name) FROM report_labels WHERE lower(name) NOT IN (SELECT lower(name) FROM report_labels WHERE id = 0) GROUP BY lower(name))", "report_labels"))
+@query("s17_find_or_create", with_views("SELECT lower(name) AS k, name, count(*) OVER () AS n FROM (SELECT DISTINCT name FROM report_labels WHERE id < 2 UNION ALL SELECT upper(min(name)) FROM report_labels WHERE lower(name) NOT IN (SELECT lower(name) FROM report_labels WHERE id < 2) GROUP BY lower(name))", "report_labels"))
 def s17(spark, sf):
     lab = view(spark, sf, "report_labels")
-    have = lab.where("id = 0").select(F.sha2("name", 256).alias("id"), "name").distinct()
-    made = sinks.find_or_create(have, lab.select(F.upper("name").alias("name"), F.col("id").alias("ord")))
-    return made.agg(F.count("*").alias("names"), F.count_distinct(F.lower("name")).alias("distinct_names"))
+    have = lab.where("id < 2").select(F.sha2("name", 256).alias("id"), "name").distinct()
+    made = sinks.find_or_create(have, lab.select(F.concat(F.lit(" "), F.upper("name")).alias("name"), F.col("id").alias("ord")))
+    return made.select(F.lower("name").alias("k"), "name").crossJoin(made.agg(F.count("*").alias("n")))
 
 
-@query("s19_tombstones", with_views("SELECT raw_hash FROM hidden UNION SELECT raw_hash FROM reports WHERE id % 100 = 1", "reports", "hidden"))
+@query("s19_tombstones", with_views("SELECT 'tombstone' AS what, raw_hash, count(*) AS n FROM (SELECT raw_hash FROM hidden UNION SELECT raw_hash FROM reports WHERE id % 100 = 1) GROUP BY 2 UNION ALL SELECT 'item', raw_hash, count(*) FROM reports WHERE raw_hash NOT IN (SELECT raw_hash FROM reports WHERE id % 100 = 1) GROUP BY 2", "reports", "hidden"))
 def s19(spark, sf):
     r = view(spark, sf, "reports")
-    return sinks.delete(r, view(spark, sf, "hidden"), r.where("id % 100 = 1"))[1]
+    items, stones = sinks.delete(r, view(spark, sf, "hidden"), r.where("id % 100 = 1"))
+    both = stones.select(F.lit("tombstone").alias("what"), "raw_hash").unionByName(items.select(F.lit("item").alias("what"), "raw_hash"))
+    return both.groupBy("what", "raw_hash").agg(F.count("*").alias("n"))
 
 
 @query("s22_prune", with_views("SELECT ioc_id FROM iocs WHERE NOT regexp_matches(value, '\\.bad\\.test$')", "iocs"))
@@ -103,10 +155,14 @@ def s22(spark, sf):
     return indicators.not_allowed(view(spark, sf, "iocs"), allow).select("ioc_id")
 
 
-@query("s23_sanitise", "SELECT doc_id FROM documents WHERE regexp_matches(text, '[^\\x09\\x0A\\x0D\\x20-\\x7E]')")
+@query("s23_sanitise", f"""WITH items AS (SELECT doc_id, substr(text, 1, 200) AS title, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END AS description, source AS url FROM documents),
+    new AS (SELECT doc_id, {ascii_sql('title')} AS title, CASE WHEN coalesce(description, '') = '' THEN description ELSE {ascii_sql('description')} END AS description, url, title AS t, description AS d FROM items),
+    hashed AS (SELECT *, sha256(lower({squeezed_sql('title')}) || '|' || lower({squeezed_sql('url')})) AS raw_hash FROM new)
+    SELECT doc_id, title, md5(description) AS description, raw_hash FROM hashed WHERE title IS DISTINCT FROM t OR description IS DISTINCT FROM d OR doc_id % 4 = 0""")
 def s23(spark, sf):
-    d = run(spark, sf, "SELECT doc_id, text FROM {documents}")
-    return d.where(F.col("text").rlike(r"[^\x09\x0A\x0D\x20-\x7E]") & (F.col("text") != text.to_ascii(F.col("text")))).select("doc_id")
+    d = run(spark, sf, "SELECT doc_id, substr(text, 1, 200) AS title, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END AS description, source AS url FROM {documents}")
+    stored = d.withColumn("raw_hash", F.when(F.col("doc_id") % 4 == 0, "old").otherwise(text.item_hash(text.to_ascii(F.col("title")), F.col("url"))))
+    return sinks.sanitised(stored).select("doc_id", "title", F.md5("description").alias("description"), "raw_hash")
 
 
 @query("s24_marks", with_views("SELECT id, user_id FROM (SELECT id, 1 AS user_id FROM reports WHERE id % 3 = 0 UNION SELECT id, 1 FROM reports WHERE id % 5 = 0)", "reports"))
@@ -121,20 +177,33 @@ def s25(spark, sf):
     return sinks.sources_checked(f).select("name", "problem", "feed_url")
 
 
-@query("s13_pdf_detection", "SELECT page_id, page_id % 3 = 0 OR page_id % 5 = 0 OR page_id % 7 = 0 AS pdf FROM pages")
+@query("s13_pdf_detection", """SELECT page_id, regexp_matches(split_part(split_part(lower(u), '#', 1), '?', 1), '\\.pdf$') OR page_id % 5 = 0 OR substr(h, 1, 5) = '%PDF-' AS pdf
+    FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '/report.PDF' WHEN 1 THEN url || '/a.pdf.html' ELSE url END AS u, CASE WHEN page_id % 7 = 0 THEN '%PDF-1.7' || html ELSE html END AS h FROM pages)""")
 def s13(spark, sf):
-    p = run(spark, sf, "SELECT page_id FROM {pages}")
     n = F.col("page_id")
-    url = F.when(n % 3 == 0, "https://a.example/x.PDF?d=1").otherwise("https://a.example/x.html")
-    return p.select("page_id", html.is_pdf(url, F.when(n % 5 == 0, "application/pdf; q=1").otherwise("text/html"), F.when(n % 7 == 0, F.lit(b"%PDF-1.7")).otherwise(F.lit(b"<html>"))).alias("pdf"))
+    url = among(n, F.concat("url", F.lit("/report.PDF")), F.concat("url", F.lit("/a.pdf.html")), F.col("url"), F.col("url"))
+    head = F.when(n % 7 == 0, F.concat(F.lit("%PDF-1.7"), "html")).otherwise(F.col("html")).cast("binary")
+    return run(spark, sf, "SELECT page_id, url, html FROM {pages}").select("page_id", html.is_pdf(url, F.when(n % 5 == 0, "application/pdf; q=1").otherwise("text/html"), head).alias("pdf"))
 
 
-@query("s3_listing_reader", "SELECT page_id, 'https://cert.example/n/' || CAST(page_id AS VARCHAR) AS url, 'Title ' || CAST(page_id AS VARCHAR) AS title FROM pages")
+@query("s3_listing_reader", f"""SELECT page_id, CASE WHEN page_id % 5 <> 4 THEN 'cert-eu-blog' END AS reader, CASE WHEN page_id % 5 < 3 THEN CASE WHEN k = 0 THEN 'https://cert.europa.eu' || split_part(p, '?', 1) ELSE url END END AS url,
+    CASE WHEN page_id % 5 < 3 THEN {ascii_sql('t')} END AS title, CASE WHEN page_id % 5 < 3 AND k = 0 THEN nullif(substr({ascii_sql('d')}, 1, 500), '') END AS description,
+    CASE WHEN page_id % 5 < 3 AND k = 0 THEN TIMESTAMP '2026-04-21 15:50:00' + INTERVAL 1 HOUR * CAST(page_id % 5 AS INT) END AS published_at,
+    CASE WHEN page_id % 5 = 4 THEN 'no reader' WHEN page_id % 5 = 3 THEN 'no items' END AS error
+    FROM (SELECT page_id, url, '/blog/' || CAST(page_id AS VARCHAR) AS p, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS t, regexp_extract(html, '(?s)<h1>.*?</h1>(.*?)</p>', 1) AS body, replace(regexp_extract(html, '(?s)<h1>.*?</h1>(.*?)</p>', 1), '</p>', '') AS dd, k,
+        regexp_replace(regexp_extract(html, '(?s)<h1>.*?</h1>(.*?)</p>', 1), '<[^>]*>', ' ', 'g') AS d FROM pages, (SELECT unnest([0, 1]) AS k)) WHERE page_id % 5 < 3 OR k = 0""")
 def s3(spark, sf):
-    n = F.col("page_id").cast("string")
-    page = F.concat(F.lit('<article class="news--articles--item x"><h3 class="news--articles--item--title"><a href="/n/'), n, F.lit('">Title <b>'), n, F.lit('</b></a></h3><p class="news--articles--item--description">About &amp; so on</p></article>'))
-    p = run(spark, sf, "SELECT page_id FROM {pages}").select("page_id", page.alias("html"), F.lit("https://cert.example/list").alias("base"))
-    return feeds.read_listing(p, "news_articles").select("page_id", "url", F.regexp_replace("title", " +", " ").alias("title"))
+    """Listing pages made of each page's own heading and first paragraph: two items, one without date; none; or of another site."""
+    n = F.col("page_id")
+    title, about = F.regexp_extract("html", "<h1>(.*?)</h1>", 1), F.regexp_extract("html", "(?s)<h1>.*?</h1>(.*?)</p>", 1)
+    zone = among(n % 5, F.lit("05:50:00 PM CEST"), F.lit("16:50"), F.lit("05:50 PM XYZ"), F.lit(""), F.lit(""))
+    first = F.concat(F.lit('<article class="news--articles--item"><time class="news--articles--item--time" datetime="2001-05-15T19:00">Tuesday, April 21, 2026 '), zone, F.lit('</time><h3 class="news--articles--item--title"><a href="/blog/'), n.cast("string"), F.lit('">'), title, F.lit('</a></h3><p class="news--articles--item--description">'), about, F.lit("</p></article>"))
+    second = F.concat(F.lit('<article class="news--articles--item"><h3 class="news--articles--item--title"><a href="'), "url", F.lit('">'), title, F.lit("</a></h3></article>"))
+    untitled = F.lit('<article class="news--articles--item"><h3 class="news--articles--item--title"><a href="/x"> </a></h3></article>')
+    page = F.when(n % 5 == 3, untitled).otherwise(F.concat(first, untitled, second))
+    p = run(spark, sf, "SELECT page_id, url, html FROM {pages}").select("page_id", page.alias("html"), F.when(n % 5 == 4, F.col("url")).otherwise(F.lit("https://cert.europa.eu/blog?page=1")).alias("base"))
+    listed = feeds.read_listing(p)
+    return listed.join(feeds.errors(listed), "page_id", "left")
 
 
 @query("s5_feed_health", with_views("SELECT source_name, count(*) AS items, max(published_at) AS latest_item_at FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY published_at DESC NULLS LAST, id) AS n FROM reports) WHERE n <= 40 GROUP BY 1", "reports"))
@@ -149,9 +218,11 @@ def j14(spark, sf):
     return feeds.source_of(view(spark, sf, "reports").select("id", "url"), known).select("id", "source")
 
 
-@query("j15_collisions", with_views("SELECT 'sofacy group' AS proposed, 'FANCY BEAR' AS existing, 'apt28' AS shared_name FROM actors LIMIT 1", "actors"))
+@query("j15_collisions", with_views("""SELECT p.name AS proposed, a.name AS existing, min(n) AS shared_name FROM (SELECT DISTINCT name, lower(trim(unnest([name, one, two]))) AS n FROM proposed) p
+    JOIN (SELECT name, lower(trim(unnest(string_split(name || '|' || community || '|' || internal, '|')))) AS m FROM actors) a ON n = m WHERE n <> '' GROUP BY 1, 2""", "reports", "actors").replace(") SELECT p.name", "), proposed AS (SELECT DISTINCT source_name || ' crew' AS name, ' ' || upper(coalesce(adversary_label, '')) || ' ' AS one, CASE id % 4 WHEN 0 THEN 'apt28' WHEN 1 THEN 'SideWinder ' WHEN 2 THEN 'lockbit affiliate' ELSE '' END AS two FROM reports) SELECT p.name"))
 def j15(spark, sf):
-    p = spark.range(1).select(F.lit("sofacy group").alias("name"), F.array(F.lit("APT28 "), F.lit("other")).alias("community_identifiers"), F.array().cast("array<string>").alias("internal_alternative_names"))
+    two = among(F.col("id"), F.lit("apt28"), F.lit("SideWinder "), F.lit("lockbit affiliate"), F.lit(""))
+    p = view(spark, sf, "reports").select(F.concat("source_name", F.lit(" crew")).alias("name"), F.array(F.concat(F.lit(" "), F.upper(F.coalesce("adversary_label", F.lit(""))), F.lit(" "))).alias("community_identifiers"), F.array(two).alias("internal_alternative_names")).distinct()
     return attribution.collisions(p, actors(spark, sf)).withColumnRenamed("on", "shared_name")
 
 
@@ -168,49 +239,62 @@ def j2(spark, sf):
     return j.groupBy("item_id").agg(F.array_join(F.sort_array(F.collect_set("value")), ",").alias("ips"))
 
 
-@query("j5_body_fallback", with_views("SELECT id, CASE WHEN id % 3 = 0 THEN 'BITWISE SPIDER' WHEN id % 3 = 1 THEN 'FANCY BEAR' END AS cs FROM reports", "reports"))
+@query("j5_body_fallback", with_views(f"""SELECT r.id, coalesce(max(CASE WHEN stated THEN name END), max(CASE WHEN NOT any_stated AND strong THEN name END)) AS cs FROM (SELECT r.*, x.*, bool_or(stated) OVER (PARTITION BY r.id) AS any_stated,
+        row_number() OVER (PARTITION BY r.id ORDER BY CASE WHEN stated THEN 0 WHEN strong THEN 1 ELSE 2 END, length(a) DESC, ord, pos) AS k FROM (SELECT id, title, body, regexp_matches(lower(title), '(^|[^a-z0-9])' || a || '($|[^a-z0-9])') AS stated,
+            regexp_matches(lower(body), '(^|[^a-z0-9])' || a || '($|[^a-z0-9])') AND regexp_matches(a, '\\s|[0-9]') AS strong, name, a, ord, pos FROM bodies, names) r, (SELECT 1) x WHERE stated OR strong) r WHERE k = 1 GROUP BY r.id
+    UNION ALL SELECT id, NULL FROM bodies WHERE NOT EXISTS (SELECT 1 FROM names WHERE regexp_matches(lower(title), '(^|[^a-z0-9])' || a || '($|[^a-z0-9])') OR regexp_matches(lower(body), '(^|[^a-z0-9])' || a || '($|[^a-z0-9])') AND regexp_matches(a, '\\s|[0-9]'))""", "reports", "actors").replace(") SELECT r.id", "), names AS (SELECT name, ord, generate_subscripts(string_split(name || '|' || community || '|' || internal, '|'), 1) AS pos, lower(trim(unnest(string_split(name || '|' || community || '|' || internal, '|')))) AS a FROM actors), names2 AS (SELECT * FROM names), bodies AS (SELECT id, CASE WHEN id % 2 = 0 THEN title ELSE 'Title without a name' END AS title, coalesce(description, '') || ' ' || CASE id % 5 WHEN 0 THEN 'links to APT28 and more' WHEN 1 THEN 'related: Sofacy, KillNet' WHEN 2 THEN 'by Volt Typhoon' WHEN 3 THEN 'LockBit affiliate, APT28' ELSE '' END AS body FROM reports) SELECT r.id", 1).replace("FROM bodies, names)", "FROM bodies, (SELECT * FROM names WHERE length(a) >= 4 AND a <> 'lead') names)").replace("FROM names WHERE regexp", "FROM (SELECT * FROM names WHERE length(a) >= 4 AND a <> 'lead') names WHERE regexp"))
 def j5(spark, sf):
-    title = F.when(F.col("id") % 3 == 0, "LockBit again").otherwise("Nothing named")
-    body = F.when(F.col("id") % 3 == 1, "links ... APT28 ... menu").otherwise("related: Sofacy, LockBit")  # lone words in a body don't count
+    title = F.when(F.col("id") % 2 == 0, F.col("title")).otherwise("Title without a name")
+    body = F.concat(F.coalesce("description", F.lit("")), F.lit(" "), among(F.col("id"), F.lit("links to APT28 and more"), F.lit("related: Sofacy, KillNet"), F.lit("by Volt Typhoon"), F.lit("LockBit affiliate, APT28"), F.lit("")))
     return view(spark, sf, "reports").select("id", attribution.match_report(title, F.lit(None).cast("string"), groups(spark, sf), body)["cs"].alias("cs"))
 
 
-@query("a19_bell_rows", with_views("SELECT DISTINCT s.user_id, r.id FROM subscriptions s JOIN reports r ON s.kind = 'adversary' AND lower(s.value) IN (lower(r.crowdstrike_adversary), lower(r.adversary_label)) OR s.kind = 'country' AND lower(trim(s.value)) = lower(r.country)", "reports", "subscriptions"))
+@query("a19_bell_rows", with_views(f"SELECT DISTINCT user_id, id FROM ({REASONS})", "reports", "subscriptions", "report_labels"))
 def a19(spark, sf):
-    r = view(spark, sf, "reports").withColumns({"labels": F.array().cast("array<string>"), "adversaries": F.array("crowdstrike_adversary", "adversary_label")}).drop("kind")
-    return notify.bell(notify.matches(r, view(spark, sf, "subscriptions")))
+    return notify.bell(notify.matches(notifiable(spark, sf), view(spark, sf, "subscriptions")))
 
 
-@query("n9_dispatch", with_views("SELECT id % 7 AS user_id, count(*) AS n FROM (SELECT id FROM reports WHERE published_at IS NOT NULL ORDER BY created_at, id LIMIT 300) GROUP BY 1", "reports"))
+@query("n9_dispatch", with_views("""SELECT user_id, CASE WHEN reports = 1 THEN '1 new report matching your subscriptions' ELSE CAST(reports AS VARCHAR) || ' new reports matching your subscriptions' END AS subject, md5(CASE WHEN reports = 1 THEN '1 new report matching your subscriptions' ELSE CAST(reports AS VARCHAR) || ' new reports matching your subscriptions' END || chr(10) || chr(10) || body || chr(10) || chr(10) || 'Manage these subscriptions at https://app.example/settings') AS text, sent
+    FROM (SELECT user_id, string_agg(part, chr(10) || chr(10) ORDER BY rank, value) AS body, max(sent) AS sent FROM (SELECT user_id, rank, value, heading || ': ' || value || ' (' || CAST(count(*) AS VARCHAR) || ')' || chr(10) || string_agg('  - ' || title || note || ' [' || source_name || CASE WHEN published_at IS NULL THEN '' ELSE ', ' || CAST(published_at AS VARCHAR) END || ']' || chr(10) || '    ' || url, chr(10) ORDER BY created_at, id) AS part, max(sent) AS sent
+        FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS sent, CASE id % 3 WHEN 0 THEN ' (relabelled)' WHEN 1 THEN ' (re-attributed)' ELSE '' END AS note FROM pending) GROUP BY user_id, rank, value, heading) GROUP BY user_id) JOIN (SELECT user_id, count(DISTINCT title || '|' || url) AS reports FROM pending GROUP BY user_id) USING (user_id)""", "reports").replace(") SELECT user_id, CASE", "), pending AS (SELECT id, id % 7 AS user_id, title, url, source_name, published_at, created_at, CASE WHEN id % 2 = 0 THEN coalesce(country, 'Nowhere') ELSE kind END AS value, CASE WHEN id % 2 = 0 THEN 2 ELSE 0 END AS rank, CASE WHEN id % 2 = 0 THEN 'Country' ELSE 'Label' END AS heading FROM reports WHERE id % 37 <> 5 ORDER BY created_at, id LIMIT 300) SELECT user_id, CASE", 1))
 def n9(spark, sf):
-    q = view(spark, sf, "reports").select((F.col("id") % 7).alias("user_id"), "id", "kind", F.col("country").alias("reason"), "created_at", F.when(F.col("published_at").isNull(), F.col("created_at")).alias("sent_at"))
-    return notify.dispatch(q, most=300).select("user_id", F.size("entries").cast("long").alias("n"))
-
-
-@query("n10_run_messages", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'feed_ingested' ELSE 'feeds_ingested' END AS kind FROM orders UNION ALL SELECT 'summary_updated' FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'suspect_iocs' FROM orders WHERE o_orderkey % 4 > 0 UNION ALL SELECT 'ingest_errors' FROM orders WHERE o_orderkey % 5 > 0) GROUP BY 1")
+    """The oldest 300 unsent entries, a digest for each user, and how many entries are marked as sent after it."""
+    n = F.col("id")
+    q = view(spark, sf, "reports").select("id", (n % 7).alias("user_id"), "title", "url", "source_name", "published_at", "created_at", F.when(n % 37 == 5, F.col("created_at")).alias("sent_at"), F.lit(None).cast("string").alias("last_error"), F.lit(None).cast("string").alias("item_url"),
+        F.when(n % 2 == 0, F.coalesce("country", F.lit("Nowhere"))).otherwise(F.col("kind")).alias("reason_value"), F.when(n % 2 == 0, "country").otherwise("label").alias("reason_kind"), among(n, F.lit("labels"), F.lit("attribution"), F.lit("ingest")).alias("trigger"))
+    pending = notify.pending(q, most=300)
+    digest = notify.digests(pending.withColumn("ord", F.struct("created_at", "id")), "https://app.example")
+    sent = notify.marked(q, pending.select("id", F.lit(None).cast("string").alias("note")), F.expr(AS_OF).cast("timestamp")).where(f"sent_at = {AS_OF}").groupBy("user_id").agg(F.count("*").alias("sent"))
+    return digest.join(sent, "user_id").select("user_id", "subject", F.md5("text").alias("text"), "sent")
+
+
+@query("n10_run_messages", """WITH k AS (SELECT o_orderkey AS run_id, o_orderkey % 4 AS f, o_orderkey % 5 AS e, o_orderkey % 3 AS s, o_orderkey % 2 AS u, o_orderkey % 7 AS st FROM orders)
+    SELECT run_id, kind, title, kind || ':' || CAST(run_id AS VARCHAR) AS dedupe_key FROM (SELECT run_id, CASE WHEN u = 0 THEN 'feed_ingested' ELSE 'feeds_ingested' END AS kind, CASE WHEN u = 0 THEN 'Feed updated' ELSE 'All feeds ingested' END AS title FROM k
+    UNION ALL SELECT run_id, 'summary_updated', 'Executive summary updated' FROM k WHERE s = 0 UNION ALL SELECT run_id, 'suspect_iocs', CAST(f AS VARCHAR) || ' suspect indicator' || CASE WHEN f = 1 THEN '' ELSE 's' END || ' to review' FROM k WHERE f > 0
+    UNION ALL SELECT run_id, 'unclassified_reports', CASE WHEN s = 1 THEN '1 report' ELSE '2 reports' END || ' stored unclassified' FROM k WHERE s > 0 UNION ALL SELECT run_id, 'ingest_errors', 'Ingest finished with ' || CAST(e AS VARCHAR) || ' error' || CASE WHEN e = 1 THEN '' ELSE 's' END FROM k WHERE e > 0
+    UNION ALL SELECT run_id, 'stale_feeds', CAST(st AS VARCHAR) || ' feed' || CASE WHEN st = 1 THEN '' ELSE 's' END || ' look stale' FROM k WHERE st > 0)""")
 def n10(spark, sf):
     k = F.col("o_orderkey")
-    runs = run(spark, sf, "SELECT o_orderkey FROM {orders}").select(k.alias("run_id"), (k % 2 == 0).alias("scoped"), (k % 3 == 0).alias("summarised"), (k % 4).alias("flagged_iocs"), F.lit(0).alias("unclassified"), (k % 5).alias("errors"), F.lit(None).cast("int").alias("stale_feeds"))
-    return notify.run_messages(runs).groupBy("kind").agg(F.count("*").alias("n"))
+    runs = run(spark, sf, "SELECT o_orderkey FROM {orders}").select(k.alias("run_id"), (k % 2 == 0).alias("scoped"), (k % 3 == 0).alias("summarised"), (k % 4).alias("flagged_iocs"), (k % 3).alias("unclassified"), (k % 5).alias("errors"), F.when(k % 7 > 0, k % 7).alias("stale_feeds"))
+    return notify.run_messages(runs)
 
 
-@query("n12_feed", with_views("SELECT section, count(*) AS n FROM (SELECT section, row_number() OVER (PARTITION BY section ORDER BY published_at DESC NULLS LAST, id) AS p FROM (SELECT *, CASE WHEN kind IN ('research', 'other') THEN 'reports' WHEN kind = 'breach' THEN 'breaches' ELSE 'exploits' END AS section FROM reports ORDER BY published_at DESC NULLS LAST, id LIMIT 4000) WHERE country = 'Iran' OR adversary_label = 'Qilin' OR crowdstrike_adversary = 'FANCY BEAR') WHERE p <= 20 GROUP BY 1", "reports"))
+@query("n12_feed", with_views(f"SELECT section, id FROM (SELECT section, id, row_number() OVER (PARTITION BY section ORDER BY published_at DESC NULLS LAST, id) AS p FROM (SELECT *, CASE WHEN kind IN ('research', 'other') THEN 'reports' WHEN kind = 'breach' THEN 'breaches' ELSE 'exploits' END AS section FROM reports ORDER BY published_at DESC NULLS LAST, id LIMIT 4000) WHERE id IN (SELECT id FROM ({REASONS}))) WHERE p <= 100", "reports", "subscriptions", "report_labels"))
 def n12(spark, sf):
-    r = view(spark, sf, "reports").withColumns({"labels": F.array().cast("array<string>"), "adversaries": F.array("crowdstrike_adversary", "adversary_label")})
-    recent = notify.feed(r.withColumnRenamed("kind", "kind"), view(spark, sf, "subscriptions").where("kind <> 'label'"), each=20)
-    return recent.groupBy("section").agg(F.count("*").alias("n"))
+    r = view(spark, sf, "reports").select("id", "kind", "published_at").join(notifiable(spark, sf).drop("kind", "published_at"), "id")
+    return notify.feed(r, view(spark, sf, "subscriptions")).select("section", "id")
 
 
-@query("a24_unify_tables", with_views("SELECT raw_hash, max(CASE WHEN t = 1 THEN 'research' END) IS NULL AS from_second FROM (SELECT raw_hash, 1 AS t FROM reports WHERE kind = 'research' UNION ALL SELECT raw_hash, 2 FROM reports WHERE kind = 'breach') GROUP BY 1", "reports"))
+@query("a24_unify_tables", with_views("SELECT raw_hash, id, CASE WHEN t = 0 THEN 'research' ELSE 'breach' END AS kind FROM (SELECT raw_hash, id, t, row_number() OVER (PARTITION BY raw_hash ORDER BY t, id) AS n FROM (SELECT raw_hash, id, 0 AS t FROM reports WHERE kind = 'research' UNION ALL SELECT raw_hash, id, 1 FROM reports WHERE kind = 'breach')) WHERE n = 1", "reports"))
 def a24(spark, sf):
     r = view(spark, sf, "reports")
-    both = r.where("kind = 'research'").select("raw_hash", F.lit(1).alias("t")).unionByName(r.where("kind = 'breach'").select("raw_hash", F.lit(2).alias("t")))
-    return both.groupBy("raw_hash").agg((F.min("t") == 2).alias("from_second"))
+    part = lambda kind: r.where(F.col("kind") == kind).select("raw_hash", "id", "kind")
+    return sinks.unified(part("research"), part("breach"))
 
 
 @query("a25_section_totals", with_views("SELECT motivation, count(*) AS total FROM reports WHERE motivation IS NOT NULL GROUP BY 1", "reports"))
 def a25(spark, sf):
-    return view(spark, sf, "reports").where("motivation is not null").groupBy("motivation").agg(F.count("*").alias("total"))
+    return views.section_totals(view(spark, sf, "reports"), "motivation")
 
 
 @query("a21_memory_brief", "SELECT kind, subject FROM (SELECT kind, subject, row_number() OVER (PARTITION BY kind ORDER BY mentions DESC, last_seen DESC, subject) AS n FROM (SELECT 'label' AS kind, p_brand AS subject, count(*) AS mentions, max(p_partkey) AS last_seen FROM part GROUP BY 2)) WHERE n <= 40 UNION ALL SELECT kind, subject FROM (SELECT kind, subject, row_number() OVER (PARTITION BY kind ORDER BY last_seen DESC, mentions DESC, subject) AS n FROM (SELECT 'trend' AS kind, p_type AS subject, count(*) AS mentions, max(p_partkey) AS last_seen FROM part GROUP BY 2)) WHERE n <= 6")
@@ -220,45 +304,81 @@ def a21(spark, sf):
     return views.memory_brief(note("label", "p_brand").unionByName(note("trend", "p_type"))).select("kind", "subject")
 
 
-@query("n1_first_object", "SELECT conv_id, turn, '{\"a\": {\"b\": \"}\"}, \"n\": ' || CAST(turn AS VARCHAR) || '}' AS body FROM conversations")
+Q, BS = 'chr(34)', 'chr(92)'
+
+
+@query("n1_first_object", spoken(f"""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '{{"a": {{"b": "}}{{"}}, "w": "' || w || '", "n": ' || CAST(turn AS VARCHAR) || '}}' WHEN 3 THEN '{{"q": "say ' || {BS} || {Q} || '}}' || {BS} || {Q} || ' ' || w || '"}}' END AS body FROM turns"""))
 def n1(spark, sf):
-    said = F.concat(F.lit('Sure! {"a": {"b": "}"}, "n": '), F.col("turn").cast("string"), F.lit('} hope {"this": 1} helps'))
-    return run(spark, sf, "SELECT conv_id, turn FROM {conversations}").select("conv_id", "turn", verdicts.first_object(said).alias("body"))
+    """Prose around an object with braces in strings and another behind it; no object; one that never closes; escaped quotes."""
+    w, n = F.col("w"), F.col("turn")
+    object_ = F.concat(F.lit('He said "so": '), w, F.lit(' {"a": {"b": "}{"}, "w": "'), w, F.lit('", "n": '), n.cast("string"), F.lit('} and {"later": 1}'))
+    said = F.when(n % 4 == 0, object_).when(n % 4 == 1, F.concat(w, F.lit(" } no object"))).when(n % 4 == 2, F.concat(F.lit('```json {"open": "'), w, F.lit('} never closed'))).otherwise(F.concat(F.lit('x {"q": "say \\"}\\" '), w, F.lit('"} y')))
+    return turns(spark, sf).select("conv_id", "turn", verdicts.first_object(said).alias("body"))
+
 
+CODE = "'T' || CAST(1000 + conv_id % 800 AS VARCHAR)"
 
-@query("n2_techniques", "SELECT conv_id, turn, 'T1059.001:PowerShell,T1566:T1566' AS found FROM conversations")
+
+@query("n2_techniques", spoken(f"""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN {CODE} || '.001:' || CASE WHEN {ascii_sql('w')} = '' THEN {CODE} || '.001' ELSE {ascii_sql('w')} END || ',' || 'T9' || CAST(100 + turn AS VARCHAR) || ':T9' || CAST(100 + turn AS VARCHAR) WHEN 1 THEN {CODE} || ':known' ELSE '' END AS found FROM turns"""))
 def n2(spark, sf):
-    said = F.concat(F.lit('Found [{"code": "t1059.001", "name": "PowerShell"}, {"code": "T1566"}, {"code": "T1059.001", "name": "again"}, {"code": "X1", "name": "no"}] for '), F.col("role"))
+    """Codes in either case, repeated, unnamed, malformed; a list alone; and answers without one."""
+    n, w = F.col("turn"), F.col("w")
+    code = F.concat(F.lit("t"), (F.col("conv_id") % 800 + 1000).cast("string"))
+    many = F.concat(F.lit('Found [{"code": "'), code, F.lit('.001", "name": "'), w, F.lit('"}, {"code": " T9'), (n + 100).cast("string"), F.lit('"}, {"code": "'), F.upper(code), F.lit('.001", "name": "again"}, {"code": "X1", "name": "no"}, {"code": "T12", "name": "short"}] for '), w)
+    one = F.concat(F.lit('[{"name": "known", "code": "'), code, F.lit('"}]'))
+    said = F.when(n % 3 == 0, many).when(n % 3 == 1, one).otherwise(F.concat(F.lit("none in "), w, F.lit(" [not json")))
     found = F.transform(verdicts.techniques(said), lambda r: F.concat_ws(":", r["code"], r["name"]))
-    return run(spark, sf, "SELECT conv_id, turn, role FROM {conversations}").select("conv_id", "turn", F.array_join(found, ",").alias("found"))
+    return turns(spark, sf).select("conv_id", "turn", F.array_join(found, ",").alias("found"))
 
 
-@query("n2_n3_triage", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'breach' END AS kind, 'ecrime' AS motivation, 'Malware/FlyingEagle,Target/F5BIGIP' AS labels FROM conversations")
-def n3(spark, sf):
-    kind = F.when(F.col("turn") % 2 == 0, "Breach").otherwise("nonsense")
-    said = F.concat(F.lit('```json {"dashboard_kind": "'), kind, F.lit('", "motivation": "ecrime", "labels": {"malware": "Malware/flying eagle", "targeted_systems": ["F5 BIG-IP", "f5 bIG iP"]}} ```'))
-    return run(spark, sf, "SELECT conv_id, turn FROM {conversations}").select("conv_id", "turn", verdicts.triage(said).alias("t")).select("conv_id", "turn", "t.kind", "t.motivation", F.array_join("t.labels", ",").alias("labels"))
+LABEL = "substr(array_to_string(list_transform(list_filter(regexp_split_to_array({0}, '[^a-zA-Z0-9]+'), lambda p: p <> ''), lambda p: upper(substr(p, 1, 1)) || substr(p, 2)), ''), 1, 48)"
 
 
-@query("n4_flags", "SELECT conv_id, turn, 'a.example:No reason given' AS flags FROM conversations")
+@query("n2_n3_triage", spoken(f"""SELECT conv_id, turn, turn % 4 <> 1 AND turn % 5 <> 4 AS relevant, kind, item_type, confidence, nexus, adversary, labels, CASE WHEN parsed THEN ips END AS ips, CASE WHEN parsed THEN hashes END AS hashes, CASE WHEN parsed THEN techniques END AS techniques, CASE WHEN parsed THEN trim(w) END AS summary, CASE WHEN parsed AND turn % 2 = 0 THEN 'why' END AS reason FROM (SELECT *,
+    CASE WHEN parsed THEN CASE WHEN conv_id % 2 = 0 THEN 'breach' ELSE 'other' END END AS kind, CASE WHEN parsed THEN CASE WHEN conv_id % 3 = 0 THEN 'vuln' ELSE 'report' END END AS item_type, CASE WHEN parsed THEN CASE WHEN conv_id % 5 = 0 THEN 'poc' ELSE 'suspected' END END AS confidence,
+    CASE WHEN parsed AND conv_id % 7 = 0 THEN 'north_korea' END AS nexus, CASE WHEN parsed AND conv_id % 4 = 0 THEN 'Crew ' || CAST(conv_id AS VARCHAR) END AS adversary,
+    CASE WHEN parsed THEN array_to_string(list_filter([CASE WHEN {LABEL.format('w')} <> '' THEN 'Malware/' || {LABEL.format('w')} END, 'Target/F5BIGIP', 'Target/Other' || CAST(turn AS VARCHAR), 'Vector/MailLure'], lambda x: x IS NOT NULL), ',') END AS labels,
+    '45.1.2.' || CAST(conv_id % 250 AS VARCHAR) AS ips, CASE WHEN conv_id % 2 = 1 THEN 'abc,def' ELSE '' END AS hashes, 'T10' || CAST(conv_id % 90 + 10 AS VARCHAR) AS techniques FROM (SELECT *, turn % 5 <> 4 AS parsed FROM turns)) WHERE true""").replace("turn % 4 <> 1 AND turn % 5 <> 4 AS relevant", "CASE WHEN turn % 5 <> 4 THEN turn % 4 <> 1 END AS relevant"))
+def n3(spark, sf):
+    """Answers whose fields are allowed, unknown or missing, with keys under several names; every fifth turn's is broken JSON."""
+    n, w, c = F.col("turn"), F.col("w"), F.col("conv_id")
+    body = F.concat(
+        F.lit('```json {"relevant": '), F.when(n % 4 == 1, "false").otherwise("true"), F.lit(', "dashboardKind": "'), F.when(c % 2 == 0, "breach").otherwise("Nonsense"), F.lit('", "itemType": "'), F.when(c % 3 == 0, "vuln").otherwise("x"),
+        F.lit('", "confidence": '), F.when(c % 5 == 0, '"poc"').otherwise("3"), F.lit(', "nexus": '), F.when(c % 7 == 0, '"north_korea"').otherwise('"atlantis"'), F.lit(', "crowdstrikeAdversary": "'), F.when(c % 4 == 0, F.concat(F.lit("Crew "), c.cast("string"))).otherwise(""),
+        F.lit('", "labels": {"malware": "Malware/ '), w, F.lit('", "targeted_systems": ["F5 BIG-IP", "f5 bIG iP", "other '), n.cast("string"), F.lit('"], "vector": ["mail lure", "Vector/Mail-Lure"]}, "indicators": {"ips": ["45.1.2.'), (c % 250).cast("string"), F.lit('", " "], "hashes": '), F.when(c % 2 == 1, '["abc", "def"]').otherwise('"abc"'),
+        F.lit('}, "mitreTechniques": ["t10'), (c % 90 + 10).cast("string"), F.lit('"], "summary": "'), w, F.lit(' ", "reason": "'), F.when(n % 2 == 0, " why ").otherwise("  "), F.lit('"'), F.when(n % 5 == 4, "").otherwise("} ``` done"),
+    )
+    t = turns(spark, sf).select("conv_id", "turn", verdicts.triage(body).alias("t"))
+    comma = lambda a: F.array_join(a, ",")
+    return t.select("conv_id", "turn", "t.relevant", "t.kind", "t.item_type", "t.confidence", "t.nexus", "t.adversary", comma(F.col("t.labels")).alias("labels"), comma(F.col("t.indicators.ips")).alias("ips"), comma(F.col("t.indicators.files")).alias("hashes"), comma(F.col("t.techniques")).alias("techniques"), "t.summary", "t.reason")
+
+
+@query("n4_flags", spoken("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Site' || CAST(conv_id AS VARCHAR) || '.Example|' || CASE WHEN trim(w) = '' THEN 'unclassified' ELSE substr(trim(w || ' ' || role), 1, 40) END || '|Flagged without a stated reason.' WHEN 1 THEN '' ELSE '8.8.4.' || CAST(turn AS VARCHAR) || '|unclassified|' || substr(repeat('long ', 100), 1, 300) END AS flags FROM turns"""))
 def n4(spark, sf):
-    said = F.lit('[{"value": "A.example", "reason": " "}, {"value": "a.example", "reason": "twice"}, {"value": "x.github.com", "reason": "guarded"}, {"value": "absent.example", "reason": "no"}]')
-    got = verdicts.flags(said, F.array(F.lit("a.example"), F.lit("x.github.com")), F.array(F.lit("github.com")))
-    return run(spark, sf, "SELECT conv_id, turn FROM {conversations}").select("conv_id", "turn", F.array_join(F.transform(got, lambda f: F.concat_ws(":", F.lower(f["value"]), f["reason"])), ",").alias("flags"))
+    """Flags that are in the batch (in another case, twice), guarded, invented, blank or over-long; and an answer without any."""
+    n, w, site = F.col("turn"), F.col("w"), F.concat(F.lit("Site"), F.col("conv_id").cast("string"), F.lit(".Example"))
+    one = F.concat(F.lit('Here {"flagged": [{"value": " '), F.lower(site), F.lit('", "category": "'), F.when(F.trim(w) == "", "").otherwise(F.concat(w, F.lit(" "), "role")), F.lit('", "reason": " "}, {"value": "'), site, F.lit('", "reason": "twice"}, {"value": "x.github.com", "reason": "guarded"}, {"value": "absent.example", "reason": "no"}, {"value": ""}]} ok'))
+    two = F.concat(F.lit('{"flagged": [{"value": "8.8.4.'), n.cast("string"), F.lit('", "reason": "'), F.repeat(F.lit("long "), 100), F.lit('"}]}'))
+    said = F.when(n % 3 == 0, one).when(n % 3 == 1, F.concat(w, F.lit(" nothing {to flag"))).otherwise(two)
+    got = verdicts.flags(said, F.array(site, F.lit("x.github.com"), F.concat(F.lit("8.8.4."), n.cast("string"))), F.array(F.lit("github.com")))
+    return turns(spark, sf).select("conv_id", "turn", F.array_join(F.transform(got, lambda f: F.concat_ws("|", f["value"], f["category"], f["reason"])), ",").alias("flags"))
 
 
-@query("n5_longest_body", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n, length(text) >= 600 AS ok FROM documents WHERE length(text) > 0")
+@query("n5_longest_body", "SELECT doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n, coalesce(length(text), 0) >= 600 AS ok FROM documents")
 def n5(spark, sf):
-    d = run(spark, sf, "SELECT doc_id, text FROM {documents} WHERE length(text) > 0")
+    d = run(spark, sf, "SELECT doc_id, text FROM {documents}")
     return d.select("doc_id", verdicts.longest_body(F.array(F.substring("text", 1, 10), "text", F.lit(""))).alias("b")).select("doc_id", F.length("b.text").cast("long").alias("n"), "b.ok")
 
 
-@query("u5_reconcile", with_views("SELECT id, 'cve:CVE-2026-1000,domain:evil.example,ip:45.1.2.3' AS found FROM reports", "reports"))
+@query("u5_reconcile", with_views("""SELECT id, array_to_string(list_sort(list_filter(['domain:evil' || CAST(id % 50 AS VARCHAR) || '.example', CASE WHEN id % 3 <> 0 THEN 'cve:CVE-2026-' || CAST(1000 + id AS VARCHAR) END, 'ip:45.1.2.' || CAST(id % 250 AS VARCHAR), CASE WHEN id % 2 = 0 THEN 'mitre:T1' || CAST(100 + id % 800 AS VARCHAR) END], lambda x: x IS NOT NULL)), ',') AS found FROM reports""", "reports"))
 def u5(spark, sf):
-    pair = lambda k, v: F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value"))
-    claimed = F.array(pair("domain", "EVIL.example"), pair("domain", "absent.example"), pair("ip", "999.1.1.1"), pair("cve", "cve-2026-1000"))
-    extracted = F.array(pair("domain", "evil.example"), pair("ip", "45.1.2.3"))
-    got = indicators.reconcile(claimed, extracted, F.concat(F.lit("evil[.]example and CVE-2026-1000 999.1.1.1 "), F.col("title")))
+    """Claims in the text in obfuscated form, absent from it, invalid, private or excluded; an address that only the text has; a link's target."""
+    pair = lambda k, *v: F.struct(F.lit(k).alias("kind"), F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in v]).alias("value"))
+    n = F.col("id").cast("string")
+    domain, cve, last, code = F.concat(F.lit("EVIL"), (F.col("id") % 50).cast("string")), (F.col("id") + 1000).cast("string"), (F.col("id") % 250).cast("string"), (F.col("id") % 800 + 100).cast("string")
+    claimed = F.array(pair("domain", domain, "[.]example"), pair("domain", "absent", n, ".example"), pair("ip", "999.1.1.1"), pair("ip", "10.0.0.1"), pair("domain", "github.io.twitter.com"), pair("domain", "sharer.php"), pair("cve", "cve-2026-", cve), pair("mitre", "t1", code), pair("uri", "http://x.example"))
+    said = F.concat(F.lit("at "), domain, F.lit("(.)example, 10.0.0.1 twitter.com sharer.php http://x.y/ 45.1.2[.]"), last, F.when(F.col("id") % 3 != 0, F.concat(F.lit(" CVE-2026-"), cve)).otherwise(""), F.when(F.col("id") % 2 == 0, F.concat(F.lit(" T1"), code)).otherwise(""), F.lit(" [menu](https://chrome"), n, F.lit(".example/a)"))
+    got = indicators.reconcile(claimed, F.replace(said, F.lit(" http://x.y/"), F.lit("")))
     return view(spark, sf, "reports").select("id", F.array_join(F.sort_array(F.transform(got, lambda g: F.concat_ws(":", g["kind"], g["value"]))), ",").alias("found"))
 
 
@@ -268,21 +388,34 @@ def f7(spark, sf):
     return search.documents(view(spark, sf, "reports"), search.fields(tree)).where(search.compiled(tree)).select("id")
 
 
-@query("f14_queues", with_views("SELECT id FROM reports WHERE category = 'news' ORDER BY created_at DESC, id LIMIT 500", "reports"))
+@query("f14_queues", with_views("""SELECT 'unclassified' AS queue, id FROM (SELECT id FROM reports WHERE id % 3 = 0 ORDER BY created_at DESC, id LIMIT 500) UNION ALL SELECT 'dropped', id FROM (SELECT id FROM reports WHERE created_at >= TIMESTAMP '2024-04-30' - INTERVAL 30 DAY ORDER BY created_at DESC, lpad(CAST(id AS VARCHAR), 9, '0') LIMIT 40)
+    UNION ALL SELECT 'dropped of one', id FROM (SELECT id FROM reports WHERE created_at >= TIMESTAMP '2024-04-30' - INTERVAL 30 DAY AND source_name = (SELECT min(source_name) FROM reports) ORDER BY created_at DESC, lpad(CAST(id AS VARCHAR), 9, '0') LIMIT 40) UNION ALL SELECT 'flags', id FROM (SELECT id FROM reports WHERE id % 4 <> 0 ORDER BY id % 90 DESC, id LIMIT 500)""", "reports"))
 def f14(spark, sf):
-    return view(spark, sf, "reports").where("category = 'news'").orderBy(F.col("created_at").desc(), "id").limit(500).select("id")
+    r = view(spark, sf, "reports").withColumn("classified_by", F.when(F.col("id") % 3 == 0, "rules").otherwise("llm"))
+    dropped = r.withColumn("raw_hash", F.lpad(F.col("id").cast("string"), 9, "0"))
+    now = F.expr(AS_OF).cast("timestamp")
+    flags = r.select("id", (F.col("id") % 90).alias("reports"), F.when(F.col("id") % 4 == 0, F.current_timestamp()).alias("resolved_at"))
+    one = r.agg(F.min("source_name")).first()[0]
+    out = [("unclassified", views.unclassified(r)), ("dropped", views.dropped_list(dropped, now, most=40)), ("dropped of one", views.dropped_list(dropped, now, one, most=40)), ("flags", views.open_flags(flags))]
+    queues = [rows.select(F.lit(name).alias("queue"), "id") for name, rows in out]
+    return queues[0].unionByName(queues[1]).unionByName(queues[2]).unionByName(queues[3])
 
 
 @query("f19_actor_filter", with_views("SELECT name FROM actors WHERE motive = 'nation_state' AND (contains(lower(community), 'apt') OR contains(lower(internal), 'apt'))", "actors"))
 def f19(spark, sf):
-    return actors(spark, sf).where((F.get("motivation", F.lit(0)) == "nation_state") & F.exists(F.concat("community_identifiers", "internal_alternative_names"), lambda a: F.lower(a).contains("apt"))).select("name")
+    return views.actors_found(actors(spark, sf), motivation="nation_state", alias=" APT").select("name")
 
 
-@query("f22_stored_else_extracted", with_views("SELECT id, CASE WHEN id % 2 = 0 THEN 'stored.example' ELSE 'seen.example' END AS domains FROM reports", "reports"))
+@query("f22_stored_else_extracted", with_views("""SELECT id, CASE WHEN id % 3 = 0 THEN 'stored' || CAST(id AS VARCHAR) || '.example' ELSE 'seen' || CAST(id % 70 AS VARCHAR) || '.example' END AS domains, CASE WHEN id % 3 = 0 THEN '' ELSE '45.9.8.' || CAST(id % 250 AS VARCHAR) END AS ips, CASE WHEN id % 5 = 0 THEN 'T1001' ELSE 'T1' || CAST(100 + id % 800 AS VARCHAR) END AS mitre FROM reports""", "reports"))
 def f22(spark, sf):
-    stored = F.when(F.col("id") % 2 == 0, F.array(F.lit("stored.example"))).otherwise(F.array().cast("array<string>"))
-    seen = indicators.indicators(F.lit("at seen[.]example"))["domains"]
-    return view(spark, sf, "reports").select("id", F.array_join(F.when(F.size(stored) > 0, stored).otherwise(seen), ",").alias("domains"))
+    """Reports with stored indicators, with techniques alone, with neither; the rest is read from the text, its own site left out."""
+    n = F.col("id")
+    empty = F.array().cast("array<string>")
+    one = lambda test, v: F.when(test, F.array(v)).otherwise(empty)
+    stored = F.struct(empty.alias("ips"), one(n % 3 == 0, F.concat(F.lit("stored"), n.cast("string"), F.lit(".example"))).alias("domains"), empty.alias("files"), empty.alias("cves"), one(n % 5 == 0, F.lit("T1001")).alias("mitre"))
+    said = F.concat(F.lit("at seen"), (n % 70).cast("string"), F.lit("[.]example from own.site.example, 45.9.8."), (n % 250).cast("string"), F.lit(" by T1"), (n % 800 + 100).cast("string"))
+    got = indicators.stored_else_found(stored, indicators.indicators(said, F.array(F.lit("site.example"))))
+    return view(spark, sf, "reports").select("id", *(F.array_join(got[k], ",").alias(k) for k in ("domains", "ips", "mitre")))
 
 
 @query("x32_jitter", "SELECT o_orderkey, CAST(list_reduce(list_prepend(0::UBIGINT, list_transform(string_split(CAST(o_orderkey AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))), lambda a, c: (a * 31 + c) % 4294967296) % 1000 AS BIGINT) AS h FROM orders")
@@ -290,31 +423,48 @@ def x32(spark, sf):
     return run(spark, sf, "SELECT o_orderkey FROM {orders}").select("o_orderkey", F.round((text.jitter(F.col("o_orderkey").cast("string")) / 0.24 + 0.5) * 999).cast("long").alias("h"))
 
 
-@query("x33_evidence_lines", with_views(f"SELECT count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY published_at DESC, id) AS n FROM (SELECT *, CASE WHEN published_at >= {AS_OF} - 1 THEN 0 WHEN published_at >= {AS_OF} - 7 THEN 1 ELSE 2 END AS band FROM (SELECT *, row_number() OVER (PARTITION BY raw_hash ORDER BY published_at DESC, id) AS f FROM reports WHERE published_at >= {AS_OF} - 30) WHERE f = 1)) WHERE n <= CASE band WHEN 2 THEN 16 ELSE 18 END", "reports"))
+WS = "trim(regexp_replace(coalesce({0}, ''), '\\s+', ' ', 'g'))"
+
+
+@query("x33_evidence_lines", with_views(f"""SELECT '[' || CAST(row_number() OVER (ORDER BY band, n) AS VARCHAR) || '] window=' || CASE band WHEN 0 THEN 'last24h' WHEN 1 THEN 'days2to7' ELSE 'days8to30' END || '; date=' || CAST(published_at AS VARCHAR) || '; source=' || coalesce(nullif(substr({WS.format('source_name')}, 1, 100), ''), 'unknown') || '; title=' || substr({WS.format('title')}, 1, 240) || '; synopsis=' || coalesce(nullif(substr({WS.format('description')}, 1, 520), ''), 'No synopsis available.') AS line
+    FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY published_at DESC, id) AS n FROM (SELECT *, CASE WHEN published_at >= {AS_OF} - 1 THEN 0 WHEN published_at >= {AS_OF} - 7 THEN 1 ELSE 2 END AS band FROM (SELECT *, row_number() OVER (PARTITION BY raw_hash ORDER BY published_at DESC, id) AS f FROM reports WHERE published_at >= {AS_OF} - 30) WHERE f = 1)) WHERE n <= CASE band WHEN 2 THEN 16 ELSE 18 END""", "reports"))
 def x33(spark, sf):
-    lines = views.evidence(view(spark, sf, "reports"), F.expr(AS_OF)).select(views.evidence_line().alias("line"))
-    return lines.where(F.col("line").rlike(r"^\[[0-9]+\] window=\w+; date=")).agg(F.count("*").alias("n"))
+    return views.evidence(view(spark, sf, "reports"), F.expr(AS_OF)).select(views.evidence_line().alias("line"))
 
 
-@query("x20_listing_dates", "SELECT o_orderkey, o_orderdate - INTERVAL 1 HOUR AS t FROM orders")
+@query("x20_listing_dates", """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 7 THEN NULL ELSE CASE WHEN o_orderkey % 8 IN (1, 4) THEN date_trunc('minute', t) ELSE t END - CASE o_orderkey % 8 WHEN 0 THEN INTERVAL 1 HOUR WHEN 1 THEN INTERVAL 2 HOUR WHEN 5 THEN INTERVAL 3 HOUR ELSE INTERVAL 0 HOUR END END AS t
+    FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 1 SECOND * CAST(o_orderkey * 7919 % 86400 AS INT) AS t FROM orders)""")
 def x20(spark, sf):
-    said = F.concat(F.date_format("o_orderdate", "EEEE, MMMM d, yyyy hh:mm:ss a"), F.lit(" CET"))
-    return run(spark, sf, "SELECT o_orderkey, o_orderdate FROM {orders}").select("o_orderkey", text.feed_date(said).alias("t"))
+    """Dates at all times of day: two zones, one unknown, none; with and without weekday and seconds; 12 and 24 hours; and no date."""
+    k = F.col("o_orderkey")
+    t = F.col("o_orderdate").cast("date").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (k * 7919 % 86400).cast("int"))
+    said = lambda form, zone: F.concat(F.date_format(t, form), F.lit(zone))
+    full = "EEEE, MMMM d, yyyy hh:mm:ss a"
+    forms = [said(full, " CET"), said("MMMM dd, yyyy hh:mm a", " CEST"), said(full, " XYZ"), said("MMMM d, yyyy HH:mm:ss", ""), said("EEEE, MMMM d, yyyy H:mm", " utc"), said("MMMM d, yyyy h:mm:ss a", " EEST"), said("MMMM d,  yyyy hh:mm:ssa", ""), F.concat(F.lit("Fooruary "), F.date_format(t, "d, yyyy HH:mm"))]
+    return run(spark, sf, "SELECT o_orderkey, o_orderdate FROM {orders}").select("o_orderkey", text.listing_date(among(k, *forms)).alias("t"))
+
+
+WORDS_ONLY = "trim(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
 
 
-@query("x25_plain_markdown", "SELECT page_id, 'Title Share see x' AS plain FROM pages")
+@query("x25_plain_markdown", f"SELECT page_id, trim('Page ' || CAST(page_id AS VARCHAR) || ' ' || CASE WHEN page_id % 2 = 0 THEN 'Share ' ELSE '' END || {WORDS_ONLY.format('url')} || ' ' || {WORDS_ONLY.format('html')}) AS plain FROM pages")
 def x25(spark, sf):
-    md = F.lit("# Title\n\n[Share ![i](https://a/i.png)](https://a/s)\n\n**see** [x](https://a/x)")
-    return run(spark, sf, "SELECT page_id FROM {pages}").select("page_id", html.plain(html.unwrap_images(md)).alias("plain"))
+    """Each page's words as markdown: a heading, an image in a link (alone or beside a word), a link, bold and a list."""
+    only = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9 ]", " "), " +", " "))
+    linked = F.when(F.col("page_id") % 2 == 0, "[Share ![i](https://a/i.png)](https://a/s)").otherwise("[ ![i](https://a/i.png) ](https://a/s)")
+    md = F.concat(F.lit("# Page "), F.col("page_id").cast("string"), F.lit("\n\n"), linked, F.lit("\n\n**["), only(F.col("url")), F.lit("](https://a/x)**\n\n- "), only(F.col("html")))
+    return run(spark, sf, "SELECT page_id, url, html FROM {pages}").select("page_id", html.plain(html.unwrap_images(md)).alias("plain"))
 
 
-@query("x29_techniques", with_views("SELECT ioc_id, CASE WHEN CAST(substr(value, 2) AS INT) % 2 = 0 THEN 'name ' || value END AS name FROM iocs WHERE ioc_type = 'mitre'", "iocs"))
+@query("x29_techniques", with_views("SELECT ioc_id, CASE WHEN ioc_id % 8 = 3 AND CAST(substr(value, 2) AS INT) % 3 = 0 THEN 'own ' || value WHEN CAST(substr(value, 2) AS INT) % 2 = 0 THEN 'name ' || value END AS name FROM iocs WHERE ioc_type = 'mitre'", "iocs"))
 def x29(spark, sf):
+    """Sub-techniques with a name of their own, with their parent's, and with none."""
     i = view(spark, sf, "iocs").where("ioc_type = 'mitre'")
-    named = i.select(F.col("value").alias("code")).distinct().where("cast(substr(code, 2) as int) % 2 = 0").withColumn("name", F.concat(F.lit("name "), "code"))
-    asked = i.select("ioc_id", F.concat("value", F.lit(".001")).alias("asked"))
-    exact = asked.join(named, F.col("asked") == F.col("code"), "left").select("ioc_id", "asked", F.col("name").alias("own"))
-    return exact.join(named, F.regexp_extract("asked", r"^[^.]+", 0) == F.col("code"), "left").select("ioc_id", F.coalesce("own", "name").alias("name"))
+    number = F.substring("code", 2, 9).cast("int")
+    codes = i.select(F.col("value").alias("code")).distinct()
+    named = codes.where(number % 2 == 0).select("code", F.concat(F.lit("name "), "code").alias("name")).unionByName(codes.where(number % 3 == 0).select(F.concat("code", F.lit(".001")).alias("code"), F.concat(F.lit("own "), "code").alias("name")))
+    asked = i.select("ioc_id", F.lower(F.concat("value", F.when(F.col("ioc_id") % 8 == 3, ".001").otherwise(".002"))).alias("code"))
+    return views.technique_names(asked, named).select("ioc_id", "name")
 
 
 @query("x36_never_flag", with_views("SELECT ioc_id FROM iocs WHERE ioc_type = 'domain' AND NOT value LIKE '%.evil.example'", "iocs"))
@@ -345,25 +495,45 @@ def u1(spark, sf):
     return r.where("kind = 'research'").unionByName(r.where("kind = 'breach'")).unionByName(r.where("kind = 'exploit'"))
 
 
-@query("n6b_citation_tokens", with_views("SELECT id, 2 AS cited FROM reports WHERE id % 2 = 0", "reports"))
+@query("n6b_citation_tokens", "SELECT conv_id, turn, unnest(list_filter(list_distinct([CAST(turn AS INT) + 1, CAST(conv_id % 5 AS INT), 99]), lambda i: i BETWEEN 1 AND 9)) AS cited FROM conversations")
 def n6b(spark, sf):
-    said = F.concat("title", F.lit(" [2][99] text"))
-    rows = view(spark, sf, "reports").where("id % 2 = 0").select("id", F.explode(text.citations(said)).alias("cited"))
-    return rows.join(spark.range(1, 10).select(F.col("id").cast("int").alias("cited")), "cited").select("id", "cited")
+    """Tokens in each turn's text, one of them twice and one unknown."""
+    one, two = (F.col("turn") + 1).cast("string"), (F.col("conv_id") % 5).cast("string")
+    said = F.concat(F.coalesce(F.regexp_replace("text", r"[\[\]]", " "), F.lit("")), F.lit(" ["), one, F.lit("]["), two, F.lit("] and [99] text ["), one, F.lit("] [x] [ 3 ]"))
+    rows = run(spark, sf, "SELECT conv_id, turn, text FROM {conversations}").select("conv_id", "turn", F.explode(text.citations(said)).alias("cited"))
+    return rows.join(spark.range(1, 10).select(F.col("id").cast("int").alias("cited")), "cited").select("conv_id", "turn", "cited")
 
 
-@query("i7_new_actor_guard", with_views("SELECT 'Brand New Crew' AS name FROM actors LIMIT 1", "actors"))
+@query("i7_new_actor_guard", with_views("""SELECT 'Crew of ' || source_name AS name, CASE id % 3 WHEN 0 THEN 'china' ELSE 'other' END AS nexus, CASE id % 3 WHEN 0 THEN 'China' END AS country, CASE id % 3 WHEN 0 THEN 'nation_state' END AS motivation, 'provisional' AS status FROM reports WHERE id % 5 = 0 AND coalesce(adversary_label, '') <> 'Qilin'
+    AND NOT EXISTS (SELECT 1 FROM reports x WHERE x.source_name = reports.source_name AND x.id % 5 = 0 AND coalesce(x.adversary_label, '') <> 'Qilin' AND x.id < reports.id)""", "reports"))
 def i7(spark, sf):
-    names = spark.range(1).select(F.explode(F.array(*map(F.lit, ("Brand New Crew", "Kitten", "UNID BAT", "play", "sofacy")))).alias("name"))
-    new = names.where(rules.specific(F.col("name")) & rules.matchable(F.col("name")) & ~F.upper("name").startswith("UNID"))
-    own = new.withColumns({"community_identifiers": F.array().cast("array<string>"), "internal_alternative_names": F.array().cast("array<string>")})
-    return new.join(attribution.collisions(own, actors(spark, sf)).select(F.col("proposed").alias("name")), "name", "left_anti")
+    """Names met in reports: new ones, bare families, placeholders, too short ones, ordinary words, and aliases that are known."""
+    named = among(F.col("id"), F.concat(F.lit(" Crew of "), "source_name"), F.coalesce("adversary_label", F.lit("UNID PANDA")), F.lit("abc"), F.lit("sofacy"), F.lit("Lead"))
+    met = view(spark, sf, "reports").where("adversary_label is null or adversary_label <> 'Qilin'").select(named.alias("name"), among(F.col("id"), F.lit("china"), F.lit("other"), F.lit(None)).alias("nexus"), F.col("id").alias("ord"))
+    return attribution.provisional(met, actors(spark, sf)).select("name", "nexus", "country", F.get("motivation", F.lit(0)).alias("motivation"), "status")
 
 
-@query("s2_clean_descriptions", "SELECT page_id, 'Hi & bye' AS plain FROM pages")
+@query("s2_clean_descriptions", f"SELECT page_id, nullif(substr({ascii_sql("regexp_replace(html, '<[^>]*>', ' ', 'g')")}, 1, 500), '') AS plain FROM pages")
 def s2(spark, sf):
-    said = F.concat(F.lit("<p>Hi\n &amp;amp;</p> <b>"), F.lit("bye</b>"))
-    return run(spark, sf, "SELECT page_id FROM {pages}").select("page_id", text.clean(said).alias("plain"))
+    return run(spark, sf, "SELECT page_id, html FROM {pages}").select("page_id", text.clean(F.col("html")).alias("plain"))
+
+
+RSS_ITEMS = """SELECT page_id, url, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS title, regexp_replace(regexp_extract(html, '(?s)</h1>(.*?)</p>', 1), '[<>&]', ' ', 'g') AS about FROM pages"""
+
+
+@query("s1_rss_entries", f"""SELECT 'feed ' || CAST(page_id % 3 AS VARCHAR) AS source_name, {ascii_sql('title')} AS title, url, nullif(substr({ascii_sql('about')}, 1, 500), '') AS description, CASE WHEN page_id % 3 = 0 THEN TIMESTAMP '2026-07-23 07:13:03' WHEN page_id % 3 = 1 THEN TIMESTAMP '2026-07-01 00:00:00' END AS published_at
+    FROM ({RSS_ITEMS}) WHERE page_id % 4 <> 3 AND {ascii_sql('title')} <> ''""")
+def s1(spark, sf):
+    """Each page as a feed of two entries: its own, and one without a link (or, every fourth, both without); dates in three forms."""
+    n = F.col("page_id")
+    cdata = lambda c: F.concat(F.lit("<![CDATA["), c, F.lit("]]>"))
+    about = F.regexp_replace(F.regexp_extract("html", "(?s)</h1>(.*?)</p>", 1), "[<>&]", " ")
+    when = among(n, F.lit("<pubDate>Thu, 23 Jul 2026 09:13:03 CEST</pubDate>"), F.lit("<isoDate>2026-07-01T00:00:00Z</isoDate>"), F.lit("<pubDate>some day</pubDate>"))
+    link = F.when(n % 4 == 3, F.lit("<link> </link>")).otherwise(F.concat(F.lit("<link> "), cdata(F.col("url")), F.lit(" </link>")))
+    title = F.concat(F.lit("<title>"), cdata(F.regexp_extract("html", "<h1>(.*?)</h1>", 1)), F.lit("</title>"))
+    body = F.concat(F.lit("<rss><channel><title>Feed</title><item>"), title, link, F.lit("<description>"), cdata(about), F.lit("</description>"), when, F.lit("</item><item>"), title, F.lit("</item></channel></rss>"))
+    fetched = run(spark, sf, "SELECT page_id, url, html FROM {pages}").select(F.concat(F.lit("feed "), (n % 3).cast("string")).alias("source_name"), body.alias("body"))
+    return feeds.entries(fetched).select("source_name", "title", "url", "description", "published_at")
 
 
 @query("s7_scan_by_ids", with_views("SELECT id, title FROM reports WHERE id IN (SELECT doc_id FROM labels WHERE toxic = 1)", "reports"))
@@ -372,10 +542,15 @@ def s7(spark, sf):
     return view(spark, sf, "reports").join(ids, "id", "left_semi").select("id", "title")
 
 
-@query("s21_run_log", with_views("SELECT 'completed' AS status, '{\"reports\":' || CAST(count(*) AS VARCHAR) || ',\"undated\":' || CAST(count(*) FILTER (published_at IS NULL) AS VARCHAR) || '}' AS summary FROM reports", "reports"))
+@query("s21_run_log", with_views("""SELECT 'r1' AS run_id, 'success' AS status, count(*) FILTER (published_at IS NOT NULL) AS items_added, '{\"candidates\": ' || CAST(count(*) AS VARCHAR) || ', \"undated\": ' || CAST(count(*) FILTER (published_at IS NULL) AS VARCHAR) || ', \"errors\": [\"feed\"]}' AS log, TIMESTAMP '2024-04-30 01:00:00' AS finished_at FROM reports UNION ALL SELECT 'r2', 'running', NULL, NULL, NULL""", "reports"))
 def s21(spark, sf):
-    counts = F.struct(F.count("*").alias("reports"), F.count_if(F.col("published_at").isNull()).alias("undated"))
-    return view(spark, sf, "reports").agg(F.lit("completed").alias("status"), F.to_json(counts).alias("summary"))
+    """A run opened and closed with its counters, and one that is still under way."""
+    total, undated = view(spark, sf, "reports").agg(F.count("*"), F.count_if(F.col("published_at").isNull())).first()
+    at = F.expr(AS_OF).cast("timestamp")
+    log = spark.createDataFrame([], "run_id string, status string, started_at timestamp, finished_at timestamp, items_added long, log string")
+    log = sinks.run_opened(sinks.run_opened(log, "r1", at), "r2", at)
+    done = sinks.run_closed(log, "r1", at + F.make_dt_interval(F.lit(0), F.lit(1)), "success", total - undated, {"candidates": total, "undated": undated, "errors": ["feed"]})
+    return done.select("run_id", "status", "items_added", "log", "finished_at")
 
 
 @query("o3_candidate_order", with_views("SELECT id, CAST(row_number() OVER (PARTITION BY source_name ORDER BY coalesce(published_at, DATE '1970-01-01') DESC, id) AS INT) AS place FROM reports", "reports"))
@@ -410,9 +585,39 @@ def u4(spark, sf):
     return docs.where(search.compiled(tree)).select("id")
 
 
-@query("q10_text_only_relevance", with_views(f"SELECT id FROM reports WHERE (contains(lower(title), 'the') OR coalesce(contains(lower(description), 'the'), false)) AND (kind = 'exploit' OR NOT {hit(TEXT, rules.OFF_TOPIC)} OR {hit(TEXT, rules.STRONG_INTEL)})", "reports"))
+IN_TEXT = "(contains(lower(title), 'the') OR coalesce(contains(lower(description), 'the'), false) OR coalesce(contains(lower(cve_id), 'the'), false) OR coalesce(contains(lower(target), 'the'), false))"
+
+
+@query("q10_text_only_relevance", with_views(f"SELECT id FROM reports WHERE {IN_TEXT} AND (kind = 'exploit' OR NOT {hit(TEXT, rules.OFF_TOPIC)} OR {hit(TEXT, rules.STRONG_INTEL)})", "reports"))
 def q10(spark, sf):
-    return search.search("the", view(spark, sf, "reports").withColumns({"cve_id": F.lit(None).cast("string"), "target": F.lit(None).cast("string")})).select("id")
+    return search.search("the", view(spark, sf, "reports")).select("id")
+
+
+HAS = "EXISTS (SELECT 1 FROM item_iocs i WHERE i.id = r.id AND {0})"
+
+
+def item_iocs(spark, sf):
+    return view(spark, sf, "links").join(view(spark, sf, "iocs"), "ioc_id").select(F.col("item_id").alias("id"), "value", "ioc_type")
+
+
+#: Searches over stored indicators: obfuscated needles, globs, patterns, any of them, techniques, and the report's own CVE beside linked ones.
+IOC_SEARCHES = {
+    "domain:evil[.]example": HAS.format("ioc_type = 'domain' AND contains(lower(value), 'evil.example')"),
+    "ip:45.* -domain:*.bad.test": HAS.format("ioc_type = 'ip' AND regexp_matches(value, '(?i)^45\\..*$')") + " AND NOT " + HAS.format("ioc_type = 'domain' AND regexp_matches(value, '(?i)^.*\\.bad\\.test$')"),
+    "cve:~2024-10[12]": "(" + HAS.format("ioc_type = 'cve' AND regexp_matches(value, '(?i)2024-10[12]')") + " OR coalesce(regexp_matches(cve_id, '(?i)2024-10[12]'), false))",
+    'ioc:"h1" OR ttp:t1010': "(" + HAS.format("ioc_type IN ('ip', 'domain', 'file_hash', 'cve') AND contains(lower(value), 'h1')") + " OR " + HAS.format("ioc_type = 'mitre' AND contains(lower(value), 't1010')") + ")",
+    "NOT ioc:45.1 src:src1": "NOT " + HAS.format("ioc_type <> 'mitre' AND contains(lower(value), '45.1')") + " AND contains(source_name, 'src1')",
+}
+
+
+def _ioc_search(number: int, asked: str, test: str):
+    @query(f"q_search_iocs_{number}", with_views(f"SELECT r.id FROM reports r WHERE {test}", "reports", "links", "iocs").replace(") SELECT r.id", "), item_iocs AS (SELECT item_id AS id, value, ioc_type FROM links JOIN iocs USING (ioc_id)) SELECT r.id", 1))
+    def run_search(spark, sf):
+        return search.search(asked, view(spark, sf, "reports"), iocs=item_iocs(spark, sf)).select("id")
+
+
+for _i, (_asked, _test) in enumerate(IOC_SEARCHES.items(), 1):
+    _ioc_search(_i, _asked, _test)
 
 
 @query("a8_n7_pairs_as_json", with_views("SELECT '{\"a\":' || CAST(a AS VARCHAR) || ',\"b\":' || CAST(b AS VARCHAR) || ',\"weight\":' || CAST(w AS VARCHAR) || '}' AS pair FROM (SELECT x.item_id AS a, y.item_id AS b, count(*) AS w FROM links x JOIN links y ON x.ioc_id = y.ioc_id AND x.item_id < y.item_id WHERE x.ioc_id IN (SELECT ioc_id FROM links GROUP BY 1 HAVING count(*) BETWEEN 2 AND 25) GROUP BY 1, 2)", "links"))
@@ -429,16 +634,24 @@ def i6(spark, sf):
     return iocs.join(indicators.not_allowed(iocs, own).select("ioc_id"), "ioc_id", "left_anti").select("ioc_id")
 
 
-@query("i8_allowlist_from_flags", with_views("SELECT ioc_id FROM iocs WHERE value NOT IN (SELECT value FROM iocs WHERE ioc_type = 'ip' AND ioc_id % 16 = 0)", "iocs"))
+@query("i8_allowlist_from_flags", with_views("""SELECT what, value, n FROM (SELECT 'listed' AS what, CASE ioc_type WHEN 'domain' THEN lower(value) ELSE value END || '|' || ioc_type AS value, 1 AS n FROM iocs WHERE ioc_id % 16 < 3 AND ioc_type IN ('ip', 'domain') GROUP BY 2
+    UNION ALL SELECT 'iocs', '', count(*) FROM iocs WHERE ioc_id % 16 >= 3 UNION ALL SELECT 'links', '', count(*) FROM links WHERE ioc_id % 16 >= 3)""", "iocs", "links"))
 def i8(spark, sf):
-    iocs = view(spark, sf, "iocs")
-    accepted = iocs.where("ioc_type = 'ip' and ioc_id % 16 = 0").select("value", "ioc_type").distinct()
-    return indicators.not_allowed(iocs, accepted).select("ioc_id")
+    """Accepted flags of every type: new rows of the list, and what is left of indicators and links."""
+    iocs, links = view(spark, sf, "iocs"), view(spark, sf, "links")
+    flags = iocs.where("ioc_id % 16 < 3").withColumn("category", F.lit("parked"))
+    listed, left, linked = sinks.removed(flags, iocs, links)
+    count = lambda df, name: df.agg(F.lit(name).alias("what"), F.lit("").alias("value"), F.count("*").alias("n"))
+    return listed.select(F.lit("listed").alias("what"), F.concat_ws("|", "value", "ioc_type").alias("value"), F.lit(1).cast("long").alias("n")).unionByName(count(left, "iocs")).unionByName(count(linked, "links"))
 
 
-@query("i5_manual_attribution", with_views("SELECT id, CASE WHEN id % 2 = 0 THEN 'FANCY BEAR' ELSE 'UNID BEAR' END AS label FROM reports", "reports"))
+@query("i5_manual_attribution", with_views("""SELECT id, CASE WHEN f IN (0, 1, 2) AND kind <> 'exploit' THEN 'research' ELSE kind END AS kind, CASE f WHEN 0 THEN 'FANCY BEAR' WHEN 1 THEN 'UNID TIGER' WHEN 2 THEN 'SPIDER' WHEN 3 THEN NULL ELSE adversary_label END AS adversary_label,
+    CASE f WHEN 0 THEN 'FANCY BEAR' WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE crowdstrike_adversary END AS crowdstrike_adversary, CASE f WHEN 0 THEN 'Russia' WHEN 1 THEN 'India' WHEN 2 THEN NULL ELSE country END AS country,
+    CASE f WHEN 0 THEN 'nation_state' WHEN 1 THEN 'nation_state' WHEN 2 THEN 'ecrime' ELSE motivation END AS motivation, CASE WHEN f <= 3 THEN true WHEN f = 4 THEN false END AS recognised FROM (SELECT *, id % 6 AS f FROM reports)""", "reports"))
 def i5(spark, sf):
-    typed = F.when(F.col("id") % 2 == 0, "apt28").otherwise("Bear")
-    named = attribution.match(typed, groups(spark, sf))
-    label = rules.adversary_label(F.coalesce(named["cs"], typed), F.lit("russia"), F.lit(""), F.lit("Russia"))
-    return view(spark, sf, "reports").select("id", label.alias("label"))
+    """Edits by alias, by UNID family, by bare family, to nothing, to free text; and reports without an edit."""
+    r = view(spark, sf, "reports")
+    typed = among(F.col("id"), F.lit(" apt28 "), F.lit("Unid Tiger"), F.lit("spider"), F.lit("  "), F.lit("Some New Crew"), F.lit(None))
+    edits = r.where("id % 6 < 5").select("id", typed.alias("typed"))
+    known = actors(spark, sf).withColumn("country", F.when(F.col("nexus") == "russia", "Russia"))
+    return attribution.edited(r, edits, known).select("id", "kind", "adversary_label", "crowdstrike_adversary", "country", "motivation", "recognised")

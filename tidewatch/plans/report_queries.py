@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import rules
@@ -85,7 +86,7 @@ def f12(spark, sf):
 
 @query("f13_source_filter", with_views("SELECT name FROM feeds WHERE active AND contains(lower(name), 'c1')", "feeds"))
 def f13(spark, sf):
-    return view(spark, sf, "feeds").where(F.col("active") & F.lower("name").contains("c1")).select("name")
+    return views.sources_found(view(spark, sf, "feeds").withColumn("category", F.lit("news")), "C1", category="news", active=True).select("name")
 
 
 @query("f15_lookup", with_views("SELECT id, raw_hash FROM reports WHERE raw_hash = 'h77' ORDER BY id LIMIT 1", "reports"))
@@ -282,14 +283,25 @@ def a13(spark, sf):
     return views.tally(run(spark, sf, "SELECT d.source AS source_name, l.quality = 1 AS kept FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id"))
 
 
-@query("a14_watermark", with_views("SELECT name, CASE WHEN m IS NOT NULL AND (last_item_at IS NULL OR last_item_at < CAST(m AS TIMESTAMP)) THEN CAST(m AS TIMESTAMP) + INTERVAL 12 HOUR ELSE last_item_at END AS last_item_at FROM feeds LEFT JOIN (SELECT source_name, max(published_at) AS m FROM reports GROUP BY 1) ON name = source_name", "feeds", "reports"))
+AS_SEEN = "CAST(DATE '2024-04-24' + CAST(source_id % 9 AS INT) AS TIMESTAMP)"
+
+
+@query("a14_watermark", with_views(f"""SELECT name, CASE WHEN m IS NOT NULL AND (seen IS NULL OR seen < CAST(m AS TIMESTAMP) + INTERVAL '23:59:59') THEN CAST(m AS TIMESTAMP) + INTERVAL 12 HOUR ELSE seen END AS last_item_at
+    FROM (SELECT source_name AS name, CASE WHEN source_id % 6 = 0 THEN NULL WHEN source_id % 5 = 0 THEN {AS_SEEN} + INTERVAL '23:59:59' ELSE {AS_SEEN} + to_hours(CAST(source_id % 24 AS INT)) END AS seen FROM (SELECT source_name, row_number() OVER (ORDER BY source_name) AS source_id FROM (SELECT DISTINCT source_name FROM reports UNION SELECT 'silent'))) LEFT JOIN (SELECT source_name, max(published_at) AS m FROM reports GROUP BY 1) ON name = source_name""", "reports"))
 def a14(spark, sf):
-    return views.advanced(view(spark, sf, "feeds"), view(spark, sf, "reports")).select("name", "last_item_at")
+    """Sources last seen on days before, on and after their newest report's, at every hour, at a day's last second, or never."""
+    r = view(spark, sf, "reports")
+    names = r.select("source_name").distinct().unionByName(spark.range(1).select(F.lit("silent").alias("source_name")))
+    n = F.row_number().over(Window.orderBy("source_name"))
+    day = F.col("day").cast("timestamp")
+    s = names.select(F.col("source_name").alias("name"), n.alias("n")).withColumn("day", F.date_add(F.lit("2024-04-24").cast("date"), F.col("n") % 9))
+    seen = F.when(F.col("n") % 6 == 0, F.lit(None)).when(F.col("n") % 5 == 0, day + F.make_dt_interval(F.lit(0), F.lit(23), F.lit(59), F.lit(59))).otherwise(day + F.make_dt_interval(F.lit(0), F.col("n") % 24))
+    return views.advanced(s.select("name", seen.alias("last_item_at")), r)
 
 
-@query("a23_latest", with_views("SELECT kind, max(created_at) AS created_at FROM reports GROUP BY kind", "reports"))
+@query("a23_latest", with_views("SELECT kind, id, created_at FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY created_at DESC NULLS LAST, id) AS n FROM reports) WHERE n = 1", "reports"))
 def a23(spark, sf):
-    return view(spark, sf, "reports").groupBy("kind").agg(F.max("created_at").alias("created_at"))
+    return views.latest(view(spark, sf, "reports"), "kind", "created_at").select("kind", "id", "created_at")
 
 
 @query("a22_unread", with_views("SELECT id, (SELECT count(*) FROM reports WHERE published_at IS NULL) AS unread FROM reports ORDER BY created_at DESC, id LIMIT 30", "reports"))
@@ -354,9 +366,13 @@ def notifiable(spark, sf):
     return view(spark, sf, "reports").join(labels, "id", "left").withColumn("adversaries", F.array("crowdstrike_adversary", "adversary_label")).drop("kind")
 
 
-@query("n8_queue", with_views("SELECT DISTINCT user_id, id, kind, reason FROM (SELECT s.user_id, r.id, s.kind, r.country AS reason FROM subscriptions s JOIN reports r ON s.kind = 'country' AND lower(trim(s.value)) = lower(r.country)) WHERE id % 3 <> 0", "reports", "subscriptions"))
+REASONS = """SELECT s.user_id, r.id, s.kind, CASE s.kind WHEN 'country' THEN r.country WHEN 'adversary' THEN CASE WHEN lower(trim(s.value)) = lower(trim(r.crowdstrike_adversary)) THEN r.crowdstrike_adversary ELSE r.adversary_label END ELSE (SELECT min(name) FROM report_labels l WHERE l.id = r.id AND (lower(l.name) = lower(trim(s.value)) OR starts_with(lower(l.name), lower(trim(s.value)) || '/'))) END AS reason
+    FROM subscriptions s JOIN reports r ON CASE s.kind WHEN 'country' THEN lower(trim(s.value)) = lower(r.country) WHEN 'adversary' THEN coalesce(lower(trim(s.value)) = lower(trim(r.crowdstrike_adversary)), false) OR coalesce(lower(trim(s.value)) = lower(trim(r.adversary_label)), false) ELSE EXISTS (SELECT 1 FROM report_labels l WHERE l.id = r.id AND (lower(l.name) = lower(trim(s.value)) OR starts_with(lower(l.name), lower(trim(s.value)) || '/'))) END"""
+
+
+@query("n8_queue", with_views(f"SELECT DISTINCT user_id, id, kind, reason FROM ({REASONS}) WHERE id % 3 <> 0", "reports", "subscriptions", "report_labels"))
 def n8(spark, sf):
-    m = notify.matches(notifiable(spark, sf), view(spark, sf, "subscriptions").where("kind = 'country'")).withColumn("reason", F.col("matched"))
+    m = notify.matches(notifiable(spark, sf), view(spark, sf, "subscriptions")).withColumn("reason", F.col("matched"))
     return notify.queue(m, m.where("id % 3 = 0").select("user_id", "id", "kind", F.upper("reason").alias("reason")))
 
 

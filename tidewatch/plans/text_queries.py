@@ -4,10 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.functions import html, indicators, text
+from tidewatch.functions import html, indicators, text, verdicts
 from tidewatch.plans.adapters import run, view, with_views
 from tidewatch.plans.registry import query
 
+def ascii_sql(c: str) -> str:
+    """Oracle SQL for to_ascii of a text column: entities twice, punctuation, accents, other signs dropped, white space squeezed."""
+    out = f"coalesce({c}, '')"
+    for _ in range(2):
+        for name, plain in text.ENTITIES.items():
+            if name != "amp":
+                out = f"replace({out}, '&{name};', '{plain.replace(chr(39), chr(39) * 2)}')"
+        out = f"replace({out}, '&amp;', '&')"
+    for plain, signs in text.PUNCTUATION.items():
+        out = f"regexp_replace({out}, '[{signs}]', '{plain.replace(chr(39), chr(39) * 2)}', 'g')"
+    return f"trim(regexp_replace(regexp_replace(strip_accents({out}), '[^\\x09\\x0A\\x0D\\x20-\\x7E]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+def without_sql(c: str, *elements: str) -> str:
+    for e in elements:
+        c = f"regexp_replace({c}, '(?is)<{e}\\b.*?</{e}\\s*>', ' ', 'g')"
+    return c
+
+
 T = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title || ' ' || coalesce(description, ''), '\\[\\.\\]|\\(\\.\\)|\\{\\.\\}|\\[dot\\]|\\(dot\\)', '.', 'gi'), '\\[://\\]', '://', 'g'), '\\[:\\]', ':', 'g'), '\\[/\\]', '/', 'g'), '\\bhxxp(s?)\\b', 'http\\1', 'gi')"
 joined = lambda a: f"array_to_string(list_sort(list_distinct({a})), ',')"
 words = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
@@ -33,9 +52,19 @@ def x7(spark, sf):
     return r.select("id", *(F.array_join(F.sort_array(f"i.{n}"), ",").alias(n) for n in ("ips", "domains", "files", "cves", "mitre")))
 
 
-@query("x8_x9_valid_stored", with_views("SELECT ioc_id, true AS ok, CASE ioc_type WHEN 'domain' THEN lower(value) WHEN 'ip' THEN value ELSE upper(value) END AS stored FROM iocs", "iocs"))
+@query("x8_x9_valid_stored", with_views(f"""SELECT ioc_id, CASE WHEN ioc_id % 8 = 7 THEN false WHEN ioc_type = 'ip' THEN bad = 0 OR bad = 2 WHEN ioc_type = 'domain' THEN bad IN (0, 2, 3) WHEN ioc_type = 'cve' THEN bad = 0 ELSE bad IN (0, 3) END AS ok,
+    CASE WHEN ioc_id % 8 = 7 THEN v WHEN ioc_type = 'domain' THEN lower(v) WHEN ioc_type IN ('cve', 'mitre') THEN upper(v) ELSE v END AS stored
+    FROM (SELECT ioc_id, ioc_type, bad, CASE bad WHEN 0 THEN value WHEN 1 THEN CASE ioc_type WHEN 'cve' THEN 'CVE-24-1' ELSE 'no/' || value END WHEN 2 THEN CASE ioc_type WHEN 'ip' THEN value || '/24' WHEN 'domain' THEN upper(value) ELSE value || 'x' END ELSE CASE ioc_type WHEN 'ip' THEN value || '.7' WHEN 'cve' THEN value || '-1' WHEN 'mitre' THEN lower(value) || '.001' ELSE 'sub.' || value END END AS v
+        FROM (SELECT *, CAST(ioc_id // 4 % 4 AS INT) AS bad FROM iocs))""", "iocs"))
 def x8(spark, sf):
-    return view(spark, sf, "iocs").select("ioc_id", indicators.valid(F.col("value"), F.col("ioc_type")).alias("ok"), indicators.stored(F.col("value"), F.col("ioc_type")).alias("stored"))
+    """Values as they are, with a slash before them, longer, and longer still: each kind has valid and invalid ones; some of unknown kind."""
+    v, kind, bad = F.col("value"), F.col("ioc_type"), F.floor(F.col("ioc_id") / 4) % 4
+    one = F.when(kind == "cve", "CVE-24-1").otherwise(F.concat(F.lit("no/"), v))
+    two = F.when(kind == "ip", F.concat(v, F.lit("/24"))).when(kind == "domain", F.upper(v)).otherwise(F.concat(v, F.lit("x")))
+    three = F.when(kind == "ip", F.concat(v, F.lit(".7"))).when(kind == "cve", F.concat(v, F.lit("-1"))).when(kind == "mitre", F.concat(F.lower(v), F.lit(".001"))).otherwise(F.concat(F.lit("sub."), v))
+    shown = F.when(bad == 0, v).when(bad == 1, one).when(bad == 2, two).otherwise(three)
+    as_kind = F.when(F.col("ioc_id") % 8 == 7, "uri").otherwise(kind)
+    return view(spark, sf, "iocs").select("ioc_id", indicators.valid(shown, as_kind).alias("ok"), indicators.stored(shown, as_kind).alias("stored"))
 
 
 @query("x10_hosts", with_views("SELECT id, regexp_replace(lower(regexp_extract(url, '^https?://([^/]+)', 1)), '^www\\.', '') AS host FROM reports", "reports"))
@@ -43,7 +72,7 @@ def x10(spark, sf):
     return view(spark, sf, "reports").select("id", indicators.host(F.col("url")).alias("host"))
 
 
-@query("x18_to_ascii")
+@query("x18_to_ascii", f"SELECT doc_id, {ascii_sql('text')} AS plain FROM documents")
 def x18(spark, sf):
     return run(spark, sf, "SELECT doc_id, text FROM {documents}").select("doc_id", text.to_ascii(F.col("text")).alias("plain"))
 
@@ -53,9 +82,16 @@ def x21(spark, sf):
     return view(spark, sf, "reports").where(F.col("title").rlike(indicators.find_pattern("8.8.8[.]8"))).select("id", F.lit(True).alias("hit"))
 
 
-@query("x22_match_counts", "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), 'the')) AS INT) AS n FROM documents")
+@query("x22_match_counts", """SELECT doc_id, CAST(len(hits) AS INT) AS n, regexp_replace(coalesce(text, ''), '(?i)the', '[\\0]', 'g') AS marked, CAST(CASE WHEN len(hits) > 0 THEN len(string_split(lower(text), 'the')[1]) END AS INT) AS first_start,
+    CAST(CASE WHEN len(hits) > 0 THEN len(text) - len(string_split(lower(text), 'the')[-1]) END AS INT) AS last_end, CAST(CASE WHEN len(hits) > 0 THEN len(hits) - 1 ELSE 0 END AS INT) AS back, CAST(CASE WHEN len(hits) > 0 THEN 2 % len(hits) ELSE 0 END AS INT) AS ahead
+    FROM (SELECT doc_id, text, regexp_extract_all(lower(text), 'the') AS hits FROM documents)""")
 def x22(spark, sf):
-    return run(spark, sf, "SELECT doc_id, text FROM {documents}").select("doc_id", F.regexp_count("text", F.lit(indicators.find_pattern("the"))).alias("n"))
+    """Ranges, segments with the hits in brackets, and steps to the hit before the first and two after it."""
+    pattern, t = indicators.find_pattern("the"), F.col("text")
+    marked = F.array_join(F.transform(text.segments(t, pattern), lambda s: F.when(s["hit"], F.concat(F.lit("["), s["text"], F.lit("]"))).otherwise(s["text"])), "")
+    d = run(spark, sf, "SELECT doc_id, text FROM {documents}").select("doc_id", text.match_ranges(t, pattern).alias("r"), marked.alias("marked"))
+    n = F.size("r")
+    return d.select("doc_id", n.alias("n"), "marked", F.get("r", F.lit(0))["start"].alias("first_start"), F.get("r", n - 1)["end"].alias("last_end"), text.step_hit(F.lit(0), n, F.lit(-1)).alias("back"), text.step_hit(F.lit(0), n, F.lit(2)).alias("ahead"))
 
 
 @query("x27_labels", with_views("SELECT id, 'Malware/' || substr(array_to_string(list_transform(list_filter(regexp_split_to_array(title, '[^a-zA-Z0-9]+'), lambda p: p <> ''), lambda p: upper(substr(p, 1, 1)) || substr(p, 2)), ''), 1, 48) AS label FROM reports", "reports"))
@@ -75,37 +111,73 @@ def x19(spark, sf):
     return run(spark, sf, "SELECT o_orderkey, o_orderdate FROM {orders}").select("o_orderkey", text.feed_date(said).alias("t"))
 
 
-@query("n6_citations", with_views("SELECT id, '1,' || CAST(id % 7 + 10 AS VARCHAR) AS ids FROM reports", "reports"))
+@query("n6_citations", "SELECT conv_id, turn, array_to_string(list_filter([1, 2, 3, 30], lambda i: i = turn + 1 OR i = 30 AND turn % 3 = 0), ',') AS ids FROM conversations")
 def n6(spark, sf):
-    said = F.concat("title", F.lit(" [1] and ["), (F.col("id") % 7 + 10).cast("string"), F.lit("][1]"))
-    return view(spark, sf, "reports").select("id", F.array_join(F.transform(text.citations(said), lambda n: n.cast("string")), ",").alias("ids"))
+    """Answers that cite their turn's number and sometimes 30, of which 1, 2, 3 and 30 are known; 3 is no part of [30]."""
+    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" ["), (F.col("turn") + 1).cast("string"), F.lit("] "), F.when(F.col("turn") % 3 == 0, "see [30]").otherwise("see 30"))
+    ids = verdicts.cited(said, F.array(*map(F.lit, (1, 2, 3, 30))))
+    return run(spark, sf, "SELECT conv_id, turn, text FROM {conversations}").select("conv_id", "turn", F.array_join(F.transform(ids, lambda n: n.cast("string")), ",").alias("ids"))
+
 
+PARTS = "regexp_extract(html, '(?is)<article\\b.*?</article>')"
+PAGE_FORMS = f"""SELECT page_id, CASE page_id % 5 WHEN 0 THEN html WHEN 1 THEN replace(html, '<article', '<article><p>teaser</p></article><article') WHEN 2 THEN replace(html, '</body>', '<main>' || {PARTS} || ' and more</main></body>')
+    WHEN 3 THEN replace(replace(html, '<article', '<div'), '</article>', '</div>') ELSE 'plain ' || CAST(page_id AS VARCHAR) END AS html FROM pages"""
 
-@query("s8_content_scope", "SELECT page_id, regexp_extract(html, '(?is)<article\\b.*?</article>') AS scope FROM pages WHERE len(regexp_extract_all(html, '(?i)<article\\b')) = 1")
+
+def page_forms(spark, sf):
+    """Pages with one article, a short one before it, a longer main behind it, a body only, and no markup at all."""
+    parts, n = F.regexp_extract("html", r"(?is)<article\b.*?</article>", 0), F.col("page_id")
+    main = F.replace(F.col("html"), F.lit("</body>"), F.concat(F.lit("<main>"), parts, F.lit(" and more</main></body>")))
+    bare = F.replace(F.replace(F.col("html"), F.lit("<article"), F.lit("<div")), F.lit("</article>"), F.lit("</div>"))
+    form = F.when(n % 5 == 0, F.col("html")).when(n % 5 == 1, F.replace(F.col("html"), F.lit("<article"), F.lit("<article><p>teaser</p></article><article"))).when(n % 5 == 2, main).when(n % 5 == 3, bare).otherwise(F.concat(F.lit("plain "), n.cast("string")))
+    return run(spark, sf, "SELECT page_id, html FROM {pages}").select("page_id", form.alias("html"))
+
+
+@query("s8_content_scope", f"""SELECT page_id, coalesce(CASE page_id % 5 WHEN 0 THEN nullif({PARTS}, '') WHEN 1 THEN coalesce(nullif(regexp_extract(replace(html, '<article><p>teaser</p></article>', ''), '(?is)<article\\b.*?</article>'), ''), nullif({PARTS}, ''))
+    WHEN 2 THEN coalesce(nullif(regexp_extract(html, '(?is)<main\\b.*?</main>'), ''), nullif({PARTS}, '')) END, nullif(regexp_extract(html, '(?is)<body\\b.*?</body>'), ''), html) AS scope FROM ({PAGE_FORMS})""")
 def s8(spark, sf):
-    p = run(spark, sf, "SELECT page_id, html FROM {pages}").where(F.regexp_count("html", F.lit(r"(?i)<article\b")) == 1)
-    return p.select("page_id", html.content(F.col("html")).alias("scope"))
+    return page_forms(spark, sf).select("page_id", html.content(F.col("html")).alias("scope"))
+
+
+ARTICLE = "coalesce(nullif(regexp_extract(html, '(?is)<article\\b.*?</article>'), ''), nullif(regexp_extract(html, '(?is)<body\\b.*?</body>'), ''), html)"
+BODY = without_sql(ARTICLE, "script", "style", "noscript")
+LINES = "regexp_replace(regexp_replace(" + without_sql(BODY, "header", "nav", "footer", "aside", "form") + ", '(?i)<br\\s*/?>', chr(10), 'g'), '(?i)</(p|div|section|article|h[1-6]|li|ul|ol|blockquote|tr|figcaption)>', chr(10), 'g')"
 
 
-@query("s9_paragraphs")
+@query("s9_paragraphs", f"SELECT page_id, array_to_string(list_filter(list_transform(string_split(regexp_replace({LINES}, '<[^>]+>', ' ', 'g'), chr(10)), lambda x: {ascii_sql('x')}), lambda x: x <> ''), chr(10)) AS body FROM pages")
 def s9(spark, sf):
     return run(spark, sf, "SELECT page_id, html FROM {pages}").select("page_id", html.paragraphs(F.col("html")).alias("body"))
 
 
-@query("s10_metadata")
+@query("s10_metadata", f"""SELECT page_id, nullif({ascii_sql("regexp_replace(regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g')")}, '') AS title, CASE page_id % 4 WHEN 0 THEN 'About page ' || CAST(page_id AS VARCHAR) WHEN 1 THEN 'og ' || url END AS description,
+    CASE page_id % 3 WHEN 0 THEN TIMESTAMP '2024-05-01 10:00:00' + INTERVAL 1 MINUTE * CAST(page_id % 50 AS INT) WHEN 1 THEN TIMESTAMP '2023-02-03 00:00:00' END AS published FROM pages""")
 def s10(spark, sf):
+    """Pages with a description under either key, an empty one first, or none; a date in the metadata, in a time element, or none."""
+    n = F.col("page_id")
+    about = F.when(n % 4 == 0, F.concat(F.lit('<meta name="Description" content=" About page '), n.cast("string"), F.lit(' ">'))).when(n % 4 == 1, F.concat(F.lit('<meta name="description" content="  "><META content=\'og '), "url", F.lit("' property=\"og:description\">"))).otherwise("")
+    when = F.date_format(F.lit("2024-05-01 10:00:00").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), (n % 50).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    said = F.when(n % 3 == 0, F.concat(F.lit('<meta property="article:published_time" content="'), when, F.lit('"><time datetime="2020-01-01">x</time>'))).when(n % 3 == 1, '<time class="t" datetime="2023-02-03">x</time>').otherwise("<time>none</time>")
+    p = run(spark, sf, "SELECT page_id, url, html FROM {pages}").select("page_id", F.replace(F.col("html"), F.lit("</head>"), F.concat(about, said, F.lit("</head>"))).alias("html"))
     h = F.col("html")
-    return run(spark, sf, "SELECT page_id, html FROM {pages}").select("page_id", html.title(h).alias("title"), html.meta(h, ["description", "og:description"]).alias("description"), html.published(h).alias("published"))
+    return p.select("page_id", html.title(h).alias("title"), html.meta(h, ["description", "og:description"]).alias("description"), html.published(h).alias("published"))
 
 
-@query("s11_body_text")
+@query("s11_body_text", f"SELECT page_id, nullif({ascii_sql('regexp_replace(' + BODY + ', ' + chr(39) + '<[^>]+>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, '') AS body FROM pages")
 def s11(spark, sf):
     return run(spark, sf, "SELECT page_id, html FROM {pages}").select("page_id", html.body_text(F.col("html")).alias("body"))
 
 
-@query("s12_public_urls", "SELECT page_id, true AS ok FROM pages WHERE regexp_matches(url, '^https?://')")
+@query("s12_public_urls", """SELECT page_id, CASE page_id % 9 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN true WHEN 5 THEN false WHEN 6 THEN page_id % 256 NOT BETWEEN 16 AND 31 WHEN 7 THEN false ELSE false END AS ok FROM pages""")
 def s12(spark, sf):
-    return run(spark, sf, "SELECT page_id, url FROM {pages}").select("page_id", html.public_url(F.col("url")).alias("ok"))
+    """Each page's own URL and forms of it with other schemes and hosts, local, private and public."""
+    n, path = F.col("page_id"), F.regexp_extract("url", r"^[a-z]+://[^/?#]*(.*)$", 1)
+    host = lambda *parts: F.concat(F.lit("http://"), *[p if not isinstance(p, str) else F.lit(p) for p in parts], path)
+    last = (n % 200).cast("string")
+    forms = [F.col("url"), F.concat(F.lit("ftp://a.example"), path), host("LOCALHOST:8080"), host("10.0.", last, ".1"), host("8.8.", last, ".1"), host("192.168.1.", last), host("172.", (n % 256).cast("string"), ".0.1"), host("printer.local"), F.concat(F.lit("no scheme "), "url")]
+    url = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        url = F.when(n % len(forms) == i, form).otherwise(url)
+    return run(spark, sf, "SELECT page_id, url FROM {pages}").select("page_id", html.public_url(url).alias("ok"))
 
 
 @query("x23_x24_markdown")

@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Sets the folder of spark.checkpoint.dir. Where that is unset, a local master gets a temporary one, and a cluster raises."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="tidewatch-")
+    spark.sparkContext.setCheckpointDir(at)
+
+
 def session(name: str = "tidewatch", **more: str) -> SparkSession:
     """UTC, ANSI and adaptive execution on; on a cluster the master and sizes come from spark-submit."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.ansi.enabled", "true")

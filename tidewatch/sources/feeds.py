@@ -25,28 +25,54 @@ def rss(spark: SparkSession, path: str, source: str, tag: str = "item") -> DataF
     return rows.where("title <> '' and url <> ''")
 
 
-#: Item, link and description patterns of listing pages, by reader.
+def entries(fetched: DataFrame, tag: str = "item") -> DataFrame:
+    """Entries of fetched feeds (source_name, body: the XML): title, url, description, published_at, source_name; as rss(), from a column."""
+    items = fetched.select("source_name", F.explode(F.regexp_extract_all("body", F.lit(rf"(?is)<{tag}[ >].*?</{tag}>"), F.lit(0))).alias("x"))
+    raw = items.select("source_name", F.from_xml("x", ITEM).alias("i")).select("source_name", "i.*")
+    body = F.coalesce("contentSnippet", "description", "summary")
+    rows = raw.select(text.to_ascii(F.col("title")).alias("title"), F.trim("link").alias("url"), text.clean(body).alias("description"), text.feed_date(F.coalesce("isoDate", "pubDate", "updated")).alias("published_at"), "source_name")
+    return rows.where("title <> '' and url <> ''")
+
+
+#: The host's end and the path's beginning of listing pages, and patterns of an item, its link, description and time, by reader.
 READERS = {
-    "news_articles": (
-        r'(?is)<article[^>]*class="[^"]*news--articles--item[^"]*".*?</article>',
+    "cert-eu-blog": (
+        "cert.europa.eu", "/blog",
+        r'(?is)<article class="news--articles--item">.*?</article>',
         r'(?is)<h3[^>]*class="news--articles--item--title"[^>]*>.*?<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>',
         r'(?is)<p[^>]*class="news--articles--item--description"[^>]*>(.*?)</p>',
+        r'(?is)<time[^>]*class="news--articles--item--time"[^>]*>(.*?)</time>',
     )
-}
+}
+
+
+def reader_for(url: Column) -> Column:
+    """The name of the reader for a listing page's URL, null if there is none."""
+    at, path = F.lower(F.try_parse_url(url, F.lit("HOST"))), F.try_parse_url(url, F.lit("PATH"))
+    found = F.lit(None).cast("string")
+    for name, (end, start, *_) in READERS.items():
+        found = F.when(at.endswith(end) & path.startswith(start), name).otherwise(found)
+    return found
 
 
-def read_listing(pages: DataFrame, reader: str) -> DataFrame:
-    """page_id, url, title, description, published_at of the items of listing pages (page_id, html, base).
+def read_listing(pages: DataFrame) -> DataFrame:
+    """page_id, reader, url, title, description, published_at of the items of listing pages (page_id, html, base: the page's URL).
 
-    A page without items is an error: its row has a null url, and errors() tells of it.
+    Each page is read by its URL's reader. Items need a title and a link; one without a date that can be read has none. A page that no
+    reader knows, or without items, is an error: it has one row with a null url, and errors() tells of it.
     """
-    found = html.listing(F.col("html"), *READERS[reader])
-    rows = pages.select("page_id", "base", F.explode_outer(found).alias("i"))
-    return rows.select("page_id", F.when(F.col("i.href").startswith("/"), F.concat(F.regexp_extract("base", "^https?://[^/]+", 0), "i.href")).otherwise(F.col("i.href")).alias("url"), "i.title", "i.description")
+    empty = F.array().cast("array<struct<href:string,title:string,description:string,time:string>>")
+    found, reader = empty, reader_for(F.col("base"))
+    for name, (_, _, *patterns) in READERS.items():
+        found = F.when(reader == name, html.listing(F.col("html"), *patterns)).otherwise(found)
+    rows = pages.select("page_id", "base", reader.alias("reader"), F.explode_outer(found).alias("i"))
+    root = F.regexp_extract("base", "^https?://[^/?#]+", 0)
+    absolute = F.when(F.col("i.href").rlike("^https?://"), F.col("i.href")).when(F.col("i.href").startswith("/"), F.concat(root, "i.href")).otherwise(F.concat(F.regexp_extract("base", "^https?://[^?#]*/|^https?://[^/?#]+", 0), F.col("i.href")))
+    return rows.select("page_id", "reader", F.when(F.col("i").isNotNull(), absolute).alias("url"), "i.title", F.nullif(F.substring("i.description", 1, 500), F.lit("")).alias("description"), text.listing_date(F.col("i.time")).alias("published_at"))
 
 
 def errors(listed: DataFrame) -> DataFrame:
-    return listed.where("url is null").select("page_id", F.lit("no items").alias("error")).distinct()
+    return listed.where("url is null").select("page_id", F.when(F.col("reader").isNull(), "no reader").otherwise("no items").alias("error")).distinct()
 
 
 def newest(candidates: DataFrame, most: int = MOST_ITEMS) -> DataFrame:
