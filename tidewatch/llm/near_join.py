@@ -10,8 +10,9 @@ without such words uses its runs of other characters). Two texts are linked if t
    1 / (similarity * T), decided by a hash of its path, and sends a set to a child for each coordinate picked and its value there.
    Two sets over the threshold are expected to meet in at least one child each time, dissimilar ones seldom; so buckets shrink by the
    dissimilarity of their members, also where very many texts share a passage. Buckets of one set end; buckets up to LEAF sets are
-   compared by brute force on their sketches. A bucket that is still larger after DEPTH splits holds sets that share all coordinates of
-   its path: all its sets become candidates of one another, none is dropped.
+   compared by brute force on their sketches. A larger bucket that a split has left with KEPT of its sets or more holds sets alike, which
+   no split takes apart, and one that is still larger after DEPTH splits holds sets that share all coordinates of its path: all sets
+   of either become candidates of one another, none is dropped.
 3. Runs are repeated until the target recall: R is the least number for which a pair at the threshold that stays in large buckets
    through all DEPTH splits meets so often, counted over all ways in which its T coordinates may agree (runs share coordinates, so
    they are not independent).
@@ -47,6 +48,8 @@ from tidewatch.llm.shared import Scratch, WordHash, batches_by_bytes, groups, mi
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.995
 #: Sketch coordinates; largest bucket that is compared by brute force; number of splits.
 T, LEAF, DEPTH = 64, 128, 5
+#: The share of a bucket's sets in one child from which splitting ends.
+KEPT = 0.7
 #: Components up to so many sets are one block; no block has more sets than GROUP or, on average, more shingles than WIDE.
 SMALL, GROUP, WIDE = 256, 2048, 1 << 21
 #: Sketches of pairs over the threshold agree at least so much, but for one pair in 100,000 (four deviations).
@@ -296,36 +299,42 @@ def candidates(nodes: DataFrame, scratch: Scratch, similarity: float, recall: fl
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), part.column("sid").take(pa.array(row))], names=["path", "sid"])
 
     def split(batches):
-        """Children of each set's paths; the sketch comes once for all of them."""
+        """Children of each set's paths, with the bucket's size; the sketch comes once for all of them."""
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 s = np.frombuffer(b"".join(part.column("sketch").to_pylist()), dtype=np.uint32).reshape(-1, T)
-                lists = part.column("paths")
-                owner = np.repeat(np.arange(len(s)), np.array(lists.value_lengths().to_pylist(), dtype=np.int64))
-                paths = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                owner = np.repeat(np.arange(len(s)), np.array(part.column("paths").value_lengths().to_pylist(), dtype=np.int64))
+                paths, sizes = part.column("paths").flatten(), part.column("sizes").flatten()
+                paths = paths.to_numpy(zero_copy_only=False).view(np.uint64)
                 for i in range(0, len(owner), 2048):
                     row, child = children(paths[i : i + 2048], s[owner[i : i + 2048]], similarity)
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), part.column("sid").take(pa.array(owner[i : i + 2048][row]))], names=["path", "sid"])
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), part.column("sid").take(pa.array(owner[i : i + 2048][row])), sizes.take(pa.array(i + row))], names=["path", "sid", "of"])
+
+    def as_stars(rows: DataFrame) -> DataFrame:
+        centre = rows.groupBy("path").agg(F.min("sid").alias("b"))
+        return rows.join(centre, "path").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
 
     stars = []
     state = nodes.select("sid", "sketch")
     for depth in range(1, DEPTH + 1):
-        placed = scratch.write(state.mapInArrow(split if depth > 1 else begin, "path long, sid binary"), f"paths-{depth}")
-        sizes = placed.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        sized = scratch.write(placed.join(sizes, "path"), f"sized-{depth}")
+        placed = scratch.write(state.mapInArrow(split if depth > 1 else begin, "path long, sid binary" + (", of long" if depth > 1 else "")), f"paths-{depth}")
+        of = F.max("of") if depth > 1 else F.lit(None).cast("long")
+        sizes = placed.groupBy("path").agg(F.count("*").alias("size"), of.alias("of")).where("size > 1")
+        sized = scratch.write(placed.select("path", "sid").join(sizes, "path"), f"sized-{depth}")
         scratch.drop(f"paths-{depth}")
         leaves = sized.where(F.col("size") <= LEAF).select("path", "sid").join(nodes.select("sid", "sketch"), "sid")
         stars.append(scratch.write(by_group(leaves, ["path"], "a binary, b binary", lambda: lambda bucket: leaf_stars(bucket, least)).distinct(), f"stars-{depth}"))
-        large = sized.where(F.col("size") > LEAF).select("path", "sid")
+        large = sized.where(F.col("size") > LEAF)
+        ended = F.coalesce(F.col("size") >= KEPT * F.col("of"), F.lit(False)) if depth < DEPTH else F.lit(True)
         if depth > 1:
+            stars.append(scratch.write(as_stars(large.where(ended)), f"alike-{depth}"))
             scratch.drop(f"sized-{depth - 1}")
+        large = large.where(~ended)
         if large.isEmpty():
             break
-        if depth == DEPTH:
-            centre = large.groupBy("path").agg(F.min("sid").alias("b"))
-            stars.append(large.join(centre, "path").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct())
-        state = large.groupBy("sid").agg(F.collect_list("path").alias("paths")).join(nodes.select("sid", "sketch"), "sid").select("sid", "sketch", "paths")
+        lists = large.groupBy("sid").agg(F.collect_list(F.struct("path", "size")).alias("p")).select("sid", F.col("p.path").alias("paths"), F.col("p.size").alias("sizes"))
+        state = lists.join(nodes.select("sid", "sketch"), "sid").select("sid", "sketch", "paths", "sizes")
     edges = stars[0]
     for more in stars[1:]:
         edges = edges.unionByName(more)
@@ -355,28 +364,30 @@ def links_of(member: DataFrame, texts_of, scratch: Scratch, similarity: float, c
 
     if count:
         return scratch.write(by_group(dealt(texts_of(member)), ["root", "lo", "hi"], out, work(verify)), "links")
-    texts = texts_of(member)
-    alone = texts.where("blocks = 1").select("root", F.lit(0).alias("lo"), "sid", "copies", "text", F.lit(False).alias("x"), "own")
-    is_lead = F.col("sid") == F.col("root")
+    # each text is fetched once and goes to its block, a representative to all blocks
+    is_lead = (F.col("sid") == F.col("root")) & (F.col("blocks") > 1)
     to = F.explode(F.when(is_lead, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))).alias("lo")
-    large = texts.where("blocks > 1").select("root", to, "sid", "copies", "text", is_lead.alias("x"), "own")
+    first = texts_of(member).select("root", to, "sid", "copies", "text", is_lead.alias("x"), "own")
 
     def near_lead(group: pa.Table, similarity: float, cache: WordHash) -> pa.Table | None:
         if any(group.column("x").to_pylist()):
             return linked_by(group, similarity, cache)
         return verify(group.append_column("hi", group.column("lo")), similarity, cache)
 
-    first = scratch.write(by_group(alone.unionByName(large), ["root", "lo"], out, work(near_lead)), "near-lead")
+    first = scratch.write(by_group(first, ["root", "lo"], out, work(near_lead)), "near-lead")
     rest = member.where("blocks > 1 and node <> root").join(first.select(F.col("sid").alias("node")).distinct(), "node", "left_anti")
     rest = scratch.write(rest.select("node", "root"), "rest")
-    per_root = rest.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("rest_blocks"))
-    again = member.join(per_root, "root").join(rest.select("node", F.lit(True).alias("is_rest")), "node", "left")
-    texts = texts_of(again.withColumn("own_rest", F.when(F.col("is_rest"), F.pmod(F.xxhash64("node"), F.col("rest_blocks")).cast("int"))))
-    every = texts.select("root", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("lo"), F.col("own").alias("hi"), "sid", "text", F.lit(False).alias("x"))
-    asked = texts.where("is_rest").select("root", F.col("own_rest").alias("lo"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("hi"), "sid", "text", F.lit(True).alias("x"))
     if rest.isEmpty():
         return first
-    return first.unionByName(scratch.write(by_group(every.unionByName(asked), ["root", "lo", "hi"], out, work(linked_by)), "links"))
+    per_root = rest.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("rest_blocks"))
+    again = member.join(per_root, "root").join(rest.select("node", F.lit(True).alias("is_rest")), "node", "left")
+    own_rest = F.pmod(F.xxhash64("node"), F.col("rest_blocks")).cast("int")
+    place = lambda lo, hi, x: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(x).alias("x"))
+    every = F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda j: place(j, F.col("own"), False))
+    asked = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: place(own_rest, i, True))
+    at = F.when(F.col("is_rest"), F.concat(every, asked)).otherwise(every)
+    again = texts_of(again.withColumn("at", at)).select("root", F.inline("at"), "sid", "text")
+    return first.unionByName(scratch.write(by_group(again, ["root", "lo", "hi"], out, work(linked_by)), "links"))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, count: bool = True) -> DataFrame:
@@ -392,7 +403,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     nodes = scratch.write(nodes, "nodes")
     found = components(candidates(nodes, scratch, similarity, recall))
     member = scratch.write(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "members")
-    scratch.drop(*(f"{name}-{depth}" for name in ("sized", "stars") for depth in range(1, DEPTH + 1)))
+    scratch.drop(*(f"{name}-{depth}" for name in ("sized", "stars", "alike") for depth in range(1, DEPTH + 1)))
 
     sized = member.join(nodes.select(F.col("sid").alias("node"), "size"), "node")
     n = F.count("*")
