@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import batches_by_bytes, fold, wider, written
+from tidewatch.llm.shared import batches_by_bytes, fold, packed, wider, written
 
 #: Labelled rows of each class that are learned from.
 SAMPLE = 2000
@@ -223,7 +223,7 @@ def fit(x: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray, float]:
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs with held_out, score and predicted; texts are read twice and not shuffled."""
-    docs = docs.drop("held_out", "score", "predicted")
+    made = ("held_out", "score", "predicted")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id")) != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.crc32(F.col("doc_id").cast("string")), F.col("doc_id")]
@@ -249,5 +249,6 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
             p = 1 / (1 + np.exp(-(np.array([g.features(t) for t in texts]) @ beta + bias)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    held = docs.withColumn("held_out", fold(F.col("doc_id")) == 0)
-    return held.mapInArrow(scored, wider(held.schema, "score double, predicted int"))
+    held = docs.select(packed(docs, "text", *made).alias("own"), F.col("text").cast("string").alias("text"), (fold(F.col("doc_id")) == 0).alias("held_out"))
+    out = held.mapInArrow(scored, wider(held.schema, "score double, predicted int"))
+    return out.select(*(F.col("text") if c.lower() == "text" else F.col("own").getField(c).alias(c) for c in docs.columns if c.lower() not in made), *made)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import mixed, wider
+from tidewatch.llm.shared import mixed, packed, wider
 
 ORDER, SLOTS = 4, 1 << 20
 #: Verdict, host and path of each rule.
@@ -167,7 +167,8 @@ def balanced_cut(counts: dict[tuple[str, int], int]) -> float:
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """pages with host, path, rule, score and verdict."""
-    p = ruled(pages.drop("score", "verdict"), rules)
+    made = ("host", "path", "rule", "score", "verdict")
+    p = ruled(pages.select(packed(pages, "url", *made).alias("own"), F.col("url").cast("string").alias("url")), rules)
     decided = p.where("decided is not null").select("url", "decided", (F.crc32("url") % 5).alias("fold"))
     models = counted(decided)
     both = bool(len(models["allow", "all"].pairs) and len(models["block", "all"].pairs))
@@ -192,5 +193,5 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
             kept = batch.drop_columns(["decided"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(s), pa.array(verdict, pa.string())], names=[*kept.schema.names, "score", "verdict"])
 
-    p = p.withColumn("url", F.col("url").cast("string"))
-    return p.mapInArrow(scored, wider(p.drop("decided").schema, "score double, verdict string"))
+    out = p.mapInArrow(scored, wider(p.drop("decided").schema, "score double, verdict string"))
+    return out.select(*(F.col("url") if c.lower() == "url" else F.col("own").getField(c).alias(c) for c in pages.columns if c.lower() not in made), *made)
