@@ -123,11 +123,18 @@ def test_stream(spark, tmp_path, crews):
     rows = [("Volt Typhoon again", "u1", "at evil[.]example", "news", "s", date(2026, 7, 1), at), ("volt  typhoon AGAIN ", "U1", None, "news", "s", date(2026, 7, 1), at), ("Our webinar", "u2", None, "vendor", "s", date(2026, 7, 1), at)]
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
     groups = attribution.catalogue(crews)
+    start = lambda: stream.start(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), groups, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    read = lambda name: spark.read.parquet(str(tmp_path / "out" / name)).collect()
     for _ in range(2):  # a second start finds nothing new
-        stream.start(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), groups, str(tmp_path / "reports"), str(tmp_path / "dropped"), str(tmp_path / "checkpoint")).awaitTermination()
-    reports = spark.read.parquet(str(tmp_path / "reports")).collect()
-    assert [(r.kind, r.crowdstrike_adversary, r.country) for r in reports] == [("research", "VANGUARD PANDA", "China")]
-    assert [r.reason for r in spark.read.parquet(str(tmp_path / "dropped")).collect()] == ["marketing / product"]
+        start()
+    assert [(r.kind, r.crowdstrike_adversary, r.country) for r in read("reports")] == [("research", "VANGUARD PANDA", "China")]
+    assert [(r.reason, r.classified_by) for r in read("dropped")] == [("marketing / product", "rules")]
+    assert [(r.ioc_type, r.value) for r in read("links")] == [("domain", "evil.example")]
+    assert [(r.source_name, r.kept, r.dropped) for r in read("tally")] == [("s", 1, 1)]
+    more = [("Volt Typhoon again", "u1", None, "news", "s", date(2026, 7, 1), datetime(2026, 7, 20)), ("Volt Typhoon once more", "u9", None, "news", "s", date(2026, 7, 1), datetime(2026, 7, 20))]
+    spark.createDataFrame(more, schema).write.mode("append").parquet(str(tmp_path / "in"))
+    start()  # what earlier batches brought is known, also beyond the watermark
+    assert sorted(r.title for r in read("reports")) == ["Volt Typhoon again", "Volt Typhoon once more"]
 
 
 def test_ingest_links(spark, crews):

@@ -34,7 +34,8 @@ def test_grammar():
     t = lambda v, f="text": search.Term(f, "contains", v)
     assert search.parse("a b OR c") == search.Node("or", (search.Node("and", (t("a"), t("b"))), t("c")))
     assert search.parse("https://evil.com") == t("https://evil.com") and search.parse("ratio:3") == t("ratio:3")
-    assert search.parse('"AND" x') if False else True
+    # a quoted operator is an operator still, as a token does not remember its quotes; an empty quoted text is nothing
+    assert search.parse('a "AND" b') == search.parse("a AND b") and search.parse('a "" b') == search.parse("a b") and search.parse('a "or" b') == search.parse("a OR b")
     assert search.parse('a "or" b') == search.Node("or", (t("a"), t("b")))  # operators count even in quotes
     assert search.parse(r'"a \"b\""') == t('a "b"') and search.parse("CVE-2026-1") == t("cve-2026-1") and search.parse("a - b") == search.Node("and", (t("a"), t("-"), t("b")))
     assert search.fields(search.parse("label:a (ip:1 OR -x)")) == {"label", "ip", "text"}

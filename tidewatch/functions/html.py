@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.functions.patterns import let
 from tidewatch.functions.text import to_ascii
 
 # Elements without prose, and words that mark a container as page furniture.
@@ -20,8 +21,9 @@ DATE_KEYS = "article:published_time article:published og:article:published_time
 
 
 def without(html: Column, *elements: str) -> Column:
-    """html with these elements and all in them replaced by a space."""
-    return F.regexp_replace(html, rf"(?is)<({'|'.join(elements)})\b.*?</\1\s*>", " ")
+    """html with these elements and all in them replaced by a space; texts that have none of them stay as they are."""
+    names = "|".join(elements)
+    return let(html, lambda h: F.when(h.rlike(rf"<(?i:{names})\b"), F.regexp_replace(h, rf"(?is)<({names})\b.*?</\1\s*>", " ")).otherwise(h))
 
 
 def visible(html: Column) -> Column:
@@ -32,9 +34,15 @@ def visible(html: Column) -> Column:
 def content(html: Column) -> Column:
     """Of all articles and mains the one with the longest text (the first of equals), else the body, else everything."""
     found = F.concat(*(F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b.*?</{tag}>"), F.lit(0)) for tag in ("article", "main")))
-    sized = F.transform(found, lambda c, i: F.struct(F.length(visible(c)).alias("n"), (-i).alias("i"), c.alias("html")))
-    best = F.array_max(F.filter(sized, lambda s: s["n"] > 0))["html"]
-    return F.coalesce(best, F.nullif(F.regexp_extract(html, r"(?is)<body\b.*?</body>", 0), F.lit("")), html)
+    rest = F.coalesce(F.nullif(F.regexp_extract(html, r"(?is)<body\b.*?</body>", 0), F.lit("")), html)
+
+    def longest(found: Column) -> Column:
+        sized = F.transform(found, lambda c, i: F.struct(F.length(visible(c)).alias("n"), (-i).alias("i"), c.alias("html")))
+        return F.array_max(F.filter(sized, lambda s: s["n"] > 0))["html"]
+
+    # a lone article is measured only if a glance at it finds no letter behind a tag
+    lone = lambda f: (F.size(f) == 1) & F.get(f, F.lit(0)).rlike(r"<(?:p|h[1-6]|li|div|article)\b[^>]*>\s*[^<\s]")
+    return F.coalesce(let(found, lambda f: F.when(lone(f), F.get(f, F.lit(0))).otherwise(longest(f))), rest)
 
 
 def body_text(html: Column) -> Column:
@@ -101,6 +109,10 @@ class Markdown:
     """
 
     TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9]*)\b([^>]*)>", re.S)
+    WORDS = re.compile(r"(?<![\w])(?:" + "|".join(FURNITURE) + r")(?![\w])")
+    CHROME = re.compile(r"(?<![\w])(?:" + "|".join(IMAGE_CHROME) + r")(?![\w])")
+    DROP = re.compile(rf"<({'|'.join(NEVER_PROSE)})\b.*?</\1\s*>", re.S | re.I)
+    BOX = re.compile(r"<(div|section|aside|ul|figure|span)\b[^>]*(?:class|id|data-testid)\s*=\s*\"[^\"]*(?<![\w])(?:" + "|".join(FURNITURE) + r")(?![\w])[^\"]*\".*?</\1>", re.S | re.I)
     BLOCKS = frozenset("p div section tr figcaption figure article main body table".split())
 
     def __init__(self, base: str):
@@ -125,14 +137,18 @@ class Markdown:
 
         raw = next((v for k in ("src", "data-src", "data-original") if (v := self.attr(text, k))), "")
         url, alt, css = self.absolute(raw), (self.attr(text, "alt") or ""), (self.attr(text, "class") or "").lower()
-        words = re.compile(r"(?<![\w])(?:" + "|".join(FURNITURE) + r")(?![\w])")
-        chrome = re.compile(r"(?<![\w])(?:" + "|".join(IMAGE_CHROME) + r")(?![\w])")
-        small = any((v := self.attr(text, side) or "").isdigit() and 0 < int(v) < 150 for side in ("width", "height"))
-        if not url or re.search(r"[${}]|^data:", raw) or small or words.search(alt.lower()) or words.search(url.lower()) or chrome.search(css) or chrome.search(alt.lower()):
+        if not url or not self.content_image(raw, url, alt.lower(), css, self.attr(text, "width"), self.attr(text, "height")):
             self.dropped.append(raw)
         else:
             self.out.append(f"\n\n![{re.sub(r'[\[\]]', '', unescape(alt))}]({url})\n\n")
 
+    @classmethod
+    def content_image(cls, raw: str, url: str, alt: str, css: str, *sides: str | None) -> bool:
+        """Whether an image is the article's own: no placeholder or inline data, not small on any side, and neither its words nor its address
+        those of page furniture."""
+        small = any((side or "").isdigit() and 0 < int(side) < 150 for side in sides)
+        return not (re.search(r"[${}]|^data:", raw) or small or cls.WORDS.search(alt) or cls.WORDS.search(url.lower()) or cls.CHROME.search(css) or cls.CHROME.search(alt))
+
     def tag(self, close: bool, name: str, text: str) -> None:
         if name == "img":
             self.image(text)
@@ -174,10 +190,7 @@ class Markdown:
     def convert(self, html: str) -> str:
         from html import unescape
 
-        drop = "|".join(NEVER_PROSE)
-        html = re.sub(rf"<({drop})\b.*?</\1\s*>", " ", html, flags=re.S | re.I)
-        box = re.compile(r"<(div|section|aside|ul|figure|span)\b[^>]*(?:class|id|data-testid)\s*=\s*\"[^\"]*(?<![\w])(?:" + "|".join(FURNITURE) + r")(?![\w])[^\"]*\".*?</\1>", re.S | re.I)
-        html = box.sub(" ", box.sub(" ", html))
+        html = self.BOX.sub(" ", self.BOX.sub(" ", self.DROP.sub(" ", html)))
         at = 0
         for m in self.TAG.finditer(html):
             self.text(unescape(html[at : m.start()]))

@@ -58,14 +58,21 @@ IPV6 = _ipv6()
 
 
 def refang(text: Column) -> Column:
-    """Obfuscated dots, schemes and slashes made plain."""
-    for pattern, plain in ((r"(?i)\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)", "."), (r"\[://\]", "://"), (r"\[:\]", ":"), (r"\[/\]", "/"), (java(r"(?i)\bhxxp(s?)\b"), "http$1")):
-        text = F.regexp_replace(text, pattern, plain)
-    return text
+    """Obfuscated dots, schemes and slashes made plain; texts without brackets or hxxp stay as they are."""
 
+    def opened(t: Column) -> Column:
+        for pattern, plain in ((r"(?i)\[\.\]|\(\.\)|\{\.\}|\[dot\]|\(dot\)", "."), (r"\[://\]", "://"), (r"\[:\]", ":"), (r"\[/\]", "/")):
+            t = F.regexp_replace(t, pattern, plain)
+        return t
 
-def found(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))
+    plain = let(text, lambda t: F.when(t.rlike(r"[\[({][.:/dD]"), opened(t)).otherwise(t))
+    return let(plain, lambda t: F.when(t.rlike("[hH][xX][xX][pP]"), F.regexp_replace(t, java(r"(?i)\bhxxp(s?)\b"), "http$1")).otherwise(t))
+
+
+def found(text: Column, pattern: str, hint: str | None = None) -> Column:
+    """All matches of pattern; hint is a cheap pattern that every text with a match has."""
+    every = F.regexp_extract_all(text, F.lit(java(pattern)), F.lit(0))
+    return every if hint is None else F.when(text.rlike(hint), every).otherwise(F.array().cast("array<string>"))
 
 
 def non_routable(ip: Column) -> Column:
@@ -86,7 +93,8 @@ def addresses(text: Column) -> Column:
     hosts = F.regexp_replace(text, java(rf"(//(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}})/[0-9]{{1,3}}\b"), "$1 ")
     raw = found(hosts, r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?:/[0-9]{1,3})?\b")
     whole = F.transform(raw, lambda v: F.when(v.rlike(rf"^{IPV4}/{PREFIX_32}\z"), v).otherwise(F.regexp_extract(v, r"^[^/]*", 0)))
-    return F.array_distinct(F.filter(whole, lambda v: v.rlike(rf"^{IPV4}(?:/{PREFIX_32})?\z")))
+    every = F.array_distinct(F.filter(whole, lambda v: v.rlike(rf"^{IPV4}(?:/{PREFIX_32})?\z")))
+    return F.when(text.rlike(r"[0-9]\.[0-9]{1,3}\.[0-9]"), every).otherwise(F.array().cast("array<string>"))
 
 
 def filename_or_code(domain: Column) -> Column:
@@ -111,7 +119,7 @@ def excluded(domain: Column, more: Column | None = None) -> Column:
 
 def domains(text: Column, ips: Column, more: Column | None = None) -> Column:
     # the look ahead passes over words without a dot behind them, which the pattern itself would try at every length
-    names = F.transform(found(text, rf"(?i)\b(?=[a-z0-9-]{{1,63}}+\.){DOMAIN}\b"), lambda d: F.regexp_replace(F.lower(d), "^2f", ""))
+    names = F.transform(found(text, rf"(?i)\b(?=[a-z0-9-]{{1,63}}+\.){DOMAIN}\b", r"[A-Za-z0-9]\.[A-Za-z]"), lambda d: F.regexp_replace(F.lower(d), "^2f", ""))
     return F.filter(F.array_distinct(names), lambda d: ~F.array_contains(ips, d) & ~filename_or_code(d) & ~excluded(d, more))
 
 
@@ -127,9 +135,9 @@ def indicators(text: Column, exclude_domains: Column | None = None, exclude_ips:
         return F.struct(
             ips.alias("ips"),
             domains(t, ips, exclude_domains).alias("domains"),
-            F.array_distinct(F.transform(found(t, rf"(?i)\b{HASH}\b"), F.lower)).alias("files"),
-            upper(found(t, rf"(?i)\b{CVE}\b")).alias("cves"),
-            upper(found(t, rf"\b{TECHNIQUE}\b")).alias("mitre"),
+            F.array_distinct(F.transform(found(t, rf"(?i)\b{HASH}\b", "[A-Fa-f0-9]{32}"), F.lower)).alias("files"),
+            upper(found(t, rf"(?i)\b{CVE}\b", "[cC][vV][eE]-[0-9]{4}-")).alias("cves"),
+            upper(found(t, rf"\b{TECHNIQUE}\b", "T[0-9]{4}")).alias("mitre"),
         )
 
     return let(refang(F.coalesce(text, F.lit(""))), lambda t: let(routable(t), lambda ips: every(t, ips)))

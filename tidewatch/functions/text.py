@@ -62,10 +62,16 @@ def to_ascii(text: Column, keep_newlines: bool = False) -> Column:
     Letters that decompose to one ASCII sign are folded by one translate with a table made from Unicode's decompositions; ligatures
     and other signs that decompose to several are dropped. Empty for null.
     """
-    t = _decoded(_decoded(F.coalesce(text, F.lit(""))))
-    for plain, signs in PUNCTUATION.items():
-        t = F.translate(t, signs, plain * len(signs)) if len(plain) == 1 else F.regexp_replace(t, f"[{signs}]", plain.replace("$", r"\$"))
-    t = F.regexp_replace(F.translate(t, LETTERS, BASES), r"[^\x09\x0A\x0D\x20-\x7E]", "")
+    def folded(t: Column) -> Column:
+        for plain, signs in PUNCTUATION.items():
+            t = F.translate(t, signs, plain * len(signs)) if len(plain) == 1 else F.regexp_replace(t, f"[{signs}]", plain.replace("$", r"\$"))
+        return F.regexp_replace(F.translate(t, LETTERS, BASES), r"[^\x09\x0A\x0D\x20-\x7E]", "")
+
+    # each step runs only where a text has what it is for
+    t = F.coalesce(text, F.lit(""))
+    for _ in range(2):
+        t = let(t, lambda x: F.when(x.contains("&"), _decoded(x)).otherwise(x))
+    t = let(t, lambda x: F.when(x.rlike(r"[^\x09\x0A\x0D\x20-\x7E]"), folded(x)).otherwise(x))
     if keep_newlines:
         for pattern, plain in ((r"[^\S\n]+", " "), (r"\n{3,}", "\n\n"), (r"[ \t]*\n[ \t]*", "\n")):
             t = F.regexp_replace(t, pattern, plain)

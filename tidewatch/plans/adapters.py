@@ -58,9 +58,23 @@ VIEWS = {"reports": REPORTS, "links": LINKS, "iocs": IOCS, "report_labels": LABE
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Tables of texts, whose rows are dear to work on.
+TEXTS = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where its files are fewer: a small table is one file of one row group, which one task alone would work on.
+
+    Large tables have many files; they are read as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """SQL over the driver's tables, which are named in braces."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
+    used |= {t: spread(df) for t, df in used.items() if t in TEXTS}
     return spark.sql(sql, **used)
 
 

@@ -164,7 +164,7 @@ def j1(spark, sf):
 @query("j3_nexus_by_name", with_views("SELECT id, nexus FROM reports LEFT JOIN actors ON lower(crowdstrike_adversary) = lower(name)", "reports", "actors"))
 def j3(spark, sf):
     a = actors(spark, sf).select(F.lower("name").alias("k"), "nexus")
-    return view(spark, sf, "reports").join(F.broadcast(a), F.lower("crowdstrike_adversary") == F.col("k"), "left").select("id", "nexus")
+    return view(spark, sf, "reports").join(a, F.lower("crowdstrike_adversary") == F.col("k"), "left").select("id", "nexus")
 
 
 @query("x11_x14_routing", matched(f"""SELECT r.id, upper(regexp_extract({TEXT}, {quoted(rules.ROUTING_CVE)})) AS cve,

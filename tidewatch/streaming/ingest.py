@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,25 +17,57 @@ def deduplicated(candidates: DataFrame, delay: str = "7 days") -> DataFrame:
     return hashed.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["raw_hash"])
 
 
-def start(candidates: DataFrame, groups: Column, reports_path: str, dropped_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Appends reports and drops; a batch that is repeated after a failure writes nothing twice, as reports are matched by raw_hash."""
+#: Tables of the dataflow that a stream appends to.
+TABLES = ("reports", "dropped", "links", "tally")
+
+
+def start(candidates: DataFrame, groups: Column, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Appends reports, drops, links and counters under path, each row with its batch's number.
+
+    A batch that is repeated after a failure first drops what it had written, so that nothing is there twice. Known are the keys of
+    reports and drops of the last weeks by the watermark, in partitions by day of the batch's newest candidate; only these are read.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()
         try:
-            known = spark.read.parquet(reports_path).select("raw_hash").unionByName(spark.read.parquet(dropped_path).select("raw_hash"))
-        except Exception as e:  # nothing has been written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            known = batch.select("raw_hash").limit(0)
-        out = ingest.run(batch.drop("raw_hash").withColumn("ord", F.monotonically_increasing_id()), known, known.limit(0), groups)
-        out["reports"].write.mode("append").parquet(reports_path)
-        out["dropped"].write.mode("append").parquet(dropped_path)
+            newest, oldest = batch.agg(F.max(F.to_date("seen_at")), F.min(F.to_date("seen_at"))).first()
+            if newest is None:
+                return
+            known = seen(spark, path, number, oldest)
+            out = ingest.run(batch.drop("raw_hash").withColumn("ord", F.monotonically_increasing_id()), known, known.limit(0), groups)
+            for name in TABLES:
+                target = f"{path}/{name}"
+                rows = out[name].withColumns({"day": F.lit(newest), "batch": F.lit(number)})
+                rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(target)
+        finally:
+            batch.unpersist()
 
     writer = deduplicated(candidates).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+#: Candidates are compared with reports and drops of so many days before them.
+KNOWN_DAYS = 30
+
+
+def seen(spark: SparkSession, path: str, number: int, oldest) -> DataFrame:
+    """Keys of earlier batches, from the partitions of the days that matter."""
+    parts = []
+    for name in ("reports", "dropped"):
+        try:
+            rows = spark.read.parquet(f"{path}/{name}")
+        except AnalysisException as e:  # nothing has been written yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            continue
+        parts.append(rows.where((F.col("day") >= F.date_sub(F.lit(oldest), KNOWN_DAYS)) & (F.col("batch") != number)).select("raw_hash"))
+    if not parts:
+        return spark.createDataFrame([], "raw_hash string")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def hourly_counts(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Events per hour and type with a watermark, for dashboards that follow a stream."""
     return events.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("hour"), "event_type", "n")
