@@ -111,3 +111,61 @@ def test_html(spark):
     urls = {"https://a.example/": True, "ftp://a.example": False, "http://localhost/x": False, "http://192.168.1.4/": False, "http://172.20.0.1/": False, "http://8.8.8.8/": True, "junk": False}
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     assert {r.u: r.ok for r in df.select("u", html.public_url(F.col("u")).alias("ok")).collect()} == urls
+
+
+def test_markdown_forms(spark):
+    """Golden cases of copied markup and of article pages."""
+    copied = {
+        '<p>Infrastructure:</p><img src="https://vendor.example/i/c2.png" alt="C2 panel">': "Infrastructure:\n\n![C2 panel](https://vendor.example/i/c2.png)",
+        "<ol><li>One</li><li>Two</li></ol>": "1. One\n2. Two",
+        '<p>See <a href="https://vendor.example/x">the analysis</a> and <a>this</a>.</p>': "See [the analysis](https://vendor.example/x) and this.",
+        "<style>.a{color:red}</style><script>alert(1)</script><p>Body text</p>": "Body text",
+        "<figure><figcaption>Caption</figcaption></figure>": "Caption",
+        "<p>Sandbox &amp; C2 &#8212; &quot;quoted&quot;</p>": 'Sandbox & C2 \u2014 "quoted"',
+        "<div></div><div><p></p></div><p>Only line</p><div></div>": "Only line",
+        "<h2>Findings</h2><ul><li>First</li><li>Second</li></ul><p><strong>Cobalt</strong> and <em>rundll32</em>.</p>": "## Findings\n\n- First\n- Second\n\n**Cobalt** and *rundll32*.",
+        '<img src="data:image/png;base64,iVBORw0KGgo=" alt="Screenshot">': "",
+    }
+    df = spark.createDataFrame([(k,) for k in copied], "h string")
+    got = {r.h: r.m for r in df.select("h", html.copied_markdown(F.col("h"), F.lit("https://vendor.example/blog/report")).alias("m")).collect()}
+    assert {k: m.markdown for k, m in got.items()} == copied
+    assert got['<img src="data:image/png;base64,iVBORw0KGgo=" alt="Screenshot">'].dropped == ["Screenshot"]
+    worth = {"<span>plain</span>": False, "": False, "<p>Body</p>": True, '<img src="https://a.example/x.png">': True, None: False}
+    df = spark.createDataFrame([(k,) for k in worth], "h string")
+    assert {r.h: r.w for r in df.select("h", html.worth_converting(F.col("h")).alias("w")).collect()} == worth
+    body = "Real reporting. " * 20
+    page = f'<article><nav>Home</nav><p>{body}</p><div class="ad-slot"><p>Buy this</p></div><section id="related-stories"><p>More</p></section><div class="newsletter-signup"><p>Subscribe now</p></div><blockquote>Quoted line.</blockquote><aside>Also</aside></article>'
+    md = value(spark, html.markdown(F.lit(page), F.lit("https://e.example/"))).markdown
+    assert "Real reporting." in md and "> Quoted line." in md and not any(x in md for x in ("Buy", "More", "Subscribe", "Home", "Also"))
+
+
+def test_paragraphs_keep_their_signs(spark):
+    """Lines keep digits at their ends, whatever their number."""
+    page = "<article>" + "".join(f"<p>{i} ends in {i}{i}00</p>" for i in range(12)) + "</article>"
+    assert value(spark, html.paragraphs(F.lit(page))).split("\n") == [f"{i} ends in {i}{i}00" for i in range(12)]
+
+
+def test_listing_dates(spark):
+    cases = {
+        "Tuesday, April 21, 2026 05:50:00 PM CEST": "2026-04-21 15:50:00", "Friday, February 13, 2026 04:45:00 PM CET": "2026-02-13 15:45:00", "Monday, June 01, 2026 12:00:00 AM CEST": "2026-05-31 22:00:00",
+        "Monday, June 01, 2026 12:00:00 PM CEST": "2026-06-01 10:00:00", "April 21, 2026 05:50 PM CEST": "2026-04-21 15:50:00", "April 21, 2026 15:50:00": "2026-04-21 15:50:00", "April 21, 2026 15:50 XYZ": "2026-04-21 15:50:00",
+        "April 31, 2026 01:00": "2026-05-01 01:00:00", "": None, "not a date": None, "Fooruary 21, 2026 05:50:00 PM CEST": None, "April 21, 2026 24:50": None, None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "v string")
+    assert {r.v: r.t for r in df.select("v", text.listing_date(F.col("v")).cast("string").alias("t")).collect()} == cases
+
+
+def test_match_ranges(spark):
+    pattern = indicators.find_pattern("evil.com")
+    t = F.lit("at evil[.]com, EVIL.COM and evilcom")
+    assert [tuple(r) for r in value(spark, text.match_ranges(t, pattern))] == [(3, 13), (15, 23)]
+    assert [tuple(s) for s in value(spark, text.segments(t, pattern))] == [("at ", False), ("evil[.]com", True), (", ", False), ("EVIL.COM", True), (" and evilcom", False)]
+    assert value(spark, text.match_ranges(t, "")) == [] and [tuple(s) for s in value(spark, text.segments(F.lit("x"), ""))] == [("x", False)] and value(spark, text.segments(F.lit(""), pattern)) == []
+    assert [value(spark, text.step_hit(F.lit(a), F.lit(n), F.lit(d))) for a, n, d in ((0, 3, -1), (2, 3, 1), (1, 0, 1), (0, 3, 7))] == [2, 0, 0, 1]
+
+
+def test_first_letters():
+    from tidewatch.functions.patterns import first_letters
+
+    assert first_letters(r"\b(webinar|introducing|\bacq)\b") == "aiw" and first_letters(r"CVE-[0-9]") == "c" and first_letters(r"x?(y|z+)") == "xyz"
+    assert first_letters(r".*a") is None and first_letters(r"x*") is None and first_letters(r"(?<!a)[^b]") is None

@@ -190,8 +190,7 @@ class Markdown:
     def convert(self, html: str) -> str:
         from html import unescape
 
-        html = self.BOX.sub(" ", self.BOX.sub(" ", self.DROP.sub(" ", html)))
-        at = 0
+        html, at = self.cleaned(html), 0
         for m in self.TAG.finditer(html):
             self.text(unescape(html[at : m.start()]))
             at = m.end()
@@ -205,23 +204,72 @@ class Markdown:
             lines.append(line.rstrip() if fenced else (item[0] if item else "") + re.sub(r"[ \t\u00a0]+", " ", line).strip())
         return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
+    def cleaned(self, html: str) -> str:
+        """Without what is never prose and what the publisher marks as furniture; twice, as containers nest."""
+        return self.BOX.sub(" ", self.BOX.sub(" ", self.DROP.sub(" ", html)))
+
     def text(self, text: str) -> None:
         self.out.append(text if self.code else re.sub(r"\s+", " ", text))
 
 
-def markdown(html: Column, base: Column) -> Column:
-    """struct(markdown, dropped images) of the article of a page."""
+class Copied(Markdown):
+    """Markup that was copied out of a page by hand: all of it is wanted, so no furniture is looked for; emphasis and rules are kept, and
+    images go only if no address on the web can be made of theirs. Dropped are their texts."""
+
+    DROP = re.compile(r"<(script|style|head|noscript|svg|iframe|form|select)\b[^>]*>.*?</\1>|<(?:script|style|svg)\b[^>]*/?>", re.S | re.I)
+    BLOCKS = Markdown.BLOCKS | {"header", "footer"}
+    EMPTY = re.compile(r"^[ \t]*(?:#{1,6}|[-*]|[0-9]+\.|>)[ \t]*$", re.M)
+
+    def cleaned(self, html: str) -> str:
+        return self.DROP.sub("", html)
+
+    def image(self, text: str) -> None:
+        url = self.absolute(self.attr(text, "src") or self.attr(text, "data-src"))
+        alt = re.sub(r"[\[\]\n]", " ", self.attr(text, "alt") or "").strip()
+        if url:
+            self.out.append(f"\n\n![{alt}]({url})\n\n")
+        else:
+            self.dropped.append(alt)
+
+    def tag(self, close: bool, name: str, text: str) -> None:
+        if name in ("em", "i"):
+            self.out.append("*")
+        elif name == "hr":
+            self.out.append("\n\n---\n\n")
+        else:
+            super().tag(close, name, text)
+
+    def convert(self, html: str) -> str:
+        return re.sub(r"\n{3,}", "\n\n", self.EMPTY.sub("", super().convert(html))).strip()
+
+
+def _converted(html: Column, base: Column, kind: type[Markdown]) -> Column:
     import pandas as pd
 
     def convert(pages, bases):
         rows = []
         for page, at in zip(pages, bases, strict=True):
-            m = Markdown(at or "")
+            m = kind(at or "")
             rows.append((m.convert(page) if page is not None else None, m.dropped))
         return pd.DataFrame(rows, columns=["markdown", "dropped"])
 
     convert.__annotations__ = {"pages": pd.Series, "bases": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(convert, "markdown string, dropped array<string>")(content(html), base)
+    return F.pandas_udf(convert, "markdown string, dropped array<string>")(html, base)
+
+
+def markdown(html: Column, base: Column) -> Column:
+    """struct(markdown, dropped images) of the article of a page."""
+    return _converted(content(html), base, Markdown)
+
+
+def copied_markdown(html: Column, base: Column) -> Column:
+    """struct(markdown, texts of dropped images) of markup that was copied."""
+    return _converted(html, base, Copied)
+
+
+def worth_converting(html: Column) -> Column:
+    """Whether markup has any structure that converting would keep."""
+    return F.coalesce(html.rlike(r"(?i)<(img|a|h[1-6]|ul|ol|li|p|blockquote|pre|table)\b"), F.lit(False))
 
 
 def unwrap_images(md: Column) -> Column:

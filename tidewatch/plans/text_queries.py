@@ -180,6 +180,48 @@ def s12(spark, sf):
     return run(spark, sf, "SELECT page_id, url FROM {pages}").select("page_id", html.public_url(url).alias("ok"))
 
 
-@query("x23_x24_markdown")
+#: Words of a page's heading and its first paragraph, without signs that markup or markdown would read otherwise.
+ONLY = "trim(regexp_replace(regexp_replace({0}, '[^A-Za-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+HEAD_SQL, PARA_SQL = ONLY.format("regexp_extract(html, '<h1>(.*?)</h1>', 1)"), ONLY.format("regexp_extract(html, '(?s)</h1>(.*?)</p>', 1)")
+
+
+def fragments(spark, sf):
+    only = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9 ]", " "), " +", " "))
+    return run(spark, sf, "SELECT page_id, html FROM {pages}").select("page_id", only(F.regexp_extract("html", "<h1>(.*?)</h1>", 1)).alias("h"), only(F.regexp_extract("html", "(?s)</h1>(.*?)</p>", 1)).alias("p"), F.col("page_id").cast("string").alias("n"))
+
+
+def told(*parts):
+    return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+
+
+@query("x23_article_markdown", f"""SELECT page_id, trim('# H ' || h || chr(10) || chr(10) || 'P ' || CASE WHEN p = '' THEN '' ELSE p || ' ' END || '**bold** [link ' || n || '](https://e.example/a/' || n || ')' || chr(10) || chr(10) || '- one ' || n || chr(10) || '- two' || chr(10) || chr(10) || '![Chart ' || n || '](https://e.example/img/' || n || '.png)') AS markdown, '/i/' || n || '.png,data:x' AS dropped
+    FROM (SELECT page_id, CAST(page_id AS VARCHAR) AS n, {HEAD_SQL} AS h, {PARA_SQL} AS p FROM pages)""")
 def x23(spark, sf):
-    return run(spark, sf, "SELECT page_id, url, html FROM {pages}").select("page_id", html.markdown(F.col("html"), F.col("url")).alias("m")).select("page_id", "m.markdown", F.size("m.dropped").alias("dropped"))
+    """Articles with scripts, furniture, a list, a link, and three images of which one is the article's own."""
+    f = fragments(spark, sf)
+    h, p, n = F.col("h"), F.col("p"), F.col("n")
+    page = told("<html><body><nav>menu ", n, "</nav><article><h1>H ", h, "</h1><script>x('", n, "')</script><p>P ", p, " <b>bold</b> <a href='/a/", n, "'>link ", n, "</a></p><ul><li>one ", n, "</li><li>two</li></ul><div class=\"ad-slot\"><p>Buy ", p, "</p></div><img src=\"/i/", n, ".png\" width=\"16\"><img src=\"data:x\"><img data-src=\"/img/", n, ".png\" alt=\"Chart [", n, "]\"><footer>foot</footer></article></body></html>")
+    return f.select("page_id", html.markdown(page, F.lit("https://e.example/p/")).alias("m")).select("page_id", "m.markdown", F.array_join("m.dropped", ",").alias("dropped"))
+
+
+@query("x24_copied_markdown", f"""SELECT page_id, trim('## H ' || h || chr(10) || chr(10) || 'P ' || CASE WHEN p = '' THEN '' ELSE p || ' ' END || '*quiet* [a ' || n || '](https://e.example/a/' || n || ') and b' || chr(10) || chr(10) || '1. one' || chr(10) || '2. two ' || n || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '![C ' || n || '](https://e.example/c.png)' || chr(10) || chr(10) || 'T & "' || n || '"') AS markdown, 'Shot ' || n AS dropped, page_id % 3 > 0 AS worth
+    FROM (SELECT page_id, CAST(page_id AS VARCHAR) AS n, {HEAD_SQL} AS h, {PARA_SQL} AS p FROM pages)""")
+def x24(spark, sf):
+    """Markup copied by hand: emphasis, a link without a target, a numbered list, a rule, entities, empty wrappers, and an inlined image."""
+    f = fragments(spark, sf)
+    h, p, n = F.col("h"), F.col("p"), F.col("n")
+    body = told("<style>.a{}</style><h2>H ", h, "</h2><div></div><p>P ", p, " <em>quiet</em> <a href=\"/a/", n, "\">a ", n, "</a> and <a>b</a></p><ol><li>one</li><li>two ", n, "</li></ol><hr><img src=\"data:image/png;base64,AA\" alt=\"Shot ", n, "\"><img src='/c.png' alt='C ", n, "'><div><p></p></div><ul><li></li></ul><p>T &amp; &quot;", n, "&quot;</p>")
+    scrap = F.when(F.col("page_id") % 3 == 0, told("<span>", p, "</span>")).otherwise(body)
+    return f.select("page_id", html.copied_markdown(body, F.lit("https://e.example/p/")).alias("m"), html.worth_converting(scrap).alias("worth")).select("page_id", "m.markdown", F.array_join("m.dropped", ",").alias("dropped"), "worth")
+
+
+@query("x26_content_images", "SELECT page_id, page_id % 8 < 2 AS own FROM pages")
+def x26(spark, sf):
+    """One image a page: two kinds of the article's own; without address, a placeholder, an advert by text or address, small, and chrome by class."""
+    f = fragments(spark, sf)
+    n = F.col("n")
+    forms = [told("<img src=\"/img/", n, ".jpg\" alt=\"Hero ", n, "\">"), told("<img data-src=\"https://cdn.example/", n, ".jpg\" width=\"900\">"), F.lit("<img src=\"\">"), told("<img src=\"${pick.", n, "}\">"), told("<img src=\"/", n, ".png\" alt=\"Sponsored content\">"), told("<img src=\"https://cdn.example/ads/", n, ".png\">"), told("<img src=\"/", n, ".png\" height=\"16\">"), told("<img src=\"/", n, ".jpg\" class=\"avatar photo\">")]
+    page = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        page = F.when(F.col("page_id") % len(forms) == i, form).otherwise(page)
+    return f.select("page_id", (F.size(html.markdown(told("<article><p>x</p>", page, "</article>"), F.lit("https://e.example/p/"))["dropped"]) == 0).alias("own"))
