@@ -11,7 +11,7 @@ from tidewatch.plans import ingest
 from tidewatch.plans.adapters import AS_OF, actors, run, view, with_views
 from tidewatch.plans.registry import query
 from tidewatch.plans.text_queries import ascii_sql
-from tidewatch.plans.report_queries import MARKET, REASONS, TEXT, groups, hit, matched, notifiable
+from tidewatch.plans.report_queries import MARKET, NOTIFIED, TEXT, groups, hit, matched, notifiable
 from tidewatch.sources import feeds, sinks
 
 #: A few words of each turn without signs that JSON or SQL would read otherwise.
@@ -249,7 +249,7 @@ def j5(spark, sf):
     return view(spark, sf, "reports").select("id", attribution.match_report(title, F.lit(None).cast("string"), groups(spark, sf), body)["cs"].alias("cs"))
 
 
-@query("a19_bell_rows", with_views(f"SELECT DISTINCT user_id, id FROM ({REASONS})", "reports", "subscriptions", "report_labels"))
+@query("a19_bell_rows", with_views(f"SELECT DISTINCT user_id, id FROM ({NOTIFIED})", "reports", "subscriptions", "report_labels"))
 def a19(spark, sf):
     return notify.bell(notify.matches(notifiable(spark, sf), view(spark, sf, "subscriptions")))
 
@@ -279,7 +279,7 @@ def n10(spark, sf):
     return notify.run_messages(runs)
 
 
-@query("n12_feed", with_views(f"SELECT section, id FROM (SELECT section, id, row_number() OVER (PARTITION BY section ORDER BY published_at DESC NULLS LAST, id) AS p FROM (SELECT *, CASE WHEN kind IN ('research', 'other') THEN 'reports' WHEN kind = 'breach' THEN 'breaches' ELSE 'exploits' END AS section FROM reports ORDER BY published_at DESC NULLS LAST, id LIMIT 4000) WHERE id IN (SELECT id FROM ({REASONS}))) WHERE p <= 100", "reports", "subscriptions", "report_labels"))
+@query("n12_feed", with_views(f"SELECT section, id FROM (SELECT section, id, row_number() OVER (PARTITION BY section ORDER BY published_at DESC NULLS LAST, id) AS p FROM (SELECT *, CASE WHEN kind IN ('research', 'other') THEN 'reports' WHEN kind = 'breach' THEN 'breaches' ELSE 'exploits' END AS section FROM reports ORDER BY published_at DESC NULLS LAST, id LIMIT 4000) WHERE id IN (SELECT id FROM ({NOTIFIED}))) WHERE p <= 100", "reports", "subscriptions", "report_labels"))
 def n12(spark, sf):
     r = view(spark, sf, "reports").select("id", "kind", "published_at").join(notifiable(spark, sf).drop("kind", "published_at"), "id")
     return notify.feed(r, view(spark, sf, "subscriptions")).select("section", "id")

@@ -366,11 +366,11 @@ def notifiable(spark, sf):
     return view(spark, sf, "reports").join(labels, "id", "left").withColumn("adversaries", F.array("crowdstrike_adversary", "adversary_label")).drop("kind")
 
 
-REASONS = """SELECT s.user_id, r.id, s.kind, CASE s.kind WHEN 'country' THEN r.country WHEN 'adversary' THEN CASE WHEN lower(trim(s.value)) = lower(trim(r.crowdstrike_adversary)) THEN r.crowdstrike_adversary ELSE r.adversary_label END ELSE (SELECT min(name) FROM report_labels l WHERE l.id = r.id AND (lower(l.name) = lower(trim(s.value)) OR starts_with(lower(l.name), lower(trim(s.value)) || '/'))) END AS reason
+NOTIFIED = """SELECT s.user_id, r.id, s.kind, CASE s.kind WHEN 'country' THEN r.country WHEN 'adversary' THEN CASE WHEN lower(trim(s.value)) = lower(trim(r.crowdstrike_adversary)) THEN r.crowdstrike_adversary ELSE r.adversary_label END ELSE (SELECT min(name) FROM report_labels l WHERE l.id = r.id AND (lower(l.name) = lower(trim(s.value)) OR starts_with(lower(l.name), lower(trim(s.value)) || '/'))) END AS reason
     FROM subscriptions s JOIN reports r ON CASE s.kind WHEN 'country' THEN lower(trim(s.value)) = lower(r.country) WHEN 'adversary' THEN coalesce(lower(trim(s.value)) = lower(trim(r.crowdstrike_adversary)), false) OR coalesce(lower(trim(s.value)) = lower(trim(r.adversary_label)), false) ELSE EXISTS (SELECT 1 FROM report_labels l WHERE l.id = r.id AND (lower(l.name) = lower(trim(s.value)) OR starts_with(lower(l.name), lower(trim(s.value)) || '/'))) END"""
 
 
-@query("n8_queue", with_views(f"SELECT DISTINCT user_id, id, kind, reason FROM ({REASONS}) WHERE id % 3 <> 0", "reports", "subscriptions", "report_labels"))
+@query("n8_queue", with_views(f"SELECT DISTINCT user_id, id, kind, reason FROM ({NOTIFIED}) WHERE id % 3 <> 0", "reports", "subscriptions", "report_labels"))
 def n8(spark, sf):
     m = notify.matches(notifiable(spark, sf), view(spark, sf, "subscriptions")).withColumn("reason", F.col("matched"))
     return notify.queue(m, m.where("id % 3 = 0").select("user_id", "id", "kind", F.upper("reason").alias("reason")))
