@@ -169,3 +169,73 @@ def test_first_letters():
 
     assert first_letters(r"\b(webinar|introducing|\bacq)\b") == "aiw" and first_letters(r"CVE-[0-9]") == "c" and first_letters(r"x?(y|z+)") == "xyz"
     assert first_letters(r".*a") is None and first_letters(r"x*") is None and first_letters(r"(?<!a)[^b]") is None
+
+
+# Titles with the answers that rules must give.
+OFF_TOPIC_TITLES = [
+    "5 High-Impact Use Cases for Falcon Onum", "CrowdStrike Joins the Open Secure AI Alliance to Advance AI Safety and Security", "CrowdStrike Falcon Platform Helps Meet U.S. Government Mandates for CISA BOD-26-04",
+    "Real world incident response: Microsoft and AXA XL strengthen cyber resilience", "Preview: Cisco Talos at Black Hat USA 2026", "Pwn2Own Ireland 2026 - New Targets and Categories", "A week in security (July 20 - July 26)",
+    "What's your data worth on the dark web? (Lock and Code S07E15)", "Don't get fooled by TikTok resin art scams", "Don't trust that \"FBI agent\" in your DMs", "AI nudify apps spark legal scrutiny of Apple and Google's profits",
+]
+RELEVANT_TITLES = [
+    "New ClickLock Stealer locks your Mac until you hand over your password", "Sextortion scammers are exploiting ShinyHunters data leaks", "Russian State-Supported Cyber Actors Conduct Phishing Campaign Targeting Users of Zimbra Collaboration Suite",
+    "Chaos ransomware's msaRAT: Living off the browser to build a covert C2 channel", "Johnson Controls C-CURE 9000 and Victor application server", "Paidwork breach exposes data of 23 million users: Check if you're affected",
+    "Iran War Cyber Threat Landscape | A Midyear Assessment on What Matters", "Email threat landscape: Q2 2026 trends and insights", "Mirage Kitten targets Middle East and Africa region with new malware",
+    "CISA, NSA, FBI and Partners Warn Zimbra Users of Russian State-Supported Activity", "State-sponsored hackers breach telecom providers", "Use cases for detecting CVE-2026-12345 exploitation",
+]
+CHEAP_TITLES = [
+    "CVE-2026-1234: Remote code execution in Acme Widget", "Cisco Unified CM SQL injection (CVE-2026-20230)", "Multiple vulnerabilities in Ivanti Sentry", "2026-009: Critical Vulnerabilities in Microsoft SharePoint",
+    "Oracle Critical Patch Update - July 2026", "August 2026 Patch Tuesday", "Security advisory for Apache Struts", "Vulnerability in Bearing Systems v2",
+]
+STANDARD_TITLES = [
+    "Inside Kali365, a device code phishing campaign", "Fake Flash Player installs AtlasRAT", "North Korean hackers behind open-source supply chain attacks", "Ivanti vulnerability exploited by UNC5221 in the wild",
+    "APT28 exploits CVE-2026-1234 against European targets", "TA505 linked to a new vulnerability campaign", "Quarterly threat landscape review", "",
+]
+
+
+def test_relevance_and_tiers(spark):
+    titles = [(t, True) for t in RELEVANT_TITLES] + [(t, False) for t in OFF_TOPIC_TITLES]
+    df = spark.createDataFrame(titles, "t string, want boolean")
+    assert df.where(rules.relevant(F.col("t")) != F.col("want")).collect() == []
+    df = spark.createDataFrame([(t, "cheap") for t in CHEAP_TITLES] + [(t, "standard") for t in STANDARD_TITLES], "t string, want string")
+    assert df.where(rules.model_tier(F.col("t"), F.lit(False)) != F.col("want")).collect() == []
+    assert value(spark, rules.model_tier(F.lit("Volt Typhoon exploits multiple vulnerabilities in edge devices"), F.lit(True))) == "standard"
+
+
+def test_verdicts_of_titles(spark):
+    rows = [
+        ("LockBit mass campaign hits hundreds of organizations", "Widespread ransomware across multiple sectors.", "research", "other", "ecrime", "keep", "actor_activity"), ("LockBit's new loader dissected: a technical analysis", "A close look at the loader's obfuscation.", "research", "other", "ecrime", "keep", "actor_activity"),
+        ("KillNet launches DDoS attacks against European banks", "The pro-Russia hacktivist collective claimed the campaign.", "news", "other", "hacktivism", "keep", "actor_activity"), ("SideWinder targets South Asian government networks", None, "research", "rest_of_world", "nation_state", "keep", "actor_activity"),
+        ("Some ambiguous industry news item", None, "news", None, None, "unsure", None), ("Register now for our product webinar", None, "news", None, None, "drop", None), ("Introducing our new managed detection webinar", "Register now", "research", None, None, "drop", None),
+        ("CVE-2026-12345 actively exploited in the wild", "Government advisory confirms exploitation.", "government", None, None, "keep", "vuln"), ("Data breach at a retailer", None, "vendor", None, None, "keep", "breach"), ("Widespread outages hit hospitals", None, "news", None, None, "keep", "breaking"), ("", "x", "news", None, None, "drop", None),
+    ]
+    df = spark.createDataFrame(rows, "t string, d string, c string, nexus string, m string, want string, kind string")
+    got = df.select("t", "want", "kind", rules.verdict(F.col("t"), F.lit("u"), F.col("d"), F.col("c"), F.col("nexus"), F.col("m")).alias("v")).collect()
+    assert [(r.t, r.v.verdict, r.v.item_type) for r in got] == [(r.t, r.want, r.kind) for r in got]
+    assert value(spark, rules.adversary_label(F.lit(None).cast("string"), F.lit("rest_of_world"), F.lit("Indian APT campaign against neighbours"), F.lit(None).cast("string"))) == "UNID TIGER"
+    kinds = [("report", True, None, "breach", "research"), ("report", False, None, "breach", "breach"), ("report", False, None, "exploit", "other"), ("report", False, "CVE-2026-1", "exploit", "exploit")]
+    df = spark.createDataFrame(kinds, "k string, a boolean, cve string, choice string, want string")
+    assert df.where(rules.report_kind(F.col("k"), F.col("a"), F.col("cve"), F.lit("Security report"), F.col("choice")) != F.col("want")).collect() == []
+
+
+def test_indicators_among_other_text(spark):
+    said = lambda t, *more: value(spark, indicators.indicators(F.lit(t), *more))
+    i = said("The actor used T1059.003 and T1566 to drop payload.exe (sha1 da39a3ee5e6b4b0d3255bfef95601890afd80709). C2 at http://evil.example.com/beacon and 203.0.113.42, plus the domain updates.malwarehost.net.")
+    assert i.ips == ["203.0.113.42"] and {"evil.example.com", "updates.malwarehost.net"} <= set(i.domains) and "payload.exe" not in i.domains and i.files == ["da39a3ee5e6b4b0d3255bfef95601890afd80709"] and sorted(i.mitre) == ["T1059.003", "T1566"]
+    hashes = ["d41d8cd98f00b204e9800998ecf8427e", "da39a3ee5e6b4b0d3255bfef95601890afd80709", "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"]
+    assert sorted(said(f"hashes: {' '.join(hashes)} for evil.dll").files) == sorted(hashes)
+    assert said("payload beacons to updates[.]malwarehost[.]net").domains == ["updates.malwarehost.net"] and said("shows photo.jpeg, hero-image.png and index.html").domains == []
+    assert said("The loader calls window.fetch and console.log, then exec.command and os.path before beaconing to updates.malwarehost.net").domains == ["updates.malwarehost.net"]
+    listed = F.array(F.lit("securelist.com"))
+    assert said("Follow us on twitter.com. Reported by securelist.com. C2 at updates.malwarehost.net and cdn.securelist.com/x.", listed).domains == ["updates.malwarehost.net"]
+    assert said("https://not-thehackernews.com.evil.ru/x", F.array(F.lit("thehackernews.com"))).domains == ["not-thehackernews.com.evil.ru"]
+    assert all(not v for v in said("A generic advisory with no indicators.").asDict().values())
+
+
+def test_reconciled_claims(spark):
+    pair = lambda k, v: F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value"))
+    claims = F.array(pair("domain", "EVIL[.]example"), pair("domain", "absent.example"), pair("ip", "10.0.0.1"), pair("ip", "::1"), pair("mitre", "t1059"))
+    text_ = F.lit("at evil.example, 10.0.0.1 and T1059; ![x](https://cdn.example/a.png)")
+    got = lambda *a, **k: sorted(f"{r.kind}:{r.value}" for r in value(spark, indicators.reconcile(*a, **k)))
+    assert got(claims, text_) == ["domain:evil.example", "mitre:T1059"] and got(claims, text_, extract=False) == ["domain:evil.example", "mitre:T1059"]
+    assert got(claims, F.lit(None).cast("string")) == ["domain:absent.example", "domain:evil.example", "mitre:T1059"]
