@@ -37,6 +37,23 @@ def a1(spark, sf):
     return rows.orderBy(*cve.order()).select("cve_id", "raw_hash", "added_at", "created_at", "report_count", "target", "adversary_label", "priority", F.array_join("statuses", ",").alias("statuses"))
 
 
+#: The same with dates of years, so that most places are decided by the ids' years and numbers.
+YEAR_ROWS = VULN_ROWS.replace("CAST(o_orderdate AS DATE)", "CAST(date_trunc('YEAR', o_orderdate) AS DATE)").replace("o_orderdate AS created_at", "date_trunc('YEAR', o_orderdate) AS created_at")
+PART = "CAST(regexp_extract(cve_id, '(?i)CVE-([0-9]+)-([0-9]+)', {0}) AS BIGINT)"
+
+
+@query(
+    "o1_cve_order",
+    f"""WITH k AS (SELECT upper(trim(cve_id)) AS k, max(published_at) AS added_at, max(created_at) AS created_at, bool_or(exploit_status = 'poc') AS p, bool_or(exploit_status = 'confirmed') AS c FROM ({YEAR_ROWS}) GROUP BY 1)
+    SELECT k AS cve_id, row_number() OVER (ORDER BY CASE WHEN p AND c THEN 1 WHEN p THEN 2 ELSE 3 END, added_at DESC, created_at DESC, {PART.format(1).replace('cve_id', 'k')} DESC, {PART.format(2).replace('cve_id', 'k')} DESC, k DESC) AS place FROM k WHERE p OR c""",
+)
+def o1(spark, sf):
+    """Every CVE with its place in the list."""
+    found = cve.prioritised(run(spark, sf, braced(YEAR_ROWS)))
+    return found.select(F.upper("cve_id").alias("cve_id"), F.row_number().over(Window.orderBy(*cve.order())).cast("long").alias("place"))
+
+
+
 @query("f1_window_scan", with_views(f"SELECT id, published_at FROM reports WHERE kind = 'research' AND published_at >= {AS_OF} - 30", "reports"))
 def f1(spark, sf):
     return views.window(view(spark, sf, "reports"), "research", F.expr(AS_OF), 30).orderBy(*views.newest()).select("id", "published_at")
