@@ -50,6 +50,8 @@ SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.995
 T, LEAF, DEPTH = 64, 128, 5
 #: The share of a bucket's sets in one child from which splitting ends.
 KEPT = 0.7
+#: A bucket is hot if it has at least one row in so many; so there are at most so many hot buckets.
+HEAVY = 1000
 #: Components up to so many sets are one block; no block has more sets than GROUP or, on average, more shingles than WIDE.
 SMALL, GROUP, WIDE = 256, 2048, 1 << 21
 #: Sketches of pairs over the threshold agree at least so much, but for one pair in 100,000 (four deviations).
@@ -311,24 +313,36 @@ def candidates(nodes: DataFrame, scratch: Scratch, similarity: float, recall: fl
                     row, child = children(paths[i : i + 2048], s[owner[i : i + 2048]], similarity)
                     yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), part.column("sid").take(pa.array(owner[i : i + 2048][row])), sizes.take(pa.array(i + row))], names=["path", "sid", "of"])
 
-    def as_stars(rows: DataFrame) -> DataFrame:
-        centre = rows.groupBy("path").agg(F.min("sid").alias("b"))
-        return rows.join(centre, "path").where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
+    def with_sizes(placed: DataFrame, depth: int) -> DataFrame:
+        """Rows of buckets of two sets or more with the bucket's size, its parent's and, if it is large, its least set.
+
+        Sizes are counted before the shuffle. Buckets with at least a thousandth of the rows, a thousand at most, are broadcast and
+        their rows dealt by hash; so no task gets a whole hot bucket.
+        """
+        n, of = F.count("*"), F.max("of") if depth > 1 else F.lit(None).cast("long")
+        sizes = placed.groupBy("path").agg(n.alias("size"), of.alias("of"), F.when(n > LEAF, F.min("sid")).alias("least")).where("size > 1")
+        sizes = scratch.write(sizes, f"sizes-{depth}")
+        total = placed.count()
+        hot = sizes.where(F.col("size") * HEAVY >= total).select(F.col("path").alias("hot"), F.struct("size", "of", "least").alias("h"))
+        found = placed.select("path", "sid").join(F.broadcast(hot), F.col("path") == F.col("hot"), "left").drop("hot")
+        probe = F.when(F.col("h").isNull(), F.struct("path", F.lit(b"").alias("sid"))).otherwise(F.struct("path", "sid"))
+        rest = sizes.select(F.struct("path", F.lit(b"").alias("sid")).alias("key"), F.struct("size", "of", "least").alias("s"))
+        found = found.withColumn("probe", probe).join(rest, F.col("probe") == F.col("key"), "left").withColumn("s", F.coalesce("h", "s"))
+        return found.where("s is not null").select("path", "sid", "s.*")
 
     stars = []
     state = nodes.select("sid", "sketch")
     for depth in range(1, DEPTH + 1):
         placed = scratch.write(state.mapInArrow(split if depth > 1 else begin, "path long, sid binary" + (", of long" if depth > 1 else "")), f"paths-{depth}")
-        of = F.max("of") if depth > 1 else F.lit(None).cast("long")
-        sizes = placed.groupBy("path").agg(F.count("*").alias("size"), of.alias("of")).where("size > 1")
-        sized = scratch.write(placed.select("path", "sid").join(sizes, "path"), f"sized-{depth}")
-        scratch.drop(f"paths-{depth}")
+        sized = scratch.write(with_sizes(placed, depth), f"sized-{depth}")
+        scratch.drop(f"paths-{depth}", f"sizes-{depth}")
         leaves = sized.where(F.col("size") <= LEAF).select("path", "sid").join(nodes.select("sid", "sketch"), "sid")
         stars.append(scratch.write(by_group(leaves, ["path"], "a binary, b binary", lambda: lambda bucket: leaf_stars(bucket, least)).distinct(), f"stars-{depth}"))
         large = sized.where(F.col("size") > LEAF)
         ended = F.coalesce(F.col("size") >= KEPT * F.col("of"), F.lit(False)) if depth < DEPTH else F.lit(True)
         if depth > 1:
-            stars.append(scratch.write(as_stars(large.where(ended)), f"alike-{depth}"))
+            alike = large.where(ended).where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b")).distinct()
+            stars.append(scratch.write(alike, f"alike-{depth}"))
             scratch.drop(f"sized-{depth - 1}")
         large = large.where(~ended)
         if large.isEmpty():
