@@ -19,6 +19,7 @@ text that is no number raises.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -35,11 +36,13 @@ TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
 SIZE = 3 * DIM + 1
 
 
-def tokens_of(texts: list[bytes], cache: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, and each text's number of tokens."""
+def tokens_of(texts: list[bytes], cache: WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the different tokens, for each token its place among them, and each text's number of tokens."""
     tokens = [TOKEN.findall(t) for t in texts]
     sizes = np.array([len(t) for t in tokens], dtype=np.int64)
-    return mixed(np.concatenate([cache.of(t) for t in tokens])), sizes
+    flat = list(itertools.chain.from_iterable(tokens))
+    place = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+    return mixed(cache.of(list(place))), np.fromiter(map(place.__getitem__, flat), dtype=np.int64, count=len(flat)), sizes
 
 
 def rows_of(hashes: np.ndarray, table: int, buckets: int) -> np.ndarray:
@@ -57,16 +60,18 @@ def index_vectors(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def around(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each token the sum of the index vectors of its document's tokens within REACH places, itself left out."""
-    at = np.arange(len(hashes)) + np.repeat(np.arange(1, len(sizes) + 1) * REACH, sizes)  # REACH empty rows between documents
-    index = np.zeros((len(hashes) + (len(sizes) + 1) * REACH, DIM), dtype=np.int8)
-    index[at] = index_vectors(hashes)
+def around(hashes: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each different token the sum of the index vectors of the tokens within REACH places of any of its own, these left out."""
+    at = np.arange(len(place)) + np.repeat(np.arange(1, len(sizes) + 1) * REACH, sizes)  # REACH empty rows between documents
+    index = np.zeros((len(place) + (len(sizes) + 1) * REACH, DIM), dtype=np.int8)
+    index[at] = index_vectors(hashes)[place]
     total = np.zeros_like(index)
     for step in range(1, REACH + 1):
         total[step:] += index[:-step]
         total[:-step] += index[step:]
-    return total[at]
+    order = np.argsort(place.astype(np.uint16) if len(hashes) <= 1 << 16 else place, kind="stable")
+    starts = np.flatnonzero(np.diff(place[order], prepend=-1))
+    return np.add.reduceat(total[at[order]], starts, axis=0, dtype=np.int32)
 
 
 def context_vectors(docs: DataFrame, buckets: int) -> np.ndarray:
@@ -75,14 +80,14 @@ def context_vectors(docs: DataFrame, buckets: int) -> np.ndarray:
     def neighbours(batches):
         cache, seen = WordHash(), np.zeros((TABLES, buckets, DIM), dtype=np.int64)
         for _, texts in batches_by_bytes(batches):
-            hashes, sizes = tokens_of(texts, cache)
-            if len(hashes):
-                total = around(hashes, sizes)
+            hashes, place, sizes = tokens_of(texts, cache)
+            if len(place):
+                total = around(hashes, place, sizes)
                 for t in range(TABLES):
                     row = rows_of(hashes, t, buckets)
-                    order = np.argsort(row, kind="stable")
-                    own, starts = np.unique(row[order], return_index=True)
-                    seen[t, own] += np.add.reduceat(total[order], starts, axis=0, dtype=np.int64)
+                    order = np.argsort(row)
+                    starts = np.flatnonzero(np.diff(row[order], prepend=-1))
+                    seen[t, row[order][starts]] += np.add.reduceat(total[order], starts, axis=0)
         flat = seen.reshape(TABLES * buckets, DIM)
         on = np.flatnonzero(flat.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), *(pa.array(flat[on, d]) for d in range(DIM))], names=["bucket", *(f"v{d}" for d in range(DIM))])
@@ -105,16 +110,13 @@ def centred(rows: np.ndarray) -> np.ndarray:
     return np.divide(out, size, out=np.zeros_like(out), where=size > 0)
 
 
-def pooled(hashes: np.ndarray, sizes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+def pooled(hashes: np.ndarray, place: np.ndarray, sizes: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Features of documents from their tokens."""
     out = np.zeros((len(sizes), SIZE), dtype=np.float32)
     full = np.flatnonzero(sizes > 0)
     if not len(full):
         return out
-    v = vectors[0][rows_of(hashes, 0, vectors.shape[1])]
-    for t in range(1, TABLES):
-        v += vectors[t][rows_of(hashes, t, vectors.shape[1])]
-    v /= TABLES
+    v = (sum(vectors[t][rows_of(hashes, t, vectors.shape[1])] for t in range(TABLES)) / np.float32(TABLES))[place]
     starts, n = (np.cumsum(sizes) - sizes)[full], sizes[full][:, None].astype(np.float32)
     mean = np.add.reduceat(v, starts) / n
     square = np.add.reduceat(v * v, starts) / n
