@@ -405,7 +405,8 @@ def plain_vectors(texts: list[bytes], buckets: int) -> np.ndarray:
     """Context vectors by loops over tokens and their neighbours."""
     out = np.zeros((quality.TABLES, buckets, quality.DIM))
     for text in texts:
-        h, _ = quality.tokens_of([text], WordHash()) if quality.TOKEN.findall(text) else (np.zeros(0, dtype=np.uint64), None)
+        distinct, place, _ = quality.tokens_of([text], WordHash())
+        h = distinct[place]
         index = quality.index_vectors(h).astype(float)
         for i in range(len(h)):
             for j in range(max(0, i - quality.REACH), min(len(h), i + quality.REACH + 1)):
@@ -427,7 +428,8 @@ def test_context_vectors_and_pooling_by_brute_force(spark, docs):
     assert np.allclose(got, want, atol=1e-5) and np.linalg.norm(want) > 5
     x = quality.pooled(*quality.tokens_of(texts, WordHash()), got)
     for text, row in zip(texts, x, strict=True):
-        h = quality.tokens_of([text], WordHash())[0] if quality.TOKEN.findall(text) else []
+        distinct, place, _ = quality.tokens_of([text], WordHash())
+        h = distinct[place]
         v = np.array([np.mean([got[t][quality.rows_of(np.array([w]), t, 64)[0]] for t in range(quality.TABLES)], axis=0) for w in h])
         if not len(v):
             assert not row.any()
