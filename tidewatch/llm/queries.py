@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontamination, exact_dedup, lm_scoring, mixing, near_join, quality, sharding, substring_dedup, toxicity, url_filter
+import public_tokenizers
+
+from tidewatch.llm import decontamination, exact_dedup, lexical_search, lm_scoring, mixing, near_join, packing, prefix_trie, quality, sharding, substring_dedup, toxicity, url_filter
 from tidewatch.llm.shared import table
 
 
@@ -50,6 +52,19 @@ def op10_near_join(spark, sf_dir):
     return near_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_copies", "n_links")
 
 
+def op11_packing(spark, sf_dir):
+    tokenizer, ranks = (public_tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("json", "tiktoken"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer, ranks, end_id=2, size=1024)
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.build(table(spark, sf_dir, "conversations"))
+
+
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality": op2_quality,
@@ -61,6 +76,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_near_join": op10_near_join,
+    "op11_packing": op11_packing,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES = {
@@ -134,4 +152,41 @@ ORACLES = {
         SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(l.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.body, '')) AS kept_sha256
         FROM w LEFT JOIN lost l ON w.doc_id = l.doc_id LEFT JOIN kept k ON w.doc_id = k.doc_id
     """,
+    # crc32 is spelled out: bits of each digit, by the reflected polynomial 0xEDB88320
+    "op12_prefix_trie": """
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL
+        ), own AS (
+            SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY pos) AS turns, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+                lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 4 AS h FROM t GROUP BY conv_id
+        ), r AS (
+            SELECT o.conv_id, list_concat(CASE WHEN b.turns IS NULL THEN [] ELSE b.turns[1:o.h] END, o.turns[o.h + 1:]) AS turns FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20
+        ), p AS (
+            SELECT conv_id, len(turns) AS n, d AS depth, sha256(CAST(turns[1:d] AS VARCHAR)) AS node, sha256(CAST(turns[1:d - 1] AS VARCHAR)) AS parent, CASE WHEN d > 0 THEN len(regexp_extract_all(turns[d].text, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS words
+            FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)
+        ), nodes AS (
+            SELECT depth, node, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, string_agg(CASE WHEN n = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends FROM p GROUP BY depth, node
+        ), kids AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+        full_nodes AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON n.depth = k.depth AND n.node = k.node),
+        under AS (
+            SELECT a.depth, a.node, sum((f.n_convs - 1) * f.words) AS saved, count(*) FILTER (f.n_children = 0) AS leaves
+            FROM full_nodes f JOIN p a ON a.conv_id = f.conv_id AND a.depth <= f.depth GROUP BY a.depth, a.node
+        )
+        SELECT f.conv_id, f.depth, CASE WHEN f.depth > 0 THEN up.conv_id END AS parent_conv_id, f.n_convs, f.n_children, CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+        FROM full_nodes f JOIN under u ON u.depth = f.depth AND u.node = f.node LEFT JOIN nodes up ON up.depth = f.depth - 1 AND up.node = f.parent
+    """,
+    "op13_lexical_search": """
+        WITH d AS (
+            SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS terms FROM documents
+        ), b AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM benchmark
+        ), total AS (SELECT CAST(count(*) FILTER (len(terms) > 0) AS BIGINT) AS n, CAST(sum(len(terms)) AS BIGINT) AS l FROM d),
+        tf AS (
+            SELECT k, doc_id, size, term, count(*) AS tf FROM (SELECT k, doc_id, len(terms) AS size, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM b) GROUP BY ALL
+        ), w AS (SELECT term, CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, total GROUP BY term, n),
+        s AS (
+            SELECT item_id, k, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * size * n) // l)))) AS BIGINT) AS score FROM tf JOIN b USING (term) JOIN w USING (term), total GROUP BY ALL
+        ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, k) AS INT) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """,
 }
