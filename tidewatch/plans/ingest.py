@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,11 +111,14 @@ def reclassified(reports: DataFrame, groups: Column, cves: DataFrame) -> DataFra
     return r.withColumn("exploit_status", F.when(again, "poc").otherwise(F.col("exploit_status")))
 
 
-def run(candidates: DataFrame, known: DataFrame, deleted: DataFrame, groups: Column, verdicts: DataFrame | None = None) -> dict[str, DataFrame]:
-    """A whole run: reports to insert, drops to audit, indicators to link, counters per source."""
+def run(candidates: DataFrame, known: DataFrame, deleted: DataFrame, groups: Column, verdicts: DataFrame | None = None, held: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """A whole run: reports to insert, drops to audit, indicators to link, counters per source.
+
+    held may write the enriched candidates, from which all four come, and read them again.
+    """
     fresh = candidates.withColumn("raw_hash", text.item_hash(F.col("title"), F.col("url")))
     fresh = sinks.dedup(fresh, known, deleted)
-    e = enriched(fresh, groups, verdicts)
+    e = held(enriched(fresh, groups, verdicts))
     kept = e.where("outcome = 'keep'")
     reports = rows(kept)
     i = kept.select("raw_hash", indicators.indicators(text_of("title", "description")).alias("i"))

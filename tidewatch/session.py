@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +21,12 @@ def checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(at)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which the driver and all executors see."""
+    checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def session(name: str = "tidewatch", **more: str) -> SparkSession:
     """UTC, ANSI and adaptive execution on; on a cluster the master and sizes come from spark-submit."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.ansi.enabled", "true")
