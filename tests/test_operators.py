@@ -108,7 +108,7 @@ def test_sinks(spark):
     links = spark.createDataFrame([(1, 1), (1, 2), (2, 2)], "item_id int, ioc_id int")
     left, iocs = sinks.unlink(links, spark.createDataFrame([(1,), (2,), (3,)], "ioc_id int"), spark.createDataFrame([(1, 1), (1, 2)], "item_id int, ioc_id int"))
     assert left.count() == 1 and {r.ioc_id for r in iocs.collect()} == {2, 3}
-    assert spark.range(1).select(feeds.fresh_name(F.lit("Blog"), F.array(F.lit("blog"), F.lit("Blog (2)")))).first()[0] == "Blog (3)"
+    assert spark.range(1).select(feeds.fresh_name(F.lit("Blog"), F.array(F.lit("Blog"), F.lit("Blog (2)")))).first()[0] == "Blog (3)"
 
 
 def test_rss(spark, tmp_path):

@@ -81,17 +81,21 @@ def title(html: Column) -> Column:
     return F.nullif(to_ascii(F.regexp_replace(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title>", 1), "<[^>]*>", " ")), F.lit(""))
 
 
+#: Hosts that are local or private, most by how they begin.
+LOCAL_HOSTS = r"^(localhost\z|0\.0\.0\.0\z|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.)"
+
+
 def public_url(url: Column) -> Column:
     """Whether a URL is http or https and its host neither local nor private."""
     host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    local = host.rlike(r"^(localhost|.*\.(local|internal|localhost)|\[?::1\]?|0\.0\.0\.0)\z") | host.rlike(r"^(10|127|0)\.[0-9.]+\z|^192\.168\.[0-9.]+\z|^169\.254\.[0-9.]+\z|^172\.(1[6-9]|2[0-9]|3[01])\.[0-9.]+\z")
-    return F.coalesce(F.lower(url).rlike("^https?://") & (host != "") & ~local, F.lit(False))
+    return F.coalesce(F.lower(url).rlike("^https?://") & (host != "") & ~host.rlike(LOCAL_HOSTS) & ~host.endswith(".localhost"), F.lit(False))
 
 
 def is_pdf(url: Column, content_type: Column, head: Column) -> Column:
-    """By the path's ending, the type or the first bytes."""
-    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
-    return F.coalesce(F.lower(path).endswith(".pdf") | F.lower(content_type).startswith("application/pdf") | (F.substring(head, 1, 5) == F.lit(b"%PDF-")), F.lit(False))
+    """By the path's ending (of what is no URL, by an ending before ? or #), the type or the first bytes."""
+    named = F.coalesce(F.lower(F.try_parse_url(url, F.lit("PATH"))).endswith(".pdf"), url.rlike(r"(?i)\.pdf([?#]|\z)"))
+    some = lambda test: F.coalesce(test, F.lit(False))
+    return some(named) | some(content_type.rlike("(?i)application/(x-)?pdf")) | some(F.substring(head, 1, 5) == F.lit(b"%PDF-"))
 
 
 def listing(html: Column, item: str, link: str, text: str, time: str) -> Column:

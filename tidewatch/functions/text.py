@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,30 +43,40 @@ def _decoded(text: Column) -> Column:
     return F.replace(F.array_join(F.transform(parts, one), ""), F.lit("&amp;"), F.lit("&"))
 
 
-def _base_letters() -> tuple[str, str]:
-    """Letters of the Latin blocks that decompose to one ASCII sign, and these signs."""
+def _base_letters() -> dict[str, str]:
+    """Signs of the basic plane whose decompositions are plain ASCII once their accents are off, and these: one sign or several."""
     import unicodedata
 
-    pairs = []
-    for code in range(0xA1, 0x2100):
+    plain = {}
+    for code in (*range(0xA1, 0xD800), *range(0xE000, 0x10000)):
         base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not 0x300 <= ord(c) <= 0x36F)
-        if len(base) == 1 and " " <= base <= "~":
-            pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+        if base and all(" " <= c <= "~" for c in base):
+            plain[chr(code)] = base
+    return plain
 
 
-LETTERS, BASES = _base_letters()
+_PLAIN = _base_letters()
+LETTERS, BASES = ("".join(part) for part in zip(*((c, base) for c, base in _PLAIN.items() if len(base) == 1), strict=True))
+#: Signs that become several (ligatures, enclosed and squared forms), as a class of a pattern.
+SEVERAL = {c: base for c, base in _PLAIN.items() if len(base) > 1}
+SEVERAL_CLASS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in SEVERAL) + "]"
 
 
 def to_ascii(text: Column, keep_newlines: bool = False) -> Column:
     """Plain ASCII: entities decoded (twice, for those written twice), punctuation and letters folded, the rest dropped.
 
-    Letters that decompose to one ASCII sign are folded by one translate with a table made from Unicode's decompositions; ligatures
-    and other signs that decompose to several are dropped. Empty for null.
+    Letters that decompose to one ASCII sign are folded by one translate with a table made from Unicode's decompositions; in texts with
+    ligatures and other signs that decompose to several, these are looked up sign by sign. Empty for null.
     """
+    several = F.from_json(F.lit(json.dumps(SEVERAL)), "map<string,string>")
+
+    def spelt_out(t: Column) -> Column:
+        return F.array_join(F.transform(F.split(t, f"(?={SEVERAL_CLASS})|(?<={SEVERAL_CLASS})"), lambda c: F.when(c.rlike(f"^{SEVERAL_CLASS}\\z"), F.element_at(several, c)).otherwise(c)), "")
+
     def folded(t: Column) -> Column:
         for plain, signs in PUNCTUATION.items():
             t = F.translate(t, signs, plain * len(signs)) if len(plain) == 1 else F.regexp_replace(t, f"[{signs}]", plain.replace("$", r"\$"))
+        t = let(t, lambda x: F.when(x.rlike(SEVERAL_CLASS), spelt_out(x)).otherwise(x))
         return F.regexp_replace(F.translate(t, LETTERS, BASES), r"[^\x09\x0A\x0D\x20-\x7E]", "")
 
     # each step runs only where a text has what it is for
@@ -197,5 +209,5 @@ def step_hit(active: Column, total: Column, delta: Column) -> Column:
 
 
 def citations(text: Column) -> Column:
-    """Numbers in square brackets, each once, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[([0-9]+)\]"), 1), lambda n: n.cast("int")))
+    """Numbers in square brackets, each once, in order; one that no id can be is left out."""
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"\[([0-9]+)\]"), 1), lambda n: n.try_cast("int")), lambda n: n.isNotNull()))

@@ -87,6 +87,30 @@ def triage(answer: Column) -> Column:
     return let(F.when(F.try_parse_json(body).isNotNull(), body), lambda b: F.when(b.isNotNull(), read(b)))
 
 
+#: Characters of a note's content.
+NOTE_CHARS = 1000
+
+
+def notes(answer: Column) -> Column:
+    """array of struct(kind, subject, content): what a model wants to remember, from the outermost {...}; empty if that is no JSON.
+
+    Entries of the lists `adversaries` and `trends` need a subject and a content that are text and not blank; all others are passed over.
+    Subjects are trimmed, contents are plain ASCII of at most NOTE_CHARS characters. The rows are what views.memory_update takes.
+    """
+    empty = F.array().cast("array<struct<kind:string,subject:string,content:string>>")
+
+    def of(said: Column, key: str, kind: str) -> Column:
+        def one(e: Column) -> Column:
+            text = lambda name: F.when(F.schema_of_variant(F.try_variant_get(e, f"$.{name}", "variant")) == "STRING", F.try_variant_get(e, f"$.{name}", "string"))
+            return F.struct(F.lit(kind).alias("kind"), F.trim(text("subject")).alias("subject"), F.substring(to_ascii(F.trim(text("content")), keep_newlines=True), 1, NOTE_CHARS).alias("content"))
+
+        rows = F.transform(F.try_variant_get(said, f"$.{key}", "array<variant>"), one)
+        return F.coalesce(F.filter(rows, lambda r: (r["subject"] != "") & (r["content"] != "")), empty)
+
+    said = F.try_parse_json(F.nullif(F.regexp_extract(answer, r"(?s)\{.*\}", 0), F.lit("")))
+    return let(said, lambda v: F.concat(of(v, "adversaries", "adversary"), of(v, "trends", "trend")))
+
+
 def longest_body(bodies: Column, least: int = 600) -> Column:
     """struct(text, ok): the longest of fetched bodies; it counts from `least` characters on."""
     best = F.array_max(F.transform(bodies, lambda b: F.struct(F.length(b).alias("n"), b.alias("text"))))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+import zlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +17,8 @@ from tidewatch.functions.patterns import has, let
 NONE = "Non Attributed"
 #: Catalogues are operator-kept lists; beyond this many aliases matching goes by join instead of by a literal array.
 MOST_ALIASES = 20_000
+#: As many are looked for one by one, which is faster for a handful; more are found by their first words.
+FEW_ALIASES = 64
 
 
 def aliases(actors: DataFrame) -> DataFrame:
@@ -28,33 +35,78 @@ def aliases(actors: DataFrame) -> DataFrame:
     return first.select("alias", "f.nexus", "cs", "f.motivation", F.struct("f.ord", "f.at").alias("ord"))
 
 
-def catalogue(groups: DataFrame) -> Column:
-    """The aliases as a literal array of structs, longest first, then in catalogue order; their number is checked."""
+def catalogue(groups: DataFrame, few: int = FEW_ALIASES) -> Column | Trie:
+    """The aliases, longest first, then in catalogue order: a literal array of structs, or a Trie if they are more than a few; their number is checked."""
     rows = groups.orderBy(F.length("alias").desc(), "ord", "alias").select("alias", "nexus", "cs", "motivation").limit(MOST_ALIASES + 1).collect()
     if len(rows) > MOST_ALIASES:
         raise ValueError(f"over {MOST_ALIASES} aliases: use match_join")
     if not rows:
         return F.array().cast("array<struct<alias:string,nexus:string,cs:string,motivation:string>>")
+    if len(rows) > few:
+        return Trie([tuple(r) for r in rows])
     text = lambda v: F.lit(v).cast("string")
     return F.array(*(F.struct(text(r.alias).alias("alias"), text(r.nexus).alias("nexus"), text(r.cs).alias("cs"), text(r.motivation).alias("motivation")) for r in rows))
 
 
+class Trie:
+    """Aliases by the words that they begin with, as one literal that Column expressions walk.
+
+    A node is the first word of an alias, or its first two; it holds the aliases that go on from it, in catalogue order. Nodes lie in an
+    array by a hash of their words, since looking up a map's key in Spark goes over all keys: so a word of a text finds its node in one
+    step, whatever the size of the catalogue. Aliases without ASCII letters or digits have no words and are tried on every text.
+    """
+
+    def __init__(self, rows: list[tuple]):
+        count = 1 << max(4, len(rows).bit_length())
+        nodes: dict[str, list[dict]] = {}
+        for rank, row in enumerate(rows):
+            words = re.findall("[a-z0-9]+", row[0])[:2]
+            nodes.setdefault(" ".join(words), []).append(dict(zip(("alias", "nexus", "cs", "motivation"), row, strict=True)) | {"rank": rank})
+        self.loose = F.from_json(F.lit(json.dumps(nodes.pop("", []))), f"array<{self.GROUP}>")
+        places: list[list[dict]] = [[] for _ in range(count)]
+        for words, groups in nodes.items():
+            places[zlib.crc32(words.encode()) % count].append({"words": words, "groups": groups})
+        self.count, self.places = count, F.from_json(F.lit(json.dumps(places)), f"array<array<struct<words:string,groups:array<{self.GROUP}>>>>")
+
+    GROUP = "struct<rank:int,alias:string,nexus:string,cs:string,motivation:string>"
+
+    def match(self, text: Column, only: Callable[[Column], Column] | None = None) -> Column:
+        """The first group, of those that satisfy only, whose alias stands in text (in lower case)."""
+
+        def at(words: Column) -> Column:
+            node = F.get(self.places, F.pmod(F.crc32(words), F.lit(self.count)).cast("int"))
+            return F.flatten(F.transform(F.filter(node, lambda n: n["words"] == words), lambda n: n["groups"]))
+
+        def among(words: Column) -> Column:
+            pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+            keys = F.array_distinct(F.concat(words, F.filter(pairs, lambda p: p.isNotNull())))
+            found = F.concat(self.loose, F.flatten(F.transform(keys, at)))
+            hits = F.filter(found, lambda g: named_in(text, g["alias"]) & (F.lit(True) if only is None else only(g["alias"])))
+            return let(F.array_min(hits), lambda g: F.when(g.isNotNull(), F.struct(*(g[c].alias(c) for c in ("alias", "nexus", "cs", "motivation")))))
+
+        return let(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0)), among)
+
+
 def named_in(text: Column, alias: Column) -> Column:
     """Whether alias stands in text with neither a letter nor a digit beside it; both in lower case."""
     quoted = F.regexp_replace(alias, r"([\\\[\](){}.*+?^$|])", r"\\$1")
     return text.contains(alias) & F.regexp_like(text, F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])")))
 
 
-def match(text: Column, groups: Column) -> Column:
+def match(text: Column, groups: Column | Trie) -> Column:
     """The first group whose alias stands in text, null if none; no rows are multiplied."""
+    if isinstance(groups, Trie):
+        return let(F.lower(text), lambda t: groups.match(t))
     return let(F.lower(text), lambda t: F.get(F.filter(groups, lambda g: named_in(t, g["alias"])), F.lit(0)))
 
 
-def match_report(title: Column, description: Column, groups: Column, body: Column | None = None) -> Column:
+def match_report(title: Column, description: Column, groups: Column | Trie, body: Column | None = None) -> Column:
     """The group named in title or description, else, by a strong alias only, in the body."""
     stated = match(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))), groups)
     if body is None:
         return stated
+    if isinstance(groups, Trie):
+        return F.coalesce(stated, let(F.lower(F.coalesce(body, F.lit(""))), lambda t: groups.match(t, rules.strong)))
     return F.coalesce(stated, match(F.coalesce(body, F.lit("")), F.filter(groups, lambda g: rules.strong(g["alias"]))))
 
 

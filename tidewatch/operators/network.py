@@ -165,6 +165,72 @@ def reach(edges: DataFrame, seed: DataFrame, depth: int, most: int = 6000) -> Da
     return seen
 
 
+def typed_edges(reports: DataFrame, links: DataFrame, iocs: DataFrame, hidden: DataFrame | None = None) -> DataFrame:
+    """a, b, type and subtype of b, and rank (the order in which a tells of its neighbours), both ways between reports and entities.
+
+    A report tells of its indicators by id, then of its own CVE, then of its actor; an entity of its reports, newest first. Hidden reports
+    are not told of.
+    """
+    item, name = F.concat(F.lit("item:"), F.col("id").cast("string")), F.coalesce("crowdstrike_adversary", "adversary_label")
+    kind = F.when(F.col("ioc_type") == "cve", "cve").when(F.col("ioc_type") == "mitre", "ttp").otherwise("ioc")
+    row = lambda type_, subtype, *order: [type_.alias("type"), subtype.cast("string").alias("subtype"), F.struct(*(c.cast("long").alias(f"o{i}") for i, c in enumerate(order))).alias("rank")]
+    none = F.lit(None)
+    linked = links.join(iocs, "ioc_id").withColumn("id", F.col("item_id")).select("id", item.alias("a"), node_id(F.col("ioc_type"), F.col("value")).alias("b"), *row(kind, F.col("ioc_type"), F.lit(0), F.col("ioc_id")))
+    cves = reports.where("cve_id <> ''").select("id", item.alias("a"), node_id(F.lit("cve"), F.col("cve_id")).alias("b"), *row(F.lit("cve"), none, F.lit(1), F.lit(0)))
+    actors = reports.where(rules.specific(name) & ~F.upper(name).startswith("UNID ")).select("id", item.alias("a"), node_id(F.lit("adversary"), name).alias("b"), *row(F.lit("adversary"), none, F.lit(2), F.lit(0)))
+    out = linked.unionByName(cves).unionByName(actors)
+    out = out.groupBy("id", "a", "b").agg(F.min(F.struct("rank", "type", "subtype")).alias("r")).select("id", "a", "b", "r.type", "r.subtype", "r.rank")
+    seen = reports.select("id", "raw_hash", "published_at")
+    seen = seen if hidden is None else seen.join(hidden.select("raw_hash").distinct(), "raw_hash", "left_anti")
+    newest = F.coalesce(-F.unix_date("published_at"), F.lit(1 << 40))
+    back = out.select("id", "a", "b").join(seen, "id").select(F.col("b").alias("a"), F.col("a").alias("b"), *row(F.lit("item"), none, newest, F.col("id")))
+    return out.drop("id").unionByName(back)
+
+
+#: Nodes that one walk may ask for their neighbours, and may add; neighbours that one node tells of.
+MOST_REQUESTS, MOST_NEW, MOST_TOLD = 300, 800, 40
+
+
+def walk(edges: DataFrame, root: str, depth: int, types=TYPES, subtypes=None, requests: int = MOST_REQUESTS, new_nodes: int = MOST_NEW, told: int = MOST_TOLD) -> DataFrame:
+    """node, depth, place and capped: the nodes that a walk from root over typed edges meets, in the order in which it meets them.
+
+    edges are those of typed_edges(). Nodes of the types (and of the subtypes, where any are given, if they are indicators) are followed,
+    and reports always, as all ways lead through them. Level by level, nodes are asked for their neighbours in the order in which they were met,
+    each telling of `told` at most. The walk stops before a request when `requests` have been made or `new_nodes` have been added, and is
+    then capped: the last request may go beyond `new_nodes`. What a request adds is a running sum over the level's first meetings, so a
+    level is one join and one window over at most requests * told rows.
+    """
+    wanted = {*(types or TYPES), "item"}
+    ok = F.col("type").isin(*wanted) & (F.lit(True) if not subtypes else (F.col("type") != "ioc") | F.col("subtype").isin(*subtypes))
+    spark = edges.sparkSession
+    edges = edges.where(ok)
+    seen = spark.createDataFrame([(root, 0, 0)], "node string, depth int, place long")
+    asked, size, capped = 0, 1, False
+    for level in range(1, depth + 1):
+        queue = seen.where(F.col("depth") == level - 1)
+        number = queue.count()
+        if not number:
+            break
+        queue = queue.orderBy("place").limit(requests - asked).select(F.col("node").alias("a"), "place") if number > requests - asked else queue.select(F.col("node").alias("a"), "place")
+        by_rank = Window.partitionBy("a").orderBy("rank", "b")
+        near = edges.join(F.broadcast(queue), "a").withColumn("n", F.row_number().over(by_rank)).where(F.col("n") <= told)
+        first = near.join(seen.select(F.col("node").alias("b")), "b", "left_anti").groupBy("b").agg(F.min(F.struct("place", "n")).alias("at"))
+        added = first.groupBy(F.col("at.place").alias("place")).agg(F.count("*").alias("added"))
+        # as many rows as there were requests at most, so one task is enough
+        before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+        turns = checkpointed(queue.join(added, "place", "left").select("place", F.coalesce(F.sum("added").over(before), F.lit(0)).alias("before"), F.coalesce("added", F.lit(0)).alias("added")))
+        made = turns.where(F.col("before") < new_nodes - (size - 1))
+        done, more = made.agg(F.count("*"), F.coalesce(F.sum("added"), F.lit(0))).first()
+        new = first.join(made, F.col("at.place") == F.col("place"), "left_semi")
+        new = new.select(F.col("b").alias("node"), F.lit(level).alias("depth"), (F.row_number().over(Window.orderBy("at", "b")) + size - 1).cast("long").alias("place"))
+        seen = checkpointed(seen.unionByName(new))
+        capped = done < number
+        asked, size = asked + done, size + more
+        if capped:
+            break
+    return seen.withColumn("capped", F.lit(capped))
+
+
 def merged(*fragments: DataFrame, key: str = "id") -> DataFrame:
     """Fragments with equal columns put together; of rows with equal keys the first fragment's stays."""
     out = fragments[0].withColumn("_f", F.lit(0))

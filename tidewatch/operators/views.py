@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import to_ascii
+
 from tidewatch.functions import rules
 
 NEWEST = ("published_at", "id")
@@ -200,6 +202,32 @@ def memory_brief(memory: DataFrame) -> DataFrame:
     return part("adversary", 16, recent).unionByName(part("trend", 6, recent)).unionByName(part("label", 40, often))
 
 
+#: Characters of a briefing.
+BRIEF_CHARS = 2600
+
+
+def memory_text(memory: DataFrame, most: int = BRIEF_CHARS) -> DataFrame:
+    """One row: the briefing as plain ASCII text, cut at `most` characters; empty where there is nothing to tell.
+
+    A heading and a line a note for adversaries and trends, and one line of all labels. The notes are few by then, so they meet in one row.
+    """
+    note = F.concat(F.lit("- "), "subject", F.lit(": "), "content")
+    recent, often = [F.negative("_seen"), -F.col("mentions"), F.col("subject")], [-F.col("mentions"), F.negative("_seen"), F.col("subject")]
+
+    def block(kind: str, order: list[Column], line: Column) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), line.alias("line")))))
+        return F.transform(rows, lambda r: r["line"])
+
+    # dates and numbers alike are ordered as numbers
+    seen = F.unix_date("last_seen") if dict(memory.dtypes)["last_seen"] == "date" else F.col("last_seen").cast("double")
+    notes = memory_brief(memory).withColumn("_seen", seen)
+    parts = notes.agg(block("adversary", recent, note).alias("a"), block("trend", recent, note).alias("t"), block("label", often, F.col("subject")).alias("l"))
+    headed = lambda title, rows: F.when(F.size(rows) > 0, F.concat(F.array(F.lit(title)), rows)).otherwise(F.array().cast("array<string>"))
+    labels = F.when(F.size("l") > 0, F.array(F.concat(F.lit("Known labels (reuse the exact label when it applies): "), F.array_join("l", ", ")))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(headed("Known adversaries:", F.col("a")), headed("Tracked trends:", F.col("t")), labels)
+    return parts.select(F.substring(to_ascii(F.array_join(lines, "\n"), keep_newlines=True), 1, most).alias("brief"))
+
+
 def unread(notifications: DataFrame, most: int = 30) -> DataFrame:
     """The newest notifications, each with the number of unread ones in the whole table."""
     n = notifications.where("read_at is null").count()

@@ -177,13 +177,17 @@ def s25(spark, sf):
     return sinks.sources_checked(f).select("name", "problem", "feed_url")
 
 
-@query("s13_pdf_detection", """SELECT page_id, regexp_matches(split_part(split_part(lower(u), '#', 1), '?', 1), '\\.pdf$') OR page_id % 5 = 0 OR substr(h, 1, 5) = '%PDF-' AS pdf
-    FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '/report.PDF' WHEN 1 THEN url || '/a.pdf.html' ELSE url END AS u, CASE WHEN page_id % 7 = 0 THEN '%PDF-1.7' || html ELSE html END AS h FROM pages)""")
+@query("s13_pdf_detection", """SELECT page_id, said, regexp_matches(split_part(split_part(lower(u), '#', 1), '?', 1), '\\.pdf$') OR regexp_matches(coalesce(said, ''), 'application/(x-)?pdf', 'i') OR substr(h, 1, 5) = '%PDF-' AS pdf
+    FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '/report.PDF' WHEN 1 THEN url || '/a.pdf.html' ELSE url END AS u, CASE WHEN page_id % 7 = 0 THEN '%PDF-1.7' || html ELSE html END AS h FROM pages),
+        (VALUES ('text/html'), ('application/pdf; q=1'), ('application/x-pdf'), ('binary; Application/PDF'), ('application/octet-stream'), (NULL)) AS t(said)""")
 def s13(spark, sf):
+    """Every page with every type that a server may tell of it."""
     n = F.col("page_id")
     url = among(n, F.concat("url", F.lit("/report.PDF")), F.concat("url", F.lit("/a.pdf.html")), F.col("url"), F.col("url"))
     head = F.when(n % 7 == 0, F.concat(F.lit("%PDF-1.7"), "html")).otherwise(F.col("html")).cast("binary")
-    return run(spark, sf, "SELECT page_id, url, html FROM {pages}").select("page_id", html.is_pdf(url, F.when(n % 5 == 0, "application/pdf; q=1").otherwise("text/html"), head).alias("pdf"))
+    types = F.array(*(F.lit(t).cast("string") for t in ("text/html", "application/pdf; q=1", "application/x-pdf", "binary; Application/PDF", "application/octet-stream", None)))
+    rows = run(spark, sf, "SELECT page_id, url, html FROM {pages}").select("page_id", url.alias("u"), head.alias("h"), F.explode(types).alias("said"))
+    return rows.select("page_id", "said", html.is_pdf(F.col("u"), F.col("said"), F.col("h")).alias("pdf"))
 
 
 @query("s3_listing_reader", f"""SELECT page_id, CASE WHEN page_id % 5 <> 4 THEN 'cert-eu-blog' END AS reader, CASE WHEN page_id % 5 < 3 THEN CASE WHEN k = 0 THEN 'https://cert.europa.eu' || split_part(p, '?', 1) ELSE url END END AS url,
@@ -499,7 +503,7 @@ def u1(spark, sf):
 def n6b(spark, sf):
     """Tokens in each turn's text, one of them twice and one unknown."""
     one, two = (F.col("turn") + 1).cast("string"), (F.col("conv_id") % 5).cast("string")
-    said = F.concat(F.coalesce(F.regexp_replace("text", r"[\[\]]", " "), F.lit("")), F.lit(" ["), one, F.lit("]["), two, F.lit("] and [99] text ["), one, F.lit("] [x] [ 3 ]"))
+    said = F.concat(F.coalesce(F.regexp_replace("text", r"[\[\]]", " "), F.lit("")), F.lit(" ["), one, F.lit("]["), two, F.lit("] and [99] text [12345678901] and [99999999999999999999] ["), one, F.lit("] [x] [ 3 ]"))
     rows = run(spark, sf, "SELECT conv_id, turn, text FROM {conversations}").select("conv_id", "turn", F.explode(text.citations(said)).alias("cited"))
     return rows.join(spark.range(1, 10).select(F.col("id").cast("int").alias("cited")), "cited").select("conv_id", "turn", "cited")
 

@@ -18,4 +18,4 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-from tidewatch.plans import graph_queries, ingest_queries, report_queries, text_queries  # noqa: E402, F401
+from tidewatch.plans import graph_queries, ingest_queries, report_queries, stored_queries, text_queries  # noqa: E402, F401

@@ -167,17 +167,20 @@ def s11(spark, sf):
     return run(spark, sf, "SELECT page_id, html FROM {pages}").select("page_id", html.body_text(F.col("html")).alias("body"))
 
 
-@query("s12_public_urls", """SELECT page_id, CASE page_id % 9 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN false WHEN 4 THEN true WHEN 5 THEN false WHEN 6 THEN page_id % 256 NOT BETWEEN 16 AND 31 WHEN 7 THEN false ELSE false END AS ok FROM pages""")
+# Hosts to try, each with whether a public address may have it.
+HOSTS = {
+    "LOCALHOST:8080": False, "a.localhost": False, "0.0.0.0": False, "127.0.0.1": False, "127.evil.com": False, "10.0.0.1": False, "10.evil.com": False, "192.168.1.9": False, "169.254.1.1": False, "172.16.0.1": False, "172.31.9.1": False,
+    "172.15.0.1": True, "172.32.0.1": True, "172.160.0.1": True, "8.8.8.8": True, "printer.local": True, "db.internal": True, "0.1.2.3": True, "[::1]": True, "110.1.1.1": True, "xn--e1afmkfd.example": True,
+}
+
+
+@query("s12_public_urls", "SELECT page_id, 'own' AS host, true AS ok FROM pages UNION ALL SELECT page_id, 'ftp', false FROM pages UNION ALL SELECT page_id, 'none', false FROM pages UNION ALL SELECT page_id, h, ok FROM pages, (VALUES " + ", ".join(f"('{h}', {str(ok).lower()})" for h, ok in HOSTS.items()) + ") AS t(h, ok)")
 def s12(spark, sf):
-    """Each page's own URL and forms of it with other schemes and hosts, local, private and public."""
-    n, path = F.col("page_id"), F.regexp_extract("url", r"^[a-z]+://[^/?#]*(.*)$", 1)
-    host = lambda *parts: F.concat(F.lit("http://"), *[p if not isinstance(p, str) else F.lit(p) for p in parts], path)
-    last = (n % 200).cast("string")
-    forms = [F.col("url"), F.concat(F.lit("ftp://a.example"), path), host("LOCALHOST:8080"), host("10.0.", last, ".1"), host("8.8.", last, ".1"), host("192.168.1.", last), host("172.", (n % 256).cast("string"), ".0.1"), host("printer.local"), F.concat(F.lit("no scheme "), "url")]
-    url = F.lit(None).cast("string")
-    for i, form in enumerate(forms):
-        url = F.when(n % len(forms) == i, form).otherwise(url)
-    return run(spark, sf, "SELECT page_id, url FROM {pages}").select("page_id", html.public_url(url).alias("ok"))
+    """Each page's own URL, and its path with other schemes and every host of a list."""
+    path = F.regexp_extract("url", r"^[a-z]+://[^/?#]*(.*)$", 1)
+    forms = {"own": F.col("url"), "ftp": F.concat(F.lit("ftp://a.example"), path), "none": F.concat(F.lit("no scheme "), "url")} | {h: F.concat(F.lit(f"http://{h}"), path) for h in HOSTS}
+    rows = run(spark, sf, "SELECT page_id, url FROM {pages}").select("page_id", F.inline(F.array(*(F.struct(F.lit(h).alias("host"), u.alias("u")) for h, u in forms.items()))))
+    return rows.select("page_id", "host", html.public_url(F.col("u")).alias("ok"))
 
 
 #: Words of a page's heading and its first paragraph, without signs that markup or markdown would read otherwise.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import html, text
@@ -95,5 +95,30 @@ def source_of(urls: DataFrame, sources: DataFrame) -> DataFrame:
 def fresh_name(base: Column, taken: Column) -> Column:
     """base, or base (n) with the least n from 2 that is not taken; taken is an array of names."""
     tries = F.concat(F.array(base), F.transform(F.sequence(F.lit(2), F.size(taken) + 2), lambda n: F.concat(base, F.lit(" ("), n.cast("string"), F.lit(")"))))
-    lower = F.transform(taken, F.lower)
-    return F.get(F.filter(tries, lambda t: ~F.array_contains(lower, F.lower(t))), F.lit(0))
+    return F.get(F.filter(tries, lambda t: ~F.array_contains(taken, t)), F.lit(0))
+
+
+def created(articles: DataFrame, sources: DataFrame) -> DataFrame:
+    """The sources that a batch of articles (ord, url, site_name) makes: domain, name, url, for each domain that no source has.
+
+    The first article of a domain names its source: its site's name or, where that is taken, the name with the least free number from 2
+    on, as if articles came one after the other. The k-th new source of a name gets the k-th gap among the numbers taken, so nothing is
+    counted up one by one. A site whose own name ends in such a number keeps it; no other gets it.
+    """
+    domain = host(F.col("url"))
+    open_ = source_of(articles, sources).where("source is null").where(domain != "")
+    origin = F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
+    first = open_.groupBy(domain.alias("domain")).agg(F.min(F.struct("ord", "site_name", origin.alias("url"))).alias("f")).select("domain", F.col("f.ord").alias("ord"), F.col("f.site_name").alias("base"), "f.url")
+    new = first.withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("ord", "domain")))
+    # a name is number 1 of itself, and, if it ends in a number, that one of what stands before
+    numbered = F.regexp_extract("name", r" \(([1-9][0-9]{0,8})\)\z", 1)
+    both = F.array(F.struct(F.col("name").alias("base"), F.lit(1).alias("n")), F.struct(F.regexp_replace("name", r" \([0-9]+\)\z", "").alias("base"), F.when(numbered != "", numbered.cast("int")).alias("n")))
+    names = sources.select("name").unionByName(new.where(F.col("base").rlike(r" \([1-9][0-9]{0,8}\)\z")).select(F.col("base").alias("name"))).distinct()
+    # those sites whose own name ends in a number are no hindrance to themselves
+    own = sources.select("name").distinct().withColumn("had", F.lit(True))
+    used = names.join(own, "name", "left").select("had", F.inline(both)).where("n is not null and (had or n > 1)")
+    taken = used.groupBy("base").agg(F.array_sort(F.collect_set("n")).alias("taken")).withColumnRenamed("base", "of")
+    placed = new.join(taken, F.col("base") == F.col("of"), "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
+    # before the i-th taken number there are taken - i free ones (i from 1): those with fewer than k are passed over
+    number = F.col("k") + F.size(F.filter("taken", lambda t: t - F.array_position(F.col("taken"), t) < F.col("k")))
+    return placed.select("domain", F.when(number == 1, F.col("base")).otherwise(F.concat("base", F.lit(" ("), number.cast("string"), F.lit(")"))).alias("name"), "url")
