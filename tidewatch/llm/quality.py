@@ -11,6 +11,7 @@
    out: a bounded sample of SAMPLE rows in order of crc32(doc_id). A fifth of these only sets the stopping point and the temperature
    by which logits are divided, so that probabilities are calibrated.
 
+Of several rows under one labelled id the one with the least features (as bytes) is learned from, so the dealing of rows does not matter.
 Null and empty texts have features 0 and get the network's answer to these; long ones are read to the end. Without labels of both
 classes the score is the share of quality 1, or 0.5 where there are no labels at all. Rows are scored one by one, repeated ones alike;
 an empty table gives no rows. Only doc_id and text are read, so names of other columns cannot clash; doc_id is read as a long, so a
@@ -188,7 +189,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(fold(F.col("doc_id")) != 0)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.crc32(F.col("doc_id").cast("string")), "doc_id").limit(sample)
-    rows = got.join(F.broadcast(chosen), "doc_id").select("x", "quality", F.xxhash64("doc_id").alias("h"), "doc_id").dropDuplicates(["doc_id"]).orderBy("h", "doc_id").collect()  # sample rows at most
+    one = got.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("quality").alias("quality"))
+    rows = one.select("x", "quality", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").collect()  # sample rows at most
     x = np.array([np.frombuffer(r.x, dtype=np.float16) for r in rows], dtype=np.float64).reshape(-1, SIZE)
     y = np.array([r.quality for r in rows], dtype=np.float64)
     apart = np.array([r.h % 5 == 0 for r in rows], dtype=bool)
