@@ -105,15 +105,24 @@ class Part:
                     items.add(self.names[item])
 
 
+#: Bytes of benchmark text whose automata a worker holds at once (some 100 bytes of memory for each).
+HELD_BYTES = 6 << 20
 _parts: dict[str, Part] = {}
 
 
 def part_of(name: str, items: Items, window: int) -> Part:
-    """Built once in each worker; the last one stays."""
-    if name not in _parts:
-        _parts.clear()
-        _parts[name] = Part(items, window)
-    return _parts[name]
+    """Built once in each worker while all that it has to hold fit; beyond that those of other scans go, then the longest unused."""
+    if name in _parts:
+        _parts[name] = _parts.pop(name)  # the last used one comes last
+        return _parts[name]
+    size = lambda part: sum(len(w) + 1 for words in part.words for w in words)
+    made = Part(items, window)
+    scan = name.rpartition("-")[0]
+    for other in sorted(_parts, key=lambda n: n.rpartition("-")[0] == scan):
+        if size(made) + sum(map(size, _parts.values())) > HELD_BYTES or other.rpartition("-")[0] != scan:
+            del _parts[other]
+    _parts[name] = made
+    return made
 
 
 def spans(text: bytes, on: np.ndarray) -> list[dict]:
