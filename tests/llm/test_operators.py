@@ -103,10 +103,10 @@ def test_exact_dedup(spark, docs, empty):
 def test_digest_index_persists(spark, tmp_path):
     first = spark.createDataFrame([(5, "a b"), (3, "c"), (9, "a  b")], "doc_id long, text string")
     index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
-    assert {(r.doc_id, r.keep_id, r.kept) for r in index.dedup(first).collect()} == {(5, 5, True), (3, 3, True), (9, 5, False)}
+    assert {(r.doc_id, r.keep_id, r.kept) for r in index.dedup(first, load="first").collect()} == {(5, 5, True), (3, 3, True), (9, 5, False)}
     again = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)  # as a later session would open it
     more = spark.createDataFrame([(1, "a\tb"), (2, "new")], "doc_id long, text string")
-    assert {(r.doc_id, r.keep_id, r.kept) for r in again.dedup(more).collect()} == {(1, 5, False), (2, 2, True)}
+    assert {(r.doc_id, r.keep_id, r.kept) for r in again.dedup(more, load="second").collect()} == {(1, 5, False), (2, 2, True)}
     assert again.entries().count() == 3
 
 
@@ -795,10 +795,10 @@ def test_a_load_can_be_repeated(spark, tmp_path, load):
     rows = [(i, f"text {i % 30}") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
-    once, twice = (sorted(index.dedup(d, load=load).collect()) for d in (docs, docs.repartition(5)))
+    once, twice = (sorted(index.dedup(d, load=load, by_content=load is None).collect()) for d in (docs, docs.repartition(5)))
     assert once == twice and sum(r.kept for r in once) == 30
     more = spark.createDataFrame([(100, "text 1"), (101, "new")], "doc_id long, text string")
-    assert {(r.doc_id, r.keep_id, r.kept) for r in index.dedup(more).collect()} == {(100, 1, False), (101, 101, True)}
+    assert {(r.doc_id, r.keep_id, r.kept) for r in index.dedup(more, load="more").collect()} == {(100, 1, False), (101, 101, True)}
     half = exact_dedup.DigestIndex(spark, str(tmp_path / "half"), 4)
     digests = docs.where("doc_id < 9").select(F.unhex(F.sha2("text", 256)).alias("digest"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit("tuesday").alias("load"))
     half.append(digests)
@@ -872,3 +872,42 @@ def test_written_tables_are_released(spark):
         last = shared.written(spark.range(k), "passing")
     shared.release(spark, since + 1, keep=1)
     assert shared.held() == since + 2 and kept.count() == 5 and last.count() == 2
+
+
+def test_a_second_delivery_keeps_nothing(spark, sf, tmp_path):
+    """The same rows under another name are copies of the first load; under its own name they are the first load again."""
+    docs, path = table(spark, sf, "documents"), str(tmp_path / "index")
+    kept = lambda load, rows=docs: {r.doc_id for r in exact_dedup.dedup(rows, path, load).where("kept").collect()}
+    first = kept("monday")
+    assert len(first) == docs.select(F.sha2(exact_dedup.normalised("text"), 256)).distinct().count()
+    assert kept("tuesday") == set() and kept("wednesday", docs.where("doc_id > 0")) == set()
+    assert kept("monday", docs.repartition(3)) == first
+    with pytest.raises(ValueError, match="needs a name"):
+        exact_dedup.dedup(docs, path)
+    with pytest.raises(ValueError, match="needs a name"):
+        exact_dedup.DigestIndex(spark, path).dedup(docs, load="x", by_content=True)
+
+
+def test_quality_takes_one_text_of_an_id(spark):
+    """Of several texts under one labelled id the least pooled one is learned from, however the rows are dealt."""
+    rows = [(i % 40, f"{'good fine text' if i % 2 else 'bad junk spam'} w{i} w{i % 7} " * 6) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    a, b = (sorted((r.doc_id, round(r.score, 9)) for r in quality.score(d, labels).collect()) for d in (docs.repartition(2), docs.orderBy(F.col("text").desc()).repartition(5)))
+    assert a == b
+
+
+def test_decontamination_builds_each_automaton_once(spark, monkeypatch):
+    """Several automata over several chunks of documents: a worker holds them all, while they fit."""
+    built = []
+    monkeypatch.setattr(decontamination, "Part", lambda items, window, f=decontamination.Part: built.append(1) or f(items, window))
+    monkeypatch.setattr(decontamination, "_parts", {})
+    items = [[(f"i{k}", " ".join(f"q{k}x{j}" for j in range(12)).encode())] for k in range(3)]
+    for _ in range(4):
+        for k, part in enumerate(items):
+            assert decontamination.part_of(f"run-{k}", part, 10).names
+    assert len(built) == 3
+    monkeypatch.setattr(decontamination, "HELD_BYTES", 0)
+    for k, part in enumerate(items):
+        decontamination.part_of(f"other-{k}", part, 10)
+    assert len(decontamination._parts) == 1

@@ -6,7 +6,9 @@ read as a long, so a text that is no number raises.
 
 The index is a Parquet table bucketed and sorted by digest, so that new data meet it by a sort-merge anti-join that shuffles the new
 digests only. Its number of buckets is written beside it and read when it is opened again; another number is refused. Each entry names
-the load that brought it: a load that is repeated, also after it failed half-way, finds its own entries and keeps the same rows again.
+the load that brought it. Loads have names, which their sender gives: a load that is repeated under its name, also after it failed
+half-way, finds its own entries and keeps the same rows again, while the same rows under another name are a second delivery, of which
+nothing is kept. A sender without names may choose to have loads known by what they hold; then a second delivery is a repeat.
 
 Digests of new data are counted before the shuffle, hence a text with millions of copies moves as one row per task. Rows find their
 group's entry again by a join; digests that hold at least a thousandth of all rows (a thousand at most) are broadcast and their rows
@@ -68,17 +70,20 @@ class DigestIndex:
         rows.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(name)
         self.spark.sql(f"DROP TABLE {name}")
 
-    def dedup(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", load: str | None = None) -> DataFrame:
+    def dedup(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", load: str | None = None, by_content: bool = False) -> DataFrame:
         """One row per row of docs: doc_id, keep_id, group_size, kept and text_sha256; digests not in the index yet are appended.
 
         keep_id and group_size are those of the index entry, so a copy of an earlier load is not kept, even with a smaller doc_id,
-        and group_size counts the rows of the load that brought the text first. A load is known by its name; without one, by what it
-        holds: the same ids and texts are the same load.
+        and group_size counts the rows of the load that brought the text first. load is the load's name; without one, by_content must
+        say that the same ids and texts are the same load.
         """
+        if (load is None) != by_content:
+            raise ValueError("a load needs a name, or by_content in its place")
         columns = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.unhex(F.sha2(normalised(text), 256)).alias("digest"))
         thin = written(columns.withColumn("row", F.monotonically_increasing_id()), "digests")  # row is fixed once it is written
         mark = F.xxhash64("doc_id", "digest").cast("decimal(38,0)")
-        rows, *marks = thin.agg(F.count("*"), F.coalesce(F.sum(mark), F.lit(0)), F.coalesce(F.sum(F.pmod(mark * 31, F.lit(1_000_000_007))), F.lit(0))).first()
+        sums = [F.coalesce(F.sum(mark), F.lit(0)), F.coalesce(F.sum(F.pmod(mark * 31, F.lit(1_000_000_007))), F.lit(0))] if by_content else []
+        rows, *marks = thin.agg(F.count("*"), *sums).first()
         load = load or "-".join(map(str, (rows, *marks)))
         least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))
         # written, else the optimiser moves the anti-join below the aggregate and shuffles every copy of a text
@@ -100,7 +105,9 @@ class DigestIndex:
         return found.select("doc_id", entry["keep_id"].alias("keep_id"), entry["group_size"].alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def dedup(docs: DataFrame, index_path: str | None = None) -> DataFrame:
-    """docs against a new index, or the one at index_path."""
+def dedup(docs: DataFrame, index_path: str | None = None, load: str | None = None) -> DataFrame:
+    """docs against a new index, or, as the load of that name, against the one at index_path."""
     spark = docs.sparkSession
-    return DigestIndex(spark, index_path or shared_path(spark, "digest-index")).dedup(docs)
+    if index_path is None:
+        return DigestIndex(spark, shared_path(spark, "digest-index")).dedup(docs, load=load or "first")
+    return DigestIndex(spark, index_path).dedup(docs, load=load)
