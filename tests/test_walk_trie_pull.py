@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import html, text, verdicts
-from tidewatch.operators import attribution, network, views
+from tidewatch.operators import attribution, network, notify, views
 from tidewatch.sources import feeds, pull
 
 
@@ -156,3 +156,16 @@ def test_notes_and_briefing(spark):
     assert views.memory_text(memory).first().brief == want and views.memory_text(memory, 40).first().brief == want[:40] and views.memory_text(memory.limit(0)).first().brief == ""
     notes = spark.createDataFrame([(r.kind, r.subject, r.content, i, 10) for i, r in enumerate(rows)], "kind string, subject string, content string, ord int, seen int")
     assert {(r.kind, r.subject, r.mentions) for r in views.memory_update(memory, notes).collect()} >= {("adversary", "A", 1), ("trend", "T", 1), ("adversary", "X", 3)}
+
+
+def test_run_messages(spark):
+    schema = "run_id string, scoped boolean, summarised boolean, added int, flagged_iocs int, unclassified int, errors array<string>, stale_feeds int"
+    rows = [("run-1", False, False, 12, 0, 3, [], None), ("run-2", True, True, 1, 2, 0, ["x" * 200, "y"], 1), ("run-3", False, None, None, None, None, None, None)]
+    got = {(r.run_id, r.kind): (r.title, r.body, r.href) for r in notify.run_messages(spark.createDataFrame(rows, schema), 14).collect()}
+    assert {k: v for k, v in got.items() if k[0] != "run-2"} == {
+        ("run-1", "feeds_ingested"): ("All feeds ingested", "12 new reports added", "/"), ("run-3", "feeds_ingested"): ("All feeds ingested", "No new reports", "/"),
+        ("run-1", "unclassified_reports"): ("3 reports stored unclassified", got["run-1", "unclassified_reports"][1], "/settings?tab=unclassified"),
+    }
+    assert got["run-2", "feed_ingested"] == ("Feed updated", "1 new report added", "/") and got["run-2", "ingest_errors"] == ("Ingest finished with 2 errors", "x" * 160, "/settings?tab=sources")
+    assert got["run-2", "suspect_iocs"][0] == "2 suspect indicators to review" and got["run-2", "stale_feeds"] == ("1 feed look stale", "No items in the last 14 days, or failing to fetch.", "/settings?tab=sources")
+    assert len(got) == 8

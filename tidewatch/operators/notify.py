@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KINDS = ("label", "adversary", "country")
@@ -111,18 +111,41 @@ def broadcast_rows(items: DataFrame, users: DataFrame, existing: DataFrame) -> D
     return every.join(existing.select("user_id", "dedupe_key"), ["user_id", "dedupe_key"], "left_anti")
 
 
-def run_messages(runs: DataFrame) -> DataFrame:
-    """run_id, kind, title, dedupe_key: one to six rows for each run, by its counters (null counts as 0)."""
+# What a run tells of, as (title, body, where it leads); # stands for a number with its noun.
+RUN_MESSAGES = {
+    "feed_ingested": ("Feed updated", "#", "/"),
+    "feeds_ingested": ("All feeds ingested", "#", "/"),
+    "summary_updated": ("Executive summary updated", "The dashboard summary has been regenerated.", "/"),
+    "suspect_iocs": ("# to review", "The daily check found indicators that may not be real.", "/settings?tab=review"),
+    "unclassified_reports": ("# stored unclassified", "The triage call did not answer, so these came in with no labels, adversary or nexus. Open one and use AI Magic to read it properly.", "/settings?tab=unclassified"),
+    "ingest_errors": ("Ingest finished with #", "", "/settings?tab=sources"),
+    "stale_feeds": ("# look stale", "No items in the last {days} days, or failing to fetch.", "/settings?tab=sources"),
+}
+
+
+def run_messages(runs: DataFrame, stale_days: int = 30) -> DataFrame:
+    """run_id, kind, title, body, href, dedupe_key: one to six rows for each run, by its counters (null counts as 0).
+
+    runs: run_id, scoped, summarised, added, flagged_iocs, unclassified, stale_feeds and errors, an array, whose first is the body of its message,
+    cut at 160 characters.
+    """
     n = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
-    count = lambda c, noun: F.concat(n(c).cast("string"), F.lit(f" {noun}"), F.when(n(c) == 1, "").otherwise("s"))
-    row = lambda kind, title: F.struct(kind.alias("kind"), title.alias("title"))
+    counted = lambda number, noun: F.concat(number.cast("string"), F.lit(f" {noun}"), F.when(number == 1, "").otherwise("s"))
+    failed = F.greatest(F.coalesce(F.size("errors"), F.lit(0)), F.lit(0))
+    added = F.when(n("added") > 0, F.concat(counted(n("added"), "new report"), F.lit(" added"))).otherwise("No new reports")
+
+    def row(kind: str, number: Column | None = None, body: Column | None = None) -> Column:
+        title, text, href = RUN_MESSAGES[kind]
+        said = F.lit(title) if number is None else F.replace(F.lit(title), F.lit("#"), number)
+        return F.struct(F.lit(kind).alias("kind"), said.alias("title"), (F.lit(text.format(days=stale_days)) if body is None else body).alias("body"), F.lit(href).alias("href"))
+
     made = [
-        row(F.when(F.col("scoped"), "feed_ingested").otherwise("feeds_ingested"), F.when(F.col("scoped"), "Feed updated").otherwise("All feeds ingested")),
-        F.when(F.col("summarised"), row(F.lit("summary_updated"), F.lit("Executive summary updated"))),
-        F.when(n("flagged_iocs") > 0, row(F.lit("suspect_iocs"), F.concat(count("flagged_iocs", "suspect indicator"), F.lit(" to review")))),
-        F.when(n("unclassified") > 0, row(F.lit("unclassified_reports"), F.concat(count("unclassified", "report"), F.lit(" stored unclassified")))),
-        F.when(n("errors") > 0, row(F.lit("ingest_errors"), F.concat(F.lit("Ingest finished with "), count("errors", "error")))),
-        F.when(n("stale_feeds") > 0, row(F.lit("stale_feeds"), F.concat(count("stale_feeds", "feed"), F.lit(" look stale")))),
+        F.when(F.col("scoped"), row("feed_ingested", body=added)).otherwise(row("feeds_ingested", body=added)),
+        F.when(F.col("summarised"), row("summary_updated")),
+        F.when(n("flagged_iocs") > 0, row("suspect_iocs", counted(n("flagged_iocs"), "suspect indicator"))),
+        F.when(n("unclassified") > 0, row("unclassified_reports", counted(n("unclassified"), "report"))),
+        F.when(failed > 0, row("ingest_errors", counted(failed, "error"), F.substring(F.get("errors", F.lit(0)), 1, 160))),
+        F.when(n("stale_feeds") > 0, row("stale_feeds", counted(n("stale_feeds"), "feed"))),
     ]
     out = runs.select("run_id", F.inline(F.array_compact(F.array(*made))))
     return out.withColumn("dedupe_key", F.concat_ws(":", "kind", F.col("run_id").cast("string")))

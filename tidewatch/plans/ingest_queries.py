@@ -12,7 +12,7 @@ from tidewatch.plans.adapters import AS_OF, actors, run, view, with_views
 from tidewatch.plans.registry import query
 from tidewatch.plans.text_queries import ascii_sql
 from tidewatch.plans.report_queries import MARKET, NOTIFIED, TEXT, groups, hit, matched, notifiable
-from tidewatch.sources import feeds, sinks
+from tidewatch.sources import feeds, pull, sinks
 
 #: A few words of each turn without signs that JSON or SQL would read otherwise.
 SAID = "replace(replace(replace(replace(replace(coalesce(substr(text, 1, 30), ''), chr(10), ' '), chr(34), ''), chr(92), ''), chr(123), ''), chr(125), '')"
@@ -210,10 +210,25 @@ def s3(spark, sf):
     return listed.join(feeds.errors(listed), "page_id", "left")
 
 
-@query("s5_feed_health", with_views("SELECT source_name, count(*) AS items, max(published_at) AS latest_item_at FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY published_at DESC NULLS LAST, id) AS n FROM reports) WHERE n <= 40 GROUP BY 1", "reports"))
+@query("s5_feed_health", with_views("SELECT coalesce(k.source_name, f.source_name) AS source_name, coalesce(items, 0) AS items, latest_item_at, f.error FROM (SELECT source_name, count(*) AS items, max(published_at) AS latest_item_at FROM (SELECT *, row_number() OVER (PARTITION BY source_name ORDER BY published_at DESC NULLS LAST, id) AS n FROM reports) WHERE n <= 40 GROUP BY 1) k FULL JOIN (SELECT name AS source_name, last_error AS error FROM feeds WHERE last_error IS NOT NULL) f ON k.source_name = f.source_name", "reports", "feeds"))
 def s5(spark, sf):
+    """Sources with items beside those whose pull failed."""
     kept = feeds.newest(view(spark, sf, "reports").withColumn("ord", F.col("id")))
-    return feeds.health(kept, spark.createDataFrame([], "source_name string, error string")).drop("error")
+    failed = view(spark, sf, "feeds").where("last_error is not null").select(F.col("name").alias("source_name"), F.col("last_error").alias("error"))
+    return feeds.health(kept, failed)
+
+
+@query("s5_pulls", """WITH p AS (SELECT s_suppkey AS k, 'src' || CAST(s_suppkey AS VARCHAR) AS source_name FROM supplier)
+    SELECT source_name, CASE WHEN k % 4 = 0 OR k % 7 = 0 THEN 0 ELSE 1 + k % 3 END AS items, CASE WHEN k % 4 <> 0 AND k % 7 <> 0 THEN TIMESTAMP '2026-07-01 10:00:00' + to_days(CAST(k % 20 AS INT)) + to_hours(CAST(k % 3 AS INT)) END AS latest_item_at, CASE WHEN k % 4 = 0 THEN 'timeout of ' || source_name END AS error FROM p""")
+def s5_pulls(spark, sf):
+    """Pulled feeds of one to three entries, empty ones and failed ones: one row of health for each, and no failed job."""
+    k = F.col("s_suppkey")
+    rows = run(spark, sf, "SELECT s_suppkey FROM {supplier}").withColumn("source_name", F.concat(F.lit("src"), k.cast("string")))
+    day = F.date_format(F.date_add(F.lit("2026-07-01").cast("date"), (k % 20).cast("int")), "yyyy-MM-dd")
+    item = lambda i: F.concat(F.lit("<item><title>n"), i.cast("string"), F.lit("</title><link>https://x.example/"), i.cast("string"), F.lit("</link><isoDate>"), day, F.lit("T1"), i.cast("string"), F.lit(":00:00Z</isoDate></item>"))
+    body = F.concat(F.lit("<rss><channel>"), F.when(k % 7 != 0, F.array_join(F.transform(F.sequence(F.lit(0), (k % 3).cast("int")), item), "")).otherwise(""), F.lit("</channel></rss>"))
+    pulls = rows.select("source_name", F.lit(None).cast("string").alias("url"), F.when(k % 4 != 0, body).alias("body"), F.when(k % 4 == 0, F.concat(F.lit("timeout of "), "source_name")).alias("error"), F.current_timestamp().alias("pulled_at"))
+    return pull.accounts(pulls, ("item",))[2].select("source_name", "items", "latest_item_at", "error")
 
 
 @query("j14_source_of_url", with_views("SELECT id, CASE WHEN id % 4 = 0 THEN 'alpha' WHEN id % 4 = 2 THEN 'gamma' END AS source FROM reports", "reports"))
@@ -272,14 +287,19 @@ def n9(spark, sf):
     return digest.join(sent, "user_id").select("user_id", "subject", F.md5("text").alias("text"), "sent")
 
 
-@query("n10_run_messages", """WITH k AS (SELECT o_orderkey AS run_id, o_orderkey % 4 AS f, o_orderkey % 5 AS e, o_orderkey % 3 AS s, o_orderkey % 2 AS u, o_orderkey % 7 AS st FROM orders)
-    SELECT run_id, kind, title, kind || ':' || CAST(run_id AS VARCHAR) AS dedupe_key FROM (SELECT run_id, CASE WHEN u = 0 THEN 'feed_ingested' ELSE 'feeds_ingested' END AS kind, CASE WHEN u = 0 THEN 'Feed updated' ELSE 'All feeds ingested' END AS title FROM k
-    UNION ALL SELECT run_id, 'summary_updated', 'Executive summary updated' FROM k WHERE s = 0 UNION ALL SELECT run_id, 'suspect_iocs', CAST(f AS VARCHAR) || ' suspect indicator' || CASE WHEN f = 1 THEN '' ELSE 's' END || ' to review' FROM k WHERE f > 0
-    UNION ALL SELECT run_id, 'unclassified_reports', CASE WHEN s = 1 THEN '1 report' ELSE '2 reports' END || ' stored unclassified' FROM k WHERE s > 0 UNION ALL SELECT run_id, 'ingest_errors', 'Ingest finished with ' || CAST(e AS VARCHAR) || ' error' || CASE WHEN e = 1 THEN '' ELSE 's' END FROM k WHERE e > 0
-    UNION ALL SELECT run_id, 'stale_feeds', CAST(st AS VARCHAR) || ' feed' || CASE WHEN st = 1 THEN '' ELSE 's' END || ' look stale' FROM k WHERE st > 0)""")
+@query("n10_run_messages", """WITH k AS (SELECT o_orderkey AS run_id, o_orderkey % 13 AS a, o_orderkey % 4 AS f, o_orderkey % 5 AS e, o_orderkey % 3 AS s, o_orderkey % 2 AS u, o_orderkey % 7 AS st, o_orderpriority AS why FROM orders)
+    SELECT run_id, kind, title, body, href, kind || ':' || CAST(run_id AS VARCHAR) AS dedupe_key FROM (
+    SELECT run_id, CASE WHEN u = 0 THEN 'feed_ingested' ELSE 'feeds_ingested' END AS kind, CASE WHEN u = 0 THEN 'Feed updated' ELSE 'All feeds ingested' END AS title, CASE WHEN a = 0 THEN 'No new reports' WHEN a = 1 THEN '1 new report added' ELSE CAST(a AS VARCHAR) || ' new reports added' END AS body, '/' AS href FROM k
+    UNION ALL SELECT run_id, 'summary_updated', 'Executive summary updated', 'The dashboard summary has been regenerated.', '/' FROM k WHERE s = 0
+    UNION ALL SELECT run_id, 'suspect_iocs', CAST(f AS VARCHAR) || ' suspect indicator' || CASE WHEN f = 1 THEN '' ELSE 's' END || ' to review', 'The daily check found indicators that may not be real.', '/settings?tab=review' FROM k WHERE f > 0
+    UNION ALL SELECT run_id, 'unclassified_reports', CASE WHEN s = 1 THEN '1 report' ELSE '2 reports' END || ' stored unclassified', 'The triage call did not answer, so these came in with no labels, adversary or nexus. Open one and use AI Magic to read it properly.', '/settings?tab=unclassified' FROM k WHERE s > 0
+    UNION ALL SELECT run_id, 'ingest_errors', 'Ingest finished with ' || CAST(e AS VARCHAR) || ' error' || CASE WHEN e = 1 THEN '' ELSE 's' END, substr(repeat(why || ' timed out; ', 1 + a), 1, 160), '/settings?tab=sources' FROM k WHERE e > 0
+    UNION ALL SELECT run_id, 'stale_feeds', CAST(st AS VARCHAR) || ' feed' || CASE WHEN st = 1 THEN '' ELSE 's' END || ' look stale', 'No items in the last 30 days, or failing to fetch.', '/settings?tab=sources' FROM k WHERE st > 0)""")
 def n10(spark, sf):
     k = F.col("o_orderkey")
-    runs = run(spark, sf, "SELECT o_orderkey FROM {orders}").select(k.alias("run_id"), (k % 2 == 0).alias("scoped"), (k % 3 == 0).alias("summarised"), (k % 4).alias("flagged_iocs"), (k % 3).alias("unclassified"), (k % 5).alias("errors"), F.when(k % 7 > 0, k % 7).alias("stale_feeds"))
+    why = F.repeat(F.concat("o_orderpriority", F.lit(" timed out; ")), (1 + k % 13).cast("int"))
+    errors = F.when(k % 5 > 0, F.transform(F.sequence(F.lit(1).cast("long"), k % 5), lambda i: F.when(i == 1, why).otherwise(F.lit("another"))))
+    runs = run(spark, sf, "SELECT o_orderkey, o_orderpriority FROM {orders}").select(k.alias("run_id"), (k % 2 == 0).alias("scoped"), (k % 3 == 0).alias("summarised"), (k % 13).alias("added"), (k % 4).alias("flagged_iocs"), (k % 3).alias("unclassified"), errors.alias("errors"), F.when(k % 7 > 0, k % 7).alias("stale_feeds"))
     return notify.run_messages(runs)
 
 
