@@ -168,7 +168,8 @@ def test_recall_of_lone_pairs_in_large_buckets(spark, monkeypatch):
     two = np.where(r.random(one.shape) < 0.8, one, r.integers(0, 1 << 32, one.shape, dtype=np.uint32))
     rows = [(bytearray(f"{i}{side}".encode()), bytearray(s.tobytes())) for side, of in (("a", one), ("b", two)) for i, s in enumerate(of)]
     nodes = spark.createDataFrame(rows, "sid binary, sketch binary").repartition(4).cache()
-    edges = near_join.candidates(nodes, Scratch(spark, "recall"), 0.8, 0.995).collect()
+    small, large = near_join.candidates(nodes, Scratch(spark, "recall"), 0.8, 0.995)
+    edges = small.unionByName(large).collect()
     met = {bytes(e.a)[:-1] for e in edges if bytes(e.a)[:-1] == bytes(e.b)[:-1]}
     assert len(met) >= (0.995 - 3 * (0.005 * 0.995 / n) ** 0.5) * n
 
@@ -216,7 +217,10 @@ def test_classes_through_others(spark, monkeypatch):
     monkeypatch.setattr(near_join, "SMALL", 4)
     monkeypatch.setattr(near_join, "GROUP", 5)
     # every set a candidate of every other, as in a bucket that no split divides
-    everything = lambda nodes, *a: nodes.crossJoin(nodes.agg(F.min("sid").alias("b"))).select(F.col("sid").alias("a"), "b")
+    def everything(nodes, *a):
+        stars = nodes.crossJoin(nodes.agg(F.min("sid").alias("b"))).select(F.col("sid").alias("a"), "b")
+        return stars.limit(0), stars
+
     monkeypatch.setattr(near_join, "candidates", everything)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {rows[i][0]: rows[root[i]][0] for i in range(len(rows))}
@@ -226,6 +230,29 @@ def test_classes_through_others(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in near_join.classes(df).collect()} == {rows[i][0]: len(links[i]) for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("count", [True, False])
+def test_chains_without_links_come_apart(spark, monkeypatch, count):
+    """Texts that share 0.77 with the next chain to one component of candidates; only links and their classes are left of it."""
+    texts = [" ".join(f"w{k}" for k in range(i * 13, i * 13 + 104)) for i in range(1500)]
+    rows = [*enumerate(texts), *((10_000 + i, texts[i].replace(f"w{i * 13 + 50} ", "other ")) for i in range(0, 1500, 50))]
+    seen = []
+    kept = near_join.links_of
+
+    def watched(member, texts_of, scratch, similarity, count, name="links"):
+        sizes = [r["count"] for r in member.groupBy("root").count().collect()]
+        seen.append((name, max(sizes, default=0), len(sizes)))
+        return kept(member, texts_of, scratch, similarity, count, name)
+
+    monkeypatch.setattr(near_join, "links_of", watched)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), count=count).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {i: i % 10_000 for i, _ in rows}
+    if count:
+        assert {i: n for i, (_, n) in got.items()} == {i: int(i >= 10_000 or i % 50 == 0) for i, _ in rows}
+    (first, wide, _), (last, most, _) = seen
+    assert (first, last) == ("star-links", "links")
+    assert wide <= near_join.SMALL and most <= near_join.SMALL
+
+
 def test_components_of_a_path(spark):
     n = 40
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101), (101, 100)], "a long, b long")

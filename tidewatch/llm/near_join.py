@@ -16,8 +16,11 @@ without such words uses its runs of other characters). Two texts are linked if t
 3. Runs are repeated until the target recall: R is the least number for which a pair at the threshold that stays in large buckets
    through all DEPTH splits meets so often, counted over all ways in which its T coordinates may agree (runs share coordinates, so
    they are not independent).
-4. Candidates are handed on as stars, never as pairs, and joined to candidate components (label propagation, checkpointed). Every
-   component is then verified exactly, all its sets against each other, so a pair that no run brought together is found as well if it
+4. Candidates are handed on as stars, never as pairs, and joined to candidate components (label propagation, checkpointed). Texts each
+   somewhat below the threshold chain to components of any size. So where a component has over SMALL sets, the stars of its small
+   buckets are verified exactly first, each with its centre and all its mates, and the component is put together anew from links and
+   from large buckets alone; stars that large buckets hold together anyway are spared. So a chain without links is never compared as
+   a whole. Every component is then verified exactly, all its sets against each other, so a pair that no run brought together is found as well if it
    is connected through others. Components over SMALL sets are dealt into blocks (at least eight from 8 * SMALL sets on, and none over
    GROUP sets or WIDE shingles) and verified by pairs of blocks, so that no task holds more than two blocks; intersections are counted
    by matrix products, and pairs are counted, not emitted. A text goes to as many tasks as its component has blocks.
@@ -288,8 +291,8 @@ def sketched(batches):
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "sid", "sketch", "size"])
 
 
-def candidates(nodes: DataFrame, scratch: Scratch, similarity: float, recall: float) -> DataFrame:
-    """Edges (a, b) of stars over the sids of nodes (sid, sketch): steps 2 and 3."""
+def candidates(nodes: DataFrame, scratch: Scratch, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) of stars over the sids of nodes (sid, sketch), of small buckets and of large ones: steps 2 and 3."""
     runs = runs_needed(recall, similarity, DEPTH)
     least = least_agreement(similarity)
 
@@ -330,29 +333,65 @@ def candidates(nodes: DataFrame, scratch: Scratch, similarity: float, recall: fl
         found = found.withColumn("probe", probe).join(rest, F.col("probe") == F.col("key"), "left").withColumn("s", F.coalesce("h", "s"))
         return found.where("s is not null").select("path", "sid", "s.*")
 
-    stars = []
+    none = scratch.write(nodes.limit(0).select(F.col("sid").alias("a"), F.col("sid").alias("b")), "alike-0")
+    stars, large_stars = none, none
     state = nodes.select("sid", "sketch")
     for depth in range(1, DEPTH + 1):
         placed = scratch.write(state.mapInArrow(split if depth > 1 else begin, "path long, sid binary" + (", of long" if depth > 1 else "")), f"paths-{depth}")
         sized = scratch.write(with_sizes(placed, depth), f"sized-{depth}")
         scratch.drop(f"paths-{depth}", f"sizes-{depth}")
         leaves = sized.where(F.col("size") <= LEAF).select("path", "sid").join(nodes.select("sid", "sketch"), "sid")
-        stars.append(scratch.write(by_group(leaves, ["path"], "a binary, b binary", lambda: lambda bucket: leaf_stars(bucket, least)).distinct(), f"stars-{depth}"))
+        near = by_group(leaves, ["path"], "a binary, b binary", lambda: lambda bucket: leaf_stars(bucket, least)).distinct()
+        stars = stars.unionByName(scratch.write(near, f"stars-{depth}"))
         large = sized.where(F.col("size") > LEAF)
         ended = F.coalesce(F.col("size") >= KEPT * F.col("of"), F.lit(False)) if depth < DEPTH else F.lit(True)
         if depth > 1:
             alike = large.where(ended).where("sid <> least").select(F.col("sid").alias("a"), F.col("least").alias("b")).distinct()
-            stars.append(scratch.write(alike, f"alike-{depth}"))
+            large_stars = large_stars.unionByName(scratch.write(alike, f"alike-{depth}"))
             scratch.drop(f"sized-{depth - 1}")
         large = large.where(~ended)
         if large.isEmpty():
             break
         lists = large.groupBy("sid").agg(F.collect_list(F.struct("path", "size")).alias("p")).select("sid", F.col("p.path").alias("paths"), F.col("p.size").alias("sizes"))
         state = lists.join(nodes.select("sid", "sketch"), "sid").select("sid", "sketch", "paths", "sizes")
-    edges = stars[0]
-    for more in stars[1:]:
-        edges = edges.unionByName(more)
-    return edges
+    return stars, large_stars
+
+
+def with_roots(found: DataFrame) -> DataFrame:
+    """(node, root) of components with the roots as nodes too."""
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def in_blocks(member: DataFrame, nodes: DataFrame) -> DataFrame:
+    """member (node, root) with the number of blocks of its group and its own block."""
+    n = F.count("*")
+    by_count = F.when(n <= SMALL, 1).otherwise(F.greatest(F.least(F.ceil(n / SMALL), F.lit(8)), F.ceil(n / GROUP)))
+    sized = member.join(nodes.select(F.col("sid").alias("node"), "size"), "node")
+    blocks = sized.groupBy("root").agg(F.greatest(by_count, F.ceil(F.sum("size") / WIDE)).cast("int").alias("blocks"))
+    return member.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def confirmed(member: DataFrame, stars: DataFrame, large_stars: DataFrame, nodes: DataFrame, texts_of, scratch: Scratch, similarity: float) -> DataFrame:
+    """member (node, root) where components over SMALL sets are put together anew, from verified links of small buckets and from large buckets.
+
+    A star of small buckets holds all that met its centre there, so all pairs that met are among its pairs; it is verified unless
+    large buckets hold all of it together.
+    """
+    over = member.groupBy("root").count().where(F.col("count") > SMALL).select("root")
+    inside = scratch.write(member.join(over, "root", "left_semi"), "over")
+    if inside.isEmpty():
+        return member
+    held = components(large_stars)
+    near = stars.distinct().join(inside.select(F.col("node").alias("b")), "b", "left_semi")
+    near = near.unionByName(near.select(F.col("b").alias("a"), "b").distinct())
+    near = near.join(with_roots(held).select(F.col("node").alias("a"), F.col("root").alias("held")), "a", "left").withColumn("held", F.coalesce("held", "a"))
+    near = scratch.write(near, "near")
+    apart = near.groupBy("b").agg(F.min("held").alias("least"), F.max("held").alias("most")).where("least <> most")
+    asked = scratch.write(in_blocks(near.join(apart, "b", "left_semi").select(F.col("a").alias("node"), F.col("b").alias("root")), nodes), "asked")
+    links = links_of(asked, texts_of, scratch, similarity, True, "star-links")
+    firm = components(large_stars.unionByName(links.select(F.col("sid").alias("a"), F.col("root").alias("b"))))
+    anew = with_roots(firm).join(inside.select("node"), "node", "left_semi").select("node", "root")
+    return member.join(over, "root", "left_anti").select("node", "root").unionByName(anew)
 
 
 def dealt(texts: DataFrame) -> DataFrame:
@@ -362,10 +401,11 @@ def dealt(texts: DataFrame) -> DataFrame:
     return each.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "sid", "copies", "text")
 
 
-def links_of(member: DataFrame, texts_of, scratch: Scratch, similarity: float, count: bool) -> DataFrame:
-    """(sid, links, root): edges that connect each class, and with `count` each set's links.
+def links_of(member: DataFrame, texts_of, scratch: Scratch, similarity: float, count: bool, name: str = "links") -> DataFrame:
+    """(sid, links, root), written under name: edges that connect each class, and with `count` each set's links.
 
-    member has node, root, blocks and own for each set of a component; texts_of(member) adds sid, copies and text.
+    member has node, root, blocks and own for each set of a component; texts_of(member) adds sid, copies and text. Without `count`, a
+    node has one root; with it, groups may overlap.
     """
     out = "sid binary, links long, root binary"
 
@@ -377,7 +417,7 @@ def links_of(member: DataFrame, texts_of, scratch: Scratch, similarity: float, c
         return make
 
     if count:
-        return scratch.write(by_group(dealt(texts_of(member)), ["root", "lo", "hi"], out, work(verify)), "links")
+        return scratch.write(by_group(dealt(texts_of(member)), ["root", "lo", "hi"], out, work(verify)), name)
     # each text is fetched once and goes to its block, a representative to all blocks
     is_lead = (F.col("sid") == F.col("root")) & (F.col("blocks") > 1)
     to = F.explode(F.when(is_lead, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))).alias("lo")
@@ -401,13 +441,14 @@ def links_of(member: DataFrame, texts_of, scratch: Scratch, similarity: float, c
     asked = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: place(own_rest, i, True))
     at = F.when(F.col("is_rest"), F.concat(every, asked)).otherwise(every)
     again = texts_of(again.withColumn("at", at)).select("root", F.inline("at"), "sid", "text")
-    return first.unionByName(scratch.write(by_group(again, ["root", "lo", "hi"], out, work(linked_by)), "links"))
+    return first.unionByName(scratch.write(by_group(again, ["root", "lo", "hi"], out, work(linked_by)), name))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, count: bool = True) -> DataFrame:
     """For each row doc_id, text_hash, sid (digest of the shingle set), class_id (least doc_id of the class), class_sid, n_copies, n_links.
 
-    n_links counts the other rows of docs that are linked to this one, copies included; without `count` it counts copies alone.
+    n_links counts the other rows of docs that are linked to this one, copies included; without `count` it says no more than whether
+    there are any.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("text_hash"))
     scratch = Scratch(docs.sparkSession, "near-join")
@@ -415,21 +456,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     head = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("head")
     nodes = rows.where("sid is not null").groupBy("sid").agg(head, F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.max("size").alias("size"))
     nodes = scratch.write(nodes, "nodes")
-    found = components(candidates(nodes, scratch, similarity, recall))
-    member = scratch.write(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "members")
-    scratch.drop(*(f"{name}-{depth}" for name in ("sized", "stars", "alike") for depth in range(1, DEPTH + 1)))
-
-    sized = member.join(nodes.select(F.col("sid").alias("node"), "size"), "node")
-    n = F.count("*")
-    by_count = F.when(n <= SMALL, 1).otherwise(F.greatest(F.least(F.ceil(n / SMALL), F.lit(8)), F.ceil(n / GROUP)))
-    blocks = sized.groupBy("root").agg(F.greatest(by_count, F.ceil(F.sum("size") / WIDE)).cast("int").alias("blocks"))
-    member = scratch.write(member.join(blocks, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "candidates")
-
     def texts_of(member: DataFrame) -> DataFrame:
         """The text of each candidate once, from the first of its rows."""
         wanted = member.join(nodes.select("sid", "copies", F.col("head.doc_id").alias("w"), F.col("head.text_hash").alias("h")), F.col("node") == F.col("sid"))
         return docs.join(wanted, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("w")))
 
+    stars, large_stars = candidates(nodes, scratch, similarity, recall)
+    member = scratch.write(with_roots(components(stars.unionByName(large_stars))), "members")
+    member = confirmed(member, stars, large_stars, nodes, texts_of, scratch, similarity)
+    member = scratch.write(in_blocks(member, nodes), "candidates")
+    scratch.drop("over", "near", "asked", "star-links", *(f"{name}-{depth}" for name in ("sized", "stars", "alike") for depth in range(DEPTH + 1)))
+
     links = links_of(member, texts_of, scratch, similarity, count)
     linked = components(links.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     degree = links.groupBy(F.col("sid").alias("n")).agg(F.sum("links").alias("links"))
