@@ -57,6 +57,8 @@ KEPT = 0.7
 HEAVY = 1000
 #: Components up to so many sets are one block; no block has more sets than GROUP or, on average, more shingles than WIDE.
 SMALL, GROUP, WIDE = 256, 2048, 1 << 21
+#: Edges a task of a round of `components`.
+EDGES = 50_000
 #: Sketches of pairs over the threshold agree at least so much, but for one pair in 100,000 (four deviations).
 SLACK = 4.2
 #: Words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after A-Z became lower case.
@@ -171,23 +173,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     The large-star step links every node's larger neighbours to the least one, the small-star step its smaller ones; both keep
     components and shorten paths geometrically. Minima are combined before the shuffle, and both sides of each join are checkpointed,
-    so that Spark can split the partition of a node with very many neighbours. Rounds end when the edges are stars.
+    so that Spark can split the partition of a node with very many neighbours. A round has a task for each EDGES edges, and no more
+    than partitions, so few edges do not leave files of empty partitions. Rounds end when the edges are stars.
     """
     shared_dir(edges.sparkSession)
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     while True:
+        parts = edges.count() // EDGES + 1
+        edges = edges.coalesce(parts)
         twice = edges.groupBy("a").count().where("count > 1").select("a")
         # centres that have a centre themselves: distinct ones meet, so the star with very many members counts once
         inner = edges.select("b").distinct().join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select(F.col("b").alias("a"))
         if twice.unionByName(inner).isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-        least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).withColumn("m", F.least("n", "m")).checkpoint()
-        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().checkpoint()
-        small = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).checkpoint()
+        least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).withColumn("m", F.least("n", "m")).coalesce(parts).checkpoint()
+        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().coalesce(parts).checkpoint()
+        small = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")).coalesce(parts).checkpoint()
         joined = large.join(small, F.col("a") == F.col("n")).select("a", "b", "m")
         stars = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b")))
-        edges = stars.where("a <> b").distinct().checkpoint()
+        edges = stars.where("a <> b").distinct().coalesce(parts).checkpoint()
 
 
 def exact_links(x: list[np.ndarray], y: list[np.ndarray] | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
