@@ -4,6 +4,7 @@ repeated rows, equal texts, ties, and extra columns whose names clash with those
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -381,6 +382,53 @@ def test_mixed_rows(docs):
     assert max(Counter((r.doc_id, r.text) for r in out.where("doc_id <> 76").collect()).values()) == 2
 
 
+@pytest.fixture
+def long_texts(spark, tmp_path):
+    """Long texts as a file, among them near and exact copies and a repeated row; joins of small tables are not broadcast."""
+    r = np.random.default_rng(8)
+    texts = [" ".join(r.bytes(8).hex() for _ in range(1200)) for _ in range(300)]
+    rows = [*((i, (None, "a", "b")[i % 3], t) for i, t in enumerate(texts)), (1000, "a", texts[3] + " more"), (1001, None, texts[7]), (5, "b", texts[5]), (5, None, texts[5])]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4).write.parquet(str(tmp_path / "long"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark.read.parquet(str(tmp_path / "long")), sum(len(t) for _, _, t in rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def shuffled(spark) -> int:
+    """Bytes that this session has written to shuffles."""
+    spark.range(8).count()
+    time.sleep(1)  # figures of the last tasks
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_mixed_rows_are_shuffled_once(spark, long_texts):
+    docs, size = long_texts
+    before = shuffled(spark)
+    rows = Counter((r.doc_id, r.source, r.text) for r in mixing.mixed_rows(docs).collect())
+    assert size / 2 < shuffled(spark) - before < 1.2 * size
+    # sums and starts by plain Python
+    all_rows, weight = defaultdict(list), {"a": 5, "b": 2, None: 1}
+    for r in docs.collect():
+        all_rows[r.source].append((hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id, len(r.text.split()), r.text))
+    own = {s: sum(x[2] for x in of) for s, of in all_rows.items()}
+    goal, target, open_ = 1.5 * sum(own.values()), {}, dict(weight)
+    while open_:
+        level = (goal - sum(target.values())) / sum(open_.values())
+        full = [s for s, w in open_.items() if w * level > 2 * own[s]]
+        target |= {s: 2 * own[s] for s in full} or {s: w * level for s, w in open_.items()}
+        open_ = {s: w for s, w in open_.items() if full and s not in full}
+    want = Counter()
+    for s, of in all_rows.items():
+        whole, rest = divmod(round(target[s]), own[s])
+        for _, i, n, text in sorted(of):
+            if whole + (rest > 0):
+                want[i, s, text] += whole + (rest > 0)
+            rest -= n
+    assert rows == want
+
+
 def test_lm_scoring(spark, docs, empty):
     rows = make()
     good = {i for i in range(0, 60, 3)}

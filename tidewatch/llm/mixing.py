@@ -49,18 +49,20 @@ def _taken(docs: DataFrame, weights: tuple[float, ...], share: float, epochs: in
     text = F.col("text").cast("string")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), text, F.lit("")))
     size = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORDS)).cast("long")
+    # running sums are taken and starts met by this one key, a null source included, so rows are shuffled once; a slice has always three digits
+    at = F.concat("slice", F.coalesce(F.concat(F.lit("."), F.col("source").cast("string")), F.lit("")))
     thin = docs.select(packed(docs, *drop).alias("own"), "source", F.col("doc_id").alias("id"), size.alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc"), key.alias("order_key"))
-    thin = thin.withColumn("slice", F.substring("order_key", 1, SLICE_DIGITS))
+    thin = thin.withColumn("slice", F.substring("order_key", 1, SLICE_DIGITS)).withColumn("at", at)
 
     slices = written(thin.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "slices")
     before = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.select("source", "slice", F.coalesce(F.sum("slice_size").over(before), F.lit(0)).alias("slice_start"))
     sources = budgets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, share, epochs)
-    starts = starts.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("slice").alias("k"), "slice_start", "source_size", "target")
+    starts = starts.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(at.alias("at"), "slice_start", "source_size", "target")
 
-    running = Window.partitionBy("source", "slice").orderBy("order_key", F.col("id").asc_nulls_last(), "size", "text_crc").rowsBetween(Window.unboundedPreceding, -1)
+    running = Window.partitionBy("at").orderBy("order_key", F.col("id").asc_nulls_last(), "size", "text_crc").rowsBetween(Window.unboundedPreceding, -1)
     rows = thin.withColumn("running", F.coalesce(F.sum("size").over(running), F.lit(0)))
-    rows = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("k"))).withColumn("start", F.col("slice_start") + F.col("running"))
+    rows = rows.join(starts, "at").withColumn("start", F.col("slice_start") + F.col("running"))
     budget = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - whole * F.col("source_size") - F.col("start")
