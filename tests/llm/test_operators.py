@@ -429,6 +429,28 @@ def test_mixed_rows_are_shuffled_once(spark, long_texts):
     assert rows == want
 
 
+def test_one_of_each_shuffles_what_meets(spark, long_texts):
+    """Texts without copies are not shuffled, also where no side of a join is small."""
+    docs, size = long_texts
+    before = shuffled(spark)
+    ids = Counter(r.doc_id for r in near_join.one_of_each(docs).collect())
+    assert shuffled(spark) - before < 0.5 * size
+    assert ids == Counter(range(300))
+
+
+def test_marked_loses_none(spark, monkeypatch):
+    """Far more hashes than bits, and few: every one of them is marked, and of few hardly another one."""
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("text_hash"), "id")
+    few = spark.range(0, 20_000, 100).select(F.xxhash64("id").alias("h"))
+    got = {r.id for r in near_join.marked(rows, few).where("maybe").collect()}
+    assert {*range(0, 20_000, 100)} <= got and len(got) < 250
+    assert near_join.marked(rows, few.limit(0)).where("not maybe").count() == 20_000
+    monkeypatch.setattr(near_join, "PAGES", 1)
+    many = spark.range(0, 400_000, 2).select(F.xxhash64("id").alias("h"))
+    got = near_join.marked(rows, many)
+    assert got.count() == 20_000 and {*range(0, 20_000, 2)} <= {r.id for r in got.where("maybe").collect()}
+
+
 def test_lm_scoring(spark, docs, empty):
     rows = make()
     good = {i for i in range(0, 60, 3)}

@@ -26,6 +26,9 @@ without such words uses its runs of other characters). Two texts are linked if t
    by matrix products, and pairs are counted, not emitted. A text goes to as many tasks as its component has blocks.
 5. Verified links give each node its number of links and, by another label propagation, its class.
 
+Texts are joined to what is asked of them by the hash of a text. What is asked is marked in pages of bits first, which are broadcast, so
+that only texts that may be among it are shuffled; the join behind it is exact.
+
 Who only wants classes (one_of_each) need not count links: in a component of several blocks every set is compared with one
 representative first, in one pass over the texts, and only those sets that it does not link are compared with all others. So ten
 million near copies of one text cost ten million comparisons, and a class that hangs together through others only is found as well.
@@ -59,6 +62,8 @@ HEAVY = 1000
 SMALL, GROUP, WIDE = 256, 2048, 1 << 21
 #: Edges a task of a round of `components`.
 EDGES = 50_000
+#: Pages of PAGE bits each, in which hashes of texts are marked (4 MB as a whole).
+PAGES, PAGE = 1024, 32768
 #: Sketches of pairs over the threshold agree at least so much, but for one pair in 100,000 (four deviations).
 SLACK = 4.2
 #: Words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after A-Z became lower case.
@@ -283,6 +288,20 @@ def text_hash(column: str = "text") -> "F.Column":
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
 
 
+def marked(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """rows with `maybe`: false only where text_hash is not among hashes (one column, h), so that a join can leave such rows where they are.
+
+    Pages of bits are broadcast. Their size is fixed: of many million hashes they tell less, so more rows are shuffled, but none is lost.
+    """
+    bit = lambda h: (F.pmod(F.shiftrightunsigned(h, PAGE.bit_length() - 1), F.lit(PAGES)).alias("page"), F.pmod(h, F.lit(PAGE)).alias("at"))
+    pages = hashes.select(*bit(F.col("h"))).distinct().repartition("page").groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits"))
+    page, at = bit(F.col("text_hash"))
+    found = rows.select("*", page, at).join(F.broadcast(pages), "page", "left")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    one = F.expr("shiftright(byte, CAST(at % 8 AS INT)) % 2 = 1")
+    return found.withColumn("byte", byte).select(*rows.columns, F.coalesce(one, F.lit(False)).alias("maybe"))
+
+
 def sketched(batches):
     cache = WordHash()
     for batch, texts in batches_by_bytes(batches):
@@ -464,7 +483,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     def texts_of(member: DataFrame) -> DataFrame:
         """The text of each candidate once, from the first of its rows."""
         wanted = member.join(nodes.select("sid", "copies", F.col("head.doc_id").alias("w"), F.col("head.text_hash").alias("h")), F.col("node") == F.col("sid"))
-        return docs.join(wanted, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("w")))
+        asked = marked(docs, wanted.select("h")).where("maybe").drop("maybe")
+        return asked.join(wanted, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("w")))
 
     stars, large_stars = candidates(nodes, scratch, similarity, recall)
     member = scratch.write(with_roots(components(stars.unionByName(large_stars))), "members")
@@ -501,9 +521,12 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
         return rows.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
 
     on = (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d"))
-    stay = own.join(keys(found.where("not is_first").distinct()), on, "left_anti")
+    gone = keys(found.where("not is_first").distinct())
     repeated = keys(found.where("is_first").groupBy("doc_id", "text_hash").count().where("count > 1"))
+    own = marked(own, gone.select("h").unionByName(repeated.select("h")))
+    some = own.where("maybe").join(gone, on, "left_anti")
     if not repeated.isEmpty():
-        one = stay.join(repeated, on, "left_semi").groupBy("doc_id", "text_hash").agg(F.min_by("own", F.to_json("own")).alias("own"))
-        stay = stay.join(repeated, on, "left_anti").select("own").unionByName(one.select("own"))
+        one = some.join(repeated, on, "left_semi").groupBy("doc_id", "text_hash").agg(F.min_by("own", F.to_json("own")).alias("own"))
+        some = some.join(repeated, on, "left_anti").select("own").unionByName(one.select("own"))
+    stay = own.where("not maybe").select("own").unionByName(some.select("own"))
     return stay.select(*unpacked(stay, "own", docs))
