@@ -438,6 +438,11 @@ def test_one_of_each_shuffles_what_meets(spark, long_texts):
     assert ids == Counter(range(300))
 
 
+def test_decontamination_has_one_worker_a_task(docs, spark):
+    made = decontamination.decontaminate(docs.drop("size", "block"), spark.createDataFrame([("i", "w1 w2 w3")], "item_id string, text string"))
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_marked_loses_none(spark, monkeypatch):
     """Far more hashes than bits, and few: every one of them is marked, and of few hardly another one."""
     rows = spark.range(20_000).select(F.xxhash64("id").alias("text_hash"), "id")

@@ -149,8 +149,8 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple
         yield held
 
 
-def scanned(docs: DataFrame, parts: list[Items], window: int, again: bool) -> DataFrame:
-    """docs (own, text) with _on (bits of words that are hit) and _items; what an earlier scan has found is added to."""
+def scanned(docs: DataFrame, parts: list[Items], window: int, again: bool, last: bool) -> DataFrame:
+    """docs (own, text) with _on (bits of words that are hit) and _items; what an earlier scan has found is added to. The last scan gives MADE instead, in the same pass, so that a task has one worker and the texts lie in its buffers once."""
     name = uuid.uuid4().hex
 
     def run(batches):
@@ -176,6 +176,8 @@ def scanned(docs: DataFrame, parts: list[Items], window: int, again: bool) -> Da
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([batch.column("own"), batch.column("text"), pa.array(on, pa.binary()), pa.array(of, pa.list_(pa.string()))], names=["own", "text", "_on", "_items"])
 
+    if last:
+        return docs.mapInArrow(lambda batches: result(run(batches)), wider(T.StructType([docs.schema["own"], docs.schema["text"]]), MADE))
     return docs.mapInArrow(run, docs.schema if again else wider(docs.schema, "_on binary, _items array<string>"))
 
 
@@ -206,8 +208,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         parts: list[Items] = [[] for _ in range(each)]
         for r in items.where(F.col("part") % scans == k).collect():  # SENT_BYTES on average
             parts[r.part // scans].append((r.item, r.text.encode()))
-        out = scanned(out, parts, window, k > 0)
-        if scans > 1:
+        out = scanned(out, parts, window, k > 0, k == scans - 1)
+        if k < scans - 1:
             out = written(out, "decontamination")
-    made = out.mapInArrow(result, wider(T.StructType([out.schema["own"], out.schema["text"]]), MADE))
-    return made.select(*(F.col("text") if c.lower() == "text" else F.col("own").getField(c).alias(c) for c in docs.columns if c.lower() not in NAMES), *NAMES)
+    return out.select(*(F.col("text") if c.lower() == "text" else F.col("own").getField(c).alias(c) for c in docs.columns if c.lower() not in NAMES), *NAMES)

@@ -62,8 +62,8 @@ HEAVY = 1000
 SMALL, GROUP, WIDE = 256, 2048, 1 << 21
 #: Edges a task of a round of `components`.
 EDGES = 50_000
-#: Pages of PAGE bits each, in which hashes of texts are marked (4 MB as a whole).
-PAGES, PAGE = 1024, 32768
+#: Pages of PAGE bits each, in which hashes of texts are marked (2 MB as a whole).
+PAGES, PAGE = 512, 32768
 #: Sketches of pairs over the threshold agree at least so much, but for one pair in 100,000 (four deviations).
 SLACK = 4.2
 #: Words are runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F] after A-Z became lower case.
