@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import attribution, cve, network, notify, views
-from tidewatch.plans import ingest
+from tidewatch.plans import ingest, registry
 from tidewatch.sources import feeds, sinks
 from tidewatch.streaming import ingest as stream
 
@@ -87,6 +87,14 @@ def test_subscriptions(spark):
     assert got == {(1, 1): "Malware/BRICKSTORM", (1, 3): "Malware", (2, 1): "Malware/BRICKSTORM", (4, 1): "FANCY BEAR", (7, 1): "Iran"}
 
 
+def test_dispatch_counts_its_own(spark, tmp_path):
+    """Entry 3520 was sent by an earlier run, on the very day that this one marks its entries with."""
+    docs = spark.range(3500, 3530).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.lit("src").alias("source"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.user_id: r.sent for r in registry.QUERIES["n9_dispatch"](spark, str(tmp_path)).collect()}
+    assert got == {u: sum(i % 7 == u and i != 3520 for i in range(3500, 3530)) for u in range(7)}
+
+
 def test_small_views(spark):
     v = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
     assert v(views.keep_rate(F.lit(0), F.lit(0))) is None

@@ -283,7 +283,9 @@ def n9(spark, sf):
         F.when(n % 2 == 0, F.coalesce("country", F.lit("Nowhere"))).otherwise(F.col("kind")).alias("reason_value"), F.when(n % 2 == 0, "country").otherwise("label").alias("reason_kind"), among(n, F.lit("labels"), F.lit("attribution"), F.lit("ingest")).alias("trigger"))
     pending = notify.pending(q, most=300)
     digest = notify.digests(pending.withColumn("ord", F.struct("created_at", "id")), "https://app.example")
-    sent = notify.marked(q, pending.select("id", F.lit(None).cast("string").alias("note")), F.expr(AS_OF).cast("timestamp")).where(f"sent_at = {AS_OF}").groupBy("user_id").agg(F.count("*").alias("sent"))
+    # an entry of an earlier run may have been sent at this very time
+    owed = q.withColumn("owed", F.col("sent_at").isNull())
+    sent = notify.marked(owed, pending.select("id", F.lit(None).cast("string").alias("note")), F.expr(AS_OF).cast("timestamp")).where("owed and sent_at is not null").groupBy("user_id").agg(F.count("*").alias("sent"))
     return digest.join(sent, "user_id").select("user_id", "subject", F.md5("text").alias("text"), "sent")
 
 
