@@ -1,12 +1,15 @@
 """Golden cases of attribution, CVE priority, timeline, network, notifications, views, sinks, feeds and the stream."""
 
 from datetime import date, datetime
+from pathlib import Path
+from time import sleep
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators import attribution, cve, network, notify, views
 from tidewatch.plans import ingest, registry
+from tidewatch.session import checkpoint_dir
 from tidewatch.sources import feeds, sinks
 from tidewatch.streaming import ingest as stream
 
@@ -87,6 +90,31 @@ def test_subscriptions(spark):
     assert got == {(1, 1): "Malware/BRICKSTORM", (1, 3): "Malware", (2, 1): "Malware/BRICKSTORM", (4, 1): "FANCY BEAR", (7, 1): "Iran"}
 
 
+def test_linked(spark):
+    """Null ids, ids that repeat, an indicator over the cap and a lone report draw no edges; the rest is as by pairs."""
+    rows = [(i, 100 + i // 2) for i in range(12)] + [(i, 100 + (i + 1) // 2) for i in range(12)] + [(50 + i, 7) for i in range(30)] + [(50, 8), (57, 8), (70, 9), (None, 9), (None, 3), (71, 3), (72, 3), (73, None), (74, None), (75, 4), (75, 4)]
+    links = spark.createDataFrame(rows, "item_id long, ioc_id long")
+    want = {(r.node, r.component) for r in network.components(network.pairs(links, 25)).collect()}
+    assert {(r.node, r.component) for r in network.linked(links, 25).collect()} == want == {(i, 0) for i in range(12)} | {(50, 50), (57, 50), (71, 71), (72, 71)}
+
+
+def test_components_free_their_rounds(spark):
+    """Of many rounds one table stays in the shared folder and no shuffle file."""
+    folders = lambda: set(Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")).iterdir())
+    shuffled = lambda: {f for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for f in Path(d.getPath()).rglob("shuffle_*.data")}
+    links = spark.range(60).selectExpr("id as item_id", "explode(array(id, id + 1)) as ioc_id").repartition(3)
+    checkpoint_dir(spark)
+    before, old = shuffled(), folders()
+    found = network.components(network.pairs(links))
+    for _ in range(50):  # they are removed by and by
+        if not shuffled() - before:
+            break
+        sleep(0.2)
+    assert not shuffled() - before
+    assert [len(list(f.iterdir())) for f in folders() - old] == [1]
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(60)}
+
+
 def test_dispatch_counts_its_own(spark, tmp_path):
     """Entry 3520 was sent by an earlier run, on the very day that this one marks its entries with."""
     docs = spark.range(3500, 3530).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.lit("src").alias("source"))
